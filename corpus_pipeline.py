@@ -32,20 +32,9 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
 
 
-def _decoded(kept):
-    """UTF-8 text without the bytes of characters that were cut."""
-    @F.arrow_udf("string")
-    def decode(col):
-        import pyarrow as pa
-
-        return pa.array([x.decode("utf-8", "ignore") for x in col.to_pylist()], pa.string())
-
-    return decode(kept)
-
-
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated passages; documents of which no word is left go."""
-    done = suffix.remove_repeats(docs).withColumn("text", _decoded(F.col("kept")))
+    done = suffix.remove_repeats(docs, as_text=True).withColumnRenamed("kept", "text")
     done = done.where((F.size("spans") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     text = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
     return done.select(*[text.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -29,6 +29,9 @@ PACK_BYTES = 8 << 20
 #: Rows in a pack at most, on average.
 PACK_ROWS = 20_000
 
+#: Rows that pass between Spark and a worker at once; whole texts make the default's batches too large.
+BATCH_ROWS = 2000
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -85,9 +88,12 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on the workers unless PYTHONPATH already does."""
+    """Ready a session: small Arrow batches, and this package importable on the workers unless PYTHONPATH already does that."""
     import tessera
 
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
     root = os.path.dirname(os.path.dirname(os.path.abspath(tessera.__file__)))
     paths = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     context = spark.sparkContext
@@ -104,6 +110,17 @@ def ship(spark: SparkSession) -> None:
     context._tessera_shipped = True
 
 
+def release() -> None:
+    """Give a worker's freed memory back, as workers outlive their tasks and share a machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        import ctypes
+
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 # ---------------------------------------------------------------- packs
 
 def pack_count(df: DataFrame, text: str, pack_bytes: int = PACK_BYTES) -> int:

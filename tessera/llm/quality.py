@@ -51,26 +51,24 @@ def signals(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, len(tight) - len(tight.translate(None, _SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
 
 
-def _measure(batches):
-    for batch in batches:
-        rows = [signals(x) for x in C.texts(batch.column("_text"))]
-        cols = list(zip(*rows)) or [()] * 5
-        yield pa.record_batch([batch.column(0), *[pa.array(c, pa.int64()) for c in cols]],
-                              names=["row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+def counts_of(text):
+    """Column of structs of COUNTS."""
+    @F.arrow_udf(", ".join(f"{c} long" for c in COUNTS))
+    def count(col: pa.Array) -> pa.Array:
+        cols = list(zip(*map(signals, C.texts(col)))) or [()] * len(COUNTS)
+        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], names=list(COUNTS))
+
+    return count(text.cast("binary"))
 
 
 def measure(df: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """(row, counts): row is a struct of the carried columns, all by default."""
     C.ship(df.sparkSession)
     row = F.struct(*[F.col(f"`{c}`") for c in (df.columns if carry is None else carry)]).alias("row")
-    source = df.select(row, F.col(f"`{text_col}`").cast("binary").alias("_text"))
-    schema = source.select("row").schema
-    for c in COUNTS:
-        schema = schema.add(c, "long")
-    return source.mapInArrow(_measure, schema)
+    return df.select(row, counts_of(F.col(f"`{text_col}`")).alias("_counts")).select("row", "_counts.*")
 
 
 def base_rules(min_words: int = 10, max_repeat_percent: int = 20):

@@ -22,6 +22,9 @@ rows decides.  Texts shorter than `length` stay whole.  Empty tables give no row
 
 from __future__ import annotations
 
+import functools
+import inspect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +37,8 @@ from . import common as C
 MER = 32
 #: A minimum with more distinct run texts than this is split by window content.
 HOT = 20_000
+#: Hash ranges per pack: the suffixes of one range are sorted in memory.
+RANGES = 4
 _CHUNK = 1 << 18
 #: Low bits of a minimum that hold its place in the chunk: windows share a run only with one place of their minimum,
 #: so the windows of one run never equal each other, and text that repeats itself gives several runs of one minimum.
@@ -235,8 +240,21 @@ _REPLY = "pack int, kind int, bucket int, data binary"
 _ENTRIES = "bucket int, pack int, ids binary, starts binary, windows binary, keys binary, hashes binary, data binary"
 
 
+def _lean(stage):
+    """A stage that leaves no freed memory with its worker."""
+    @functools.wraps(stage)
+    def run(*tables: pa.Table) -> pa.Table:
+        out = stage(*tables)
+        C.release()
+        return out
+
+    run.__signature__ = inspect.signature(stage)  # Spark goes by the number of parameters
+    return run
+
+
 def _stages(length: int, mer: int, hot: int, buckets: int, schema: pa.Schema):
     """The functions of the plan: of a pack, a range, a pack, a range and a pack."""
+    as_text = pa.types.is_string(schema.field("kept").type)
 
     def report(table: pa.Table) -> pa.Table:
         pack, number = Pack(table, length, mer), table["_pack"][0].as_py()
@@ -354,14 +372,14 @@ def _stages(length: int, mer: int, hot: int, buckets: int, schema: pa.Schema):
             if own:
                 edge = [0, *(e for s in own for e in s), len(x)]
                 x = b"".join(x[edge[k] : edge[k + 1]] for k in range(0, len(edge), 2))
-            kept.append(x)
+            kept.append(x.decode("utf-8", "ignore") if as_text else x)
             cut.append([{"start": a, "end": b} for a, b in own])
         return pa.table([table["_row"].combine_chunks(), table["_id"].combine_chunks(),
                          pa.array([len(pack.items[d]) for d in back.tolist()], pa.int64()),
-                         pa.array(cut, schema.field("spans").type), pa.array(kept, pa.binary())],
+                         pa.array(cut, schema.field("spans").type), pa.array(kept, schema.field("kept").type)],
                         schema=pa.schema([table.schema.field("_row"), table.schema.field("_id"), *[schema.field(i) for i in (2, 3, 4)]]))
 
-    return report, judge, submit, settle, remove
+    return tuple(map(_lean, (report, judge, submit, settle, remove)))
 
 
 def _table(rows: list[tuple], kinds: tuple[str, ...], names: tuple[str, ...]) -> pa.Table:
@@ -370,8 +388,9 @@ def _table(rows: list[tuple], kinds: tuple[str, ...], names: tuple[str, ...]) ->
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100,
-                   mer: int = MER, hot: int = HOT, pack_bytes: int = C.PACK_BYTES) -> DataFrame:
-    """df's rows with row (a struct of all columns), id, n_bytes, spans (removed, in bytes) and kept (binary)."""
+                   mer: int = MER, hot: int = HOT, pack_bytes: int = C.PACK_BYTES, as_text: bool = False) -> DataFrame:
+    """df's rows with row (a struct of the other columns), id, n_bytes, spans (removed, in bytes) and kept (binary, or
+    with as_text a string without the bytes of characters that were cut)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     if length < mer:
@@ -381,9 +400,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text_col])
     dealt = df.select(C.pack_of(F.col(id_col), packs).alias("_pack"), F.col(id_col).cast("long").alias("_id"),
                       F.col(text_col).cast("binary").alias("_text"), row.alias("_row")).repartition("_pack")
-    added = T.StructType.fromDDL("n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    added = T.StructType.fromDDL("n_bytes long, spans array<struct<start: long, end: long>>, kept " + ("string" if as_text else "binary"))
     out = T.StructType([*dealt.select("_row", "_id").schema.fields, *added.fields])
-    report, judge, submit, settle, remove = _stages(length, mer, hot, packs, to_arrow_schema(out))
+    report, judge, submit, settle, remove = _stages(length, mer, hot, RANGES * packs, to_arrow_schema(out))
     answers = dealt.groupBy("_pack").applyInArrow(report, _KEYS).groupBy("bucket").applyInArrow(judge, _REPLY).repartition("pack")
     entries = dealt.groupBy("_pack").cogroup(answers.groupBy("pack")).applyInArrow(submit, _ENTRIES)
     settled = entries.groupBy("bucket").applyInArrow(settle, _REPLY)

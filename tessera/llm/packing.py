@@ -17,8 +17,12 @@ Repeated rows are packed as rows of their own.  Empty tables give no rows.
 
 from __future__ import annotations
 
+import json
 import math
+import string
+import unicodedata
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,32 +33,94 @@ from . import common as C
 
 SHARD_ROWS = 20_000
 #: Distinct words whose ids a worker remembers; it forgets all beyond.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 _known: dict = {}
+#: What may stand behind a word as one token of its own: ASCII punctuation but the apostrophe, which also begins contractions.
+_MARKS = string.punctuation.replace("'", "")
 
 
 class Ids:
-    """Ids of texts by a tokenizer that never joins words across ASCII white space, by way of distinct words."""
+    """Ids of texts by a tokenizer that never joins words across ASCII white space, by way of distinct words.
+
+    Words are lower-cased (A-Z) first, as the tokenizer does it anyway.  Of a new word, letters and the punctuation behind them are separate
+    tokens; the letters of many new words are encoded as one text, whose ids fall apart at the ids that end a word.
+    """
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.cache: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.plain = self._without_normalizer(definition, vocabulary)
+
+    def _without_normalizer(self, definition: str, vocabulary: dict[str, int]):
+        """The same merges for words that are normalised already, if a sample of words agrees; else the tokenizer itself."""
+        from tokenizers import Tokenizer
+
+        parts = [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+        plain = Tokenizer.from_str(json.dumps(json.loads(definition) | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": parts}}))
+        words = [w for t in list(vocabulary)[::17] if (w := t.removesuffix("</w>")).isascii() and w.isalpha()]
+        words = [a.lower() + b.lower() for a, b in zip(words, words[1:])] + ["àéîöüß", "größeñ", "слово"]
+        same = all(a.ids == b.ids for a, b in zip(plain.encode_batch_fast(words, add_special_tokens=False), self.tokenizer.encode_batch_fast(words, add_special_tokens=False)))
+        return plain if same else self.tokenizer
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        """Each word by itself."""
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def encode_letters(self, words: list[str]) -> list[bytes]:
+        """Normalised words of letters only, by the thousand."""
+        groups = [words[at : at + 1024] for at in range(0, len(words), 1024)]
+        out: list[bytes] = []
+        for group, e in zip(groups, self.plain.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            upto = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(upto) != len(group):
+                out += self.encode(group)
+                continue
+            raw, at = ids.tobytes(), 0
+            for end in upto.tolist():
+                out.append(raw[at:end])
+                at = end
+        return out
+
+    def learn(self, new: list[bytes]) -> None:
+        cache, letters, later, odd = self.cache, {}, [], []
+        for w in new:
+            s = w.decode("utf-8", "replace")
+            core = s.rstrip(_MARKS)
+            if core.isascii():
+                norm = core
+            else:  # composed and lower-cased letter by letter, which only differs for a capital sigma
+                norm = unicodedata.normalize("NFC", core).lower() if "\u03a3" not in core else ""
+            if norm.isalpha():
+                if len(core) < len(s):
+                    later.append((w, core, s[len(core):]))
+                if (b := core.encode()) not in cache:
+                    letters[b] = norm
+            else:
+                odd.append(w)
+        cache.update(zip(letters, self.encode_letters(list(letters.values()))))
+        tails = list({t for _, _, t in later})
+        behind = dict(zip(tails, self.encode(tails)))
+        for w, core, t in later:
+            cache[w] = cache[core.encode()] + behind[t]
+        cache.update(zip(odd, self.encode([w.decode("utf-8", "replace") for w in odd])))
 
     def of(self, items: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words = [x.split() for x in items]
-        new = list(set().union(*words).difference(self.cache)) if words else []
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = list(set().union(*words))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False)
-            self.cache.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in found)))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        words = [x.lower().split() for x in items]
+        get = self.cache.get
+        found = [list(map(get, w)) for w in words]
+        self.learn(list({k for w, f in zip(words, found) if None in f for k, x in zip(w, f) if x is None}))
+        known = self.cache
+        out = [b"".join(f) if None not in f else b"".join([known[k] if x is None else x for k, x in zip(w, f)]) for w, f in zip(words, found)]
+        if len(known) > CACHE_WORDS:  # keep what was in use last
+            self.cache = {k: known[k] for k in set(chain.from_iterable(words))}
+        return out
 
 
 def ids_by(definition: str) -> Ids:
@@ -118,6 +184,7 @@ def _tokenise(definition, window: int, end_id: int):
                     tokens.append(len(x) // 4)
                     crcs.append([zlib.crc32(x[at : at + 4 * window]) for at in range(0, len(x), 4 * window)])
             yield pa.record_batch([own, pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], names=["_id", "tokens", "crcs"])
+        C.release()
 
     return run
 

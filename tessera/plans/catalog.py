@@ -1,2 +1,502 @@
-QUERIES = {}
-ORACLES = {}
+"""Registered queries over whole tables, each with DuckDB SQL that computes the same rows where SQL can."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import rules, text
+from ..operators import bm25, chunk, evaluate, fusion, game, manifest, retrieve, vector
+from ..sources import adapters, pages
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+# ---------------------------------------------------------------- shared SQL
+
+_USER = "u AS (SELECT c_custkey AS id, c_name AS username, greatest(0, floor(c_acctbal)::INT) AS salary, c_mktsegment AS direction FROM customer)"
+_LEVEL = """l AS (SELECT p_partkey AS id, p_name AS levelName, p_type AS direction, p_brand, CASE WHEN p_size % 10 = 0 THEN 999 WHEN p_size % 5 = 0 THEN 99 ELSE 0 END AS priority,
+  CASE WHEN p_partkey % 10 = 0 THEN 'PRESET' ELSE 'AI' END AS source FROM part WHERE p_partkey % 97 <> 0)"""
+_PLAYED = """a AS (SELECT o_custkey AS userId, l_partkey AS levelId, l_quantity::INT * 2 AS score, l_shipdate AS createTime, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag <> 'R')"""
+_CHANGE = """CASE WHEN {s} >= 90 THEN floor(({p}::FLOAT * 0.1::FLOAT)::DOUBLE + 0.5)::INT WHEN {s} >= 75 THEN floor(({p}::FLOAT * 0.05::FLOAT)::DOUBLE + 0.5)::INT
+  WHEN {s} >= 60 THEN floor(({p}::FLOAT * 0.02::FLOAT)::DOUBLE + 0.5)::INT WHEN {s} >= 40 THEN -floor(({p}::FLOAT * 0.05::FLOAT)::DOUBLE + 0.5)::INT
+  ELSE -floor(({p}::FLOAT * 0.1::FLOAT)::DOUBLE + 0.5)::INT END"""
+_TRIM = r"regexp_replace({}, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
+_TOKENS = "list_transform(regexp_extract_all({}, '[A-Za-z0-9]+'), lambda x: lower(x))"
+_NORM = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(coalesce({}, ''), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')), '(?s)^.*?://', ''), '(?s)#.*$', ''), '^www\.', ''), '/+$', '')"""
+_KEPT = f"kept AS (SELECT min(doc_id) AS doc_id, {_TRIM.format('text')} AS key FROM documents GROUP BY 2)"
+_INDEX = f"""{_KEPT},
+toks AS (SELECT d.doc_id, {_TOKENS.format('d.text')} AS toks FROM documents d JOIN kept USING (doc_id)),
+corpus AS (SELECT count(*) AS n, avg(len(toks)) AS mean_dl FROM toks),
+postings AS (SELECT doc_id, len(toks) AS dl, term, count(*) AS tf FROM (SELECT doc_id, toks, unnest(toks) AS term FROM toks) GROUP BY ALL),
+terms AS (SELECT term, count(*) AS df FROM postings GROUP BY term)"""
+_ASKED = """asked AS (SELECT item_id AS query_id, 0 AS q_idx, text AS query FROM benchmark
+  UNION ALL SELECT item_id, i::INT, x FROM (SELECT item_id, list_filter(list_distinct_keep, lambda x: x <> '') AS r FROM (SELECT item_id, text,
+    [array_to_string(w[1:greatest(len(w) // 2, 1)], ' '), array_to_string(w[len(w) // 2 + 1:], ' ')] AS list_distinct_keep FROM (SELECT item_id, text, string_split(text, ' ') AS w FROM benchmark))), unnest(range(1, len(r) + 1)) AS g(i), (SELECT 1), unnest([r[i]]) AS h(x))"""
+
+
+def _bm25_sql(asked: str, ids: str, n: int) -> str:
+    """CTE kw(ids, chunk_id, score, rank) over a CTE of queries (ids, query)."""
+    return f"""qt AS (SELECT DISTINCT {ids}, unnest({_TOKENS.format('query')}) AS term FROM {asked}),
+scored AS (SELECT {ids}, doc_id AS chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / mean_dl)))), 6) AS score
+  FROM qt JOIN terms USING (term) JOIN postings USING (term), corpus GROUP BY {ids}, doc_id),
+kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {ids} ORDER BY score DESC, chunk_id) AS rank FROM scored WHERE score > 0) WHERE rank <= {n})"""
+
+
+_VEC = """vs AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score
+  FROM (SELECT vec_id, embedding FROM embeddings JOIN benchmark ON vec_id = item_id) q, (SELECT vec_id, embedding FROM embeddings JOIN documents ON vec_id = doc_id) c),
+vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM vs WHERE score >= 0.2) WHERE rank <= 20)"""
+_LISTS = """lists AS (SELECT a.query_id, a.q_idx, 0 AS route, v.rank, v.chunk_id FROM asked a JOIN vec v USING (query_id) UNION ALL SELECT query_id, q_idx, 1, rank, chunk_id FROM kw)"""
+
+
+def _finish_sql(by: str, lists: str, rerank: str, top_k: str, per_source: str) -> str:
+    """CTE final(by, chunk_id, source, text, rrf, rerank_score, pos)."""
+    return f"""named AS (SELECT x.*, d.source, d.text, md5({_TRIM.format('d.text')}) AS key FROM {lists} x JOIN documents d ON x.chunk_id = d.doc_id),
+fused AS (SELECT {by}, key, round(list_sum(list(1.0::DOUBLE / (60 + rank) ORDER BY q_idx, route, rank)), 9) AS rrf, min([q_idx, route, rank]) AS seen,
+  arg_min(struct_pack(chunk_id := chunk_id, source := source, text := text), [q_idx, route, rank]) AS f FROM named GROUP BY {by}, key),
+capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY rrf DESC, seen) AS fused_rank FROM fused) WHERE fused_rank <= 30),
+counted AS (SELECT c.*, list_distinct({_TOKENS.format('b.text')}) AS q, count(*) OVER (PARTITION BY {by}) AS n FROM capped c JOIN benchmark b ON c.query_id = b.item_id),
+reranked AS (SELECT *, CASE WHEN {rerank} AND n > {top_k} AND len(q) > 0 THEN round(len(list_intersect(q, {_TOKENS.format('f.text')}))::DOUBLE / len(q), 6) ELSE 0.0 END AS rerank_score FROM counted),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY rerank_score DESC, fused_rank) AS final_rank FROM reranked),
+nth AS (SELECT *, {per_source} > 0 AND f.source IS NOT NULL AND row_number() OVER (PARTITION BY {by}, f.source ORDER BY final_rank) > {per_source} AS over FROM ranked),
+final AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY over, final_rank) AS pos FROM nth) WHERE pos <= {top_k})"""
+
+
+_RETRIEVE = f"WITH {_INDEX}, {_ASKED}, {_VEC}, {_bm25_sql('asked', 'query_id, q_idx', 20)}, {_LISTS}"
+_EXPECTED = """cases AS (SELECT b.item_id AS case_id, b.text AS query, coalesce(list('doc/' || d.doc_id ORDER BY d.doc_id) FILTER (WHERE d.doc_id IS NOT NULL), ['doc/absent-' || b.item_id]) AS expected
+  FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id, b.text)"""
+_VARIANTS = """variants AS (SELECT * FROM (VALUES ('all-on', true, true, true, 3, 2), ('no-rewrite', false, true, true, 3, 2), ('no-hybrid', true, false, true, 3, 2), ('no-rerank', true, true, false, 3, 2),
+  ('vector-only', true, false, false, 3, 2), ('no-diversity', true, true, true, 3, 0), ('topk-5', true, true, true, 5, 2)) v(variant_id, v_rewrite, v_hybrid, v_rerank, v_top_k, v_per_source))"""
+_RUN = f"""{_RETRIEVE}, {_VARIANTS}, vlists AS (SELECT * FROM lists, variants WHERE (v_rewrite OR q_idx = 0) AND (v_hybrid OR route = 0)),
+{_finish_sql('variant_id, v_rerank, v_top_k, v_per_source, query_id', 'vlists', 'v_rerank', 'v_top_k', 'v_per_source')}, {_EXPECTED},
+got AS (SELECT variant_id, query_id AS case_id, list('doc/' || f.chunk_id ORDER BY pos) AS returned FROM final GROUP BY ALL),
+results AS (SELECT v.variant_id, c.case_id, c.query, c.expected, coalesce(g.returned, []) AS returned, 10 + (c.case_id * 37) % 200 AS cost_ms, CASE WHEN c.case_id % 11 = 10 THEN 'timeout' END AS error
+  FROM cases c CROSS JOIN variants v LEFT JOIN got g ON g.variant_id = v.variant_id AND g.case_id = c.case_id),
+credit AS (SELECT *, list_transform(returned, lambda r: list_filter(expected, lambda e: e = r)[1]) AS c FROM results),
+scores AS (SELECT variant_id, case_id, expected, returned, cost_ms, error, coalesce(list_filter(list_transform(range(1, len(c) + 1), lambda i: CASE WHEN c[i] IS NOT NULL THEN i END), lambda x: x IS NOT NULL)[1], 0) AS hit_rank,
+  len(list_filter(c, lambda x: x IS NOT NULL)) AS hit_count, list_distinct(list_filter(c, lambda x: x IS NOT NULL)) AS hit_expected, len(returned) AS returned_count, len(list_distinct(returned)) AS distinct_sources FROM credit)"""
+_METRICS = """metrics AS (SELECT variant_id, count(*) AS total, count(error) AS failed, round(sum((hit_rank > 0)::INT)::DOUBLE / count(*), 6) AS hit_rate,
+  round(sum(CASE WHEN hit_rank > 0 THEN 1.0::DOUBLE / hit_rank ELSE 0 END) / count(*), 6) AS mrr, round(sum(len(hit_expected))::DOUBLE / sum(len(expected)), 6) AS recall,
+  round(coalesce(sum(hit_count)::DOUBLE / nullif(sum(returned_count), 0), 0), 6) AS precision, round(sum(CASE WHEN returned_count > 0 THEN distinct_sources::DOUBLE / returned_count ELSE 0 END) / count(*), 6) AS diversity,
+  round(sum(returned_count)::DOUBLE / count(*), 6) AS avg_returned, round(sum((error IS NULL AND returned_count = 0)::INT)::DOUBLE / count(*), 6) AS empty_rate,
+  quantile_disc(cost_ms, 0.5)::BIGINT AS p50_ms, quantile_disc(cost_ms, 0.95)::BIGINT AS p95_ms FROM scores GROUP BY variant_id)"""
+_MANIFEST = """k AS (SELECT doc_id AS ord, 'file_name' AS source_key, 'doc/' || doc_id AS source_value, text, greatest(1, ceil((length(text) - 100) / 400.0))::INT AS chunk_count FROM documents),
+p AS (SELECT *, CASE WHEN ord % 13 = 0 THEN md5(text || 'x') ELSE md5(text) END AS fingerprint FROM k WHERE ord % 17 <> 0),
+c AS (SELECT *, md5(text) AS fingerprint FROM k WHERE ord % 19 <> 0 AND ord % 23 <> 0),
+diff AS (SELECT coalesce(c.source_key, p.source_key) AS source_key, coalesce(c.source_value, p.source_value) AS source_value,
+  CASE WHEN c.ord IS NOT NULL AND p.ord IS NULL THEN 'added' WHEN c.ord IS NOT NULL AND p.fingerprint <> c.fingerprint THEN 'changed' WHEN c.ord IS NOT NULL THEN 'unchanged'
+    WHEN p.ord % 23 = 0 THEN 'failed' ELSE 'removed' END AS status, p.chunk_count AS old_count, coalesce(c.ord, p.ord) AS ord FROM p FULL JOIN c ON p.ord = c.ord)"""
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _game(spark, d):
+    return adapters.users(spark, d), adapters.levels(spark, d), adapters.user_levels(spark, d)
+
+
+# ---------------------------------------------------------------- game
+
+@query(f"""WITH {_LEVEL}, {_PLAYED} SELECT l.id, levelName, direction, priority, source, count(a.levelId) AS playCount FROM l LEFT JOIN a ON l.id = a.levelId
+GROUP BY ALL ORDER BY playCount DESC, priority DESC, l.id DESC LIMIT 10""")
+def hot_levels(spark, d):
+    _, level, played = _game(spark, d)
+    return game.hot_levels(level, played)
+
+
+@query(f"""WITH {_LEVEL}, {_PLAYED} SELECT l.id, levelName, direction, priority, source, count(a.levelId) AS playCount FROM l LEFT JOIN a ON l.id = a.levelId
+WHERE direction = (SELECT min(p_type) FROM part) GROUP BY ALL ORDER BY playCount DESC, priority DESC, l.id DESC LIMIT 50""")
+def hot_levels_by_direction(spark, d):
+    _, level, played = _game(spark, d)
+    return game.hot_levels(level, played, 500, level.agg(F.min("direction")).first()[0])
+
+
+@query(f"WITH {_USER} SELECT id, username, salary, direction, row_number() OVER (ORDER BY salary DESC NULLS LAST, id) AS position FROM u")
+def salary_ranking(spark, d):
+    return game.salary_ranking(adapters.users(spark, d)).select("id", "username", "salary", "direction", "position")
+
+
+@query(f"""WITH {_USER}, {_PLAYED}, s AS (SELECT userId, count(*) AS answers, floor(avg(score) * 10 + 0.5)::DOUBLE / 10 AS mean_score, sum(score)::BIGINT AS score_sum FROM a GROUP BY userId)
+SELECT id AS userId, salary, coalesce(answers, 0) AS answers, coalesce(mean_score, 0.0) AS mean_score, coalesce(score_sum, 0) AS score_sum FROM u LEFT JOIN s ON id = userId""")
+def answer_summary(spark, d):
+    user, _, played = _game(spark, d)
+    return game.answer_summary(user, played)
+
+
+@query(f"""WITH {_LEVEL}, {_PLAYED} SELECT userId, levelId, levelName, score, createTime, row_number() OVER (PARTITION BY userId ORDER BY createTime DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC,
+l_extendedprice DESC) AS nth FROM a LEFT JOIN l ON levelId = l.id""")
+def answer_history(spark, d):
+    _, level, played = _game(spark, d)
+    return game.answer_history(played, level).select("userId", "levelId", "levelName", "score", "createTime", F.col("nth").cast("long").alias("nth"))
+
+
+@query(f"""WITH {_USER}, {_LEVEL}, {_PLAYED}, dirs AS (SELECT DISTINCT direction FROM l), o AS (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY (source = 'PRESET') DESC, md5(id::VARCHAR || 'seed'), id) AS place FROM l),
+done AS (SELECT DISTINCT userId, levelId FROM a)
+SELECT userId, direction, arg_min(id, place) AS levelId FROM (SELECT u.id AS userId, o.* FROM u, o) x LEFT JOIN done USING (userId) WHERE false GROUP BY ALL
+UNION ALL SELECT x.userId, x.direction, arg_min(x.id, x.place) FROM (SELECT u.id AS userId, o.* FROM u, o) x ANTI JOIN done ON x.userId = done.userId AND x.id = done.levelId GROUP BY 1, 2""")
+def unanswered_pick(spark, d):
+    user, level, played = _game(spark, d)
+    return game.pick_unanswered_all(level, played, user, "seed")
+
+
+@query("""SELECT p_partkey AS id, p_brand || '-1,' || p_brand || '-2,' || p_brand || '-3,' || p_brand || '-4' AS optionNames FROM part""")
+def option_projection(spark, d):
+    return game.option_names(adapters.levels(spark, d)).select("id", F.array_join("optionNames", ",").alias("optionNames"))
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 1 THEN p_brand || '-1,' || p_brand || '-3' ELSE p_brand || '-2' END AS trueOptions FROM part""")
+def correct_options(spark, d):
+    return game.correct_options(adapters.levels(spark, d)).select("id", F.array_join("trueOptions", ",").alias("trueOptions"))
+
+
+@query("""WITH s AS (SELECT l_orderkey AS o_orderkey, list_distinct(list(l_linenumber)) AS us, list_filter([1, 2, 3, 4, 5, 6, 7], lambda n: (n + l_orderkey) % 2 = 0) AS ts FROM lineitem GROUP BY l_orderkey),
+g AS (SELECT o_orderkey, len(list_intersect(us, ts)) AS correct, len(us) AS n_user, len(ts) AS n_true FROM s)
+SELECT o_orderkey, correct::INT AS correct, (n_user - correct)::INT AS wrong, (n_true - correct)::INT AS missed, CASE WHEN n_true = 0 THEN 0 ELSE least(100, greatest(0, floor((2 * correct - n_user) * 100.0::DOUBLE / n_true + 0.5)))::INT END AS score FROM g""")
+def local_grading(spark, d):
+    return adapters.option_sets(spark, d).select("o_orderkey", rules.local_grade(F.col("true_set"), F.col("user_set")).alias("g")).select("o_orderkey", "g.*")
+
+
+@query(f"""WITH {_USER}, {_PLAYED}, g AS (SELECT DISTINCT userId, score FROM a) SELECT userId, score, salary, {_CHANGE.format(s='score', p='salary')} AS change, greatest(0, salary + {_CHANGE.format(s='score', p='salary')}) AS after FROM g JOIN u ON userId = id""")
+def salary_change(spark, d):
+    user, _, played = _game(spark, d)
+    rows = adapters.active(played).select("userId", "score").distinct().join(user.select(F.col("id").alias("userId"), "salary"), "userId")
+    change = rules.salary_change(F.col("score"), F.col("salary"))
+    return rows.select("userId", "score", "salary", change.alias("change"), rules.apply_change(F.col("salary"), change).alias("after"))
+
+
+@query(f"""WITH {_USER}, {_PLAYED}, s AS (SELECT userId, list(score ORDER BY createTime, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS log FROM a GROUP BY userId)
+SELECT id AS userId, salary, CASE WHEN log IS NULL THEN salary ELSE list_reduce(list_prepend(salary, log), lambda p, s: greatest(0, p + {_CHANGE.format(s='s', p='p')})) END::INT AS final_salary FROM u LEFT JOIN s ON id = userId""")
+def salary_ledger(spark, d):
+    user, _, played = _game(spark, d)
+    return game.salary_ledger(user, played)
+
+
+@query(f"""WITH {_LEVEL}, {_PLAYED} SELECT levelId, arg_min(levelName, l.id) AS levelName, count(*) AS answers FROM a LEFT JOIN l ON levelId = l.id GROUP BY levelId""")
+def batch_lookup(spark, d):
+    _, level, played = _game(spark, d)
+    keys = adapters.active(played).groupBy("levelId").agg(F.count(F.lit(1)).alias("answers"))
+    return keys.join(adapters.active(level).select(F.col("id").alias("levelId"), "levelName"), "levelId", "left").select("levelId", "levelName", "answers")
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN trim(c_mktsegment) = '' OR c_mktsegment IS NULL THEN 'general' ELSE c_mktsegment END AS direction, c_custkey % 4 AS avatar,
+length(c_name) < 4 OR regexp_matches(c_name, '[^A-Za-z0-9_#]') AS bad_username, NOT contains(c_name, '@') AS bad_email, string_split(c_name, '#')[1] AS first_part FROM customer""")
+def user_view(spark, d):
+    user = adapters.users(spark, d)
+    return user.select("id", text.or_default(F.col("direction"), "general").alias("direction"), text.avatar_bucket(F.col("id")).alias("avatar"), text.bad_username(F.col("username")).alias("bad_username"),
+                       text.bad_email(F.col("username")).alias("bad_email"), F.substring_index("username", "#", 1).alias("first_part"))
+
+
+@query(f"""WITH {_USER}, {_PLAYED} SELECT direction, count(*) AS users, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM a WHERE a.userId = u.id)) AS players FROM u GROUP BY direction""")
+def players_by_direction(spark, d):
+    user, _, played = _game(spark, d)
+    has = adapters.active(played).select(F.col("userId").alias("id")).distinct().withColumn("played", F.lit(1))
+    return user.join(has, "id", "left").groupBy("direction").agg(F.count(F.lit(1)).alias("users"), F.count("played").alias("players"))
+
+
+@query(f"""WITH {_USER}, {_LEVEL}, {_PLAYED} SELECT userId, levelId, score, CASE WHEN score >= 60 THEN 'passed' ELSE 'not passed' END AS verdict, {_CHANGE.format(s='score', p='salary')} AS change
+FROM (SELECT DISTINCT userId, levelId, CASE WHEN levelId % 2 = 1 THEN (CASE WHEN userId % 2 = 1 THEN 50 ELSE 0 END) ELSE (CASE WHEN userId % 2 = 1 THEN 0 ELSE 100 END) END AS score FROM a JOIN l ON levelId = l.id) JOIN u ON userId = u.id""")
+def submit_answers(spark, d):
+    user, level, played = _game(spark, d)
+    brand = F.concat(F.substring_index(F.from_json("options", game.OPTIONS)[0].optionName, "-", 1), F.lit("-"))
+    names = adapters.active(level).select(F.col("id").alias("levelId"), brand.alias("b"))
+    answers = adapters.active(played).select("userId", "levelId").distinct().join(names, "levelId")
+    answers = answers.select("userId", "levelId", F.array(F.concat("b", F.when(F.col("userId") % 2 == 1, "1").otherwise("2"))).alias("userOptions"))
+    return game.submit_answers(answers, level, user).select("userId", "levelId", "score", "verdict", F.col("salaryChange").alias("change"))
+
+
+# ---------------------------------------------------------------- index lifecycle
+
+@query("""SELECT doc_id, i::INT AS chunk_idx, substr(text, 400 * i::BIGINT + 1, 500) AS chunk_text FROM documents, unnest(range(0, greatest(1, ceil((length(text) - 100) / 400.0)::INT))) AS r(i)""")
+def chunk_documents(spark, d):
+    return chunk.chunk_texts(adapters.table(spark, d, "documents").select("doc_id", "text"))
+
+
+@query("""WITH c AS (SELECT 'doc/' || doc_id AS v, i FROM documents, unnest(range(0, greatest(1, ceil((length(text) - 100) / 400.0)::INT))) AS r(i)), h AS (SELECT v, i, md5('file_name|' || v || '#' || i) AS m FROM c)
+SELECT v AS source_value, i::INT AS chunk_idx, substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-3' || substr(m, 14, 3) || '-' || substr('89ab', (('0x' || substr(m, 17, 1))::INT & 3) + 1, 1) || substr(m, 18, 3) || '-' || substr(m, 21, 12) AS chunk_id FROM h""")
+def chunk_ids(spark, d):
+    return manifest.chunks_of(adapters.knowledge(spark, d)).select("source_value", "chunk_idx", "chunk_id")
+
+
+@query("SELECT doc_id, md5(text) AS fingerprint FROM documents")
+def fingerprints(spark, d):
+    return adapters.table(spark, d, "documents").select("doc_id", text.fingerprint(F.col("text")).alias("fingerprint"))
+
+
+@query(f"WITH {_MANIFEST} SELECT * REPLACE (coalesce(old_count, 0) AS old_count) FROM diff")
+def manifest_diff(spark, d):
+    return manifest.diff(*adapters.manifest_fixture(spark, d)).na.fill(0, "old_count")
+
+
+@query(f"""WITH {_MANIFEST} SELECT {', '.join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in ('added', 'changed', 'removed', 'unchanged', 'failed'))},
+count(*) FILTER (WHERE status IN ('added', 'changed', 'removed')) = 0 AS nothing_to_do FROM diff""")
+def manifest_summary(spark, d):
+    return manifest.summary(manifest.diff(*adapters.manifest_fixture(spark, d)))
+
+
+@query(f"""WITH {_MANIFEST} SELECT source_key, source_value, fingerprint, chunk_count, 0 AS late, ord FROM p JOIN diff USING (source_key, source_value, ord) WHERE status IN ('unchanged', 'failed')
+UNION ALL SELECT source_key, source_value, fingerprint, chunk_count, CASE WHEN status = 'added' THEN 1 ELSE 0 END, ord FROM c JOIN diff USING (source_key, source_value, ord) WHERE status IN ('added', 'changed')""")
+def manifest_apply(spark, d):
+    previous, current, failed = adapters.manifest_fixture(spark, d)
+    return manifest.apply_to_manifest(previous, manifest.diff(previous, current, failed), current)
+
+
+@query(f"""WITH {_MANIFEST}, o AS (SELECT p.source_value, p.chunk_count FROM p JOIN diff USING (ord) WHERE status IN ('unchanged', 'failed') UNION ALL SELECT c.source_value, c.chunk_count FROM c JOIN diff USING (ord) WHERE status IN ('added', 'changed'))
+SELECT source_value, i::INT AS chunk_idx FROM o, unnest(range(0, chunk_count)) AS r(i)""")
+def incremental_chunks(spark, d):
+    previous, current, failed = adapters.manifest_fixture(spark, d)
+    old = manifest.chunks_of(adapters.knowledge(spark, d).join(previous.select(*manifest.KEY), manifest.KEY, "left_semi"))
+    return manifest.apply_to_chunks(old, manifest.diff(previous, current, failed), current).select("source_value", "chunk_idx")
+
+
+@query(f"""WITH {_MANIFEST} SELECT sum(chunk_count)::BIGINT AS total, sum(CASE WHEN status IN ('added', 'changed') THEN chunk_count ELSE 0 END)::BIGINT AS embedded,
+sum(CASE WHEN status IN ('added', 'changed') THEN 0 ELSE chunk_count END)::BIGINT AS skipped FROM c JOIN diff USING (ord)""")
+def skip_accounting(spark, d):
+    previous, current, failed = adapters.manifest_fixture(spark, d)
+    return manifest.skip_accounting(manifest.diff(previous, current, failed), current)
+
+
+@query(f"WITH {_MANIFEST} SELECT (SELECT sum(chunk_count)::BIGINT FROM p) AS total_chunks, (SELECT count(DISTINCT source_value) FROM p) AS sources")
+def manifest_totals(spark, d):
+    previous, _, _ = adapters.manifest_fixture(spark, d)
+    return manifest.total_chunks(previous).crossJoin(manifest.current_sources(previous).agg(F.count(F.lit(1)).alias("sources")))  # one row each
+
+
+@query(f"""WITH {_MANIFEST} SELECT source_key, source_value, fingerprint, chunk_count FROM p WHERE ord % 7 <> 0 AND ord % 29 <> 0 AND ord % 31 <> 0""")
+def manifest_parse(spark, d):
+    previous, _, _ = adapters.manifest_fixture(spark, d)
+    lines = manifest.format_manifest(previous)
+    spoiled = (F.when(F.col("ord") % 7 == 0, F.concat("value", F.lit("|more"))).when(F.col("ord") % 29 == 0, F.regexp_replace("value", r"\d+$", "x"))
+               .when(F.col("ord") % 31 == 0, F.regexp_replace("value", r"\|\d+$", "|0")).otherwise(F.col("value")))
+    return manifest.parse_manifest(lines.select(spoiled.alias("value")))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang ELSE source END AS collection, CASE WHEN doc_id % 3 = 0 THEN -1 WHEN doc_id % 5 = 0 THEN -1 ELSE n_chars::INT END AS segments FROM documents")
+def collection_meta(spark, d):
+    docs = adapters.table(spark, d, "documents")
+    count = F.when(F.col("doc_id") % 5 == 0, "?").otherwise(F.col("n_chars").cast("string"))
+    meta = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" "), "lang", F.lit("\n"))).otherwise(F.concat(F.lit("collection="), "source", F.lit("\nsegments="), count))
+    return manifest.parse_collection_meta(docs.select("doc_id", meta.alias("text"))).select("doc_id", "collection", F.coalesce("segments", F.lit(-1)).alias("segments"))
+
+
+@query("""SELECT lang AS source_key, source AS source_value, min(doc_id) AS ord FROM documents GROUP BY ALL""")
+def first_sources(spark, d):
+    docs = adapters.table(spark, d, "documents").select(F.col("lang").alias("source_key"), F.col("source").alias("source_value"), F.col("doc_id").alias("ord"))
+    return manifest.first_of_key(docs)
+
+
+# ---------------------------------------------------------------- pages and source names
+
+@query(r"""SELECT page_id, left(regexp_replace(url, '[^A-Za-z0-9]+', '_', 'g'), 60) || '_' || lower(to_hex(list_reduce(list_prepend(0::BIGINT, list_transform(regexp_extract_all(url, '.'), lambda x: ascii(x)::BIGINT)), lambda h, c: (h * 31 + c) & 4294967295))) || '.txt' AS file_name FROM pages""")
+def page_cache_names(spark, d):
+    return adapters.table(spark, d, "pages").select("page_id", text.cache_file_name(F.col("url")).alias("file_name"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'asked/' || page_id ELSE url END AS source, CASE WHEN page_id % 3 = 0 THEN html ELSE html END AS body FROM pages")
+def page_cache_parse(spark, d):
+    p = adapters.table(spark, d, "pages")
+    content = F.when(F.col("page_id") % 3 == 0, F.col("html")).otherwise(text.build_cache(F.col("url"), F.col("html")))
+    return pages.read_cached(p.select("page_id", F.concat(F.lit("asked/"), F.col("page_id").cast("string")).alias("url"), content.alias("content"))).select("page_id", "source", "body")
+
+
+@query(f"SELECT page_id, {_NORM.format('url')} AS source FROM pages")
+def normalize_source(spark, d):
+    return adapters.table(spark, d, "pages").select("page_id", text.normalize_source(F.col("url")).alias("source"))
+
+
+@query(rf"""WITH n AS (SELECT page_id, {_NORM.format('url')} AS a, {_NORM.format("regexp_replace(url, '^[a-z]+://[^/]*', '')")} AS t FROM pages), m AS (SELECT *, CASE WHEN page_id % 2 = 0 THEN ltrim(t, '/') ELSE substr(t, 3) END AS b FROM n)
+SELECT page_id, a <> '' AND b <> '' AND (a = b OR ends_with(a, '/' || b) OR ends_with(b, '/' || a)) AS matches FROM m""")
+def source_match(spark, d):
+    p = adapters.table(spark, d, "pages").withColumn("t", text.normalize_source(F.regexp_replace("url", "^[a-z]+://[^/]*", "")))
+    other = F.when(F.col("page_id") % 2 == 0, F.regexp_replace("t", "^/+", "")).otherwise(F.substring("t", 3, 1 << 20))
+    return p.select("page_id", text.source_matches(text.normalize_source(F.col("url")), other).alias("matches"))
+
+
+@query()
+def html_clean(spark, d):
+    return pages.clean_pages(adapters.table(spark, d, "pages"))
+
+
+@query("""WITH p AS (SELECT CASE WHEN page_id % 11 = 0 THEN ' ' ELSE url END AS url, CASE WHEN page_id % 7 = 0 THEN '' ELSE html END AS text FROM pages)
+SELECT url, trim(text) <> '' AS loaded FROM p WHERE trim(url) <> ''""")
+def page_load(spark, d):
+    p = adapters.table(spark, d, "pages").select(F.when(F.col("page_id") % 11 == 0, " ").otherwise(F.col("url")).alias("url"), F.when(F.col("page_id") % 7 == 0, "").otherwise(F.col("html")).alias("text"))
+    loaded, failed = pages.load_pages(p)
+    return loaded.select("url", F.lit(True).alias("loaded")).unionByName(failed.select("url", F.lit(False).alias("loaded")))
+
+
+@query(r"""SELECT doc_id, CASE WHEN length(t) > 60 THEN left(t, 60) || '…' ELSE t END AS cell, printf('%.1f%%', n_chars / 1000.0) AS pct, printf('%.3f', n_chars / 7.0) AS dec, string_split(source || '/' || lang, '/')[-1] AS short
+FROM (SELECT *, regexp_replace(translate(text, chr(10) || '|', ' /'), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS t FROM documents)""")
+def report_formats(spark, d):
+    docs = adapters.table(spark, d, "documents")
+    return docs.select("doc_id", text.table_cell(F.col("text")).alias("cell"), text.as_percent(F.col("n_chars") / 100000.0).alias("pct"), text.as_decimal(F.col("n_chars") / 7.0).alias("dec"),
+                       text.short_name(F.concat("source", F.lit("/"), "lang")).alias("short"))
+
+
+# ---------------------------------------------------------------- retrieval
+
+def _corpus(spark, d) -> retrieve.Corpus:
+    chunks = adapters.knowledge(spark, d)
+    vectors = adapters.table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    return retrieve.Corpus(chunks, vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi"), bm25.build_index(chunks))
+
+
+def _queries(spark, d) -> DataFrame:
+    vectors = adapters.table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return adapters.benchmark_queries(spark, d).join(vectors, "query_id", "left")
+
+
+@query(f"SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents)")
+def tokenize(spark, d):
+    docs = adapters.table(spark, d, "documents").select("doc_id", text.tokenize(F.col("text")).alias("t"))
+    return docs.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("digest"))
+
+
+@query(f"WITH {_INDEX} SELECT term, df, sum(tf)::BIGINT AS occurrences FROM postings JOIN terms USING (term) GROUP BY ALL")
+def term_stats(spark, d):
+    return bm25.build_index(adapters.knowledge(spark, d)).postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences"))
+
+
+@query(f"WITH {_INDEX} SELECT doc_id AS chunk_id, len(toks)::INT AS dl, n, round(mean_dl, 6) AS mean_dl FROM toks, corpus")
+def doc_lengths(spark, d):
+    kept = bm25.first_of_equal_texts(adapters.knowledge(spark, d), "chunk_id", "text")
+    rows = kept.select("chunk_id", F.size(text.tokenize(F.col("text"))).alias("dl"))
+    return rows.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("dl"), 6).alias("mean_dl"))))  # one row
+
+
+@query(f"WITH {_INDEX}, q AS (SELECT item_id AS query_id, text AS query FROM benchmark), {_bm25_sql('q', 'query_id', 20)} SELECT query_id, chunk_id, score, rank FROM kw")
+def bm25_search(spark, d):
+    found = bm25.search(bm25.build_index(adapters.knowledge(spark, d)), adapters.benchmark_queries(spark, d), 20)
+    return found.select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {_VEC} SELECT query_id, chunk_id, score, rank FROM vec")
+def vector_search(spark, d):
+    found = vector.search(_queries(spark, d), _corpus(spark, d).vectors, 20)
+    return found.select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {_ASKED} SELECT query_id, q_idx, query FROM asked")
+def multi_query_expand(spark, d):
+    return retrieve.expand_queries(adapters.benchmark_queries(spark, d)).select("query_id", "q_idx", "query")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), f AS (SELECT conv_id, list(text ORDER BY turn) AS l FROM t GROUP BY conv_id),
+r AS (SELECT conv_id, l[1] AS query, list_filter(list_transform(l[2:], lambda x: regexp_replace(x, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g')), lambda x: x <> '') AS rest FROM f),
+o AS (SELECT conv_id, query AS x, 0 AS i FROM r UNION ALL SELECT conv_id, rest[i], i::INT FROM r, unnest(range(1, len(rest) + 1)) AS g(i)),
+u AS (SELECT conv_id, x, min(i) AS i FROM o GROUP BY conv_id, x)
+SELECT conv_id, x AS query, n AS q_idx FROM (SELECT conv_id, x, (row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1)::INT AS n FROM u) WHERE n <= 4""")
+def conversation_queries(spark, d):
+    turns = adapters.table(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s.text).alias("l"))
+    asked = turns.select("conv_id", F.col("l")[0].alias("query"), F.slice("l", F.lit(2), F.size("l")).alias("rewrites"))
+    return retrieve.expand_queries(asked).select("conv_id", "query", "q_idx")
+
+
+@query(f"{_RETRIEVE}, {_finish_sql('query_id', 'lists', 'true', '3', '2')} SELECT query_id, key, rrf, fused_rank FROM capped")
+def rrf_fusion(spark, d):
+    corpus, queries = _corpus(spark, d), _queries(spark, d)
+    lists = retrieve.recall(retrieve.expand_queries(queries), corpus, retrieve.RetrieveOptions())
+    named = lists.join(corpus.chunks.select("chunk_id", "source", "text"), "chunk_id").withColumn("key", F.md5(text.java_trim(F.col("text"))))
+    capped = fusion.number(fusion.rrf(named, ["query_id"]), ["query_id"], [F.desc("rrf"), F.col("seen")], "fused_rank", 30)
+    return capped.select("query_id", "key", "rrf", F.col("fused_rank").cast("long").alias("fused_rank"))
+
+
+@query(f"{_RETRIEVE}, {_finish_sql('query_id', 'lists', 'true', '3', '2')} SELECT query_id, pos, f.chunk_id AS chunk_id, f.source AS source, rrf, rerank_score FROM final")
+def hybrid_retrieve(spark, d):
+    found = retrieve.retrieve(_queries(spark, d), _corpus(spark, d))
+    return found.select("query_id", F.col("pos").cast("long").alias("pos"), "chunk_id", "source", "rrf", "rerank_score")
+
+
+@query(f"{_RETRIEVE}, {_finish_sql('query_id', 'lists', 'true', '3', '2')} SELECT query_id, md5(string_agg(f.text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos)) AS digest FROM final GROUP BY query_id")
+def context_assembly(spark, d):
+    return retrieve.retrieve_context(_queries(spark, d), _corpus(spark, d)).select("query_id", F.md5("context").alias("digest"))
+
+
+@query(f"""WITH b AS (SELECT item_id, {_TOKENS.format('text')} AS q FROM benchmark), m AS (SELECT item_id, doc_id, round(len(list_intersect(list_distinct(q), t))::DOUBLE / len(list_distinct(q)), 6) AS s
+FROM b, (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents JOIN embeddings ON doc_id = vec_id)) SELECT item_id AS query_id, doc_id AS chunk_id, s AS rerank_score, n AS final_rank FROM
+(SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) AS n FROM m) WHERE n <= 5""")
+def rerank_topk(spark, d):
+    """Every candidate that has a vector, reranked for every query (candidates are what a recall gave; here that is all)."""
+    chunks = adapters.knowledge(spark, d).join(adapters.table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id")), "chunk_id", "left_semi")
+    pairs = chunks.select("chunk_id", "text").crossJoin(F.broadcast(adapters.benchmark_queries(spark, d).select("query_id", "query")))
+    ranked = fusion.rerank(pairs.withColumn("fused_rank", F.col("chunk_id")), ["query_id"], F.lit(True), F.lit(5))
+    return ranked.where("final_rank <= 5").select("query_id", "chunk_id", "rerank_score", F.col("final_rank").cast("long").alias("final_rank"))
+
+
+@query("""WITH r AS (SELECT lang, doc_id, source, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS k FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY k) > 2 AS over FROM r), p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY over, k) AS pos FROM o)
+SELECT lang, doc_id, source, pos FROM p WHERE pos <= 50""")
+def diverse_topk(spark, d):
+    docs = fusion.number(adapters.table(spark, d, "documents").select("lang", "doc_id", "source", "n_chars"), ["lang"], [F.desc("n_chars"), F.col("doc_id")], "final_rank")
+    return fusion.select_diverse(docs, 50, 2, ["lang"]).select("lang", "doc_id", "source", F.col("pos").cast("long").alias("pos"))
+
+
+# ---------------------------------------------------------------- evaluation
+
+def _scored(spark, d, variants=tuple(evaluate.VARIANTS)) -> DataFrame:
+    found = evaluate.run_variants(adapters.eval_cases(spark, d), _queries(spark, d), _corpus(spark, d), evaluate.parse_variants(list(variants)))
+    found = found.withColumns({"cost_ms": 10 + (F.col("case_id") * 37) % 200, "error": F.when(F.col("case_id") % 11 == 10, "timeout")})
+    return evaluate.score_cases(found, adapters.knowledge(spark, d).select("source_value"))
+
+
+_joined = lambda c: F.array_join(c, ",").alias(c)
+
+
+@query(f"""WITH {_EXPECTED} SELECT case_id, array_to_string(expected, ',') AS expected, CASE WHEN trim(query) = '' THEN 'blank query' END AS problem FROM cases""")
+def eval_cases(spark, d):
+    cases = adapters.eval_cases(spark, d)
+    return cases.select("case_id", _joined("expected"), evaluate.case_problem(F.col("query"), F.col("expected")).alias("problem"))
+
+
+@query(f"{_RUN} SELECT variant_id, case_id, array_to_string(returned, ',') AS returned, hit_rank::INT AS hit_rank, hit_count::INT AS hit_count, array_to_string(list_sort(hit_expected), ',') AS hit_expected, returned_count::INT AS returned_count, distinct_sources::INT AS distinct_sources FROM scores")
+def eval_scores(spark, d):
+    return _scored(spark, d).select("variant_id", "case_id", _joined("returned"), "hit_rank", "hit_count", F.array_join(F.array_sort("hit_expected"), ",").alias("hit_expected"), "returned_count", "distinct_sources")
+
+
+@query(f"{_RUN}, {_METRICS} SELECT * FROM metrics")
+def eval_metrics(spark, d):
+    return evaluate.aggregate_metrics(_scored(spark, d), ["variant_id"])
+
+
+@query(f"""{_RUN}, {_METRICS}, before AS (SELECT * FROM metrics WHERE variant_id = 'vector-only') SELECT m.variant_id, m.mrr, {', '.join(f'round(m.{x} - b.{x}, 6) AS delta_{x}' for x in evaluate.METRICS)}
+FROM metrics m CROSS JOIN before b""")
+def eval_delta(spark, d):
+    """Every variant against the vector-only run, relabelled as each variant's run before."""
+    now = evaluate.aggregate_metrics(_scored(spark, d), ["variant_id"])
+    names = now.select("variant_id")
+    before = now.where("variant_id = 'vector-only'").drop("variant_id").crossJoin(F.broadcast(names))
+    return evaluate.metric_delta(now, before).select("variant_id", "mrr", *[f"delta_{m}" for m in evaluate.METRICS])
+
+
+@query(f"""{_RUN}, rest AS (SELECT *, list_filter(expected, lambda e: NOT list_contains(hit_expected, e)) AS rest FROM scores)
+SELECT variant_id, case_id, array_to_string(list_filter(rest, lambda e: contains(e, 'absent')), ',') AS not_in_index, array_to_string(list_filter(rest, lambda e: NOT contains(e, 'absent')), ',') AS missed FROM rest""")
+def miss_classification(spark, d):
+    return _scored(spark, d).select("variant_id", "case_id", _joined("not_in_index"), _joined("missed"))
+
+
+@query(f"""{_RUN}, rest AS (SELECT *, len(list_filter(expected, lambda e: contains(e, 'absent'))) AS absent FROM scores WHERE error IS NOT NULL OR hit_rank = 0)
+SELECT variant_id, case_id, CASE WHEN error IS NOT NULL THEN 'failed: ' || error WHEN absent = len(expected) THEN 'not indexed' WHEN returned_count = 0 THEN 'nothing returned' ELSE 'not among the results' END AS reason FROM rest""")
+def miss_list(spark, d):
+    return evaluate.miss_list(_scored(spark, d)).select("variant_id", "case_id", "reason")
+
+
+@query("""SELECT event_type, count(*) AS n, quantile_disc(value, 0.5)::BIGINT AS p50, quantile_disc(value, 0.95)::BIGINT AS p95, quantile_disc(value, 1.0)::BIGINT AS worst
+FROM (SELECT event_type, floor(value)::BIGINT AS value FROM events) GROUP BY event_type""")
+def latency_percentiles(spark, d):
+    e = adapters.table(spark, d, "events").select("event_type", F.floor("value").alias("value"))
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), *[rules.nearest_rank(F.col("value"), p).alias(n) for p, n in ((0.5, "p50"), (0.95, "p95"), (1.0, "worst"))])
+
+
+@query("""WITH r AS (SELECT strftime(ts, '%Y%m%d-%H') AS run_id, user_id, value FROM events) SELECT run_id, count(*) AS n, round(sum(value), 4) AS total FROM r WHERE run_id = (SELECT max(run_id) FROM r WHERE run_id < '20240115-00') GROUP BY run_id""")
+def previous_run(spark, d):
+    e = adapters.table(spark, d, "events").select(F.date_format("ts", "yyyyMMdd-HH").alias("run_id"), "user_id", "value")
+    return pages.latest_run(e, "20240115-00").groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))

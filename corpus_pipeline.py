@@ -25,11 +25,13 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """The document with the smallest id of each group of near-duplicates; rows without an id stay."""
     classes = common.materialise(simhash.near_duplicates(docs))
     others = classes.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = docs.join(others, "doc_id", "left_anti").select(columns)
     again = classes.where("id = component_id").groupBy("id").count().where("count > 1").select(F.col("id").alias("doc_id"))
     if again.isEmpty():
         return kept
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(columns)
+    return kept.join(again, "doc_id", "left_anti").select(columns).unionByName(once)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

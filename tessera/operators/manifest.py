@@ -63,7 +63,7 @@ def apply_to_chunks(old_chunks: DataFrame, compared: DataFrame, current: DataFra
     """The chunk table after the comparison: rows of removed and changed keys go, those of added and changed come."""
     gone = compared.where("status IN ('removed', 'changed')").select(*KEY)
     fresh = current.join(compared.where("status IN ('added', 'changed')").select(*KEY), KEY, "left_semi")
-    return old_chunks.join(gone, KEY, "left_anti").unionByName(chunks_of(fresh, size, overlap))
+    return old_chunks.join(gone, KEY, "left_anti").unionByName(chunks_of(fresh, size, overlap)).select(old_chunks.columns)
 
 
 def apply_to_manifest(previous: DataFrame, compared: DataFrame, current: DataFrame) -> DataFrame:

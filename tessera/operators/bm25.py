@@ -30,6 +30,9 @@ class Bm25Index:
     def cache(self) -> Bm25Index:
         return Bm25Index(self.postings.persist(), self.terms.persist(), self.corpus.persist())
 
+    def search(self, queries: DataFrame, n: int, id_cols: list[str] | None = None) -> DataFrame:
+        return search(self, queries, n, id_cols)
+
     def write(self, path: str) -> None:
         """Postings sorted by term, so a search reads only row groups of its terms."""
         self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
@@ -43,8 +46,11 @@ class Bm25Index:
 
 def build_index(docs: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> Bm25Index:
     """Equal texts count once; texts without tokens count in n and the mean length."""
-    kept = first_of_equal_texts(docs, id_col, text_col)
-    tokens = kept.select(F.col(id_col).alias("chunk_id"), T.tokenize(F.col(text_col)).alias("tokens")).withColumn("dl", F.size("tokens"))
+    return _index_of(scan(docs, id_col, text_col).docs)
+
+
+def _index_of(docs: DataFrame) -> Bm25Index:
+    tokens = docs.withColumn("dl", F.size("tokens"))
     postings = tokens.select("chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     corpus = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean_dl"))
     return Bm25Index(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), corpus)
@@ -70,3 +76,102 @@ def search(index: Bm25Index, queries: DataFrame, n: int, id_cols: list[str] | No
     scored = index.postings.join(weighed, "term").groupBy(*ids, "chunk_id").agg(F.round(F.sum(F.col("idf") * tf), 6).alias("score"))
     best = Window.partitionBy(*ids).orderBy(F.desc("score"), "chunk_id")
     return scored.where("score > 0").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max(n, 0))
+
+
+#: Queries that a scan takes at once, in blocks of BLOCK; beyond that postings are built and joined.
+MOST_QUERIES, BLOCK = 2048, 128
+
+
+def _hits(batch, vocabulary):
+    """(document, term, tf) of a batch's tokens that are in the vocabulary, by row and place."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    tokens = batch.column("tokens")
+    lengths = np.diff(tokens.offsets.to_numpy())
+    place = pc.index_in(tokens.flatten(), value_set=pa.array(vocabulary, pa.string())).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = np.repeat(np.arange(batch.num_rows), lengths)
+    key, tf = np.unique((owner * len(vocabulary) + place)[place >= 0], return_counts=True)
+    return key // max(1, len(vocabulary)), key % max(1, len(vocabulary)), tf, lengths
+
+
+@dataclass
+class TextScan:
+    """Keyword search without postings: documents (chunk_id, tokens) are scored where they are read.
+
+    One pass counts the documents of the queries' terms, another multiplies each Arrow batch's term weights with the
+    queries and gives each query's best only.  For a corpus that is searched once this spares the shuffle of all
+    its postings; one that is searched often has a Bm25Index.
+    """
+
+    docs: DataFrame
+
+    def search(self, queries: DataFrame, n: int, id_cols: list[str] | None = None) -> DataFrame:
+        import numpy as np
+        import pyarrow as pa
+
+        ids, spark = id_cols or ["query_id"], self.docs.sparkSession
+        asked = queries.select(*ids, F.array_distinct(T.tokenize(F.col("query"))).alias("terms"))
+        held = asked.limit(MOST_QUERIES + 1).collect()
+        if len(held) > MOST_QUERIES:
+            return search(_index_of(self.docs), queries, n, ids)
+        vocabulary = sorted({t for r in held for t in r["terms"]})
+        shared = spark.sparkContext.broadcast((vocabulary, [r["terms"] for r in held]))  # bounded by MOST_QUERIES
+
+        def count(batches):
+            words = shared.value[0]
+            df, rows, total = np.zeros(len(words), np.int64), 0, 0
+            for batch in batches:
+                _, term, _, lengths = _hits(batch, words)
+                df += np.bincount(term, minlength=len(words))
+                rows, total = rows + batch.num_rows, total + int(lengths.sum())
+            seen = np.flatnonzero(df)
+            yield pa.record_batch([pa.array([-2, -1, *seen], pa.int64()), pa.array([rows, total, *df[seen]], pa.int64())], names=["term", "n"])
+
+        counts = {r["term"]: r["n"] for r in self.docs.select("tokens").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+        rows, mean = counts.get(-2, 0), counts.get(-1, 0) / max(1, counts.get(-2, 0)) or 1.0
+        df = np.array([counts.get(i, 0) for i in range(len(vocabulary))], np.float64)
+        idf = np.log(1 + (rows - df + 0.5) / (df + 0.5))
+
+        def score(batches):
+            words, lists = shared.value
+            place = {w: i for i, w in enumerate(words)}
+            blocks = []
+            for at in range(0, len(lists), BLOCK):
+                part = lists[at : at + BLOCK]
+                own = sorted({place[t] for q in part for t in q})
+                column = np.full(len(words), -1, np.int64)
+                column[own] = np.arange(len(own))
+                weights = np.zeros((len(own), len(part)))
+                for j, q in enumerate(part):
+                    at_terms = [place[t] for t in q]
+                    weights[column[at_terms], j] = idf[at_terms]
+                blocks.append((at, column, weights))
+            for batch in batches:
+                doc, term, tf, lengths = _hits(batch, words)
+                value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean))
+                chunk = batch.column("chunk_id").to_numpy(zero_copy_only=False)
+                for at, column, weights in blocks:
+                    inside = column[term] >= 0
+                    dense = np.zeros((batch.num_rows, len(weights)))
+                    dense[doc[inside], column[term[inside]]] = value[inside]
+                    s = np.round(dense @ weights, 6).T
+                    s[s <= 0] = -np.inf
+                    if s.shape[1] > n > 0:
+                        cut = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]  # ties at the cut all stay
+                        s[s < cut] = -np.inf
+                    i, j = np.nonzero(s > -np.inf)
+                    yield pa.record_batch([pa.array(i + at, pa.int32()), pa.array(chunk[j], pa.int64()), pa.array(s[i, j], pa.float64())], names=["_n", "chunk_id", "score"])
+
+        found = self.docs.select(F.col("chunk_id").cast("long").alias("chunk_id"), "tokens").mapInArrow(score, "_n int, chunk_id long, score double")
+        kinds = ", ".join(f"`{c}` {asked.schema[c].dataType.simpleString()}" for c in ids)
+        names = spark.createDataFrame([(k, *(r[c] for c in ids)) for k, r in enumerate(held)], "_n int, " + kinds)
+        best = Window.partitionBy(*ids).orderBy(F.desc("score"), "chunk_id")
+        ranked = found.join(F.broadcast(names), "_n").withColumn("rank", F.row_number().over(best))  # names: MOST_QUERIES at most
+        return ranked.where(F.col("rank") <= max(n, 0)).select(*ids, "chunk_id", "score", "rank")
+
+
+def scan(docs: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> TextScan:
+    kept = first_of_equal_texts(docs, id_col, text_col)
+    return TextScan(kept.select(F.col(id_col).alias("chunk_id"), T.tokenize(F.col(text_col)).alias("tokens")))

@@ -45,7 +45,7 @@ class Corpus:
 
     chunks: DataFrame
     vectors: DataFrame
-    index: bm25.Bm25Index
+    index: bm25.Bm25Index | bm25.TextScan
 
 
 def expand_queries(queries: DataFrame, rewrites: str = "rewrites", enabled: bool = True, count: int = 4) -> DataFrame:
@@ -74,7 +74,7 @@ def recall(asked: DataFrame, corpus: Corpus, options: RetrieveOptions, strict: b
     if by_vector is not None:
         parts.append(by_vector.select(*ids, F.lit(0).alias("route"), "rank", "chunk_id"))
     if options.hybrid:
-        by_word = _tolerant("keyword", strict, lambda: bm25.search(corpus.index, asked, options.keyword_recall, ids))
+        by_word = _tolerant("keyword", strict, lambda: corpus.index.search(asked, options.keyword_recall, ids))
         if by_word is not None:
             parts.append(by_word.select(*ids, F.lit(1).alias("route"), "rank", "chunk_id"))
     if not parts:

@@ -15,14 +15,17 @@ from tessera.streaming import rebuild
 
 # ------------------------------------------------------------------ retrieval
 
-def test_bm25(spark):
+@pytest.mark.parametrize("kind", ["postings", "scan", "scan of too many queries"])
+def test_bm25(spark, kind, monkeypatch):
+    if kind.endswith("queries"):
+        monkeypatch.setattr(bm25, "MOST_QUERIES", 3)
     r = random.Random(2)
     words = [f"w{i}" for i in range(12)]
     docs = [(i, " ".join(r.choice(words) for _ in range(r.randint(0, 9)))) for i in range(40)] + [(90, None), (91, "  " + "w1 w2"), (92, "w1 w2 ")]
     queries = [(i, " ".join(r.choice(words + ["none"]) for _ in range(r.randint(0, 4)))) for i in range(15)]
-    index = bm25.build_index(spark.createDataFrame(docs, "chunk_id long, text string"))
+    index = (bm25.build_index if kind == "postings" else bm25.scan)(spark.createDataFrame(docs, "chunk_id long, text string"))
     got = defaultdict(list)
-    for x in bm25.search(index, spark.createDataFrame(queries, "query_id long, query string"), 5).orderBy("query_id", "rank").collect():
+    for x in index.search(spark.createDataFrame(queries, "query_id long, query string"), 5).orderBy("query_id", "rank").collect():
         got[x["query_id"]].append((x["chunk_id"], x["score"]))
     kept, seen = [], set()
     for i, t in docs:
@@ -39,7 +42,7 @@ def test_bm25(spark):
             if round(s, 6) > 0:
                 scores.append((-round(s, 6), i))
         assert got[q] == [(i, -s) for s, i in sorted(scores)[:5]]
-    assert bm25.search(index, spark.createDataFrame(queries, "query_id long, query string"), 0).count() == 0
+    assert index.search(spark.createDataFrame(queries, "query_id long, query string"), 0).count() == 0
 
 
 def test_bm25_index_round_trip(spark, tmp_path):

@@ -10,7 +10,8 @@ The score smooths pairs with single words, both from the filter: with h the word
 before the first), p(w|h) = (c(h,w) + K p(w)) / (c(h) + K), p(w) = (c(w) + 1)/(N + V + 1).
 
 The filter has BITS_PER_BYTE bits per byte of text and never more than MAX_FILTER_BYTES, which bounds the
-broadcast; beyond that its false positives grow.  Counts sent and summed grow with the corpus.
+broadcast; at that bound the rarest n-grams of each range stay out of it, as if they had no count, so that those
+inside keep their accuracy.  All counts are taken, whatever the size, and the base score uses them all.
 
 Nulls: a null text is empty (its only token is the end); a null id trains.  Empty tables give no rows.
 """
@@ -26,6 +27,8 @@ from . import common as C
 
 BITS_PER_BYTE = 0.5
 MAX_FILTER_BYTES = 256 << 20
+#: Bits an event needs at least; a filter at its bound leaves out the rarest n-grams of each range for that.
+LEAST_BITS = 3.0
 HASHES = 3
 #: Weight of the single-word estimate, in occurrences of the word before; of 4 to 512 the best for held-out texts at sf0.1.
 K = 256.0
@@ -143,6 +146,13 @@ def _send(ranges: int):
     return run
 
 
+def least_level(levels: np.ndarray, bits: int) -> int:
+    """The level from which on the events fit into the bits; 1 unless the filter is at its bound."""
+    events = np.bincount(levels, minlength=2) * np.arange(max(2, int(levels.max(initial=0)) + 1))
+    fits = np.cumsum(events[::-1])[::-1] * LEAST_BITS <= bits
+    return max(1, int(np.argmax(fits)) if fits.any() else len(fits))
+
+
 def _sum(range_bytes: int):
     def run(table: pa.Table) -> pa.Table:
         cols = {c: table[c].to_pylist() for c in table.column_names}
@@ -155,7 +165,9 @@ def _sum(range_bytes: int):
         pairs, pair_total = _count(pairs, pair_count)
         bits = Filter(np.zeros(range_bytes, np.uint8), 1)
         seen = total > 0
-        bits.insert(np.concatenate([word_keys(distinct[seen]), pairs]), np.searchsorted(LEVELS, np.concatenate([total[seen], pair_total]), "right"))
+        keys, levels = np.concatenate([word_keys(distinct[seen]), pairs]), np.searchsorted(LEVELS, np.concatenate([total[seen], pair_total]), "right")
+        keep = levels >= least_level(levels, bits.bits)
+        bits.insert(keys[keep], levels[keep])
         told, at = total[back], 0
         rows = [(-1, cols["bucket"][0], b"", bits.data.tobytes(), int(seen.sum()), int(total.sum()))]
         for p, b, x in zip(cols["pack"], cols["bucket"], cols["words"]):

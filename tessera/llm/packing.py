@@ -51,6 +51,7 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.cache: dict[bytes, bytes] = {}
+        self.limit = CACHE_WORDS
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -118,7 +119,7 @@ class Ids:
         self.learn(list({k for w, f in zip(words, found) if None in f for k, x in zip(w, f) if x is None}))
         known = self.cache
         out = [b"".join(f) if None not in f else b"".join([known[k] if x is None else x for k, x in zip(w, f)]) for w, f in zip(words, found)]
-        if len(known) > CACHE_WORDS:  # keep what was in use last
+        if len(known) > self.limit:  # keep what was in use last
             self.cache = {k: known[k] for k in set(chain.from_iterable(words))}
         return out
 
@@ -171,9 +172,10 @@ def slack_patterns(lengths: np.ndarray, window: int):
             yield pattern, times
 
 
-def _tokenise(definition, window: int, end_id: int):
+def _tokenise(definition, window: int, end_id: int, cache_words: int):
     def run(batches):
         ids = ids_by(definition.value)
+        ids.limit = cache_words
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             own, all_texts = batch.column("_id"), C.texts(batch.column("_text"))
@@ -251,7 +253,7 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 
 def pack_sequences(df: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", window: int = 2048,
-                   end_id: int = 1, shard_rows: int = SHARD_ROWS) -> DataFrame:
+                   end_id: int = 1, shard_rows: int = SHARD_ROWS, cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row per piece: where its ids start in the document and where they lie in which sequence.
 
     The tokenizer must not join characters across ASCII white space and must drop it (a word tokenizer).
@@ -262,7 +264,7 @@ def pack_sequences(df: DataFrame, tokenizer_file: str, id_col: str = "doc_id", t
         definition = spark.sparkContext.broadcast(f.read())  # of the vocabulary's size
     shards = max(1, math.ceil(df.count() / shard_rows))
     source = df.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("binary").alias("_text"))
-    tokens = source.mapInArrow(_tokenise(definition, window, end_id), "_id long, tokens long, crcs array<long>")
+    tokens = source.mapInArrow(_tokenise(definition, window, end_id, cache_words), "_id long, tokens long, crcs array<long>")
     first = F.element_at("crcs", 1)
     dealt = tokens.withColumns({"first_crc": first, "_shard": C.pack_of(F.struct("_id", first), shards)})
     return dealt.groupBy("_shard").applyInArrow(_arrange(window), _PIECES)

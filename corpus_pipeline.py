@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; rows without an id stay."""
-    classes = common.materialise(simhash.near_duplicates(docs))
+    """The document with the smallest id of each group of similar texts (0.8 over five words); rows without an id stay."""
+    classes = common.materialise(simhash.near_copies(docs))
     others = classes.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
     columns = [F.col(f"`{c}`") for c in docs.columns]
     kept = docs.join(others, "doc_id", "left_anti").select(columns)

@@ -15,13 +15,18 @@ filed together are linked to the least of them.  This is linear in the fingerpri
 Copies share a fingerprint and are never paired: classes are found over distinct fingerprints and joined
 back.  Nulls: a null text has no words and fingerprint 0; a null id takes part in no component number
 unless all ids of its fingerprint are null.  Empty tables give no rows.
+
+`near_copies` finds texts by similarity: it widens the fingerprint, as 64 bits can't index pairs ten bits
+apart.  Its treatment of nulls, ties and empty tables is the same.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -30,26 +35,38 @@ from . import common as C
 CROWD = 128
 
 
-def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
-    """Of the lower-cased (A-Z) words' shingles; 0 without words."""
+def shingle_hashes(text: bytes, width: int = 3, seed: int = 42) -> np.ndarray:
+    """Of the lower-cased (A-Z) words' shingles, repeats included; fewer words make one shingle, none give none."""
     import xxhash
 
     one, words = xxhash.xxh64_intdigest, text.lower().split()
-    if not words:
-        return 0
     joined, n = b" ".join(words), len(words)
     if n <= width:
-        hashes = np.array([one(joined, seed)], np.uint64)
-    else:
-        end = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-        start = np.concatenate([[0], end[: n - width] + 1])
-        hashes = np.array([one(joined[a:b], seed) for a, b in zip(start.tolist(), end[width - 1 :].tolist())], np.uint64)
+        return np.array([one(joined, seed)] if words else [], np.uint64)
+    end = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    start = np.concatenate([[0], end[: n - width] + 1])
+    return np.array([one(joined[a:b], seed) for a, b in zip(start.tolist(), end[width - 1 :].tolist())], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
+    """0 without words."""
+    return majority(shingle_hashes(text, width, seed))
+
+
+def wide_fingerprint(text: bytes, width: int = 5, seed: int = 42, longs: int = 8) -> list[int]:
+    """64 bits for each of `longs` families of hashes, made from one hash of each distinct shingle."""
+    hashes = np.unique(shingle_hashes(text, width, seed))
+    return [majority(C.mix(hashes + np.uint64((2 * i + 1) * 0x9E3779B97F4A7C15 % 2**64))) for i in range(longs)]
+
+
 def _prints(width: int, seed: int):
     def run(batches):
         for batch in batches:
@@ -96,3 +113,90 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = C.components(links(prints.where("node is not null"), crowd))
     named = prints.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return rows.join(named, "fp").select("id", "fp", "component_id")
+
+
+# ---------------------------------------------------------------- by similarity
+
+#: Owners of a segment of a wide fingerprint from which on leaders replace pairs.
+WIDE_CROWD = 16
+#: A hot segment's members are dealt over so many parts when they meet its leaders.
+SALTS = 16
+
+
+def reach(similarity: float, bits: int) -> int:
+    """Expected differing bits of two equally long texts of that Jaccard similarity."""
+    return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def _wide_prints(width: int, seed: int, longs: int):
+    def run(batches):
+        for batch in batches:
+            found = np.array([wide_fingerprint(x, width, seed, longs) for x in C.texts(batch.column("_text"))], np.uint64).reshape(-1, longs).view(np.int64)
+            yield pa.record_batch([batch.column(0), *[pa.array(found[:, i]) for i in range(longs)]], names=["id", *[f"f{i}" for i in range(longs)]])
+
+    return run
+
+
+def _apart(a: str, b: str, longs: int) -> Column:
+    """Differing bits of the fingerprints of two aliased tables."""
+    return sum((F.bit_count(F.col(f"{a}.f{i}").bitwiseXOR(F.col(f"{b}.f{i}"))) for i in range(longs)), F.lit(0))
+
+
+def wide_links(prints: DataFrame, longs: int, radius: int, crowd: int = WIDE_CROWD) -> DataFrame:
+    """Edges (u, v) of fingerprints at most `radius` bits apart that agree, in a 32-bit segment, up to one bit.
+
+    prints: (node, f0, f1, ...), distinct and written.  Two fingerprints under 2 * segments bits apart always
+    agree so; beyond, the more segments the likelier.  Owners of a crowded segment, and those one bit
+    from it, meet its leaders instead of each other: its least member, then, for those that are not near it, twice
+    as many of the rest, and so on until all have met one.  This finds every member near a leader, but not
+    two near each other and near different leaders; they have the other segments to meet in.
+    """
+    segments = []
+    for i in range(longs):
+        half = (F.shiftrightunsigned(f"f{i}", 32), F.col(f"f{i}").bitwiseAND(0xFFFFFFFF))
+        segments += [F.shiftleft(x, 6).bitwiseOR(F.lit(2 * i + j)) for j, x in enumerate(half)]
+    if len(segments) > 64:
+        raise ValueError("a fingerprint has at most 32 longs")
+    filed = prints.select("node", F.explode(F.array(*segments)).alias("key"))
+    crowded = C.materialise(filed.groupBy("key").agg(F.count(F.lit(1)).alias("owners")).where(F.col("owners") > crowd).select("key"))
+    table = filed.join(crowded, "key", "left_anti").select("key", F.col("node").alias("b")).unionByName(crowded.select("key", F.lit(None).cast("long").alias("b")))
+    bits = F.array(*[F.lit(1 << (6 + i)) for i in range(32)])
+    ball = F.concat(F.array("key"), F.transform(F.filter(bits, lambda b: F.col("key").bitwiseAND(b) != 0), lambda b: F.col("key").bitwiseXOR(b)))
+    looks = filed.select(F.explode(ball).alias("key"), F.col("node").alias("a"))
+    met = looks.join(table, "key").where("b is null or a <> b")
+    met = C.materialise(met.select(F.when(F.col("b").isNull(), F.col("a")).otherwise(F.least("a", "b")).alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("b").isNull(), F.col("key")).alias("key"))
+                        .select("a", F.when(F.col("key").isNull(), F.col("b")).alias("b"), "key").distinct())
+    near = lambda a, b: _apart(a, b, longs) <= radius
+    pairs = met.where("b is not null").select("a", "b")
+    pairs = pairs.join(prints.alias("p"), F.col("a") == F.col("p.node")).join(prints.alias("q"), F.col("b") == F.col("q.node"))
+    found = C.materialise(pairs.where(near("p", "q")).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    left, leaders = C.materialise(met.where("b is null").select("key", F.col("a").alias("node"))), 1
+    while not left.isEmpty():
+        lead = left.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("part")).agg(F.min("node").alias("lead"))
+        lead = lead.select("key", "lead", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        salted = left.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+        meet = salted.join(lead, ["key", "salt"]).select("key", "node", "lead")
+        asked = meet.select("node", "lead").where("node <> lead").distinct()
+        asked = asked.join(prints.alias("p"), asked["node"] == F.col("p.node")).join(prints.alias("q"), F.col("lead") == F.col("q.node"))
+        linked = C.materialise(asked.where(near("p", "q")).select(F.col("p.node").alias("u"), F.col("lead").alias("v")))
+        done = meet.join(linked, (meet["node"] == linked["u"]) & (meet["lead"] == linked["v"]), "left_semi").select("key", "node").unionByName(
+            meet.where("node = lead").select("key", "node"))
+        found, leaders = found.unionByName(linked), 2 * leaders
+        left = C.materialise(left.join(done, ["key", "node"], "left_anti"))
+    return found
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, longs: int = 8, seed: int = 42, crowd: int = WIDE_CROWD) -> DataFrame:
+    """(id, component_id) of every row: classes of texts whose fingerprints of 64 * longs bits say that similarity or more.
+
+    Of pairs beyond 2 * segments - 1 bits some meet in no segment.  A 32-bit segment of n fingerprints has n / 2**32
+    owners by chance.
+    """
+    C.ship(df.sparkSession)
+    bits = [f"f{i}" for i in range(longs)]
+    source = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("_text"))
+    rows = C.materialise(source.mapInArrow(_wide_prints(width, seed, longs), "id long, " + ", ".join(f"{b} long" for b in bits)))
+    prints = C.materialise(rows.groupBy(*bits).agg(F.min("id").alias("node")))
+    found = C.components(wide_links(prints.where("node is not null"), longs, reach(similarity, 64 * longs), crowd))
+    named = prints.join(found, "node", "left").select(*bits, F.coalesce("component", "node").alias("component_id"))
+    return rows.join(named, bits).select("id", "component_id")

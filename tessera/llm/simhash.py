@@ -162,8 +162,8 @@ def wide_links(prints: DataFrame, longs: int, radius: int, crowd: int = WIDE_CRO
     table = filed.join(crowded, "key", "left_anti").select("key", F.col("node").alias("b")).unionByName(crowded.select("key", F.lit(None).cast("long").alias("b")))
     bits = F.array(*[F.lit(1 << (6 + i)) for i in range(32)])
     ball = F.concat(F.array("key"), F.transform(F.filter(bits, lambda b: F.col("key").bitwiseAND(b) != 0), lambda b: F.col("key").bitwiseXOR(b)))
-    looks = filed.select(F.explode(ball).alias("key"), F.col("node").alias("a"))
-    met = looks.join(table, "key").where("b is null or a <> b")
+    looks = filed.select(F.posexplode(ball).alias("at", "key"), F.col("node").alias("a"))
+    met = looks.join(table, "key").where("b is null or at > 0 or a < b")  # two owners of a segment both look it up
     met = C.materialise(met.select(F.when(F.col("b").isNull(), F.col("a")).otherwise(F.least("a", "b")).alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("b").isNull(), F.col("key")).alias("key"))
                         .select("a", F.when(F.col("key").isNull(), F.col("b")).alias("b"), "key").distinct())
     near = lambda a, b: _apart(a, b, longs) <= radius

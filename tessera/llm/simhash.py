@@ -118,7 +118,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 # ---------------------------------------------------------------- by similarity
 
 #: Owners of a segment of a wide fingerprint from which on leaders replace pairs.
-WIDE_CROWD = 16
+WIDE_CROWD = 8
 #: A hot segment's members are dealt over so many parts when they meet its leaders.
 SALTS = 16
 

@@ -187,6 +187,11 @@ def pieces(items: list[bytes], size: int, overlap: int = 0):
         yield out
 
 
+def arrow_table(rows: list[tuple], kinds: tuple[str, ...], names: tuple[str, ...]) -> pa.Table:
+    cols = list(zip(*rows)) or [()] * len(kinds)
+    return pa.table([pa.array(c, pa.type_for_alias(k)) for c, k in zip(cols, kinds)], names=list(names))
+
+
 # ---------------------------------------------------------------- hashes
 
 _rng = np.random.default_rng(20240229)

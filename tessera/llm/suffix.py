@@ -261,7 +261,7 @@ def _stages(length: int, mer: int, hot: int, buckets: int, schema: pa.Schema):
         again, count = pack.report()
         rows = [(b, number, pack.keys[i:j].tobytes(), again[i:j].tobytes(), count[i:j].tobytes())
                 for b, i, j in C.cuts(C.bucket_of(pack.keys, buckets))]
-        return _table(rows, ("int32", "int32", "binary", "binary", "binary"), ("bucket", "pack", "keys", "again", "texts"))
+        return C.arrow_table(rows, ("int32", "int32", "binary", "binary", "binary"), ("bucket", "pack", "keys", "again", "texts"))
 
     def judge(table: pa.Table) -> pa.Table:
         blobs = table["keys"].to_pylist()
@@ -275,7 +275,7 @@ def _stages(length: int, mer: int, hot: int, buckets: int, schema: pa.Schema):
         for b, p, x in zip(table["bucket"].to_pylist(), table["pack"].to_pylist(), blobs):
             rows.append((p, 0, b, code[at : at + len(x) // 8].tobytes()))
             at += len(x) // 8
-        return _table(rows, ("int32", "int32", "int32", "binary"), ("pack", "kind", "bucket", "data"))
+        return C.arrow_table(rows, ("int32", "int32", "int32", "binary"), ("pack", "kind", "bucket", "data"))
 
     def submit(table: pa.Table, replies: pa.Table) -> pa.Table:
         names = ("bucket", "pack", "ids", "starts", "windows", "keys", "hashes", "data")
@@ -288,7 +288,7 @@ def _stages(length: int, mer: int, hot: int, buckets: int, schema: pa.Schema):
             for b, i, j in C.cuts(C.bucket_of(key, buckets)):
                 data = b"".join(pack.items[d][a : a + w + length - 1] for d, a, w in zip(doc[i:j].tolist(), start[i:j].tolist(), n[i:j].tolist()))
                 rows.append((b, number, pack.ids[doc[i:j]].tobytes(), start[i:j].tobytes(), n[i:j].astype(np.uint32).tobytes(), key[i:j].tobytes(), text[i:j].tobytes(), data))
-        return _table(rows, ("int32", "int32", *["binary"] * 6), names)
+        return C.arrow_table(rows, ("int32", "int32", *["binary"] * 6), names)
 
     def settle(table: pa.Table) -> pa.Table:
         cols = {c: table[c].to_pylist() for c in ("ids", "starts", "windows", "keys", "hashes", "data")}
@@ -332,7 +332,7 @@ def _stages(length: int, mer: int, hot: int, buckets: int, schema: pa.Schema):
                     bits[e - n[i] : e] = later[ends[d] - windows[d] : ends[d]]
             rows.append((p, 1, b, np.packbits(bits).tobytes()))
             at += size
-        return _table(rows, ("int32", "int32", "int32", "binary"), ("pack", "kind", "bucket", "data"))
+        return C.arrow_table(rows, ("int32", "int32", "int32", "binary"), ("pack", "kind", "bucket", "data"))
 
     def remove(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -382,11 +382,6 @@ def _stages(length: int, mer: int, hot: int, buckets: int, schema: pa.Schema):
     return tuple(map(_lean, (report, judge, submit, settle, remove)))
 
 
-def _table(rows: list[tuple], kinds: tuple[str, ...], names: tuple[str, ...]) -> pa.Table:
-    cols = list(zip(*rows)) or [()] * len(kinds)
-    return pa.table([pa.array(c, pa.type_for_alias(k)) for c, k in zip(cols, kinds)], names=list(names))
-
-
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100,
                    mer: int = MER, hot: int = HOT, pack_bytes: int = C.PACK_BYTES, as_text: bool = False) -> DataFrame:
     """df's rows with row (a struct of the other columns), id, n_bytes, spans (removed, in bytes) and kept (binary, or
@@ -398,8 +393,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     C.ship(df.sparkSession)
     packs = C.pack_count(df, text_col, pack_bytes)
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text_col])
-    dealt = df.select(C.pack_of(F.col(id_col), packs).alias("_pack"), F.col(id_col).cast("long").alias("_id"),
-                      F.col(text_col).cast("binary").alias("_text"), row.alias("_row")).repartition("_pack")
+    dealt = df.select(C.pack_of(F.col(f"`{id_col}`"), packs).alias("_pack"), F.col(f"`{id_col}`").cast("long").alias("_id"),
+                      F.col(f"`{text_col}`").cast("binary").alias("_text"), row.alias("_row")).repartition("_pack")
     added = T.StructType.fromDDL("n_bytes long, spans array<struct<start: long, end: long>>, kept " + ("string" if as_text else "binary"))
     out = T.StructType([*dealt.select("_row", "_id").schema.fields, *added.fields])
     report, judge, submit, settle, remove = _stages(length, mer, hot, RANGES * packs, to_arrow_schema(out))

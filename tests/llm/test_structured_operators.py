@@ -13,7 +13,8 @@ from tessera.llm import ann, chat, html, packing, quality
 from tessera.llm.queries import word_tokenizer
 
 from .conftest import SCHEMA, corpus
-from .test_text_operators import near_plain, repeats
+from .test_copies import kept_plain
+from .test_text_operators import repeats
 
 
 # ------------------------------------------------------------------ pages
@@ -167,7 +168,7 @@ def test_pipeline(spark, tmp_path):
     good = [(i, x, s) for i, x, s, c in counted if c[0] >= 10 and 100 * c[4] <= 20 * c[0]]
     step = corpus_pipeline.quality_rules(spark, docs, str(tmp_path))
     assert step.columns == docs.columns and sorted(r["doc_id"] for r in step.collect()) == sorted(i for i, _, _ in good)
-    chief = {i for i, c in near_plain(good) if i == c}
+    chief = set(kept_plain([(i, x.decode()) for i, x, _ in good]))
     left = [g for g in good if g[0] in chief]
     texts = {i: kept for i, _, removed, _, kept in repeats(left, 100) if not removed or kept.split()}
     # the rest by what must hold of it

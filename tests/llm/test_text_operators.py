@@ -138,85 +138,6 @@ def test_links_find_every_close_pair(spark, crowd):
     assert {n: got.get(n, n) for n in range(len(prints))} == {n: root(n) for n in range(len(prints))}
 
 
-def near_plain(rows, longs=8):
-    """(id, class) by all pairs that agree in a segment up to a bit and are near over all bits."""
-    import xxhash
-
-    prints = []
-    for _, x, _ in rows:
-        w = x.lower().split()
-        grams = {b" ".join(w[k : k + 5]) for k in range(len(w) - 4)} or ({b" ".join(w)} if w else set())
-        h = [xxhash.xxh64_intdigest(g, 42) for g in sorted(grams)]
-        f = 0
-        for i in range(longs):
-            family = common.mix(np.array([(v + (2 * i + 1) * 0x9E3779B97F4A7C15) % 2**64 for v in h], np.uint64)).tolist()
-            f |= sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in family) > len(h)) << (64 * i)
-        prints.append(f)
-    top = list(range(len(rows)))
-
-    def root(a):
-        while top[a] != a:
-            a = top[a]
-        return a
-
-    for a in range(len(rows)):
-        for b in range(a):
-            x = prints[a] ^ prints[b]
-            if bin(x).count("1") <= simhash.reach(0.8, 64 * longs) and any(bin(x >> k & 0xFFFFFFFF).count("1") <= 1 for k in range(0, 64 * longs, 32)):
-                top[root(a)] = root(b)
-    low = defaultdict(lambda: 1 << 62)
-    for n, r in enumerate(rows):
-        low[root(n)] = min(low[root(n)], r[0])
-    return sorted((r[0], low[root(n)]) for n, r in enumerate(rows))
-
-
-def near_rows():
-    """Groups of edited copies, of 2 to 60 texts, among others."""
-    r = random.Random(5)
-    words = [f"w{k}" for k in range(500)]
-    rows = []
-    for size in [1] * 20 + [2] * 10 + [12, 60]:
-        base = [r.choice(words) for _ in range(250)]
-        for _ in range(size):
-            text = list(base)
-            for _ in range(r.randint(0, 3)):
-                text[r.randrange(250)] = "edit"
-            rows.append((len(rows), " ".join(text), "en", "s", 0))
-    r.shuffle(rows)
-    return rows
-
-
-def test_near_copies(spark, docs):
-    got = lambda df, crowd: sorted((r["id"], r["component_id"]) for r in simhash.near_copies(df, crowd=crowd).collect())
-    assert got(docs, 1000) == near_plain(plain(docs))
-    df = spark.createDataFrame(near_rows(), SCHEMA).repartition(3)
-    want = near_plain(plain(df))
-    assert got(df, 1000) == want
-    assert got(df, 4) == want  # leaders instead of pairs
-    named, grams = dict(want), {i: {tuple(w[k : k + 5]) for k in range(246)} for i, x, _ in plain(df) for w in [x.split()]}
-    jaccard = {(a, b): len(grams[a] & grams[b]) / len(grams[a] | grams[b]) for a in grams for b in grams if a < b}
-    alike = [named[a] == named[b] for (a, b), j in jaccard.items() if j >= 0.8]
-    assert sum(alike) > 0.98 * len(alike) and not any(named[a] == named[b] for (a, b), j in jaccard.items() if j < 0.6)
-    one = simhash.reach(0.8, 512)
-    assert simhash.reach(1, 512) == 0 and 70 < one < 80
-
-
-def test_near_copies_of_leaders_all_meet_one(spark):
-    """A segment that texts of several far groups share is worked off in rounds."""
-    r = np.random.default_rng(4)
-    rows = []
-    for _ in range(12):
-        base = r.integers(-(2**62), 2**62, 8)
-        base[0] = 77
-        for _ in range(5):
-            one = base.copy()
-            one[r.integers(1, 8)] ^= 1 << int(r.integers(0, 60))
-            rows.append((len(rows), *[int(x) for x in one]))
-    df = spark.createDataFrame(rows, "node long, " + ", ".join(f"f{i} long" for i in range(8)))
-    got = {x["node"]: x["component"] for x in common.components(simhash.wide_links(df, 8, 77, 4)).collect()}
-    assert got == {n: n // 5 * 5 for n in range(60)}
-
-
 def test_components_of_a_path(spark):
     edges = [(i, i + 1) for i in range(70)] + [(200, 210), (210, 205), (7, 7)]
     got = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -227,8 +148,6 @@ def test_components_of_a_path(spark):
 def test_simhash_odd(odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.near_duplicates(odd).count() == odd.count()
-    assert simhash.near_copies(empty).count() == 0
-    assert simhash.near_copies(odd).count() == odd.count()
 
 
 # ------------------------------------------------------------------ quality

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import common, mixing, packing, quality, simhash, suffix
+from tessera.llm import common, copies, mixing, packing, quality, suffix
 from tessera.llm.queries import word_tokenizer
 
 
@@ -22,16 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of similar texts (0.8 over five words); rows without an id stay."""
-    classes = common.materialise(simhash.near_copies(docs))
-    others = classes.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    kept = docs.join(others, "doc_id", "left_anti").select(columns)
-    again = classes.where("id = component_id").groupBy("id").count().where("count > 1").select(F.col("id").alias("doc_id"))
-    if again.isEmpty():
-        return kept
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(columns)
-    return kept.join(again, "doc_id", "left_anti").select(columns).unionByName(once)
+    """One document of each group of similar texts (0.8 over five words): that of the smallest id, rows without one last."""
+    return copies.one_of_each(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -243,14 +243,22 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 def word_hashes(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every ASCII-white-space-delimited word, and how many words each text has.
 
-    Hash 0 is never a word's; it is free for the end token.
+    A word's hash sums a scrambled value for each byte and its place in the word (no polynomial, under which certain long
+    words always agree), so different words agree by chance only.  Hash 0 is never a word's; it is free for the end token.
     """
     buf = np.frombuffer(b"\n".join(items) + b"\n", np.uint8)
     space = _SPACE[buf]
     edge = np.flatnonzero(np.diff(space, prepend=True))
     start, end = edge[0::2], edge[1::2]
-    roll = Rolling(buf)
-    h = mix(roll.of(start, end) + (end - start).astype(np.uint64))
+    inside = np.flatnonzero(~space)
+    size = end - start
+    offset = np.cumsum(size) - size
+    place = np.arange(len(inside)) - np.repeat(offset, size)
+    x = _BYTE[buf[inside]] + place.astype(np.uint64) * np.uint64(_P)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    h = mix((np.add.reduceat(x, offset) if len(x) else x) + size.astype(np.uint64))
     h[h == 0] = 1
     ends = np.cumsum([len(x) + 1 for x in items]) if items else np.zeros(0, np.int64)
     return h, np.diff(np.searchsorted(start, ends), prepend=0)

@@ -1,19 +1,23 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Tokens of the training texts are counted exactly, by packs and hash ranges (see common): a range sums the
-words and word pairs of its keys, answers the packs with exact word counts (for the unigram base score),
-and sets its own stretch of one Bloom filter.  A count enters the filter as its level on a logarithmic
-scale (LEVELS): the events (n-gram, 1), ..., (n-gram, level) are all inserted.  The filter is gathered and
-broadcast; a worker recovers a count by probing the levels upwards until one is missing.
+Tokens of the training texts are counted exactly, by packs and hash ranges (see common).  A range sums the
+words and word pairs of its keys and sets its own stretch of one Bloom filter.  A count enters the filter as its
+level on a logarithmic scale (LEVELS): the events (n-gram, 1), ..., (n-gram, level) are all inserted, and a count is
+recovered by probing the levels upwards until one is missing.
+
+The filter grows with the corpus, so it is neither gathered nor broadcast whole: each worker holds the stretch
+of the range it works on, probes it for all n-grams that the packs have asked about (those of held-out texts too), and
+answers every pack with the levels found and, for the base score, the exact word counts.  A stretch has
+BITS_PER_EVENT bits for each event of its range, whatever the corpus' size; nothing is left out of it.
 
 The score smooths pairs with single words, both from the filter: with h the word before (the end token
 before the first), p(w|h) = (c(h,w) + K p(w)) / (c(h) + K), p(w) = (c(w) + 1)/(N + V + 1).
 
-The filter has BITS_PER_BYTE bits per byte of text and never more than MAX_FILTER_BYTES, which bounds the
-broadcast; at that bound the rarest n-grams of each range stay out of it, as if they had no count, so that those
-inside keep their accuracy.  All counts are taken, whatever the size, and the base score uses them all.
+Words are told apart by 64-bit hashes (common.word_hashes): of V distinct words V**2 / 2**65 pairs share one.
 
-Nulls: a null text is empty (its only token is the end); a null id trains.  Empty tables give no rows.
+Nulls: a null text is empty (its only token is the end); a null id trains.  Packs take rows by id and text, so rows that share an id are
+spread; repeated rows all count.  Long texts are read whole, in a pack of their own size.  Other columns aren't read.  Empty tables
+give no rows.
 """
 
 from __future__ import annotations
@@ -25,12 +29,10 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-BITS_PER_BYTE = 0.5
-MAX_FILTER_BYTES = 256 << 20
-#: Bits an event needs at least; a filter at its bound leaves out the rarest n-grams of each range for that.
-LEAST_BITS = 3.0
+#: Bits of a stretch for each event in it; with HASHES probes about one in a hundred missing events seems there.
+BITS_PER_EVENT = 12
 HASHES = 3
-#: Weight of the single-word estimate, in occurrences of the word before; of 4 to 512 the best for held-out texts at sf0.1.
+#: Weight of the single-word estimate, in occurrences of the word before.
 K = 256.0
 #: Least count of each level: 1, 2, 3, 4, 6, 8, 12, 16, 24, ...
 LEVELS = np.array([1, 2, 3, *[x << i for i in range(1, 45) for x in (2, 3)]], np.int64)
@@ -61,10 +63,11 @@ def word_keys(words: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """A stretch of bits per hash range."""
+    """The filter's stretch of one hash range."""
 
-    def __init__(self, data: np.ndarray, ranges: int):
-        self.data, self.ranges, self.bits = data, ranges, len(data) // ranges * 8
+    def __init__(self, events: int, bits_per_event: int = BITS_PER_EVENT):
+        self.bits = -(-max(64, events * bits_per_event) // 8) * 8
+        self.data = np.zeros(self.bits // 8, np.uint8)
 
     def places(self, keys: np.ndarray, level: int):
         h = C.mix(keys + np.uint64(level * int(_ONE) % 2**64))
@@ -73,7 +76,6 @@ class Filter:
             yield ((a + np.uint64(i) * b) % np.uint64(self.bits)).astype(np.int64)
 
     def insert(self, keys: np.ndarray, levels: np.ndarray) -> None:
-        """Into a filter of one range."""
         bits = np.zeros(self.bits, bool)
         for level in range(1, int(levels.max(initial=0)) + 1):
             keys, levels = keys[levels >= level], levels[levels >= level]
@@ -83,13 +85,11 @@ class Filter:
 
     def level(self, keys: np.ndarray) -> np.ndarray:
         """Level of each key by membership probes."""
-        out = np.zeros(len(keys), np.int64)
-        base = C.bucket_of(keys, self.ranges) * self.bits
+        out = np.zeros(len(keys), np.uint8)
         left = np.arange(len(keys))
         for level in range(1, len(LEVELS) + 1):
             there = np.ones(len(left), bool)
             for at in self.places(keys[left], level):
-                at += base[left]
                 there &= (self.data[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
             left = left[there]
             if not len(left):
@@ -118,7 +118,7 @@ def _large(blob: bytes, size: int) -> np.ndarray:
 
 
 _SENT = "bucket int, pack int, words binary, word_counts binary, pairs binary, pair_counts binary"
-_TOLD = "pack int, bucket int, counts binary, bits binary, distinct long, total long"
+_TOLD = "pack int, bucket int, counts binary, word_levels binary, pair_levels binary, distinct long, total long"
 _SCORES = "id long, held_out boolean, n_tokens long, n_known long, base_sum double, score double"
 
 
@@ -131,7 +131,7 @@ def _send(ranges: int):
             tokens, count = tokens_of([x for _, _, x in chunk])
             used = np.repeat(train[[i for i, _, _ in chunk]], count)
             words.append(_count(tokens, used.astype(np.int64)))
-            pairs.append(_count(pair_keys(tokens)[used]))
+            pairs.append(_count(pair_keys(tokens), used.astype(np.int64)))
         words, pairs = (_count(*(np.concatenate(x) for x in zip(*part))) for part in (words, pairs))
         # the end token's hash is 0, so ranges are taken of the words' keys, which are spread
         by = word_keys(words[0])
@@ -139,98 +139,88 @@ def _send(ranges: int):
         own = {b: [words[0][order[i:j]].tobytes(), _small(words[1][order[i:j]]), b"", b""] for b, i, j in C.cuts(C.bucket_of(by[order], ranges))}
         for b, i, j in C.cuts(C.bucket_of(pairs[0], ranges)):
             own.setdefault(b, [b"", b"", b"", b""])[2:] = [pairs[0][i:j].tobytes(), _small(pairs[1][i:j])]
-        cols = list(zip(*((b, number, *x) for b, x in own.items())))
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=["bucket", "pack", "words", "word_counts", "pairs", "pair_counts"])
+        rows = [(b, number, *x) for b, x in own.items()]
+        return C.arrow_table(rows, ("int32", "int32", *["binary"] * 4), ("bucket", "pack", "words", "word_counts", "pairs", "pair_counts"))
 
     return run
 
 
-def least_level(levels: np.ndarray, bits: int) -> int:
-    """The level from which on the events fit into the bits; 1 unless the filter is at its bound."""
-    events = np.bincount(levels, minlength=2) * np.arange(max(2, int(levels.max(initial=0)) + 1))
-    fits = np.cumsum(events[::-1])[::-1] * LEAST_BITS <= bits
-    return max(1, int(np.argmax(fits)) if fits.any() else len(fits))
-
-
-def _sum(range_bytes: int):
+def _sum(bits_per_event: int):
     def run(table: pa.Table) -> pa.Table:
         cols = {c: table[c].to_pylist() for c in table.column_names}
-        words = np.frombuffer(b"".join(cols["words"]), np.uint64)
-        count = np.concatenate([_large(n, len(x) // 8) for x, n in zip(cols["words"], cols["word_counts"])])
+        size = {c: [len(x) // 8 for x in cols[c]] for c in ("words", "pairs")}
+        words, pairs = (np.frombuffer(b"".join(cols[c]), np.uint64) for c in ("words", "pairs"))
+        count, pair_count = (np.concatenate([_large(n, k) for n, k in zip(cols[c], size[of])]) for c, of in (("word_counts", "words"), ("pair_counts", "pairs")))
         distinct, back = np.unique(words, return_inverse=True)
         total = np.bincount(back, count, len(distinct)).astype(np.int64)
-        pairs = np.frombuffer(b"".join(cols["pairs"]), np.uint64)
-        pair_count = np.concatenate([_large(n, len(x) // 8) for x, n in zip(cols["pairs"], cols["pair_counts"])])
-        pairs, pair_total = _count(pairs, pair_count)
-        bits = Filter(np.zeros(range_bytes, np.uint8), 1)
-        seen = total > 0
-        keys, levels = np.concatenate([word_keys(distinct[seen]), pairs]), np.searchsorted(LEVELS, np.concatenate([total[seen], pair_total]), "right")
-        keep = levels >= least_level(levels, bits.bits)
-        bits.insert(keys[keep], levels[keep])
-        told, at = total[back], 0
-        rows = [(-1, cols["bucket"][0], b"", bits.data.tobytes(), int(seen.sum()), int(total.sum()))]
-        for p, b, x in zip(cols["pack"], cols["bucket"], cols["words"]):
-            if x:
-                rows.append((p, b, told[at : at + len(x) // 8].astype("<i8").tobytes(), b"", 0, 0))
-            at += len(x) // 8
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["pack", "bucket", "counts", "bits", "distinct", "total"])
+        both, pair_back = np.unique(pairs, return_inverse=True)
+        pair_total = np.bincount(pair_back, pair_count, len(both)).astype(np.int64)
+        keys = np.concatenate([word_keys(distinct), both])
+        levels = np.searchsorted(LEVELS, np.concatenate([total, pair_total]), "right")
+        stretch = Filter(int(levels.sum()), bits_per_event)
+        stretch.insert(keys[levels > 0], levels[levels > 0])
+        read = stretch.level(keys)  # from here on only what the filter says
+        word_level, pair_level = read[: len(distinct)][back], read[len(distinct) :][pair_back]
+        told, rows = total[back], [(-1, cols["bucket"][0], b"", b"", b"", int((total > 0).sum()), int(total.sum()))]
+        at = pair_at = 0
+        for p, b, n, m in zip(cols["pack"], cols["bucket"], size["words"], size["pairs"]):
+            rows.append((p, b, told[at : at + n].astype("<i8").tobytes(), word_level[at : at + n].tobytes(), pair_level[pair_at : pair_at + m].tobytes(), 0, 0))
+            at, pair_at = at + n, pair_at + m
+        return C.arrow_table(rows, ("int32", "int32", *["binary"] * 3, "int64", "int64"), ("pack", "bucket", "counts", "word_levels", "pair_levels", "distinct", "total"))
 
     return run
 
 
-def _score(filter_data, ranges: int, total: int, vocabulary: int, weight: float):
+_NAMES = ("id", "held_out", "n_tokens", "n_known", "base_sum", "score")
+_KINDS = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+
+
+def _score(total: int, vocabulary: int, weight: float):
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
-        cols: list[list] = [[] for _ in range(6)]
-        if table.num_rows:
-            bits = Filter(np.frombuffer(filter_data.value, np.uint8), ranges)
-            items = C.texts(table["_text"])
-            answers = sorted(zip(told["bucket"].to_pylist(), told["counts"].to_pylist()))
-            chunks = list(C.pieces(items, _CHUNK, 1 << 40))
-            words = np.unique(np.concatenate([np.unique(tokens_of([x for _, _, x in chunk])[0]) for chunk in chunks]))
-            order = np.argsort(word_keys(words))
-            exact = np.empty(len(words), np.int64)
-            exact[order] = np.frombuffer(b"".join(x for _, x in answers), "<i8")
-            about = VALUES[bits.level(word_keys(words))]
-            low = np.log10(total + vocabulary + 1.0)
-            for chunk in chunks:
-                tokens, count = tokens_of([x for _, _, x in chunk])
-                at = np.searchsorted(words, tokens)
-                before = np.concatenate([[np.searchsorted(words, _END)], at[:-1]])
-                single = (about[at] + 1) / (total + vocabulary + 1.0)
-                first = about[before]
-                pair = np.minimum(VALUES[bits.level(pair_keys(tokens))], np.minimum(first, about[at]))
-                start = np.cumsum(count) - count
-                cols[0] += [i for i, _, _ in chunk]
-                for c, x in zip(cols[2:], (np.ones(len(tokens), np.int64), (exact[at] > 0).astype(np.int64), np.log10(exact[at] + 1.0) - low,
-                                           np.log10((pair + weight * single) / (first + weight)))):
-                    c += np.add.reduceat(x, start).tolist()
-        back = np.argsort(np.array(cols[0], np.int64))
-        take = lambda c, kind: pa.array(np.array(c)[back], kind)
         if not table.num_rows:
-            return pa.table([pa.array([], k) for k in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=["id", "held_out", "n_tokens", "n_known", "base_sum", "score"])
+            return pa.table([pa.array([], k) for k in _KINDS], names=list(_NAMES))
+        by_range = np.argsort(told["bucket"].to_numpy())
+        answers = {c: b"".join([told[c][int(i)].as_py() for i in by_range]) for c in ("counts", "word_levels", "pair_levels")}
+        chunks = list(C.pieces(C.texts(table["_text"]), _CHUNK, 1 << 40))
+        spoken = [tokens_of([x for _, _, x in chunk]) for chunk in chunks]
+        words = np.unique(np.concatenate([np.unique(t) for t, _ in spoken]))
+        pairs = np.unique(np.concatenate([np.unique(pair_keys(t)) for t, _ in spoken]))
+        order = np.argsort(word_keys(words))
+        exact, about = np.empty(len(words), np.int64), np.empty(len(words))
+        exact[order] = np.frombuffer(answers["counts"], "<i8")
+        about[order] = VALUES[np.frombuffer(answers["word_levels"], np.uint8)]
+        pair_about = VALUES[np.frombuffer(answers["pair_levels"], np.uint8)]
+        low = np.log10(total + vocabulary + 1.0)
+        cols: list[list] = [[] for _ in range(5)]
+        for chunk, (tokens, count) in zip(chunks, spoken):
+            at = np.searchsorted(words, tokens)
+            before = np.concatenate([[np.searchsorted(words, _END)], at[:-1]])
+            single = (about[at] + 1) / (total + vocabulary + 1.0)
+            first = about[before]
+            pair = np.minimum(pair_about[np.searchsorted(pairs, pair_keys(tokens))], np.minimum(first, about[at]))
+            start = np.cumsum(count) - count
+            cols[0] += [i for i, _, _ in chunk]
+            for c, x in zip(cols[1:], (np.ones(len(tokens), np.int64), (exact[at] > 0).astype(np.int64), np.log10(exact[at] + 1.0) - low,
+                                       np.log10((pair + weight * single) / (first + weight)))):
+                c += np.add.reduceat(x, start).tolist()
+        back = np.argsort(np.array(cols[0], np.int64))
         held = pa.array(~C.flat(table["_train"]).to_numpy(zero_copy_only=False).astype(bool))
-        return pa.table([table["_id"].combine_chunks(), held, take(cols[2], pa.int64()), take(cols[3], pa.int64()), take(cols[4], pa.float64()), take(cols[5], pa.float64())],
-                        names=["id", "held_out", "n_tokens", "n_known", "base_sum", "score"])
+        return pa.table([table["_id"].combine_chunks(), held, *[pa.array(np.array(c)[back], k) for c, k in zip(cols[1:], _KINDS[2:])]], names=list(_NAMES))
 
     return run
 
 
 def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, weight: float = K,
-                max_filter_bytes: int = MAX_FILTER_BYTES, pack_bytes: int = C.PACK_BYTES) -> DataFrame:
+                pack_bytes: int = C.PACK_BYTES, bits_per_event: int = BITS_PER_EVENT) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    spark = df.sparkSession
-    C.ship(spark)
+    C.ship(df.sparkSession)
     packs = C.pack_count(df, text_col, pack_bytes)
-    fold = F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % folds
-    dealt = df.select(C.pack_of(F.col(f"`{id_col}`"), packs).alias("_pack"), F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("binary").alias("_text"),
+    key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    fold = F.crc32(key.cast("string").cast("binary")) % folds
+    dealt = df.select(C.pack_of(F.struct(key, text), packs).alias("_pack"), key.cast("long").alias("_id"), text.cast("binary").alias("_text"),
                       F.coalesce(fold != held_fold, F.lit(True)).alias("_train"))
-    range_bytes = max(64, min(int(pack_bytes * BITS_PER_BYTE / 8), max_filter_bytes // packs))
-    told = C.materialise(dealt.groupBy("_pack").applyInArrow(_send(packs), _SENT).groupBy("bucket").applyInArrow(_sum(range_bytes), _TOLD))
+    told = C.materialise(dealt.groupBy("_pack").applyInArrow(_send(packs), _SENT).groupBy("bucket").applyInArrow(_sum(bits_per_event), _TOLD))
     vocabulary, total = told.agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    stretches = {r["bucket"]: r["bits"] for r in told.where("pack = -1").select("bucket", "bits").collect()}  # max_filter_bytes at most
-    data = spark.sparkContext.broadcast(b"".join(bytes(stretches.get(b, b"\0" * range_bytes)) for b in range(packs)))
-    answers = told.where("pack >= 0").select("pack", "bucket", "counts")
-    scored = dealt.groupBy("_pack").cogroup(answers.groupBy("pack")).applyInArrow(_score(data, packs, total, vocabulary, weight), _SCORES)
+    answers = told.where("pack >= 0").select("pack", "bucket", "counts", "word_levels", "pair_levels")
+    scored = dealt.groupBy("_pack").cogroup(answers.groupBy("pack")).applyInArrow(_score(total, vocabulary, weight), _SCORES)
     return scored.select("id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base_sum").alias("base_score"), "score")

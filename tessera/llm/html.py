@@ -2,21 +2,24 @@
 
 A page is split into leaf blocks: text between the tags of block elements, with the path of open elements
 (names, classes, ids, roles) above it.  Scripts, styles, comments and the head never give blocks.  Every block
-becomes a vector of hashed path tokens, hashed words and a few measures (length, share of link text,
+becomes a vector of hashed path tokens, hashed words (all of them) and a few measures (length, share of link text,
 punctuation, place), and a bidirectional LSTM in numpy reads the page's whole sequence of vectors and labels
-each block as main text or not.  Kept blocks are joined in page order.
+each block as main text or not.  Kept blocks are joined in page order.  Reading a page takes time in proportion to its length,
+however deep its elements nest and however broken its markup is.
 
-The model is trained on first use, from pages that `example` composes (menus, headers, sidebars, adverts,
+The model was trained by `train` from pages that `example` composes (menus, headers, sidebars, adverts,
 notices, forms and reader comments around and inside an article, in many markups, of random words, so only
-structure and context tell), TRAIN_PAGES of them with a fixed seed; this takes a few seconds on the driver.
+structure and context tell), TRAIN_PAGES of them with a fixed seed; `python -m tessera.llm.html` writes its weights to WEIGHTS.
 
-Nulls: null html is empty and gives an empty text.  Pages are independent, so repeated rows get equal results.
-An unfinished tag at the end of a page is dropped, an unknown character reference stays as written.
+Nulls: null html is empty and gives an empty text.  Pages are independent, so repeated rows get equal results; other columns are handed
+through as a struct, whatever their names.  An unfinished tag at the end of a page is dropped, an unknown character reference stays as written.
 """
 
 from __future__ import annotations
 
+import functools
 import html as _entities
+import os
 import re
 import zlib
 
@@ -37,130 +40,155 @@ CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("
 
 PATH, WORDS, MEASURES, HIDDEN = 96, 32, 8, 16
 TRAIN_PAGES = 900
+WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "html_weights.npz")
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[a-zA-Z/!?][^>]*(?:>|\Z)", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_MARK = re.compile(r"[>\"']")
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-label)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _PART = re.compile(r"[a-z]+")
 _P_ENDS = BLOCK - {"body", "html", "tbody", "thead", "tfoot", "tr", "td", "th", "caption", "option", "optgroup", "legend", "li", "dd", "dt"} | {"li", "dd", "dt"}
 
 
 class Block:
-    __slots__ = ("path", "text", "linked")
+    """A leaf: its text, the share of it in links, and of the path above it the hashed tokens (bits), their number and the last."""
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: float):
-        self.path, self.text, self.linked = path, text, linked
+    __slots__ = ("tokens", "depth", "last", "text", "linked")
+
+    def __init__(self, tokens: int, depth: int, last: str, text: str, linked: float):
+        self.tokens, self.depth, self.last, self.text, self.linked = tokens, depth, last, text, linked
+
+
+@functools.lru_cache(100_000)
+def _hash(token: str, size: int) -> int:
+    return zlib.crc32(token.encode("utf-8", "replace")) % size
+
+
+class _Tags:
+    """Pieces of a page: (text, None), (name, attributes) of a start tag, ("/" + name, "")."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.broken = 0  # before this place a quote doesn't close, so tags end at their first ">"
+
+    def end(self, at: int) -> int:
+        """Where the tag that starts here ends: a ">" outside quotes; -1 if it never does."""
+        if at >= self.broken:
+            i = at
+            while m := _MARK.search(self.page, i):
+                if m[0] == ">":
+                    return m.start()
+                i = self.page.find(m[0], m.end()) + 1
+                if not i:
+                    self.broken = m.end()
+                    break
+        return self.page.find(">", at)
+
+    def __iter__(self):
+        page, at, text = self.page, 0, 0
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                upto = page.find("-->", at + 4) + 3
+                name = None
+            else:
+                m = _NAME.match(page, at)
+                if m is None and page[at + 1 : at + 2] not in ("/", "!", "?"):
+                    at += 1
+                    continue
+                upto, name = self.end(at) + 1, m and m[1].lower()
+            if at > text:
+                yield page[text:at], None
+            if upto <= 2:  # unfinished
+                return
+            if name is not None:
+                if page[at + 1] == "/":
+                    yield "/" + name, ""
+                else:
+                    own = page[m.end() : upto - 1]
+                    yield name, own
+                    if name in RAW and not own.endswith("/"):
+                        close = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, upto)
+                        upto = close.end() if close else len(page)
+            at = text = upto
+        if text < len(page):
+            yield page[text:], None
 
 
 def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in order."""
     out: list[Block] = []
     names: list[str] = []
-    tokens: list[tuple[str, ...]] = []
+    above: list[tuple[int, int, str]] = [(0, 0, "")]
+    places: dict[str, list[int]] = {}
     held: list[str] = []
-    links: list[str] = []
-    in_link = 0
-    at = 0
+    linked = 0
 
     def flush() -> None:
+        nonlocal linked
         if held:
             text = " ".join(_entities.unescape("".join(held)).split())
             if text:
-                linked = sum(map(len, links)) / max(1, sum(map(len, held)))
-                out.append(Block(tuple(t for x in tokens for t in x), text, linked))
+                out.append(Block(*above[-1], text, linked / max(1, sum(map(len, held)))))
             held.clear()
-            links.clear()
+            linked = 0
+
+    def last(name: str) -> int:
+        return places[name][-1] if places.get(name) else -1
 
     def close(upto: int) -> None:
-        nonlocal in_link
-        in_link -= names[upto:].count("a")
-        del names[upto:], tokens[upto:]
-
-    while at < len(page):
-        m = _TAG.search(page, at)
-        if m is None:
-            held.append(page[at:])
-            if in_link > 0:
-                links.append(page[at:])
-            break
-        if m.start() > at:
-            piece = page[at : m.start()]
-            held.append(piece)
-            if in_link > 0:
-                links.append(piece)
-        at = m.end()
-        if m[2] is None:
+        while len(names) > upto:
+            places[names.pop()].pop()
+            above.pop()
+
+    for name, own in _Tags(page):
+        if own is None:
+            held.append(name)
+            if places.get("a"):
+                linked += len(name)
             continue
-        name = m[2].lower()
-        if m[1]:
+        if name[0] == "/":
+            name = name[1:]
             if name in BLOCK:
                 flush()
-            if name == "p" and "p" not in names:
-                continue
-            if name in names:
-                close(len(names) - 1 - names[::-1].index(name))
+            if (at := last(name)) >= 0:
+                close(at)
             continue
         if name in BLOCK:
             flush()
-        if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            if not m[3].endswith("/"):
-                at = end.end() if end else len(page)
-            continue
         if name == "br":
             held.append(" ")
-        if name in VOID:
+        if name in RAW or name in VOID:
             continue
-        if name in _P_ENDS and "p" in names:
-            close(len(names) - 1 - names[::-1].index("p"))
+        if name in _P_ENDS and (at := last("p")) >= 0:
+            close(at)
         if name in CLOSES:
             ends, bars = CLOSES[name]
-            for i in range(len(names) - 1, -1, -1):
-                if names[i] in bars:
-                    break
-                if names[i] in ends.split():
-                    close(i)
-                    break
+            if (at := max(map(last, ends.split()))) > max(map(last, bars)):
+                close(at)
+        tokens, depth, end = above[-1]
+        found = [name]
+        for a in _ATTR.finditer(own):
+            value = (a[2] or a[3] or a[4] or "").lower()
+            found += [f"{a[1].lower()}:{v}" for v in _PART.findall(value)] or [a[1].lower()]
+        for end in found:
+            tokens |= 1 << _hash(end, PATH - 1)
+        places.setdefault(name, []).append(len(names))
         names.append(name)
-        own = [name]
-        if m[3]:
-            for a in _ATTR.finditer(m[3]):
-                value = (a[2] or a[3] or a[4] or "").lower()
-                own += [f"{a[1].lower()}:{v}" for v in _PART.findall(value)[:8]] or [a[1].lower()]
-        tokens.append(tuple(own))
-        in_link += name == "a"
+        above.append((tokens, depth + len(found), end))
     flush()
     return out
 
 
-def _hash(token: str, size: int) -> int:
-    return zlib.crc32(token.encode()) % size
-
-
-_path_rows: dict[tuple[str, ...], np.ndarray] = {}
-
-
 def vectors(page: list[Block]) -> np.ndarray:
     """A row per block."""
     out = np.zeros((len(page), PATH + WORDS + MEASURES), np.float32)
     for i, b in enumerate(page):
-        row = _path_rows.get(b.path)
-        if row is None:
-            row = np.zeros(PATH, np.float32)
-            for t in b.path:
-                row[_hash(t, PATH - 1)] = 1
-            row[PATH - 1] = min(len(b.path), 20) / 20
-            if len(_path_rows) > 50_000:
-                _path_rows.clear()
-            _path_rows[b.path] = row
-        out[i, :PATH] = row
+        out[i, : PATH - 1] = np.unpackbits(np.frombuffer(b.tokens.to_bytes(PATH // 8, "little"), np.uint8), count=PATH - 1, bitorder="little")
+        out[i, PATH - 1] = min(b.depth, 20) / 20
         words = b.text.split()
-        for w in words[:64]:  # a sketch of the vocabulary; the text itself is kept whole
-            out[i, PATH + _hash(w.lower(), WORDS)] += 1
-        if words:
-            out[i, PATH : PATH + WORDS] /= min(len(words), 64)
+        out[i, PATH : PATH + WORDS] = np.bincount([_hash(w, WORDS) for w in b.text.lower().split()], minlength=WORDS) / max(1, len(words))
         n = len(b.text)
         out[i, PATH + WORDS :] = (min(np.log1p(n) / 8, 1.5), min(np.log1p(len(words)) / 6, 1.5), b.linked, b.text[-1] in ".!?…»”\"", i / len(page), "©" in b.text,
-                                  b.text.count(".") / max(1, len(words)), b.path[-1:] == ("p",))
+                                  b.text.count(".") / max(1, len(words)), b.last == "p")
     return out
 
 
@@ -382,13 +410,10 @@ def train(pages: int = TRAIN_PAGES, epochs: int = 14, seed: int = 5) -> dict[str
     return {k: x.astype(np.float32) for k, x in w.items()}
 
 
-_trained: dict = {}
-
-
+@functools.cache
 def model() -> dict[str, np.ndarray]:
-    if not _trained:
-        _trained.update(train())
-    return _trained
+    with np.load(WEIGHTS) as f:
+        return {k: f[k].astype(np.float32) for k in f}
 
 
 def labels_of(w: dict, pages: list[list[Block]]) -> list[np.ndarray]:
@@ -432,3 +457,7 @@ def extract(df: DataFrame, html_col: str = "html") -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != html_col]).alias("row")
     source = df.select(row, F.col(f"`{html_col}`").alias("_html"))
     return source.mapInArrow(_extract(model()), source.select("row").schema.add("text", "string").add("n_chars", "long"))
+
+
+if __name__ == "__main__":
+    np.savez_compressed(WEIGHTS, **{k: x.astype(np.float16) for k, x in train().items()})

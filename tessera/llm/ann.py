@@ -1,9 +1,9 @@
 """Nearest neighbours by inner product: a hierarchical navigable small-world graph per shard.
 
-Equal vectors are indexed once and carry their smallest ids (one more than k, which is all that k places
+Equal vectors are indexed once and carry their smallest distinct ids (one more than k, which is all that k places
 can show).  Distinct vectors are dealt into shards; each shard's graph is one row of flat arrays.  Queries are
-dealt into blocks, and each block meets each shard's row, one pair at a time, so a worker holds one graph
-and one block.  Shard results are merged by rank.
+dealt into blocks of thousands, and each block meets each shard's row, one pair at a time, so a worker holds one graph
+and one block; a graph is copied once per block.  Shard results are merged by rank.
 
 Largest inner product becomes nearest direction by one more coordinate that brings all vectors of a shard
 to one length.  A node's links are chosen as the usual heuristic does among its nearest earlier nodes of a
@@ -11,7 +11,8 @@ layer (found by blocked products, as a shard is bounded), with links back that a
 limit.  Scores are exact inner products of the original vectors in double precision.
 
 Vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do null ids;
-vectors of one length only meet their like.  Ties go to the smaller id.
+vectors of one length only meet their like.  Ties go to the smaller id.  Rows that repeat an id and its vector count once; an
+id with several vectors is ranked by each of them, and its query is searched with each.  Empty tables give no rows, other columns aren't read.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ SHARD_ROWS = 65_536
 SHARDS = 8
 LINKS = 16
 REACH = 96
-BLOCK = 512
+BLOCK = 4096
 
 
 def _levels(n: int, links: int) -> np.ndarray:
@@ -225,17 +226,18 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_co
         return rows.where(fine & F.exists("v", lambda e: e != 0)).withColumn("dim", F.size("v"))
 
     place = Window.partitionBy("v").orderBy("id")
-    smallest = clean(df).withColumn("n", F.row_number().over(place)).where(F.col("n") <= k + 1)
-    distinct = C.materialise(smallest.groupBy("v", "dim").agg(F.sort_array(F.collect_list("id")).alias("ids")))
+    smallest = clean(df).withColumn("n", F.dense_rank().over(place)).where(F.col("n") <= k + 1)  # places of ids, not of rows
+    distinct = C.materialise(smallest.groupBy("v", "dim").agg(F.sort_array(F.collect_set("id")).alias("ids")))
     shards = max(least_shards, math.ceil(distinct.count() / shard_rows))
     dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
     graphs = C.materialise(dealt.groupBy("dim", "shard").applyInArrow(_graph(links), _GRAPH))
-    asked = clean(queries)
+    asked = clean(queries).distinct()
     blocks = max(1, math.ceil(asked.count() / block))
     dealt_q = asked.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int"))
     packed = dealt_q.groupBy("dim", "block").agg(F.collect_list(F.struct("id", "v")).alias("q"))
-    packed = packed.select("dim", F.col("q.id").alias("q_ids"), F.col("q.v").alias("q_vectors"))
-    each = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(graphs, ["dim", "shard"])
+    packed = packed.select("dim", "block", F.col("q.id").alias("q_ids"), F.col("q.v").alias("q_vectors"))
+    copied = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))  # a key for each pair of block and shard
+    each = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(copied, ["dim", "shard", "block"])
     found = each.mapInArrow(_search(k, links, reach), "query_id long, id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -1,5 +1,6 @@
 """Licence scans: Dice coefficient over word bigrams against templates.
 
+Templates are short notices, short licences, and the full texts in `licence_texts` (public licences as published).
 Units of a text are the whole text, each line, and each block of lines between blank ones.  A unit is
 normalised to its lower-case ASCII letter-and-digit words.  With a and b distinct bigrams of unit and template
 and i in common, the coefficient is 2i/(a+b); for it to reach t, a must lie within [b t/(2-t), b (2-t)/t],
@@ -7,11 +8,14 @@ which prunes templates by size before any set is built.  Bigrams are also hashed
 once, and a unit without a bigram of any template is passed over.
 
 A one-word unit has no bigrams and matches nothing.  Null and empty texts match nothing; every row gets
-its result.
+its result, so repeated rows get equal ones; ties between templates go to the first name.  Time is in proportion to a text's length.
+Other columns aren't read; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import functools
+import os
 import re
 
 import numpy as np
@@ -23,16 +27,40 @@ from . import common as C
 
 THRESHOLD = 0.8
 
-# Short notices by which texts state public licences.
+_FOLDER = os.path.join(os.path.dirname(os.path.abspath(__file__)), "licence_texts")
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. {}"
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
+        "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE "
+        "FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; "
+        "LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT "
+        "(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_WARRANTY = ("THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+             "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+             "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.")
+
+# Notices by which texts state public licences, and licences of a paragraph or few.
 NOTICES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "bsd-2-clause": "Licensed under the BSD 2-Clause License.",
     "bsd-3-clause": "Licensed under the BSD 3-Clause License.",
+    "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
+                         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software "
+                         "distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+                         "See the License for the specific language governing permissions and limitations under the License.",
+    "bsd-2-clause-text": _BSD.format(""),
+    "bsd-3-clause-text": _BSD.format("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+                                     "from this software without specific prior written permission. "),
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "gpl-2.0": "This work is licensed under the GNU General Public License, version 2.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+                      "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, "
+                      "but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. "
+                      "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
     "lgpl-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
            "provided that the above copyright notice and this permission notice appear in all copies.",
@@ -42,10 +70,26 @@ NOTICES = {
                 "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
                 "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
                 "substantial portions of the Software.",
+    "mit-full": "MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+                "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
+                "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+                "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
+                "substantial portions of the Software. " + _WARRANTY,
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
+
+@functools.cache
+def templates() -> dict[str, str]:
+    """NOTICES and the files of `licence_texts`, by file name and "-text"."""
+    full = {}
+    for name in sorted(os.listdir(_FOLDER)):
+        with open(os.path.join(_FOLDER, name), encoding="utf-8") as f:
+            full[name.removesuffix(".txt") + "-text"] = f.read()
+    return NOTICES | full
+
+
 _WORD = re.compile(rb"[a-z0-9]+")
 _OTHER = np.ones(256, bool)
 _OTHER[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
@@ -102,14 +146,10 @@ class Templates:
         lines = text.split(b"\n")
         starts = np.cumsum([0, *(len(x) + 1 for x in lines[:-1])])
         touched = np.unique(np.searchsorted(starts, hit, "right") - 1).tolist()
-        units = {(i, 1) for i in touched} | {(0, len(lines))}
-        for i in touched:
-            a, b = i, i + 1
-            while a > 0 and lines[a - 1].strip():
-                a -= 1
-            while b < len(lines) and lines[b].strip():
-                b += 1
-            units.add((a, b - a))
+        blank = np.array([not x.strip() for x in lines])
+        first = np.maximum.accumulate(np.where(blank, np.arange(len(lines)) + 1, 0))  # of a line's block
+        last = np.minimum.accumulate(np.where(blank, np.arange(len(lines)), len(lines))[::-1])[::-1]
+        units = {(i, 1) for i in touched} | {(0, len(lines))} | {(a, b - a) for a, b in zip(first[touched].tolist(), last[touched].tolist())}
         for a, n in units:
             unit = b"\n".join(lines[a : a + n])
             if len(_WORD.findall(unit.translate(_OUT))) > 1 and (found := self.best(unit)):
@@ -141,5 +181,5 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     C.ship(df.sparkSession)
     source = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("_text"))
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(_scan(NOTICES if notices is None else notices, threshold),
+    return source.mapInArrow(_scan(templates() if notices is None else notices, threshold),
                              f"id {kind}, license string, dice double, matched_lines long, matches array<struct<first_line:long,lines:long,license:string,dice:double>>")

@@ -1,8 +1,9 @@
 """Linking tool calls to their results in chats, with DataFrame functions only.
 
 Calls and results are hash-joined by conversation and call identifier.  Calls are ordered topologically:
-a call whose arguments name another call of its conversation ("$ref:<id>") comes after it.  Depths
-are found in rounds, one join each, so there are as many rounds as the longest chain has links; a call on
+a call whose arguments name another call of its conversation ("$ref:<id>") comes after it.  Chains of calls that name
+one other each are followed by doubling pointers, so a chain of n calls takes log2(n) rounds of one join; calls that name
+several wait, in a round for each step from one such call to the next, until all they name have a depth.  A call on
 a cycle, or behind one, never gets a depth and is reported as such.  Arguments are checked against the
 tool's schema, and each linked exchange is serialised as canonical JSON (sorted keys, no white space).
 
@@ -12,7 +13,7 @@ call id), so a conversation of any length is fine.
 Nulls and ties: messages of a null conversation or turn, and calls or results without an identifier, are
 linked to nothing; their status says so.  Of several calls or results with one identifier the one of the smallest
 turn counts, then the smallest text; later ones are reported as repeated.  Arguments that aren't a JSON
-object are invalid.  Extra columns are ignored, empty tables give no rows.
+object are invalid.  Texts of any length are handled whole.  Extra columns are ignored, empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -40,15 +41,15 @@ def extract(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role
     return calls, results.select("conv_id", "turn", F.col("r.tool_call_id").alias("call_id"), F.col("r.content").alias("content"))
 
 
-def dialogue(messages: DataFrame, tool: str = "reply", conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """A plain dialogue in the same form: each user turn calls `tool` with its text, and an assistant's message answers
-    the turn before it."""
+def dialogue(messages: DataFrame, tool: str = "reply", conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A plain dialogue in the same form: each user turn calls `tool` with its text and names the exchange before it (two turns
+    earlier), and an assistant's message answers the turn before it.  Third are the messages of all other roles."""
     base = messages.select(F.col(f"`{conv}`").alias("conv_id"), F.col(f"`{turn}`").cast("long").alias("turn"), F.col(f"`{role}`").alias("role"), F.col(f"`{text}`").alias("text"))
     name = lambda t: F.concat_ws(":", F.col("conv_id").cast("string"), t.cast("string"))
     calls = base.where("role = 'user'").select("conv_id", "turn", name(F.col("turn")).alias("call_id"), F.lit(tool).alias("name"),
-                                                F.to_json(F.struct(F.col("text").alias("text"), F.col("turn").alias("turn"))).alias("arguments"))
+                                                F.to_json(F.struct(F.when(F.col("turn") > 1, F.concat(F.lit("$ref:"), name(F.col("turn") - 2))).alias("after"), "text", "turn")).alias("arguments"))
     results = base.where("role = 'assistant'").select("conv_id", "turn", name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
-    return calls, results
+    return calls, results, base.where("role IS NULL OR role NOT IN ('user', 'assistant')").select("conv_id", "turn", F.col("text").alias("content"))
 
 
 def _first(rows: DataFrame, then: str) -> DataFrame:
@@ -83,39 +84,66 @@ def violations(name: Column, arguments: Column, parsed: Column, schemas: Schemas
     return out.otherwise(F.array().cast("array<string>"))
 
 
+def _follow(single: DataFrame) -> DataFrame:
+    """(conv_id, call_id, anchor, dist): how many steps each of the calls that need one other (conv_id, call_id, needs)
+    is behind the first call of another kind; without those that lead into a cycle."""
+    live = C.materialise(single.select("conv_id", "call_id", F.col("needs").alias("anchor"), F.lit(1).cast("long").alias("dist")))
+    longest, reached, every = live.count(), 1, live
+    done = live.limit(0)
+    while reached <= 2 * longest:
+        ahead = every.select("conv_id", F.col("call_id").alias("anchor"), F.col("anchor").alias("next"), F.col("dist").alias("more"))
+        moved = C.materialise(live.join(ahead.hint("shuffle_hash"), ["conv_id", "anchor"], "left"))
+        done = done.unionByName(moved.where("next IS NULL").select("conv_id", "call_id", "anchor", "dist"))
+        live = moved.where("next IS NOT NULL").select("conv_id", "call_id", F.col("next").alias("anchor"), (F.col("dist") + F.col("more")).alias("dist"))
+        if live.isEmpty():
+            break
+        every, reached = done.unionByName(live), 2 * reached
+    return done
+
+
 def depths(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, depth) of the calls that don't wait for a cycle; calls: conv_id, call_id, arguments, unique."""
     refs = calls.select("conv_id", "call_id", F.explode(F.array_distinct(F.regexp_extract_all("arguments", F.lit(r"\$ref:([A-Za-z0-9_:.-]+)"), F.lit(1)))).alias("needs"))
     known = calls.select("conv_id", F.col("call_id").alias("needs"))
-    refs = C.materialise(refs.join(known, ["conv_id", "needs"]))  # others' calls and unknown ones don't bind
-    done = C.materialise(calls.select("conv_id", "call_id").join(refs, ["conv_id", "call_id"], "left_anti").withColumn("depth", F.lit(0)))
-    level = 0
-    while not refs.isEmpty():
-        level += 1
-        ready = done.select("conv_id", F.col("call_id").alias("needs"))
-        waiting = C.materialise(refs.join(ready, ["conv_id", "needs"], "left_anti"))
-        freed = refs.select("conv_id", "call_id").distinct().join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("depth", F.lit(level))
-        freed = C.materialise(freed)
+    refs = C.materialise(refs.join(known.hint("shuffle_hash"), ["conv_id", "needs"]))  # others' calls and unknown ones don't bind
+    several = refs.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n"))
+    settled = calls.select("conv_id", "call_id").join(several, ["conv_id", "call_id"], "left_anti").withColumn("depth", F.lit(0).cast("long"))
+    if refs.isEmpty():
+        return settled
+    settled = C.materialise(settled)
+    counted = refs.join(several, ["conv_id", "call_id"])
+    behind = _follow(counted.where("n = 1"))
+    steps = behind.select("conv_id", F.col("call_id").alias("needs"), F.col("anchor").alias("far"), "dist")
+    waiting = counted.where("n > 1").join(steps, ["conv_id", "needs"], "left")
+    waiting = C.materialise(waiting.select("conv_id", "call_id", F.coalesce("far", "needs").alias("anchor"), F.coalesce("dist", F.lit(0)).alias("dist")))
+    deep = lambda rows: rows.join(settled.select("conv_id", F.col("call_id").alias("anchor"), "depth").hint("shuffle_hash"), ["conv_id", "anchor"], "left")
+    while not waiting.isEmpty():
+        reached = deep(waiting).groupBy("conv_id", "call_id").agg(F.max(F.col("depth").isNull()).alias("open"), (F.max(F.col("depth") + F.col("dist")) + 1).alias("depth"))
+        freed = C.materialise(reached.where("NOT open").select("conv_id", "call_id", "depth"))
         if freed.isEmpty():
             break
-        done, refs = C.materialise(done.unionByName(freed)), waiting
-    return done
+        settled = settled.unionByName(freed)
+        waiting = C.materialise(waiting.join(freed, ["conv_id", "call_id"], "left_anti"))
+    chained = deep(behind).where("depth IS NOT NULL").select("conv_id", "call_id", (F.col("depth") + F.col("dist")).alias("depth"))
+    return C.materialise(settled.unionByName(chained))
 
 
-def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
-    """One row per call and per result that answers none: conv_id, call_id, turn, status, depth, valid, problems, json."""
+def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas, others: DataFrame | None = None) -> DataFrame:
+    """One row per call, per result that answers none and per other message: conv_id, call_id, turn, status, depth, valid, problems, json."""
     calls, results = _first(calls, "arguments"), _first(results, "content")
     one, answer = calls.where("n = 1").drop("n"), results.where("n = 1").select("conv_id", "call_id", F.col("turn").alias("r_turn"), "content")
     order = depths(one)
-    joined = one.join(answer, ["conv_id", "call_id"], "full_outer").join(order, ["conv_id", "call_id"], "left")
+    joined = one.join(answer.hint("shuffle_hash"), ["conv_id", "call_id"], "full_outer").join(order.hint("shuffle_hash"), ["conv_id", "call_id"], "left")
     status = (F.when(F.col("name").isNull() & F.col("turn").isNull(), "orphan result").when(F.col("depth").isNull(), "cycle")
               .when(F.col("r_turn").isNull(), "unanswered").when(F.col("r_turn") < F.col("turn"), "answered before").otherwise("linked"))
     joined = joined.withColumn("status", status).withColumn("at", F.coalesce("turn", "r_turn")).select("conv_id", "call_id", F.col("at").alias("turn"), "name", "arguments", "content", "r_turn", "depth", "status")
     odd_calls = calls.where("n <> 1").select("conv_id", "call_id", "turn", "name", "arguments", F.lit(None).cast("string").alias("content"), F.lit(None).cast("long").alias("r_turn"),
-                                             F.lit(None).cast("int").alias("depth"), F.when(F.col("n") == 0, "call without identifier").otherwise("repeated call").alias("status"))
+                                             F.lit(None).cast("long").alias("depth"), F.when(F.col("n") == 0, "call without identifier").otherwise("repeated call").alias("status"))
     odd_results = results.where("n <> 1").select("conv_id", "call_id", "turn", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"), "content",
-                                                 F.col("turn").alias("r_turn"), F.lit(None).cast("int").alias("depth"), F.when(F.col("n") == 0, "result without identifier").otherwise("repeated result").alias("status"))
+                                                 F.col("turn").alias("r_turn"), F.lit(None).cast("long").alias("depth"), F.when(F.col("n") == 0, "result without identifier").otherwise("repeated result").alias("status"))
     rows = joined.unionByName(odd_calls).unionByName(odd_results)
+    if others is not None:
+        rows = rows.unionByName(others.select("conv_id", "turn", "content", F.lit("message").alias("status")), allowMissingColumns=True)
     parsed = F.try_parse_json("arguments")
     is_call = F.col("arguments").isNotNull() | F.col("name").isNotNull()
     problems = F.when(is_call, violations(F.col("name"), F.col("arguments"), parsed, schemas))

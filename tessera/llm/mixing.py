@@ -3,20 +3,23 @@
 A source of N words with target T is taken T/N times on average: every document gets the whole part of T/N
 as certain copies, and the rest of the target is drawn as an unequal-probability sample without
 replacement.  Document i of the source has inclusion probability p_i (the fraction left over, times its
-boost if a boost column is given) and a uniform number u_i from a hash of its id; it is ranked by the random
+boost, a column or a function of its size) and a uniform number u_i from a hash of its id; it is ranked by the random
 odds divided by the inclusion odds, (u/(1-u)) / (p/(1-p)), and the sample is the shortest prefix whose
-words come nearest to the words wanted (the sample's size is fixed in words).
+words come nearest to the words wanted (the sample's size is fixed in words, so boosts count by their ratios).
 
 The prefix is found without sorting a source: ranks are mapped to [0, 1), words are summed by source and
 1/1024th, the one part that holds the boundary is split again, and only the rows of that part of a part
 are put in order.  No task sees more than about a millionth of a source.
 
-Nulls and ties: a null text has size 0; a null source is a source of its own, last in order; a null id counts as an
-empty one.  Rows with one id are taken together.  A source of no words has target 0 and isn't taken.
+Nulls and ties: a null text has size 0; a null source is a source of its own, last in order.  Rows of one source with one id are
+taken together, rows without an id if they have one text.  A source of no words has target 0 and isn't taken.  Long texts are
+counted whole; other columns aren't read, whatever their names.  Empty tables give no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,15 +123,29 @@ def copies(sized: DataFrame, planned: DataFrame, seed: str = "mix") -> DataFrame
     return joined.withColumn("copies", n.cast("long")).drop("whole", "rest", "t_last", "key_last")
 
 
-def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", boost_col: str | None = None,
+def prefer_ordinary(size: Column) -> Column:
+    """A boost: fragments and very long documents are drawn half as often as others."""
+    return F.when((size < 50) | (size > 5000), F.lit(0.5)).otherwise(F.lit(1.0))
+
+
+def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", boost: str | Callable[[Column], Column] | None = None,
                 weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, seed: str = "mix", keep_rows: bool = False) -> DataFrame:
-    """(id, source, size, source_size, target, copies) of every row; with keep_rows also row, a struct of df's columns."""
+    """(id, source, size, source_size, target, copies) of every row; with keep_rows also row, a struct of df's columns.
+
+    boost: the name of a column, or a function of the size.
+    """
     C.ship(df.sparkSession)
-    cols = [F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("key"),
-            words_of(F.col(f"`{text_col}`")).alias("size"), (F.col(f"`{boost_col}`").cast("double") if boost_col else F.lit(1.0)).alias("boost")]
-    small = C.materialise(df.select(*cols))
+    named, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    key = F.coalesce(named.cast("string"), F.concat(F.lit("#"), F.md5(F.coalesce(text.cast("binary"), F.lit("").cast("binary")))))
+    cols = [named.alias("id"), F.col(f"`{source_col}`").alias("source"), key.alias("key"), words_of(text).alias("size")]
+    cols += [F.col(f"`{boost}`").cast("double").alias("boost")] if isinstance(boost, str) else []
+
+    def boosted(rows: DataFrame) -> DataFrame:
+        return rows if isinstance(boost, str) else rows.withColumn("boost", boost(F.col("size")) if boost else F.lit(1.0))
+
+    small = boosted(C.materialise(df.select(*cols)))
     planned = plan(small, weights, max_repeats, seed)
-    rows = df.select(*cols, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")) if keep_rows else small
+    rows = boosted(df.select(*cols, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))) if keep_rows else small
     return copies(rows, planned, seed).drop("key", "boost")
 
 

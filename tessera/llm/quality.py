@@ -1,10 +1,10 @@
 """Host-level quality rules with an empirical beta prior.
 
 Rules first judge each document by counts over its whole text.  Then failures are summed by host (here the
-document's source), and each host's failure rate is shrunk towards the corpus: with m the failure rate of
-all documents and v the spread of the hosts' rates around it (weighted by documents), the beta prior has
-the strength k = m(1-m)/v - 1, kept within PRIOR_RANGE, and a host with f failures of n documents has the
-rate (f + m k)/(n + k).  A host above `max_rate` is rejected, and the verdict is joined back to its
+document's source), and each host's failure rate is shrunk towards the corpus.  The beta prior is found by moments: with m the
+failure rate of all N documents, v the spread of the H hosts' rates around it (weighted by documents) and rho the part of it that
+sampling doesn't explain, v N / m(1-m) = H + (N - H) rho, the strength is k = (1 - rho)/rho, kept within PRIOR_RANGE,
+and a host with f failures of n documents has the rate (f + m k)/(n + k).  A host above `max_rate` is rejected, and the verdict is joined back to its
 documents.  A few failing pages therefore don't condemn a small host, and clean documents of a host that
 fails no more than others are kept.
 
@@ -79,9 +79,10 @@ def base_rules(min_words: int = 10, max_repeat_percent: int = 20):
 def host_rates(judged: DataFrame, host: str = "host", failed: str = "failed") -> DataFrame:
     """(host, rate): failure rates of the hosts, shrunk by the prior; one row per host."""
     hosts = judged.groupBy(host).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col(failed).cast("long")).cast("double").alias("f"))
-    overall = hosts.agg((F.sum("f") / F.sum("n")).alias("m"), F.sum("n").alias("all_n"), F.sum(F.col("f") * F.col("f") / F.col("n")).alias("ff"))
-    spread = F.col("ff") / F.col("all_n") - F.col("m") * F.col("m")
-    k = F.when(spread > 1e-12, F.least(F.greatest(F.col("m") * (1 - F.col("m")) / spread - 1, F.lit(PRIOR_RANGE[0])), F.lit(PRIOR_RANGE[1]))).otherwise(PRIOR_RANGE[1])
+    overall = hosts.agg((F.sum("f") / F.sum("n")).alias("m"), F.sum("n").alias("all_n"), F.sum(F.col("f") * F.col("f") / F.col("n")).alias("ff"), F.count(F.lit(1)).cast("double").alias("h"))
+    varied = (F.col("m") > 0) & (F.col("m") < 1) & (F.col("all_n") > F.col("h"))
+    rho = ((F.col("ff") / F.col("all_n") - F.col("m") * F.col("m")) * F.col("all_n") / (F.col("m") * (1 - F.col("m"))) - F.col("h")) / (F.col("all_n") - F.col("h"))
+    k = F.when(varied & (rho > 1e-12), F.least(F.greatest((1 - rho) / rho, F.lit(PRIOR_RANGE[0])), F.lit(PRIOR_RANGE[1]))).otherwise(PRIOR_RANGE[1])
     prior = overall.select("m", k.alias("k"))
     # the prior is one row
     return hosts.join(F.broadcast(prior)).select(host, ((F.col("f") + F.col("m") * F.col("k")) / (F.col("n") + F.col("k"))).alias("rate"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(_documents(spark, sf_dir))
+    mixed = mixing.mix_sources(_documents(spark, sf_dir), boost=mixing.prefer_ordinary)
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
@@ -57,12 +58,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-REPLY = {"reply": {"text": ("string", True), "turn": ("integer", True)}}
+REPLY = {"reply": {"after": ("string", False), "text": ("string", True), "turn": ("integer", True)}}
 
 
 def op9_tool_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = chat.dialogue(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return chat.link_calls(calls, results, REPLY).withColumn("problems", F.array_join("problems", ", "))
+    calls, results, others = chat.dialogue(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return chat.link_calls(calls, results, REPLY, others).withColumn("problems", F.array_join("problems", ", "))
 
 
 def op10_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,11 +80,12 @@ _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 
 def _license_sql() -> str:
-    grams = [(k, a.decode(), b.decode()) for k, v in licenses.NOTICES.items() for a, b in sorted(licenses.bigrams(v.encode()))]
-    values = ", ".join(f"('{k}', '{a} {b}')" for k, a, b in grams)
+    said = {k: b" ".join(re.findall(rb"[a-z0-9]+", v.encode().lower())).decode() for k, v in licenses.templates().items()}
+    values = ", ".join(f"('{k}', '{v}')" for k, v in said.items())
     t = licenses.THRESHOLD
     return rf"""
-WITH templates(name, gram) AS (VALUES {values}),
+WITH said(name, w) AS (SELECT n, string_split(v, ' ') FROM (VALUES {values}) x(n, v)),
+templates AS (SELECT DISTINCT name, w[j] || ' ' || w[j + 1] AS gram FROM said, unnest(range(1, len(w))) AS r(j)),
 sizes AS (SELECT name, count(*) AS b FROM templates GROUP BY name),
 lines AS (SELECT doc_id, i - 1 AS i, l[i] AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS r(i)),
 marked AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS full_line, sum(CASE WHEN regexp_matches(line, '[^\x20\x09-\x0D]') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS blanks FROM lines),
@@ -105,7 +107,7 @@ FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id LEFT JOIN found f ON d.
 
 
 _MIX_SQL = rf"""
-WITH d AS (SELECT doc_id, source, coalesce(doc_id::VARCHAR, '') AS k, CASE WHEN text IS NULL THEN 0 ELSE len({_WORDS.format('text')}) END AS size FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(doc_id::VARCHAR, '#' || md5(coalesce(text, ''))) AS k, CASE WHEN text IS NULL THEN 0 ELSE len({_WORDS.format('text')}) END AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source),
 w AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM s),
 o AS (SELECT *, sum(n) OVER () AS total, coalesce(sum(n) OVER (ORDER BY n / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_n,
@@ -115,7 +117,7 @@ t AS (SELECT source, n, CASE WHEN capped THEN (3 * n)::DOUBLE
   ELSE ((total - 3 * sum(CASE WHEN capped THEN n ELSE 0 END) OVER ()) * w)::DOUBLE / (sum(CASE WHEN capped THEN 0 ELSE w END) OVER ())::DOUBLE END AS target FROM f),
 p AS (SELECT *, CASE WHEN n > 0 THEN floor(target / n) ELSE 0 END AS whole FROM t),
 r AS (SELECT *, target - whole * n AS rest FROM p),
-u AS (SELECT d.*, r.n, r.target, r.whole, r.rest, ('0x' || substr(md5('mix' || k), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS u, least(r.rest / r.n, 1 - 1e-9) AS q
+u AS (SELECT d.*, r.n, r.target, r.whole, r.rest, ('0x' || substr(md5('mix' || k), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS u, least(r.rest / r.n * CASE WHEN d.size < 50 OR d.size > 5000 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END, 1 - 1e-9) AS q
   FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
 v AS (SELECT *, CASE WHEN rest > 0 THEN (u / (1 - u)) / (q / (1 - q)) END AS odds FROM u),
 c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds / (1 + odds), k) AS upto FROM v)
@@ -131,22 +133,28 @@ m AS (SELECT d.doc_id, d.source, len(w) AS n_words, length(array_to_string(w, ''
   coalesce(lines.dup, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words FROM d LEFT JOIN lines USING (r) LEFT JOIN covered USING (r)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
 h AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS f FROM b GROUP BY source),
-a AS (SELECT sum(f) / sum(n) AS m, sum(f * f / n) / sum(n) - (sum(f) / sum(n)) ** 2 AS v FROM h),
-k AS (SELECT m, CASE WHEN v > 1e-12 THEN least(greatest(m * (1 - m) / v - 1, {quality.PRIOR_RANGE[0]}), {quality.PRIOR_RANGE[1]}) ELSE {quality.PRIOR_RANGE[1]} END AS k FROM a),
+a AS (SELECT sum(f) / sum(n) AS m, sum(n) AS an, sum(f * f / n) AS ff, count(*)::DOUBLE AS h FROM h),
+v AS (SELECT *, CASE WHEN m > 0 AND m < 1 AND an > h THEN ((ff / an - m * m) * an / (m * (1 - m)) - h) / (an - h) END AS rho FROM a),
+k AS (SELECT m, CASE WHEN rho > 1e-12 THEN least(greatest((1 - rho) / rho, {quality.PRIOR_RANGE[0]}), {quality.PRIOR_RANGE[1]}) ELSE {quality.PRIOR_RANGE[1]} END AS k FROM v),
 rates AS (SELECT source, (f + m * k) / (n + k) AS rate FROM h, k)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
   base_failed, NOT base_failed AND rate <= 0.5 AS kept FROM b JOIN rates ON b.source IS NOT DISTINCT FROM rates.source"""
 
 _CHAT_SQL = """
-WITH c AS (SELECT conv_id, turn, conv_id::VARCHAR || ':' || turn::VARCHAR AS call_id, text FROM conversations WHERE role = 'user'),
+WITH RECURSIVE c AS (SELECT conv_id, turn, conv_id::VARCHAR || ':' || turn::VARCHAR AS call_id, text FROM conversations WHERE role = 'user'),
 r AS (SELECT conv_id, turn, conv_id::VARCHAR || ':' || (turn - 1)::VARCHAR AS call_id, text FROM conversations WHERE role = 'assistant'),
+deep(conv_id, turn, depth) AS (SELECT conv_id, turn, 0::BIGINT FROM c WHERE NOT EXISTS (SELECT 1 FROM c p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 2)
+  UNION ALL SELECT c.conv_id, c.turn, depth + 1 FROM deep JOIN c ON c.conv_id = deep.conv_id AND c.turn = deep.turn + 2),
 j AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, coalesce(c.turn, r.turn) AS turn, c.turn AS c_turn, r.turn AS r_turn, c.text AS asked, r.text AS content
   FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id),
-s AS (SELECT *, CASE WHEN c_turn IS NULL THEN 'orphan result' WHEN r_turn IS NULL THEN 'unanswered' ELSE 'linked' END AS status FROM j)
-SELECT conv_id, call_id, turn, status, CASE WHEN c_turn IS NOT NULL THEN 0 END AS depth, CASE WHEN c_turn IS NOT NULL THEN asked IS NOT NULL END AS valid,
+s AS (SELECT *, CASE WHEN c_turn IS NULL THEN 'orphan result' WHEN r_turn IS NULL THEN 'unanswered' ELSE 'linked' END AS status FROM j
+  UNION ALL SELECT conv_id, NULL, turn, NULL, NULL, NULL, text, 'message' FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant'))
+SELECT s.conv_id, call_id, s.turn, status, depth, CASE WHEN c_turn IS NOT NULL THEN asked IS NOT NULL END AS valid,
   CASE WHEN c_turn IS NULL THEN NULL WHEN asked IS NULL THEN 'missing text' ELSE '' END AS problems,
-  '{"arguments":' || CASE WHEN c_turn IS NULL THEN 'null' ELSE '{' || CASE WHEN asked IS NULL THEN '' ELSE '"text":' || to_json(asked)::VARCHAR || ',' END || '"turn":' || c_turn::VARCHAR || '}' END ||
-  ',"call_id":' || to_json(call_id)::VARCHAR || ',"name":' || CASE WHEN c_turn IS NULL THEN 'null' ELSE '"reply"' END ||
-  ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || ',"status":"' || status || '"}' AS json FROM s"""
+  '{"arguments":' || CASE WHEN c_turn IS NULL THEN 'null' ELSE '{' || CASE WHEN c_turn > 1 THEN '"after":"$ref:' || s.conv_id::VARCHAR || ':' || (c_turn - 2)::VARCHAR || '",' ELSE '' END ||
+    CASE WHEN asked IS NULL THEN '' ELSE '"text":' || to_json(asked)::VARCHAR || ',' END || '"turn":' || c_turn::VARCHAR || '}' END ||
+  ',"call_id":' || coalesce(to_json(call_id)::VARCHAR, 'null') || ',"name":' || CASE WHEN c_turn IS NULL THEN 'null' ELSE '"reply"' END ||
+  ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || ',"status":"' || status || '"}' AS json
+FROM s LEFT JOIN deep ON c_turn IS NOT NULL AND deep.conv_id = s.conv_id AND deep.turn = s.c_turn"""
 
 ORACLES: dict[str, str] = {"op1_license_scan": _license_sql(), "op2_source_mix": _MIX_SQL, "op4_quality_rules": _QUALITY_SQL, "op9_tool_linking": _CHAT_SQL}

@@ -111,10 +111,41 @@ def test_long_chain_of_calls(spark):
     assert {r["call_id"]: r["depth"] for r in chat.depths(calls).collect()} == {f"c{k}": k for k in range(6)}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_depths_of_chains_forks_and_cycles(spark, seed):
+    """Against the definition: 0 without known references, else one more than the deepest one named; none behind a cycle."""
+    import random
+
+    r = random.Random(seed)
+    needs = {f"c{k}": [f"c{k - 1}"] for k in range(1, 90)} | {"c0": []}  # a long chain
+    needs |= {f"t{k}": [f"{r.choice('tc')}{r.randrange(k + 1)}" for _ in range(r.randint(0, 3))] for k in range(1, 60)} | {"t0": ["nowhere"]}
+    needs |= {"x": ["y"], "y": ["z", "c3"], "z": ["x"], "behind": ["x"], "far": ["behind"], "self": ["self"]}
+    found = {}
+    for _ in range(200):
+        for k, n in needs.items():
+            own = {v for v in n if v in needs}
+            if all(v in found for v in own):
+                found[k] = max((found[v] + 1 for v in own), default=0)
+    rows = [(1, k, json.dumps([f"$ref:{v}" for v in n])) for k, n in needs.items()] + [(2, "c5", '"$ref:c4"'), (2, "c6", '"$ref:c5"')]
+    r.shuffle(rows)
+    got = {(x["conv_id"], x["call_id"]): x["depth"] for x in chat.depths(spark.createDataFrame(rows, "conv_id long, call_id string, arguments string")).collect()}
+    assert got == {**{(1, k): d for k, d in found.items()}, (2, "c5"): 0, (2, "c6"): 1} and max(found.values()) >= 89
+
+
+def test_links_are_hash_joins(spark):
+    rows = spark.createDataFrame([(1, k, "assistant" if k % 2 else "user", f"t{k}") for k in range(9)] + [(1, 9, "system", "s")], "conv_id long, turn long, role string, text string")
+    calls, results, others = chat.dialogue(rows)
+    linked = chat.link_calls(calls, results, {"reply": {"text": ("string", True), "turn": ("integer", True), "after": ("string", False)}}, others)
+    plan = linked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") >= 2 and "Python" not in plan and "Arrow" not in plan
+    got = {(x["turn"], x["status"]): x["depth"] for x in linked.collect()}
+    assert got == {**{(k, "linked" if k < 8 else "unanswered"): k // 2 for k in range(0, 9, 2)}, (9, "message"): None}
+
+
 def test_no_messages(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.link_calls(*chat.extract(none), SCHEMAS).count() == 0
-    assert chat.link_calls(*chat.dialogue(none), SCHEMAS).count() == 0
+    assert chat.link_calls(*chat.dialogue(none)[:2], SCHEMAS, chat.dialogue(none)[2]).count() == 0
 
 
 # ------------------------------------------------------------------ vectors
@@ -149,6 +180,13 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_repeated_rows_of_a_vector_take_one_place(spark):
+    rows = [(5, [1.0, 1.0])] * 30 + [(i, [1.0, 1.0]) for i in range(6, 40)] + [(i, [0.5, 0.1]) for i in range(50, 90)] + [(20, [1.0, 1.0])] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = ann.nearest(df, df.where("vec_id = 20")).orderBy("rank").collect()
+    assert [r["id"] for r in got] == [i for i in range(5, 40) if i != 20][:20] and {r["score"] for r in got} == {2.0}
+
+
 def test_equal_vectors_are_ranked_by_id(spark):
     df = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(90, -1, -1)], "vec_id long, embedding array<float>")
     got = ann.nearest(df, df.where("vec_id = 20")).orderBy("rank").collect()

@@ -10,7 +10,7 @@ differ: what texts of the similarity are expected to, and `slack` standard devia
 Nothing here grows with the square of a group's size, and no link is left out:
 
 1.  Packs report the distinct keys they hold, and hash ranges answer which of them have a second owner (see
-    common); only rows (key, node) of shared keys are made.
+    common); only rows (key, node, fingerprint) of shared keys are made.
 2.  Every owner of a key is verified against the key's leader, its least owner, and components are found.
 3.  A key whose owners are all in one component has nothing left to tell.  In the others, all owners outside of
     the key's largest component are compared with all owners outside their own, in blocks of `block` rows that a
@@ -29,7 +29,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -136,9 +136,10 @@ _ANSWER = "pack int, bucket int, shared binary"
 
 def _stages(longs: int, segment_bits: int, weak: int, buckets: int):
     """The functions of a pack, a hash range, and a pack with its answers."""
+    bits = [f"f{i}" for i in range(longs)]
 
     def keys_of(table: pa.Table) -> np.ndarray:
-        f = np.stack([C.flat(table[f"f{i}"]).to_numpy() for i in range(longs)], axis=1).view(np.uint64)
+        f = np.stack([C.flat(table[c]).to_numpy() for c in bits], axis=1).view(np.uint64)
         least = np.frombuffer(b"".join(table["weak"].to_pylist()), np.uint8).reshape(table.num_rows, -1)
         return ball_keys(f, least, segment_bits, weak)
 
@@ -168,13 +169,13 @@ def _stages(longs: int, segment_bits: int, weak: int, buckets: int):
 
     def owners(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.table({"key": pa.array([], pa.int64()), "node": pa.array([], pa.int64())})
+            return pa.table({c: pa.array([], pa.int64()) for c in ("key", "node", *bits)})
         keys = keys_of(table)
         distinct, back = np.unique(keys, return_inverse=True)
         told = dict(zip(answers["bucket"].to_pylist(), answers["shared"].to_pylist()))
         shared = np.concatenate([np.unpackbits(np.frombuffer(told[b], np.uint8), count=j - i) for b, i, j in C.cuts(C.bucket_of(distinct, buckets))])
         row, col = np.nonzero(shared[back].reshape(keys.shape))
-        out = pa.table({"key": pa.array(keys[row, col].view(np.int64)), "node": C.flat(table["node"]).take(pa.array(row))})
+        out = pa.table({"key": pa.array(keys[row, col].view(np.int64)), **{c: C.flat(table[c]).take(pa.array(row)) for c in ("node", *bits)}})
         C.release()
         return out
 
@@ -182,21 +183,16 @@ def _stages(longs: int, segment_bits: int, weak: int, buckets: int):
 
 
 def shared_keys(nodes: DataFrame, longs: int, segment_bits: int, weak: int, pack_prints: int) -> DataFrame:
-    """(key, node) of the keys that several nodes own; nodes: (node, f0, f1, ..., weak), written."""
+    """(key, node, f0, f1, ...) of the keys that several nodes own; nodes: (node, f0, f1, ..., weak), written."""
     packs = max(1, math.ceil(nodes.count() / pack_prints))
     report, judge, owners = _stages(longs, segment_bits, weak, packs)
     dealt = nodes.withColumn("_pack", C.pack_of(F.col("node"), packs))
     answers = dealt.drop("node").groupBy("_pack").applyInArrow(report, _REPORT).groupBy("bucket").applyInArrow(judge, _ANSWER)
-    return dealt.groupBy("_pack").cogroup(answers.groupBy("pack")).applyInArrow(owners, "key long, node long")
+    return dealt.groupBy("_pack").cogroup(answers.groupBy("pack")).applyInArrow(owners, "key long, node long, " + ", ".join(f"f{i} long" for i in range(longs)))
 
 
 # ---------------------------------------------------------------- links
 
-def _apart(a: str, b: str, longs: int) -> Column:
-    """Differing bits of the fingerprints of two aliased tables."""
-    return sum((F.bit_count(F.col(f"{a}.f{i}").bitwiseXOR(F.col(f"{b}.f{i}"))) for i in range(longs)), F.lit(0))
-
-
 def forest(label: np.ndarray, fingerprints: np.ndarray, asking: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Rows (asking, asked) whose links join the labels that near rows of different labels join."""
     out, label = [], label.copy()
@@ -253,13 +249,14 @@ def _meet(longs: int, radius: int):
 def classes(nodes: DataFrame, longs: int, segment_bits: int, weak: int, radius: int, block: int, pack_prints: int) -> DataFrame:
     """(node, component) of the nodes that have a near one; nodes: (node, f0, f1, ..., weak), written."""
     owners = C.materialise(shared_keys(nodes, longs, segment_bits, weak, pack_prints))
+    bits = [f"f{i}" for i in range(longs)]
     # every owner against its key's leader
-    leads = owners.groupBy("key").agg(F.min("node").alias("lead"))
-    pairs = owners.join(leads, "key").where("node <> lead").select("node", "lead").distinct()
-    pairs = pairs.join(nodes.drop("weak").alias("p"), "node").join(nodes.drop("weak").withColumnRenamed("node", "lead").alias("q"), "lead")
-    named = C.materialise(C.components(pairs.where(_apart("p", "q", longs) <= radius).select(F.col("node").alias("u"), F.col("lead").alias("v"))))
+    leads = owners.groupBy("key").agg(F.min(F.struct("node", *bits)).alias("lead"))
+    apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"lead.{b}"))) for b in bits), F.lit(0))
+    near = owners.join(leads, "key").where((F.col("node") != F.col("lead.node")) & (apart <= radius))
+    named = C.materialise(C.components(near.select(F.col("node").alias("u"), F.col("lead.node").alias("v"))))
     # what is left to compare: keys whose owners are in several components
-    owned = owners.join(named, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    owned = owners.join(named, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     members = owned.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
     cells = members.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("host")).where("n > host.n")
     parts = lambda n: F.ceil(n / block).cast("int")
@@ -267,9 +264,9 @@ def classes(nodes: DataFrame, longs: int, segment_bits: int, weak: int, radius:
     owned = owned.join(cells, "key")
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asked = owned.select("key", place("parts").alias("part"), every("asks").alias("ask"), "node", "c", F.lit(False).alias("asking"))
-    asking = owned.where("c <> host").select("key", every("parts").alias("part"), place("asks").alias("ask"), "node", "c", F.lit(True).alias("asking"))
-    both = asked.unionByName(asking).join(nodes.drop("weak"), "node").repartition("key", "part", "ask").sortWithinPartitions("key", "part", "ask")
+    asked = owned.select("key", place("parts").alias("part"), every("asks").alias("ask"), "c", *bits, F.lit(False).alias("asking"))
+    asking = owned.where("c <> host").select("key", every("parts").alias("part"), place("asks").alias("ask"), "c", *bits, F.lit(True).alias("asking"))
+    both = asked.unionByName(asking).repartition("key", "part", "ask").sortWithinPartitions("key", "part", "ask")
     more = C.materialise(C.components(both.mapInArrow(_meet(longs, radius), "u long, v long")))
     joined = named.withColumnRenamed("component", "c").join(more.select(F.col("node").alias("c"), F.col("component").alias("d")), "c", "left")
     joined = joined.select("node", F.coalesce("d", "c").alias("component"))

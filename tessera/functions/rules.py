@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import or_default
+
 
 def half_up(c: Column) -> Column:
     """Nearest integer, halves upwards, also below zero (Spark's round goes away from zero there)."""
@@ -28,6 +30,16 @@ def grade_text(score: Column) -> Column:
     return F.when(score >= 60, F.lit("passed")).otherwise(F.lit("not passed"))
 
 
+def grade_reason(grade: Column) -> Column:
+    """The counts of a local_grade in words."""
+    return F.format_string("Graded locally: %d of %d right options chosen, %d wrong, %d missed.", grade["correct"], grade["correct"] + grade["missed"], grade["wrong"], grade["missed"])
+
+
+def answer_text(standard: Column, true_options: Column) -> Column:
+    """A level's own answer text, else one that names the right options."""
+    return or_default(standard, F.concat(F.lit("Right options: "), F.array_join(true_options, ", "), F.lit(".")))
+
+
 def salary_change(score: Column, salary: Column) -> Column:
     """Steps by score in single precision; a loss is rounded before it is negated."""
     part = lambda rate: half_up(salary.cast("float") * F.lit(rate).cast("float")).cast("int")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _RUN = r"[A-Za-z0-9]+|[\p{IsHan}&&[\x{0}-\x{FFFF}]]+"
 
 
@@ -30,11 +31,14 @@ def tokenize(c: Column) -> Column:
     Runs are found before lower-casing, so no other letter becomes ASCII on the way; Han beyond the basic plane and
     everything else separates.  Order and repeats stay, null has no tokens.
     """
-    runs = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(_RUN), F.lit(0))
+    text = F.coalesce(c, F.lit(""))
+    # most texts have no Han: then what separates can be cut away, which is compiled where matching and lambdas aren't
+    plain = F.array_remove(F.split(F.translate(text, _UPPER, _UPPER.lower()), "[^a-z0-9]+"), "")
+    runs = F.regexp_extract_all(text, F.lit(_RUN), F.lit(0))
     pairs = lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(
         F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2))))
     mixed = F.flatten(F.transform(runs, lambda r: F.when(r.rlike("^[A-Za-z0-9]"), F.array(F.lower(r))).otherwise(pairs(r))))
-    return F.when(c.rlike(r"\p{IsHan}"), mixed).otherwise(F.transform(runs, F.lower))
+    return F.when(text.rlike(r"\p{IsHan}"), mixed).otherwise(plain)
 
 
 def normalize_source(c: Column) -> Column:

@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .vector import in_blocks
 
 K1, B = 1.2, 0.75
 
 
 def first_of_equal_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows whose trimmed text no row with a smaller id has; digests travel, texts don't."""
+    """Rows whose trimmed text no row with a smaller id has.
+
+    What is shuffled are ids and digests; the rows themselves only meet the ids of later copies, which Spark sends to them if
+    they turn out few.
+    """
     keys = docs.select(F.col(id_col), F.md5(T.java_trim(F.col(text_col))).alias("_digest"))
-    first = keys.groupBy("_digest").agg(F.min(id_col).alias(id_col)).select(id_col)
-    return docs.join(first, id_col, "left_semi")
+    again = keys.groupBy("_digest").agg(F.min(id_col).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    later = keys.join(again, "_digest").where(F.col(id_col) != F.col("_first")).select(id_col)
+    return docs.join(later, id_col, "left_anti")
 
 
 @dataclass
@@ -78,7 +85,7 @@ def search(index: Bm25Index, queries: DataFrame, n: int, id_cols: list[str] | No
     return scored.where("score > 0").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max(n, 0))
 
 
-#: Queries that a scan takes at once, in blocks of BLOCK; beyond that postings are built and joined.
+#: Queries that a scan takes at once, in blocks of BLOCK; more are searched in as many passes.
 MOST_QUERIES, BLOCK = 2048, 128
 
 
@@ -108,16 +115,21 @@ class TextScan:
     docs: DataFrame
 
     def search(self, queries: DataFrame, n: int, id_cols: list[str] | None = None) -> DataFrame:
+        ids = id_cols or ["query_id"]
+        asked = queries.select(*ids, F.array_distinct(T.tokenize(F.col("query"))).alias("terms"))
+        kinds = ", ".join(f"`{c}` {asked.schema[c].dataType.simpleString()}" for c in ids)
+        found = reduce(DataFrame.unionByName, [self._found(held, ids, kinds, n) for held in in_blocks(asked, ids, MOST_QUERIES)])
+        best = Window.partitionBy(*ids).orderBy(F.desc("score"), "chunk_id")
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max(n, 0)).select(*ids, "chunk_id", "score", "rank")
+
+    def _found(self, held: list, ids: list[str], kinds: str, n: int) -> DataFrame:
+        """(ids, chunk_id, score) of each Arrow batch's n best for the queries held."""
         import numpy as np
         import pyarrow as pa
 
-        ids, spark = id_cols or ["query_id"], self.docs.sparkSession
-        asked = queries.select(*ids, F.array_distinct(T.tokenize(F.col("query"))).alias("terms"))
-        held = asked.limit(MOST_QUERIES + 1).collect()
-        if len(held) > MOST_QUERIES:
-            return search(_index_of(self.docs), queries, n, ids)
+        spark = self.docs.sparkSession
         vocabulary = sorted({t for r in held for t in r["terms"]})
-        shared = spark.sparkContext.broadcast((vocabulary, [r["terms"] for r in held]))  # bounded by MOST_QUERIES
+        shared = spark.sparkContext.broadcast((vocabulary, [r["terms"] for r in held]))  # of about MOST_QUERIES queries
 
         def count(batches):
             words = shared.value[0]
@@ -165,11 +177,8 @@ class TextScan:
                     yield pa.record_batch([pa.array(i + at, pa.int32()), pa.array(chunk[j], pa.int64()), pa.array(s[i, j], pa.float64())], names=["_n", "chunk_id", "score"])
 
         found = self.docs.select(F.col("chunk_id").cast("long").alias("chunk_id"), "tokens").mapInArrow(score, "_n int, chunk_id long, score double")
-        kinds = ", ".join(f"`{c}` {asked.schema[c].dataType.simpleString()}" for c in ids)
         names = spark.createDataFrame([(k, *(r[c] for c in ids)) for k, r in enumerate(held)], "_n int, " + kinds)
-        best = Window.partitionBy(*ids).orderBy(F.desc("score"), "chunk_id")
-        ranked = found.join(F.broadcast(names), "_n").withColumn("rank", F.row_number().over(best))  # names: MOST_QUERIES at most
-        return ranked.where(F.col("rank") <= max(n, 0)).select(*ids, "chunk_id", "score", "rank")
+        return found.join(F.broadcast(names), "_n").drop("_n")  # names: about MOST_QUERIES
 
 
 def scan(docs: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> TextScan:

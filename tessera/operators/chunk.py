@@ -22,3 +22,40 @@ def chunk_texts(df: DataFrame, text: str = "text", size: int = SIZE, overlap: in
     t, step = F.col(text), size - overlap
     windows = F.transform(F.sequence(F.lit(0), chunk_count(t, size, overlap) - 1), lambda k: F.substring(t, k * step + 1, F.lit(size)))
     return df.where(t.isNotNull()).select(*[c for c in df.columns if c != text], F.posexplode(windows).alias("chunk_idx", "chunk_text"))
+
+
+#: What ends paragraphs, lines, sentences and words, coarsest first.
+ENDS = (("\n\n",), ("\n",), (". ", "! ", "? "), (" ",))
+
+
+def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
+    """Chunks of at most `size` characters that end, where they can, behind a paragraph, else a line, a sentence or a word.
+
+    The next chunk begins `overlap` characters before that end, at the first word there.  A cut leaves more than the overlap,
+    so each chunk is ahead of the one before.
+    """
+    out, at = [], 0
+    while len(text) - at > size:
+        window = text[at : at + size]
+        ends = (max((i + len(e) for e in kind if (i := window.rfind(e)) >= 0), default=0) for kind in ENDS)
+        cut = next((e for e in ends if e > overlap), size)
+        out.append(window[:cut])
+        back = window[cut - overlap : cut]
+        word = min((i + 1 for c in " \n" if (i := back.find(c)) >= 0), default=0)
+        at += cut - overlap + word
+    return [*out, text[at:]]
+
+
+def split_texts(df: DataFrame, text: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """As chunk_texts, by split_text: a row per chunk, chunk_idx from 0 and chunk_text."""
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be at least 0 and less than size")
+
+    @F.arrow_udf("array<string>")
+    def split(col):
+        import pyarrow as pa
+
+        return pa.array([split_text(x, size, overlap) for x in col.to_pylist()], pa.list_(pa.string()))
+
+    t = F.col(f"`{text}`")
+    return df.where(t.isNotNull()).select(*[F.col(f"`{c}`") for c in df.columns if c != text], F.posexplode(split(t)).alias("chunk_idx", "chunk_text"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,6 +32,8 @@ def number(rows: DataFrame, by: list[str], order: list[Column], name: str, cap:
 
 
 class Reranker(Protocol):
+    """A model as a column function: struct(score, error) of a query and a text; where it fails, an error instead of a score."""
+
     def score(self, query: Column, text: Column) -> Column: ...
 
 
@@ -39,17 +42,47 @@ class TokenCoverage:
 
     def score(self, query: Column, text: Column) -> Column:
         q = F.array_distinct(T.tokenize(query))
-        return F.when(F.size(q) > 0, F.round(F.size(F.array_intersect(q, T.tokenize(text))) / F.size(q), 6)).otherwise(0.0)
+        share = F.when(F.size(q) > 0, F.round(F.size(F.array_intersect(q, T.tokenize(text))) / F.size(q), 6)).otherwise(0.0)
+        return F.struct(share.alias("score"), F.lit(None).cast("string").alias("error"))
+
+
+class PythonReranker:
+    """A function of a query and a text; what it raises for a pair becomes that pair's error."""
+
+    def __init__(self, function: Callable[[str, str], float]):
+        self.function = function
+
+    def score(self, query: Column, text: Column) -> Column:
+        function = self.function
+
+        @F.arrow_udf("score double, error string")
+        def scores(queries, texts):
+            import pyarrow as pa
+
+            found, errors = [], []
+            for q, t in zip(queries.to_pylist(), texts.to_pylist()):
+                try:
+                    found.append(float(function(q, t)))
+                    errors.append(None)
+                except Exception as e:  # one pair's failure is no other's
+                    found.append(None)
+                    errors.append(str(e) or type(e).__name__)
+            return pa.StructArray.from_arrays([pa.array(found, pa.float64()), pa.array(errors, pa.string())], names=["score", "error"])
+
+        return scores(query, text)
 
 
 def rerank(rows: DataFrame, by: list[str], enabled: Column, top_k: Column, reranker: Reranker | None = None, rank: str = "fused_rank") -> DataFrame:
-    """Adds final_rank: by model score where enabled and there are more candidates than top_k, else as fused."""
-    model = reranker or TokenCoverage()
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    rows = rows.withColumn("candidates", n)
-    score = F.when(enabled & (F.col("candidates") > top_k), F.coalesce(model.score(F.col("query"), F.col("text")), F.lit(0.0))).otherwise(0.0)
-    rows = rows.withColumn("rerank_score", score)
-    return number(rows, by, [F.desc("rerank_score"), F.col(rank)], "final_rank")
+    """Adds final_rank: by model score where enabled and there are more candidates than top_k, else as fused.
+
+    If the model fails for a candidate of a query, that query's rows stay as fused and carry the error (rerank_error).
+    """
+    model, group = reranker or TokenCoverage(), Window.partitionBy(*by)
+    rows = rows.withColumn("candidates", F.count(F.lit(1)).over(group))
+    rows = rows.withColumn("_said", F.when(enabled & (F.col("candidates") > top_k), model.score(F.col("query"), F.col("text"))))
+    rows = rows.withColumn("rerank_error", F.max("_said.error").over(group))
+    score = F.when(F.col("rerank_error").isNull(), F.coalesce("_said.score", F.lit(0.0))).otherwise(0.0)
+    return number(rows.withColumn("rerank_score", score).drop("_said"), by, [F.desc("rerank_score"), F.col(rank)], "final_rank")
 
 
 def select_diverse(rows: DataFrame, limit: int | Column, max_per_source: int | Column, by: list[str], source: str = "source", rank: str = "final_rank") -> DataFrame:

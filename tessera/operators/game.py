@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..sources.adapters import active
 
+#: Users of one salary whose positions a task counts at once, by the width of their range of ids.
+RANK_IDS = 65_536
 OPTIONS = "array<struct<optionName:string,trueAnswer:boolean>>"
 
 
@@ -64,18 +66,23 @@ def pick_unanswered_all(level: DataFrame, user_level: DataFrame, users: DataFram
 def salary_ranking(user: DataFrame, limit: int | None = None) -> DataFrame:
     """Users by salary with their position; ties by id.
 
-    With a limit the sort is a distributed top-k; without one, positions are counted in two steps (rows before a
-    salary, then a number within it), so that no task holds all users.
+    With a limit the sort is a distributed top-k; without one, positions are counted in steps: users of higher salaries, those of
+    the same one in smaller ranges of RANK_IDS ids, and a number within the range, so that no task holds all users of a salary.
     """
     shown = active(user)
     if limit is not None:
         top = shown.orderBy(F.desc_nulls_last("salary"), "id").limit(limit)
         return top.withColumn("position", F.row_number().over(Window.orderBy(F.desc_nulls_last("salary"), "id")))
-    counts = shown.groupBy("salary").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(F.desc_nulls_last("salary")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    joined = shown.alias("u").join(before.alias("b"), F.col("u.salary").eqNullSafe(F.col("b.salary")))
-    place = F.row_number().over(Window.partitionBy("u.salary").orderBy("u.id"))
-    return joined.select("u.*", (F.col("b.before") + place).cast("long").alias("position"))
+    part = F.floor(F.col("id") / RANK_IDS)
+    counts = shown.groupBy("salary", part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    so_far = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    of_salary = counts.groupBy("salary").agg(F.sum("n").alias("n"))
+    of_salary = of_salary.select("salary", so_far(Window.orderBy(F.desc_nulls_last("salary"))).alias("richer"))  # a row per salary
+    within = counts.withColumn("before", so_far(Window.partitionBy("salary").orderBy("part"))).drop("n")
+    offset = within.alias("w").join(of_salary.alias("s"), F.col("w.salary").eqNullSafe(F.col("s.salary"))).select("w.salary", "w.part", (F.col("before") + F.col("richer")).alias("before"))
+    joined = shown.withColumn("_part", part).alias("u").join(offset.alias("o"), F.col("u.salary").eqNullSafe(F.col("o.salary")) & (F.col("u._part") == F.col("o.part")))
+    place = F.row_number().over(Window.partitionBy("u.salary", "u._part").orderBy("u.id"))
+    return joined.select(*[f"u.{c}" for c in shown.columns], (F.col("o.before") + place).cast("long").alias("position"))
 
 
 def answer_summary(user: DataFrame, user_level: DataFrame) -> DataFrame:
@@ -109,7 +116,7 @@ def submit_answers(answers: DataFrame, level: DataFrame, user: DataFrame) -> Dat
     paid = active(user).select(F.col("id").alias("userId"), F.coalesce("salary", F.lit(0)).alias("salary"))
     graded = answers.join(truth, "levelId").join(paid, "userId").withColumn("g", R.local_grade(F.col("trueOptions"), F.col("userOptions")))
     change = R.salary_change(F.col("g.score"), F.col("salary"))
-    return graded.select("userId", "levelId", "g.*", R.grade_text(F.col("g.score")).alias("verdict"), change.alias("salaryChange"), R.apply_change(F.col("salary"), change).alias("newSalary"))
+    return graded.select("userId", "levelId", "g.*", R.grade_text(F.col("g.score")).alias("verdict"), R.grade_reason(F.col("g")).alias("reason"), change.alias("salaryChange"), R.apply_change(F.col("salary"), change).alias("newSalary"))
 
 
 def salary_ledger(user: DataFrame, user_level: DataFrame) -> DataFrame:

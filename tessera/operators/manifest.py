@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -122,6 +123,11 @@ def parse_collection_meta(content: DataFrame, text: str = "text") -> DataFrame:
     return content.withColumns({"collection": name, "segments": count})
 
 
+def format_collection_meta(name: Column, segments: Column) -> Column:
+    """The two lines that parse_collection_meta reads."""
+    return F.concat(F.lit("collection="), name, F.lit("\nsegments="), segments.cast("string"), F.lit("\n"))
+
+
 @dataclass
 class Store:
     """Versions of a chunk table and its manifest in one folder; a pointer table names the current version and is written last."""
@@ -145,13 +151,27 @@ class Store:
         chunks.write.mode("overwrite").parquet(f"{self.path}/v{new}/chunks")
         manifest.write.mode("overwrite").parquet(f"{self.path}/v{new}/manifest")
         self.spark.createDataFrame([(header.collection, header.size, header.overlap)], "collection string, chunk int, overlap int").write.mode("overwrite").parquet(f"{self.path}/v{new}/header")
+        meta = manifest.agg(F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("segments"))
+        meta.select(format_collection_meta(F.lit(header.collection or ""), F.col("segments")).alias("text")).coalesce(1).write.mode("overwrite").text(f"{self.path}/v{new}/meta")
         self.spark.createDataFrame([(new,)], "version int").write.mode("append").parquet(f"{self.path}/pointer")
         return new
 
+    def meta(self) -> DataFrame:
+        """(collection, segments) as the current version's meta file says."""
+        return parse_collection_meta(self.spark.read.text(f"{self.path}/v{self.version()}/meta", wholetext=True).withColumnRenamed("value", "text")).select("collection", "segments")
+
     def header(self) -> Header | None:
         return Header(*self.read("header").first()) if self.version() else None
 
 
+def reconcile(previous: DataFrame, current: DataFrame, failed: DataFrame, same_collection: bool = True) -> DataFrame:
+    """What a start finds, one row: the counts of the comparison, whether index and sources agree (in_sync), and the index's
+    size in chunks: the manifest's if it is of the collection in use, else that of the sources as they are now."""
+    size = previous if same_collection else current
+    compared = summary(diff(previous, current, failed)).withColumnRenamed("nothing_to_do", "in_sync")
+    return compared.join(size.agg(F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("index_size")))  # a row each
+
+
 @dataclass(frozen=True)
 class RebuildStatus:
     mode: str
@@ -160,9 +180,11 @@ class RebuildStatus:
     counts: dict[str, int]
 
 
-def rebuild(store: Store, sources: DataFrame, failed: DataFrame, header: Header, full: bool = False) -> RebuildStatus:
+def rebuild(store: Store, sources: DataFrame, failed: DataFrame, header: Header, full: bool = False, after: Callable[[], None] | None = None) -> RebuildStatus:
     """Brings the store up to sources (key, text, ord): incrementally, or all anew if asked for or needed.
 
+    after: called once something new is published, such as a cache's clear_all.
+
     A full rebuild keeps what failed to load now, as an incremental one does, if the old version fits; nothing is
     written if nothing changed.
     """
@@ -172,6 +194,8 @@ def rebuild(store: Store, sources: DataFrame, failed: DataFrame, header: Header,
     if reason:
         manifest = now.select(*KEY, "fingerprint", "chunk_count", F.lit(1).alias("late"), "ord")
         version = store.publish(chunks_of(now, header.size, header.overlap), manifest, header)
+        if after:
+            after()
         return RebuildStatus("full", reason, version, {"added": manifest.count()})
     before = store.read("manifest")
     compared = diff(before, now, failed).persist()
@@ -180,6 +204,8 @@ def rebuild(store: Store, sources: DataFrame, failed: DataFrame, header: Header,
         if counts.pop("nothing_to_do"):
             return RebuildStatus("none", None, store.version(), counts)
         version = store.publish(apply_to_chunks(store.read("chunks"), compared, now, header.size, header.overlap), apply_to_manifest(before, compared, now), header)
+        if after:
+            after()
         return RebuildStatus("incremental", None, version, counts)
     finally:
         compared.unpersist()

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import logging
+import time
+from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import bm25, fusion, vector
+from . import bm25, embed, fusion, vector
 
 log = logging.getLogger(__name__)
 
@@ -29,6 +32,8 @@ class RetrieveOptions:
     max_per_source: int = 2
     min_score: float = 0.2
     score_scale: str = "raw"
+    #: Run each recall by itself, so that one which fails as it runs is left out too.
+    eager: bool = False
 
     def with_(self, **changes) -> RetrieveOptions:
         return replace(self, **changes)
@@ -41,24 +46,64 @@ class RetrieveOptions:
 
 @dataclass
 class Corpus:
-    """What is searched: chunks (chunk_id, source, text), their vectors (chunk_id, vector) and the keyword index."""
+    """What is searched: chunks (chunk_id, source, text), their vectors (chunk_id, vector) and the keyword index.
+
+    With an embedder the vectors of queries and rewrites are made by it; without, queries bring a column vector.
+    """
 
     chunks: DataFrame
     vectors: DataFrame
     index: bm25.Bm25Index | bm25.TextScan
+    embedder: embed.Embedder | None = None
+
+
+class Rewriter(Protocol):
+    """A model as a column function: other ways to say a query, at most `count`; null where it fails."""
+
+    def rewrite(self, query: Column, count: int) -> Column: ...
+
+
+class PythonRewriter:
+    """A function of a query and a count; a query for which it raises keeps its own words only."""
+
+    def __init__(self, function: Callable[[str, int], list[str] | None]):
+        self.function = function
+
+    def rewrite(self, query: Column, count: int) -> Column:
+        function = self.function
+
+        @F.arrow_udf("array<string>")
+        def rewrites(col):
+            import pyarrow as pa
+
+            def one(q):
+                try:
+                    return function(q, count)
+                except Exception:  # one query's failure is no other's
+                    return None
+
+            return pa.array([one(q) for q in col.to_pylist()], pa.list_(pa.string()))
+
+        return rewrites(query)
 
 
-def expand_queries(queries: DataFrame, rewrites: str = "rewrites", enabled: bool = True, count: int = 4) -> DataFrame:
-    """(query_id, q_idx, query) with the original first, then up to `count` distinct trimmed rewrites."""
+def expand_queries(queries: DataFrame, rewrites: str = "rewrites", enabled: bool = True, count: int = 4, rewriter: Rewriter | None = None) -> DataFrame:
+    """(query_id, q_idx, query) with the original first, then up to `count` distinct trimmed rewrites: the rewriter's, else a column's."""
+    if rewriter:
+        queries = queries.withColumn(rewrites, rewriter.rewrite(F.col("query"), count))
     rest = F.filter(F.transform(F.coalesce(F.col(rewrites), F.array().cast("array<string>")), T.java_trim), lambda x: x.isNotNull() & (x != ""))
     every = F.array_distinct(F.concat(F.array("query"), rest)) if enabled else F.array("query")
-    return queries.select(*[c for c in queries.columns if c not in ("query", rewrites)], F.posexplode(F.slice(every, 1, count + 1)).alias("q_idx", "query"))
+    return queries.select(*[c for c in queries.columns if c not in ("query", rewrites)], F.posexplode(F.slice(every, 1, max(count, 0) + 1)).alias("q_idx", "query"))
 
 
-def _tolerant(what: str, strict: bool, run: Callable[[], DataFrame]) -> DataFrame | None:
-    """A recall whose plan can't be made is an error if strict, else it is left out."""
+def _tolerant(what: str, strict: bool, run: Callable[[], DataFrame], eager: bool) -> DataFrame | None:
+    """A recall that fails is an error if strict, else it is left out: as its plan is made, or (eager) as it runs."""
     try:
-        return run()
+        out = run()
+        if eager:
+            out = out.persist()
+            out.count()
+        return out
     except Exception:
         if strict:
             raise
@@ -70,11 +115,13 @@ def recall(asked: DataFrame, corpus: Corpus, options: RetrieveOptions, strict: b
     """Ranked lists (query_id, q_idx, route, rank, chunk_id): route 0 by vector, 1 by keyword."""
     ids = ["query_id", "q_idx"]
     parts = []
-    by_vector = _tolerant("vector", strict, lambda: vector.search(asked, corpus.vectors, options.vector_recall, options.min_score, options.score_scale, ids))
+    if corpus.embedder:
+        asked = asked.withColumn("vector", corpus.embedder.embed(F.col("query")))
+    by_vector = _tolerant("vector", strict, lambda: vector.search(asked, corpus.vectors, options.vector_recall, options.min_score, options.score_scale, ids), options.eager)
     if by_vector is not None:
         parts.append(by_vector.select(*ids, F.lit(0).alias("route"), "rank", "chunk_id"))
     if options.hybrid:
-        by_word = _tolerant("keyword", strict, lambda: corpus.index.search(asked, options.keyword_recall, ids))
+        by_word = _tolerant("keyword", strict, lambda: corpus.index.search(asked, options.keyword_recall, ids), options.eager)
         if by_word is not None:
             parts.append(by_word.select(*ids, F.lit(1).alias("route"), "rank", "chunk_id"))
     if not parts:
@@ -85,26 +132,66 @@ def recall(asked: DataFrame, corpus: Corpus, options: RetrieveOptions, strict: b
     return out
 
 
-def finish(lists: DataFrame, queries: DataFrame, corpus: Corpus, by: list[str], options: dict[str, Column], candidates: int, rrf_k: int) -> DataFrame:
+def finish(lists: DataFrame, queries: DataFrame, corpus: Corpus, by: list[str], options: dict[str, Column], candidates: int, rrf_k: int, reranker: fusion.Reranker | None = None) -> DataFrame:
     """Fusion, cap, rerank and diversity; options: columns rerank, top_k and max_per_source."""
     chunks = corpus.chunks.select("chunk_id", "source", "text")
     named = lists.join(chunks, "chunk_id").withColumn("key", F.md5(T.java_trim(F.col("text"))))
     fused = fusion.rrf(named, by, k=rrf_k)
     capped = fusion.number(fused, by, [F.desc("rrf"), F.col("seen")], "fused_rank", candidates)
     capped = capped.join(queries.select("query_id", "query"), "query_id")
-    ranked = fusion.rerank(capped, by, options["rerank"], options["top_k"])
+    ranked = fusion.rerank(capped, by, options["rerank"], options["top_k"], reranker)
     return fusion.select_diverse(ranked, options["top_k"], options["max_per_source"], by)
 
 
-def retrieve(queries: DataFrame, corpus: Corpus, options: RetrieveOptions | None = None, strict: bool = False) -> DataFrame:
+def retrieve(queries: DataFrame, corpus: Corpus, options: RetrieveOptions | None = None, strict: bool = False, rewriter: Rewriter | None = None,
+             reranker: fusion.Reranker | None = None) -> DataFrame:
     """(query_id, pos, chunk_id, source, text, rrf, rerank_score) for queries (query_id, query, rewrites, vector)."""
     o = options or RetrieveOptions()
-    asked = expand_queries(queries, enabled=o.rewrite, count=o.rewrite_count)
+    asked = expand_queries(queries, enabled=o.rewrite, count=o.rewrite_count, rewriter=rewriter)
     lists = recall(asked, corpus, o, strict)
     columns = {"rerank": F.lit(o.rerank), "top_k": F.lit(o.top_k), "max_per_source": F.lit(o.max_per_source)}
-    out = finish(lists, queries, corpus, ["query_id"], columns, o.candidates, o.rrf_k)
+    out = finish(lists, queries, corpus, ["query_id"], columns, o.candidates, o.rrf_k, reranker)
     return out.select("query_id", "pos", "chunk_id", "source", "text", "rrf", "rerank_score")
 
 
-def retrieve_context(queries: DataFrame, corpus: Corpus, options: RetrieveOptions | None = None) -> DataFrame:
-    return fusion.assemble_context(retrieve(queries, corpus, options), ["query_id"])
+class ResultCache:
+    """Contexts by query, held on the driver: at most max_entries of them, each for ttl seconds; blank ones aren't kept."""
+
+    def __init__(self, ttl: float = 1800, max_entries: int = 1000, clock: Callable[[], float] = time.monotonic):
+        self.ttl, self.max_entries, self.clock = ttl, max_entries, clock
+        self._held: OrderedDict[str, tuple[float, str]] = OrderedDict()
+
+    def get(self, query: str) -> str | None:
+        when, context = self._held.get(query, (0.0, None))
+        if context is None or self.clock() - when >= self.ttl:
+            self._held.pop(query, None)
+            return None
+        self._held.move_to_end(query)
+        return context
+
+    def put(self, query: str, context: str | None) -> None:
+        if context and context.strip():
+            self._held[query] = (self.clock(), context)
+            self._held.move_to_end(query)
+            while len(self._held) > self.max_entries:
+                self._held.popitem(last=False)
+
+    def clear_all(self) -> None:
+        self._held.clear()
+
+    def items(self) -> list[tuple[str, str]]:
+        return [(q, c) for q in list(self._held) if (c := self.get(q)) is not None]
+
+
+def retrieve_context(queries: DataFrame, corpus: Corpus, options: RetrieveOptions | None = None, cache: ResultCache | None = None, **models) -> DataFrame:
+    """(query_id, context, cached) of the queries that find something; with a cache, those it knows aren't searched again."""
+    answer = lambda q: fusion.assemble_context(retrieve(q, corpus, options, **models), ["query_id"]).withColumn("cached", F.lit(False))
+    if cache is None:
+        return answer(queries)
+    known = queries.sparkSession.createDataFrame(cache.items(), "query string, context string")
+    hits = queries.join(F.broadcast(known), "query").select("query_id", "context", F.lit(True).alias("cached"))  # max_entries at most
+    missed = queries.join(F.broadcast(known), "query", "left_anti")
+    fresh = answer(missed).persist()
+    for row in fresh.join(missed.select("query_id", "query"), "query_id").select("query", "context").limit(cache.max_entries).toLocalIterator():
+        cache.put(row["query"], row["context"])
+    return hits.unionByName(fresh)

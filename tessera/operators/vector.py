@@ -2,55 +2,71 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query rows that are sent to all tasks; beyond that the search runs as a join.
+#: Query rows that are sent to all tasks at once; more are searched block by block, a pass over the corpus each.
 MOST_QUERIES = 8192
 
 
+def in_blocks(rows: DataFrame, by: list[str], most: int) -> Iterator[list]:
+    """rows, collected in lists of about `most`; mostly there is one."""
+    held = rows.limit(most + 1).collect()
+    if len(held) <= most:
+        yield held
+        return
+    blocks = math.ceil(rows.count() / most)
+    for b in range(blocks):
+        yield rows.where(F.pmod(F.xxhash64(*by), F.lit(blocks)) == b).collect()
+
+
 def _score_scale(score, scale: str):
     return score if scale == "raw" else (score + 1) / 2
 
 
+def _found(held: list, ids: list[str], kinds: str, corpus: DataFrame, n: int, min_score: float, score_scale: str) -> DataFrame:
+    """(ids, chunk_id, score) of each Arrow batch's n best for the queries held."""
+    spark = corpus.sparkSession
+    matrix = spark.sparkContext.broadcast(np.array([r["vector"] for r in held], np.float64))  # about MOST_QUERIES rows
+
+    def products(batches):
+        q = matrix.value
+        for batch in batches:
+            v = batch.column("vector")
+            if not batch.num_rows or not len(q):
+                continue
+            x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            chunk = batch.column("chunk_id").to_numpy(zero_copy_only=False)
+            for at in range(0, len(q), 512):
+                s = np.round(q[at : at + 512] @ x.T, 6)
+                s = np.where(_score_scale(s, score_scale) >= min_score, s, -np.inf)
+                if s.shape[1] > n > 0:
+                    cut = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]  # ties at the cut all stay
+                    s = np.where(s >= cut, s, -np.inf)
+                i, j = np.nonzero(s > -np.inf)
+                yield pa.record_batch([pa.array(i + at, pa.int32()), pa.array(chunk[j], pa.int64()), pa.array(s[i, j], pa.float64())], names=["_n", "chunk_id", "score"])
+
+    found = corpus.where("vector is not null").select(F.col("chunk_id").cast("long").alias("chunk_id"), "vector").mapInArrow(products, "_n int, chunk_id long, score double")
+    names = spark.createDataFrame([(k, *(r[c] for c in ids)) for k, r in enumerate(held)], "_n int, " + kinds)
+    return found.join(names, "_n").drop("_n")
+
+
 def search(queries: DataFrame, corpus: DataFrame, n: int, min_score: float = 0.2, score_scale: str = "raw", id_cols: list[str] | None = None) -> DataFrame:
     """(ids, chunk_id, score, rank): the n best of corpus (chunk_id, vector) for each query (ids, vector).
 
     score_scale tells what min_score is compared with: the inner product s ("raw") or (s+1)/2 ("unit").  Ties go
-    to the smaller chunk.  Up to MOST_QUERIES queries, every Arrow batch of the corpus is multiplied with the
-    broadcast queries and gives each query's n best only, so what is shuffled doesn't grow with the corpus' rows times queries.
+    to the smaller chunk.  Every Arrow batch of the corpus is multiplied with the broadcast queries, MOST_QUERIES at once, and
+    gives each query's n best only, so what is shuffled doesn't grow with the corpus' rows times queries.
     """
     ids = id_cols or ["query_id"]
     asked = queries.where("vector is not null").select(*ids, "vector")
-    held = asked.limit(MOST_QUERIES + 1).collect()
-    if len(held) > MOST_QUERIES:
-        dot = F.aggregate(F.zip_with("vector", "_q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-        pairs = corpus.select("chunk_id", "vector").crossJoin(asked.withColumnRenamed("vector", "_q")).select(*ids, "chunk_id", F.round(dot, 6).alias("score"))
-    else:
-        matrix = corpus.sparkSession.sparkContext.broadcast(np.array([r["vector"] for r in held], np.float64))
-
-        def products(batches):
-            q = matrix.value
-            for batch in batches:
-                v = batch.column("vector")
-                if not batch.num_rows or not len(q):
-                    continue
-                x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                chunk = batch.column("chunk_id").to_numpy(zero_copy_only=False)
-                for at in range(0, len(q), 512):
-                    s = np.round(q[at : at + 512] @ x.T, 6)
-                    s = np.where(_score_scale(s, score_scale) >= min_score, s, -np.inf)
-                    if s.shape[1] > n > 0:
-                        cut = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]  # ties at the cut all stay
-                        s = np.where(s >= cut, s, -np.inf)
-                    i, j = np.nonzero(s > -np.inf)
-                    yield pa.record_batch([pa.array(i + at, pa.int32()), pa.array(chunk[j], pa.int64()), pa.array(s[i, j], pa.float64())], names=["_n", "chunk_id", "score"])
-
-        found = corpus.where("vector is not null").select(F.col("chunk_id").cast("long").alias("chunk_id"), "vector").mapInArrow(products, "_n int, chunk_id long, score double")
-        names = corpus.sparkSession.createDataFrame([(n, *(r[c] for c in ids)) for n, r in enumerate(held)], "_n int, " + ", ".join(f"`{c}` {asked.schema[c].dataType.simpleString()}" for c in ids))
-        pairs = found.join(names, "_n").drop("_n")
+    kinds = ", ".join(f"`{c}` {asked.schema[c].dataType.simpleString()}" for c in ids)
+    pairs = reduce(DataFrame.unionByName, [_found(held, ids, kinds, corpus, n, min_score, score_scale) for held in in_blocks(asked, ids, MOST_QUERIES)])
     best = Window.partitionBy(*ids).orderBy(F.desc("score"), "chunk_id")
-    kept = pairs.where(_score_scale(F.col("score"), score_scale) >= min_score)
-    return kept.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max(n, 0)).select(*ids, "chunk_id", "score", "rank")
+    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max(n, 0)).select(*ids, "chunk_id", "score", "rank")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import bm25, chunk, evaluate, fusion, game, manifest, retrieve, vector
+from ..operators import bm25, chunk, embed, evaluate, fusion, game, manifest, retrieve, vector
+from ..session import shared_dir
 from ..sources import adapters, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,32 +55,36 @@ vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 _LISTS = """lists AS (SELECT a.query_id, a.q_idx, 0 AS route, v.rank, v.chunk_id FROM asked a JOIN vec v USING (query_id) UNION ALL SELECT query_id, q_idx, 1, rank, chunk_id FROM kw)"""
 
 
-def _finish_sql(by: str, lists: str, rerank: str, top_k: str, per_source: str) -> str:
-    """CTE final(by, chunk_id, source, text, rrf, rerank_score, pos)."""
+def _finish_sql(by: str, lists: str, rerank: str, top_k: str, per_source: str, flaky: str = "false") -> str:
+    """CTE final(by, chunk_id, source, text, rrf, rerank_score, err, pos)."""
     return f"""named AS (SELECT x.*, d.source, d.text, md5({_TRIM.format('d.text')}) AS key FROM {lists} x JOIN documents d ON x.chunk_id = d.doc_id),
 fused AS (SELECT {by}, key, round(list_sum(list(1.0::DOUBLE / (60 + rank) ORDER BY q_idx, route, rank)), 9) AS rrf, min([q_idx, route, rank]) AS seen,
   arg_min(struct_pack(chunk_id := chunk_id, source := source, text := text), [q_idx, route, rank]) AS f FROM named GROUP BY {by}, key),
 capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY rrf DESC, seen) AS fused_rank FROM fused) WHERE fused_rank <= 30),
-counted AS (SELECT c.*, list_distinct({_TOKENS.format('b.text')}) AS q, count(*) OVER (PARTITION BY {by}) AS n FROM capped c JOIN benchmark b ON c.query_id = b.item_id),
-reranked AS (SELECT *, CASE WHEN {rerank} AND n > {top_k} AND len(q) > 0 THEN round(len(list_intersect(q, {_TOKENS.format('f.text')}))::DOUBLE / len(q), 6) ELSE 0.0 END AS rerank_score FROM counted),
+counted AS (SELECT c.*, list_distinct({_TOKENS.format('b.text')}) AS q, {flaky} AND length(b.text) % 11 = 10 AS flaky, count(*) OVER (PARTITION BY {by}) AS n FROM capped c JOIN benchmark b ON c.query_id = b.item_id),
+reranked AS (SELECT *, CASE WHEN flaky AND {rerank} AND n > {top_k} THEN 'no answer' END AS err, CASE WHEN {rerank} AND n > {top_k} AND len(q) > 0 AND NOT flaky THEN round(len(list_intersect(q, {_TOKENS.format('f.text')}))::DOUBLE / len(q), 6) ELSE 0.0 END AS rerank_score FROM counted),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY rerank_score DESC, fused_rank) AS final_rank FROM reranked),
 nth AS (SELECT *, {per_source} > 0 AND f.source IS NOT NULL AND row_number() OVER (PARTITION BY {by}, f.source ORDER BY final_rank) > {per_source} AS over FROM ranked),
 final AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY over, final_rank) AS pos FROM nth) WHERE pos <= {top_k})"""
 
 
 _RETRIEVE = f"WITH {_INDEX}, {_ASKED}, {_VEC}, {_bm25_sql('asked', 'query_id, q_idx', 20)}, {_LISTS}"
-_EXPECTED = """cases AS (SELECT b.item_id AS case_id, b.text AS query, coalesce(list('doc/' || d.doc_id ORDER BY d.doc_id) FILTER (WHERE d.doc_id IS NOT NULL), ['doc/absent-' || b.item_id]) AS expected
-  FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id, b.text)"""
+_EXPECTED = """cases AS (SELECT b.item_id AS case_id, b.text AS query, coalesce(list(CASE WHEN d.doc_id % 2 = 1 THEN 'https://www.kb.example/doc/' || d.doc_id || '/' ELSE 'doc/' || d.doc_id END ORDER BY d.doc_id)
+    FILTER (WHERE d.doc_id IS NOT NULL), ['doc/absent-' || b.item_id]) AS expected FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id, b.text)"""
+_MATCH = "({a} <> '' AND {b} <> '' AND ({a} = {b} OR ends_with({a}, '/' || {b}) OR ends_with({b}, '/' || {a})))"
 _VARIANTS = """variants AS (SELECT * FROM (VALUES ('all-on', true, true, true, 3, 2), ('no-rewrite', false, true, true, 3, 2), ('no-hybrid', true, false, true, 3, 2), ('no-rerank', true, true, false, 3, 2),
   ('vector-only', true, false, false, 3, 2), ('no-diversity', true, true, true, 3, 0), ('topk-5', true, true, true, 5, 2)) v(variant_id, v_rewrite, v_hybrid, v_rerank, v_top_k, v_per_source))"""
 _RUN = f"""{_RETRIEVE}, {_VARIANTS}, vlists AS (SELECT * FROM lists, variants WHERE (v_rewrite OR q_idx = 0) AND (v_hybrid OR route = 0)),
-{_finish_sql('variant_id, v_rerank, v_top_k, v_per_source, query_id', 'vlists', 'v_rerank', 'v_top_k', 'v_per_source')}, {_EXPECTED},
-got AS (SELECT variant_id, query_id AS case_id, list('doc/' || f.chunk_id ORDER BY pos) AS returned FROM final GROUP BY ALL),
-results AS (SELECT v.variant_id, c.case_id, c.query, c.expected, coalesce(g.returned, []) AS returned, 10 + (c.case_id * 37) % 200 AS cost_ms, CASE WHEN c.case_id % 11 = 10 THEN 'timeout' END AS error
+{_finish_sql('variant_id, v_rerank, v_top_k, v_per_source, query_id', 'vlists', 'v_rerank', 'v_top_k', 'v_per_source', 'true')}, {_EXPECTED},
+got AS (SELECT variant_id, query_id AS case_id, list('doc/' || f.chunk_id ORDER BY pos) AS returned, max(err) AS err FROM final GROUP BY variant_id, query_id),
+results AS (SELECT v.variant_id, c.case_id, c.query, c.expected, CASE WHEN err IS NULL THEN coalesce(g.returned, []) ELSE [] END AS returned, 10 + (c.case_id * 37) % 200 AS cost_ms, err AS error
   FROM cases c CROSS JOIN variants v LEFT JOIN got g ON g.variant_id = v.variant_id AND g.case_id = c.case_id),
-credit AS (SELECT *, list_transform(returned, lambda r: list_filter(expected, lambda e: e = r)[1]) AS c FROM results),
+normed AS (SELECT *, list_transform(expected, lambda e: {_NORM.format('e')}) AS en, list_transform(returned, lambda r: {_NORM.format('r')}) AS rn FROM results),
+credit AS (SELECT *, list_transform(rn, lambda r: expected[list_position(list_transform(en, lambda e: {_MATCH.format(a='r', b='e')}), true)]) AS c FROM normed),
 scores AS (SELECT variant_id, case_id, expected, returned, cost_ms, error, coalesce(list_filter(list_transform(range(1, len(c) + 1), lambda i: CASE WHEN c[i] IS NOT NULL THEN i END), lambda x: x IS NOT NULL)[1], 0) AS hit_rank,
   len(list_filter(c, lambda x: x IS NOT NULL)) AS hit_count, list_distinct(list_filter(c, lambda x: x IS NOT NULL)) AS hit_expected, len(returned) AS returned_count, len(list_distinct(returned)) AS distinct_sources FROM credit)"""
+_KNOWN = f"""idx AS (SELECT {_NORM.format("'doc/' || doc_id")} AS x FROM documents), wanted AS (SELECT DISTINCT unnest(expected) AS raw FROM cases),
+known AS (SELECT coalesce(list(DISTINCT raw), []) AS k FROM (SELECT raw, {_NORM.format('raw')} AS w FROM wanted), idx WHERE {_MATCH.format(a='w', b='x')})"""
 _METRICS = """metrics AS (SELECT variant_id, count(*) AS total, count(error) AS failed, round(sum((hit_rank > 0)::INT)::DOUBLE / count(*), 6) AS hit_rate,
   round(sum(CASE WHEN hit_rank > 0 THEN 1.0::DOUBLE / hit_rank ELSE 0 END) / count(*), 6) AS mrr, round(sum(len(hit_expected))::DOUBLE / sum(len(expected)), 6) AS recall,
   round(coalesce(sum(hit_count)::DOUBLE / nullif(sum(returned_count), 0), 0), 6) AS precision, round(sum(CASE WHEN returned_count > 0 THEN distinct_sources::DOUBLE / returned_count ELSE 0 END) / count(*), 6) AS diversity,
@@ -166,6 +173,23 @@ def local_grading(spark, d):
     return adapters.option_sets(spark, d).select("o_orderkey", rules.local_grade(F.col("true_set"), F.col("user_set")).alias("g")).select("o_orderkey", "g.*")
 
 
+@query("""WITH s AS (SELECT l_orderkey AS o_orderkey, list_distinct(list(l_linenumber)) AS us, list_filter([1, 2, 3, 4, 5, 6, 7], lambda n: (n + l_orderkey) % 2 = 0) AS ts FROM lineitem GROUP BY l_orderkey),
+g AS (SELECT *, len(list_intersect(us, ts)) AS correct FROM s)
+SELECT o_orderkey, 'Graded locally: ' || correct || ' of ' || len(ts) || ' right options chosen, ' || (len(us) - correct) || ' wrong, ' || (len(ts) - correct) || ' missed.' AS reason,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'As in the book.' ELSE 'Right options: ' || array_to_string(ts, ', ') || '.' END AS answer FROM g""")
+def grade_report(spark, d):
+    k = F.col("o_orderkey")
+    rows = adapters.option_sets(spark, d).withColumn("g", rules.local_grade(F.col("true_set"), F.col("user_set")))
+    standard = F.when(k % 3 == 0, "As in the book.").when(k % 3 == 1, " ")
+    return rows.select("o_orderkey", rules.grade_reason(F.col("g")).alias("reason"), rules.answer_text(standard, F.col("true_set").cast("array<string>")).alias("answer"))
+
+
+@query("SELECT p_partkey AS id, p_name AS levelName, p_brand || '-1,' || p_brand || '-2,' || p_brand || '-3,' || p_brand || '-4' AS optionNames FROM part WHERE p_partkey = 7")
+def level_detail(spark, d):
+    """One level by its key, without what is true of its options."""
+    return game.option_names(adapters.by_id(adapters.levels(spark, d), 7)).select("id", "levelName", F.array_join("optionNames", ",").alias("optionNames"))
+
+
 @query(f"""WITH {_USER}, {_PLAYED}, g AS (SELECT DISTINCT userId, score FROM a) SELECT userId, score, salary, {_CHANGE.format(s='score', p='salary')} AS change, greatest(0, salary + {_CHANGE.format(s='score', p='salary')}) AS after FROM g JOIN u ON userId = id""")
 def salary_change(spark, d):
     user, _, played = _game(spark, d)
@@ -294,6 +318,104 @@ def first_sources(spark, d):
     return manifest.first_of_key(docs)
 
 
+def _folder(spark) -> str:
+    """A new folder that all of the cluster sees."""
+    return f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+
+
+def _sources(spark, d) -> DataFrame:
+    return adapters.knowledge(spark, d).withColumnRenamed("chunk_id", "ord").select("source_key", "source_value", "text", "ord")
+
+
+@query(r"""WITH RECURSIVE c(doc_id, chunk_idx, pos, size) AS (SELECT doc_id, 0, 0::BIGINT, length(text) FROM documents UNION ALL
+  SELECT doc_id, chunk_idx + 1, pos + cut - 100 + CASE WHEN regexp_matches(substr(w, cut - 99, 100), '[ \n]') THEN length(regexp_extract(substr(w, cut - 99, 100), '(?s)^[^ \n]*[ \n]')) ELSE 0 END, size FROM (
+    SELECT *, CASE WHEN p > 100 THEN p WHEN l > 100 THEN l WHEN s > 100 THEN s WHEN x > 100 THEN x ELSE 500 END AS cut FROM (
+      SELECT c.*, w, length(regexp_extract(w, '(?s)^.*\n\n')) AS p, length(regexp_extract(w, '(?s)^.*\n')) AS l, length(regexp_extract(w, '(?s)^.*[.!?] ')) AS s, length(regexp_extract(w, '(?s)^.* ')) AS x
+      FROM c JOIN (SELECT doc_id, text FROM documents) d USING (doc_id), LATERAL (SELECT substr(d.text, pos + 1, 500) AS w) WHERE size - pos > 500))),
+n AS (SELECT c.*, substr(text, pos + 1, 500) AS w FROM c JOIN documents USING (doc_id)),
+e AS (SELECT *, length(regexp_extract(w, '(?s)^.*\n\n')) AS p, length(regexp_extract(w, '(?s)^.*\n')) AS l, length(regexp_extract(w, '(?s)^.*[.!?] ')) AS s, length(regexp_extract(w, '(?s)^.* ')) AS x FROM n)
+SELECT doc_id, chunk_idx, CASE WHEN size - pos <= 500 THEN w WHEN p > 100 THEN left(w, p) WHEN l > 100 THEN left(w, l) WHEN s > 100 THEN left(w, s) WHEN x > 100 THEN left(w, x) ELSE w END AS chunk_text FROM e""")
+def split_documents(spark, d):
+    return chunk.split_texts(adapters.table(spark, d, "documents").select("doc_id", "text"))
+
+
+@query(f"""WITH {_MANIFEST} SELECT {', '.join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in ('added', 'changed', 'removed', 'unchanged', 'failed'))},
+count(*) FILTER (WHERE status IN ('added', 'changed', 'removed')) = 0 AS in_sync, (SELECT sum(chunk_count)::BIGINT FROM p) AS index_size FROM diff""")
+def startup_reconcile(spark, d):
+    return manifest.reconcile(*adapters.manifest_fixture(spark, d))
+
+
+@query("""SELECT doc_id, 'collection=' || source || chr(10) || 'segments=' || n_chars || chr(10) AS text, source AS collection, n_chars::INT AS segments FROM documents""")
+def collection_meta_write(spark, d):
+    docs = adapters.table(spark, d, "documents")
+    written = docs.select("doc_id", manifest.format_collection_meta(F.col("source"), F.col("n_chars")).alias("text"))
+    return manifest.parse_collection_meta(written).select("doc_id", "text", "collection", "segments")
+
+
+@query("""WITH k AS (SELECT doc_id, text, greatest(1, ceil((length(text) - 100) / 400.0))::BIGINT AS n, greatest(1, ceil((length(text) + 1 - 100) / 400.0))::BIGINT AS n1 FROM documents)
+SELECT 1 AS step, 'full' AS mode, 1 AS version, count(*) AS added, 0 AS changed, 0 AS removed, sum(n)::BIGINT AS chunks, sum(n)::BIGINT AS segments FROM k
+UNION ALL SELECT 2, 'none', 1, 0, 0, 0, sum(n)::BIGINT, sum(n)::BIGINT FROM k
+UNION ALL SELECT 3, 'incremental', 2, 0, count(*) FILTER (WHERE doc_id % 19 <> 0 AND doc_id % 23 <> 0 AND doc_id % 13 = 0), count(*) FILTER (WHERE doc_id % 19 = 0 AND doc_id % 23 <> 0),
+  sum(n) FILTER (WHERE doc_id % 23 = 0)::BIGINT + sum(CASE WHEN doc_id % 13 = 0 THEN n1 ELSE n END) FILTER (WHERE doc_id % 19 <> 0 AND doc_id % 23 <> 0)::BIGINT,
+  sum(n) FILTER (WHERE doc_id % 23 = 0)::BIGINT + sum(CASE WHEN doc_id % 13 = 0 THEN n1 ELSE n END) FILTER (WHERE doc_id % 19 <> 0 AND doc_id % 23 <> 0)::BIGINT FROM k""")
+def rebuild_cycle(spark, d):
+    """A full rebuild, one with nothing to do, and an incremental one with changed, removed and failed sources."""
+    docs, header = _sources(spark, d), manifest.Header("docs")
+    store, rows = manifest.Store(spark, _folder(spark)), []
+    edited = docs.where("ord % 19 <> 0 AND ord % 23 <> 0").withColumn("text", F.when(F.col("ord") % 13 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")))
+    for step, (now, failed) in enumerate(((docs, docs.limit(0)), (docs, docs.limit(0)), (edited, docs.where("ord % 23 = 0"))), 1):
+        done = manifest.rebuild(store, now, failed, header)
+        rows.append((step, done.mode, store.version(), *(done.counts.get(k, 0) for k in ("added", "changed", "removed")), store.read("chunks").count(), store.meta().first()["segments"]))
+    return spark.createDataFrame(rows, "step int, mode string, version int, added long, changed int, removed int, chunks long, segments long")
+
+
+@query("""SELECT n_nationkey AS k, CASE WHEN n_nationkey % 5 < 2 THEN 'the manifest names no collection' WHEN n_nationkey % 5 = 2 THEN 'the manifest belongs to collection other'
+WHEN n_nationkey % 2 = 1 OR n_nationkey % 3 = 0 THEN 'chunks were ' || CASE WHEN n_nationkey % 2 = 1 THEN 400 ELSE 500 END || ' with overlap ' || CASE WHEN n_nationkey % 3 = 0 THEN 50 ELSE 100 END END AS reason FROM nation""")
+def rebuild_reasons(spark, d):
+    def header(k: int) -> manifest.Header | None:
+        return manifest.Header({1: " ", 2: "other"}.get(k % 5, "docs"), 400 if k % 2 else 500, 100 if k % 3 else 50) if k % 5 else None
+
+    keys = [r["n_nationkey"] for r in adapters.table(spark, d, "nation").select("n_nationkey").collect()]  # 25 rows at any size
+    return spark.createDataFrame([(k, manifest.full_rebuild_reason(header(k), "docs", 500, 100)) for k in keys], "k long, reason string")
+
+
+@query("SELECT 'file_name' AS source_key, r_name || '.txt' AS source_value, 'The region ' || r_name || chr(10) || 'has the key ' || r_regionkey || '.' || chr(10) AS text FROM region")
+def text_files(spark, d):
+    folder = _folder(spark)
+    for r in adapters.table(spark, d, "region").collect():  # five rows at any size
+        pages.write_text(spark, f"{folder}/{r['r_name']}.txt", f"The region {r['r_name']}\nhas the key {r['r_regionkey']}.\n")
+    return pages.text_files(spark, folder)
+
+
+@query("SELECT (SELECT count(*) FROM customer) AS first_added, (SELECT count(*) FROM supplier) AS then_added, true AS distinct_keys, true AS keys_follow")
+def insert_rows(spark, d):
+    """Two appends to one table; keys are new each time."""
+    path = _folder(spark)
+    first = adapters.append_rows(path, adapters.table(spark, d, "customer").select(F.col("c_name").alias("username")), "id")
+    n, last = first.agg(F.count(F.lit(1)), F.max("id")).first()
+    then = adapters.append_rows(path, adapters.table(spark, d, "supplier").select(F.col("s_name").alias("username")), "id")
+    every = spark.read.parquet(path).agg((F.countDistinct("id") == F.count(F.lit(1))).alias("distinct_keys"))
+    return then.agg(F.lit(n).alias("first_added"), F.count(F.lit(1)).alias("then_added"), (F.min("id") > last).alias("keys_follow")).join(every).select("first_added", "then_added", "distinct_keys", "keys_follow")
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 1 THEN 'http://x/' || c_custkey WHEN c_custkey % 4 <> 1 THEN c_name END AS source FROM customer""")
+def segment_source(spark, d):
+    k = F.col("c_custkey")
+    url = F.when(k % 3 == 0, " ").when(k % 3 == 1, F.concat(F.lit("http://x/"), k.cast("string")))
+    return adapters.table(spark, d, "customer").select(k.alias("id"), text.source_of(url, F.when(k % 4 == 1, "\t").otherwise(F.col("c_name"))).alias("source"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y%m%d-%H%M%S-%g') AS run_id FROM events")
+def run_ids(spark, d):
+    return adapters.table(spark, d, "events").select("event_id", text.run_id(F.col("ts")).alias("run_id"))
+
+
+@query("SELECT c_custkey AS id, c_name AS name FROM customer")
+def local_parts(spark, d):
+    mail = F.concat("c_name", F.lit("@"), "c_mktsegment", F.lit("@x"))
+    return adapters.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), text.local_part(mail).alias("name"))
+
+
 # ---------------------------------------------------------------- pages and source names
 
 @query(r"""SELECT page_id, left(regexp_replace(url, '[^A-Za-z0-9]+', '_', 'g'), 60) || '_' || lower(to_hex(list_reduce(list_prepend(0::BIGINT, list_transform(regexp_extract_all(url, '.'), lambda x: ascii(x)::BIGINT)), lambda h, c: (h * 31 + c) & 4294967295))) || '.txt' AS file_name FROM pages""")
@@ -429,17 +551,74 @@ def context_assembly(spark, d):
     return retrieve.retrieve_context(_queries(spark, d), _corpus(spark, d)).select("query_id", F.md5("context").alias("digest"))
 
 
-@query(f"""WITH b AS (SELECT item_id, {_TOKENS.format('text')} AS q FROM benchmark), m AS (SELECT item_id, doc_id, round(len(list_intersect(list_distinct(q), t))::DOUBLE / len(list_distinct(q)), 6) AS s
-FROM b, (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents JOIN embeddings ON doc_id = vec_id)) SELECT item_id AS query_id, doc_id AS chunk_id, s AS rerank_score, n AS final_rank FROM
-(SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) AS n FROM m) WHERE n <= 5""")
+@query(f"""WITH {_INDEX}, q AS (SELECT item_id AS query_id, text AS query FROM benchmark), {_bm25_sql('q', 'query_id', 50)},
+m AS (SELECT query_id, chunk_id, rank, count(*) OVER (PARTITION BY query_id) AS n, list_distinct({_TOKENS.format('query')}) AS q, {_TOKENS.format('d.text')} AS t FROM kw JOIN q USING (query_id) JOIN documents d ON chunk_id = d.doc_id),
+s AS (SELECT query_id, chunk_id, rank, CASE WHEN n > 5 THEN round(len(list_intersect(q, t))::DOUBLE / len(q), 6) ELSE 0 END AS s FROM m)
+SELECT query_id, chunk_id, s AS rerank_score, final_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS final_rank FROM s) WHERE final_rank <= 5""")
 def rerank_topk(spark, d):
-    """Every candidate that has a vector, reranked for every query (candidates are what a recall gave; here that is all)."""
-    chunks = adapters.knowledge(spark, d).join(adapters.table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id")), "chunk_id", "left_semi")
-    pairs = chunks.select("chunk_id", "text").crossJoin(F.broadcast(adapters.benchmark_queries(spark, d).select("query_id", "query")))
-    ranked = fusion.rerank(pairs.withColumn("fused_rank", F.col("chunk_id")), ["query_id"], F.lit(True), F.lit(5))
+    """The five best of each query's fifty best by words, reranked."""
+    chunks, queries = adapters.knowledge(spark, d), adapters.benchmark_queries(spark, d).select("query_id", "query")
+    found = bm25.scan(chunks).search(queries, 50).withColumnRenamed("rank", "fused_rank")
+    pairs = found.join(chunks.select("chunk_id", "text"), "chunk_id").join(queries, "query_id")
+    ranked = fusion.rerank(pairs, ["query_id"], F.lit(True), F.lit(5))
     return ranked.where("final_rank <= 5").select("query_id", "chunk_id", "rerank_score", F.col("final_rank").cast("long").alias("final_rank"))
 
 
+@query(f"""WITH t AS (SELECT id, b, count(*)::DOUBLE AS tf FROM (SELECT id, ('0x' || substr(md5(unnest({_TOKENS.format('text')})), 1, 8))::BIGINT % 256 AS b FROM (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark)) GROUP BY ALL),
+v AS (SELECT *, tf / sqrt(sum(tf * tf) OVER (PARTITION BY id)) AS x FROM t),
+s AS (SELECT -1 - q.id AS query_id, c.id AS chunk_id, round(sum(q.x * c.x), 6) AS score FROM v q JOIN v c ON q.b = c.b WHERE q.id < 0 AND c.id >= 0 GROUP BY ALL)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s WHERE score >= 0.2) WHERE rank <= 5""")
+def text_embedding_search(spark, d):
+    """Texts made into vectors and searched by text."""
+    model = embed.HashedTerms()
+    queries = adapters.benchmark_queries(spark, d).select("query_id", model.embed(F.col("query")).alias("vector"))
+    found = vector.search(queries, embed.embed_chunks(adapters.knowledge(spark, d), model), 5)
+    return found.select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def _words(query: str, count: int) -> list[str | None]:
+    """A model that fails for some queries, and else gives the outer words, one twice, and nothing."""
+    if len(query) % 3 == 0:
+        raise RuntimeError("no answer")
+    w = query.split(" ")
+    return [w[0], f"  {w[-1]} ", "", None, w[0], query]
+
+
+@query(f"""WITH w AS (SELECT item_id, text, {_TRIM.format("string_split(text, ' ')[1]")} AS a, {_TRIM.format("string_split(text, ' ')[-1]")} AS b FROM benchmark)
+SELECT item_id AS query_id, 0 AS q_idx, text AS query FROM w UNION ALL SELECT item_id, 1, a FROM w WHERE length(text) % 3 <> 0 AND a <> '' AND a <> text
+UNION ALL SELECT item_id, CASE WHEN a = '' OR a = text THEN 1 ELSE 2 END, b FROM w WHERE length(text) % 3 <> 0 AND b <> '' AND b <> text AND b <> a""")
+def rewrite_fallback(spark, d):
+    asked = adapters.benchmark_queries(spark, d).select("query_id", "query")
+    return retrieve.expand_queries(asked, rewriter=retrieve.PythonRewriter(_words)).select("query_id", "q_idx", "query")
+
+
+class _Broken:
+    """A keyword index whose search fails as it runs."""
+
+    def search(self, queries, n, id_cols=None):
+        return queries.select(*(id_cols or ["query_id"]), F.raise_error(F.lit("index lost")).cast("long").alias("chunk_id"), F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
+
+
+@query(f"WITH {_VEC}, k AS (SELECT v.*, md5({_TRIM.format('d.text')}) AS key FROM vec v JOIN documents d ON v.chunk_id = d.doc_id), f AS (SELECT query_id, key, round(list_sum(list(1.0::DOUBLE / (60 + rank) ORDER BY rank)), 9) AS rrf, min(rank) AS first FROM k GROUP BY ALL) "
+       "SELECT query_id, key, rrf FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, first) AS n FROM f) WHERE n <= 30")
+def recall_fallback(spark, d):
+    """What is fused when one recall fails while it runs: the other's results."""
+    corpus = _corpus(spark, d)
+    broken = retrieve.Corpus(corpus.chunks, corpus.vectors, _Broken())
+    lists = retrieve.recall(retrieve.expand_queries(_queries(spark, d), enabled=False), broken, retrieve.RetrieveOptions(eager=True))
+    named = lists.join(corpus.chunks.select("chunk_id", "source", "text"), "chunk_id").withColumn("key", F.md5(text.java_trim(F.col("text"))))
+    return fusion.number(fusion.rrf(named, ["query_id"]), ["query_id"], [F.desc("rrf"), F.col("seen")], "n", 30).select("query_id", "key", "rrf")
+
+
+@query(f"{_RETRIEVE}, {_finish_sql('query_id', 'lists', 'true', '3', '2')}, c AS (SELECT query_id, md5(string_agg(f.text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos)) AS digest FROM final GROUP BY query_id) "
+       "SELECT c.*, b.text IN (SELECT text FROM benchmark WHERE item_id % 2 = 0) AS cached FROM c JOIN benchmark b ON query_id = item_id")
+def cached_context(spark, d):
+    """Contexts of all queries after those of half of them were asked for."""
+    corpus, queries, cache = _corpus(spark, d), _queries(spark, d), retrieve.ResultCache()
+    retrieve.retrieve_context(queries.where("query_id % 2 = 0"), corpus, cache=cache)
+    return retrieve.retrieve_context(queries, corpus, cache=cache).select("query_id", F.md5("context").alias("digest"), "cached")
+
+
 @query("""WITH r AS (SELECT lang, doc_id, source, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS k FROM documents),
 o AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY k) > 2 AS over FROM r), p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY over, k) AS pos FROM o)
 SELECT lang, doc_id, source, pos FROM p WHERE pos <= 50""")
@@ -450,21 +629,36 @@ def diverse_topk(spark, d):
 
 # ---------------------------------------------------------------- evaluation
 
+class _Flaky(fusion.TokenCoverage):
+    """A model that gives no answer for some queries."""
+
+    def score(self, query, text):
+        return F.when(F.length(query) % 11 == 10, F.struct(F.lit(None).cast("double").alias("score"), F.lit("no answer").alias("error"))).otherwise(super().score(query, text))
+
+
 def _scored(spark, d, variants=tuple(evaluate.VARIANTS)) -> DataFrame:
-    found = evaluate.run_variants(adapters.eval_cases(spark, d), _queries(spark, d), _corpus(spark, d), evaluate.parse_variants(list(variants)))
-    found = found.withColumns({"cost_ms": 10 + (F.col("case_id") * 37) % 200, "error": F.when(F.col("case_id") % 11 == 10, "timeout")})
-    return evaluate.score_cases(found, adapters.knowledge(spark, d).select("source_value"))
+    found = evaluate.run_variants(adapters.eval_cases(spark, d), _queries(spark, d), _corpus(spark, d), evaluate.parse_variants(list(variants)), reranker=_Flaky())
+    return evaluate.score_cases(found.withColumn("cost_ms", 10 + (F.col("case_id") * 37) % 200), adapters.knowledge(spark, d).select("source_value"))
 
 
 _joined = lambda c: F.array_join(c, ",").alias(c)
 
 
-@query(f"""WITH {_EXPECTED} SELECT case_id, array_to_string(expected, ',') AS expected, CASE WHEN trim(query) = '' THEN 'blank query' END AS problem FROM cases""")
+@query(f"""WITH {_EXPECTED}, m AS (SELECT case_id, CASE WHEN case_id % 7 = 0 THEN ' ' ELSE query END AS query, CASE WHEN case_id % 5 = 0 THEN [] WHEN case_id % 3 = 0 THEN list_append(expected, ' ') ELSE expected END AS expected FROM cases)
+SELECT case_id, array_to_string(expected, ',') AS expected, CASE WHEN trim(query) = '' THEN 'blank query' WHEN len(expected) = 0 THEN 'no expected source' WHEN list_contains(list_transform(expected, lambda e: trim(e)), '') THEN 'blank expected source' END AS problem FROM m""")
 def eval_cases(spark, d):
-    cases = adapters.eval_cases(spark, d)
+    """The cases, some spoiled, and what is wrong with them."""
+    i, none = F.col("case_id"), F.array().cast("array<string>")
+    cases = adapters.eval_cases(spark, d).withColumns({"query": F.when(i % 7 == 0, " ").otherwise(F.col("query")),
+                                                       "expected": F.when(i % 5 == 0, none).when(i % 3 == 0, F.array_append("expected", F.lit(" "))).otherwise(F.col("expected"))})
     return cases.select("case_id", _joined("expected"), evaluate.case_problem(F.col("query"), F.col("expected")).alias("problem"))
 
 
+@query(f"WITH {_EXPECTED} SELECT case_id, unnest(expected) AS expected FROM cases")
+def eval_expected(spark, d):
+    return adapters.eval_cases(spark, d).select("case_id", F.explode("expected").alias("expected"))
+
+
 @query(f"{_RUN} SELECT variant_id, case_id, array_to_string(returned, ',') AS returned, hit_rank::INT AS hit_rank, hit_count::INT AS hit_count, array_to_string(list_sort(hit_expected), ',') AS hit_expected, returned_count::INT AS returned_count, distinct_sources::INT AS distinct_sources FROM scores")
 def eval_scores(spark, d):
     return _scored(spark, d).select("variant_id", "case_id", _joined("returned"), "hit_rank", "hit_count", F.array_join(F.array_sort("hit_expected"), ",").alias("hit_expected"), "returned_count", "distinct_sources")
@@ -485,18 +679,81 @@ def eval_delta(spark, d):
     return evaluate.metric_delta(now, before).select("variant_id", "mrr", *[f"delta_{m}" for m in evaluate.METRICS])
 
 
-@query(f"""{_RUN}, rest AS (SELECT *, list_filter(expected, lambda e: NOT list_contains(hit_expected, e)) AS rest FROM scores)
-SELECT variant_id, case_id, array_to_string(list_filter(rest, lambda e: contains(e, 'absent')), ',') AS not_in_index, array_to_string(list_filter(rest, lambda e: NOT contains(e, 'absent')), ',') AS missed FROM rest""")
+_REST = f"{_RUN}, {_KNOWN}, rest AS (SELECT s.*, list_filter(expected, lambda e: NOT list_contains(hit_expected, e)) AS rest, k FROM scores s, known)"
+
+
+@query(f"""{_REST} SELECT variant_id, case_id, array_to_string(list_filter(rest, lambda e: NOT list_contains(k, e)), ',') AS not_in_index, array_to_string(list_filter(rest, lambda e: list_contains(k, e)), ',') AS missed FROM rest""")
 def miss_classification(spark, d):
     return _scored(spark, d).select("variant_id", "case_id", _joined("not_in_index"), _joined("missed"))
 
 
-@query(f"""{_RUN}, rest AS (SELECT *, len(list_filter(expected, lambda e: contains(e, 'absent'))) AS absent FROM scores WHERE error IS NOT NULL OR hit_rank = 0)
-SELECT variant_id, case_id, CASE WHEN error IS NOT NULL THEN 'failed: ' || error WHEN absent = len(expected) THEN 'not indexed' WHEN returned_count = 0 THEN 'nothing returned' ELSE 'not among the results' END AS reason FROM rest""")
+@query(f"""{_REST}, gone AS (SELECT *, len(list_filter(rest, lambda e: NOT list_contains(k, e))) AS absent FROM rest WHERE error IS NOT NULL OR hit_rank = 0)
+SELECT variant_id, case_id, CASE WHEN error IS NOT NULL THEN 'failed: ' || error WHEN absent = len(expected) THEN 'not indexed' WHEN returned_count = 0 THEN 'nothing returned' ELSE 'not among the results' END AS reason FROM gone""")
 def miss_list(spark, d):
     return evaluate.miss_list(_scored(spark, d)).select("variant_id", "case_id", "reason")
 
 
+@query(f"{_RUN}, {_METRICS} SELECT max(empty_rate) AS worst, max(empty_rate) > 0.2 AS warning FROM metrics")
+def worst_empty_rate(spark, d):
+    return evaluate.worst_empty_rate(evaluate.aggregate_metrics(_scored(spark, d), ["variant_id"]))
+
+
+@query(f"{_RUN}, {_METRICS} SELECT '20240101-000000-000' AS run_id, variant_id, total, failed, hit_rate, mrr, recall, p95_ms FROM metrics")
+def eval_report(spark, d):
+    """The metrics as a written report.json gives them back."""
+    scored = _scored(spark, d).persist()
+    try:
+        metrics, misses = ([r.asDict() for r in rows.collect()] for rows in (evaluate.aggregate_metrics(scored, ["variant_id"]), evaluate.miss_list(scored).select("variant_id", "case_id", "reason")))
+    finally:
+        scored.unpersist()
+    options = {v.id: v.apply(retrieve.RetrieveOptions()).describe() for v in evaluate.VARIANTS.values()}
+    report = evaluate.Report("20240101-000000-000", "benchmark", len(misses), metrics, misses, options, collection="docs")
+    found = evaluate.read_report(spark, report.write(spark, _folder(spark)))
+    return found.select("run_id", "variant_id", "total", "failed", "hit_rate", "mrr", "recall", "p95_ms")
+
+
+@query("SELECT 'docs' AS collection, 1 AS version, false AS changed_at_once, true AS changed_later")
+def eval_snapshot(spark, d):
+    """A rebuild between an evaluation's start and end shows."""
+    docs = _sources(spark, d)
+    store, header = manifest.Store(spark, _folder(spark)), manifest.Header("docs")
+    manifest.rebuild(store, docs, docs.limit(0), header)
+    began = evaluate.Snapshot.of(store)
+    at_once = began.changed(store)
+    manifest.rebuild(store, docs.where("ord % 19 <> 0"), docs.limit(0), header)
+    return spark.createDataFrame([(began.collection, began.version, at_once, began.changed(store))], "collection string, version int, changed_at_once boolean, changed_later boolean")
+
+
+@query("""SELECT item_id AS case_id, length(text)::INT AS n, 'tag-' || item_id % 2 AS tag FROM benchmark WHERE item_id % 3 <> 2 AND item_id % 4 <> 1""")
+def eval_set_read(spark, d):
+    """Cases of a written evaluation set that aren't switched off, and of those the ones asked for."""
+    folder = _folder(spark)
+    items = adapters.table(spark, d, "benchmark").collect()  # an evaluation set is small by nature
+    cases = [{"id": str(r["item_id"]), "query": r["text"], "expectedSources": ["doc/1"], "tags": [f"tag-{r['item_id'] % 2}"], "owner": "x"} | ({"enabled": False} if r["item_id"] % 3 == 2 else {}) for r in items]
+    pages.write_text(spark, f"{folder}/set.json", json.dumps({"version": 1, "cases": cases}))
+    found = pages.eval_set(spark, f"{folder}/nowhere.json", f"{folder}/set.json")
+    asked = evaluate.enabled_cases(found, [str(r["item_id"]) for r in items if r["item_id"] % 4 != 1])
+    return asked.select(F.col("case_id").cast("long").alias("case_id"), F.length("query").alias("n"), F.col("tags")[0].alias("tag"))
+
+
+@query(f"""WITH {_VARIANTS}
+SELECT variant_id, 'k=' || v_top_k || ', rewrite=' || CASE WHEN v_rewrite THEN 'on' ELSE 'off' END || ' (at most 4), hybrid=' || CASE WHEN v_hybrid THEN 'on' ELSE 'off' END || ', rerank=' || CASE WHEN v_rerank THEN 'on' ELSE 'off' END ||
+  ', recall 20+20, 30 candidates, ' || v_per_source || ' of a source' AS options FROM variants""")
+def options_text(spark, d):
+    return spark.createDataFrame([(v.id, v.apply(retrieve.RetrieveOptions()).describe()) for v in evaluate.VARIANTS.values()], "variant_id string, options string")
+
+
+@query("""SELECT * FROM (VALUES ('', 'all-on', NULL), ('topk-5,no-hybrid,topk-5', 'topk-5,no-hybrid', NULL), ('all-on,bogus,other', NULL, 'unknown variants bogus, other; there are all-on, no-rewrite, no-hybrid, no-rerank, vector-only, no-diversity, topk-5')) v(asked, variants, problem)""")
+def variant_parse(spark, d):
+    def parsed(asked: str):
+        try:
+            return asked, ",".join(v.id for v in evaluate.parse_variants([x for x in asked.split(",") if x])), None
+        except ValueError as e:
+            return asked, None, str(e)
+
+    return spark.createDataFrame(list(map(parsed, ("", "topk-5,no-hybrid,topk-5", "all-on,bogus,other"))), "asked string, variants string, problem string")
+
+
 @query("""SELECT event_type, count(*) AS n, quantile_disc(value, 0.5)::BIGINT AS p50, quantile_disc(value, 0.95)::BIGINT AS p95, quantile_disc(value, 1.0)::BIGINT AS worst
 FROM (SELECT event_type, floor(value)::BIGINT AS value FROM events) GROUP BY event_type""")
 def latency_percentiles(spark, d):

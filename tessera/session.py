@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +20,19 @@ def session(app: str = "tessera", master: str | None = None, **conf: str) -> Spa
         "spark.ui.enabled": "false",
     } | {k.replace("_", "."): v for k, v in conf.items()}
     return builder.config(map=settings).getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Where it is unset, a local session gets a temporary folder; on a cluster that would lose data, so it
+    is an error there.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    made = "file://" + tempfile.mkdtemp(prefix="tessera-")
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.vector import in_blocks
+
+#: Items that one automaton looks for.
+MOST_ITEMS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +24,11 @@ def active(df: DataFrame) -> DataFrame:
     return df.where("isDelete = 0")
 
 
+def by_id(df: DataFrame, key: int, id_col: str = "id") -> DataFrame:
+    """The active row with a key, or none."""
+    return active(df).where(F.col(id_col) == key)
+
+
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("id"), F.col("c_name").alias("username"), F.greatest(F.lit(0), F.floor("c_acctbal").cast("int")).alias("salary"),
@@ -77,13 +89,55 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), halves.alias("rewrites"))
 
 
-def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(case_id, query, expected): the documents that contain the item's text, else one that isn't indexed.
+def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id) of documents (doc_id, body) and the items (item_id, text) that they contain, character by character.
 
-    The evaluation set is small by nature, so it is what Spark sends to the documents.
+    One automaton of all items reads each document once; very many items take several, a pass over the documents each.
+    An empty item is contained in none.
     """
+    def of(held: list) -> DataFrame:
+        texts: dict[str, list[int]] = {}
+        for r in held:
+            texts.setdefault(r["text"], []).append(r["item_id"])
+        shared = docs.sparkSession.sparkContext.broadcast(texts)  # MOST_ITEMS at most
+
+        def find(batches):
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for t, ids in shared.value.items():
+                automaton.add_word(t, ids)
+            automaton.make_automaton()
+            for batch in batches:
+                found: list[tuple[int, int]] = []
+                for doc, body in zip(batch.column("doc_id").to_pylist(), batch.column("body").to_pylist()):
+                    if shared.value and body:
+                        found += [(doc, i) for i in sorted({i for _, ids in automaton.iter(body) for i in ids})]
+                yield pa.record_batch([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["doc_id", "item_id"])
+
+        return docs.select("doc_id", "body").mapInArrow(find, "doc_id long, item_id long")
+
+    return reduce(DataFrame.unionByName, map(of, in_blocks(items.where("text <> ''").select("item_id", "text"), ["item_id"], MOST_ITEMS)))
+
+
+def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(case_id, query, expected): the documents that contain the item's text, else one that isn't indexed."""
     b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
-    found = d.join(b, F.contains("body", "text")).groupBy("item_id").agg(F.sort_array(F.collect_list("doc_id")).alias("docs"))
+    found = containing(d, b).groupBy("item_id").agg(F.sort_array(F.collect_list("doc_id")).alias("docs"))
     named = F.transform("docs", lambda x: F.concat(F.lit("doc/"), x.cast("string")))
     absent = F.array(F.concat(F.lit("doc/absent-"), F.col("item_id").cast("string")))
     return b.join(found, "item_id", "left").select(F.col("item_id").alias("case_id"), F.col("text").alias("query"), F.coalesce(named, absent).alias("expected"))
+
+
+def append_rows(path: str, rows: DataFrame, key: str) -> DataFrame:
+    """Appends rows with new keys to the table at a path, and returns what was added.  Keys follow the largest one there; they are
+    unique, not gapless, as no task knows how many rows another has."""
+    spark = rows.sparkSession
+    try:
+        base = spark.read.parquet(path).agg(F.max(key)).first()[0] or 0
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        base = 0
+    rows.withColumn(key, F.monotonically_increasing_id() + F.lit(base + 1)).write.mode("append").parquet(path)
+    return spark.read.parquet(path).where(F.col(key) > base)

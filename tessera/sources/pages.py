@@ -16,83 +16,81 @@ LINES = frozenset("h1 h2 h3 h4 h5 h6 p li pre blockquote dd dt td th".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
-class _Tree(HTMLParser):
-    """Elements as [name, attributes, children]; a line element ends an open p, li, dd, dt, td or th of its kind."""
+_BARS = ("ul", "ol", "table", "div", "article", "main", "section")
+_ENDED = {"li": ("p", "li"), "dd": ("p", "dd", "dt"), "dt": ("p", "dd", "dt"), "td": ("p", "td", "th"), "th": ("p", "td", "th")}
+
+
+class _Page(HTMLParser):
+    """Elements and texts of a page in document order; a line element ends an open p, and li, dd, dt, td or th their like.
+
+    An element is [name, role, parent, first text, next element, next text]: what it holds lies between these numbers, so nothing
+    is walked through twice, however deep it nests.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = ["", {}, []]
-        self.open = [self.root]
+        self.elements: list[list] = [["", None, 0, 0, 0, 0]]
+        self.texts: list[str] = []
+        self.open = [0]
+        self.places: dict[str, list[int]] = {}
         self.skip = 0
 
+    def _last(self, name: str) -> int:
+        return self.places[name][-1] if self.places.get(name) else 0
+
+    def _close(self, upto: int) -> None:
+        while len(self.open) > upto:
+            e = self.elements[self.open.pop()]
+            e[4:] = [len(self.elements), len(self.texts)]
+            if self.open:
+                self.places[e[0]].pop()
+
     def handle_starttag(self, tag, attrs):
         if tag in DROPPED:
             self.skip += tag not in VOID
         if self.skip:
             return
-        if tag in LINES or tag in ("ul", "ol", "div", "article", "main", "section", "table"):
-            for k in range(len(self.open) - 1, 0, -1):
-                name = self.open[k][0]
-                if name == "p" or name == tag == "li" or name in ("dd", "dt") and tag in ("dd", "dt") or name in ("td", "th") and tag in ("td", "th"):
-                    del self.open[k:]
-                    break
-                if name in ("ul", "ol", "table", "div", "article", "main", "section"):
-                    break
-        node = [tag, dict(attrs), []]
-        self.open[-1][2].append(node)
+        if tag in LINES or tag in _BARS:
+            at = max(map(self._last, _ENDED.get(tag, ("p",))))
+            if at > max(map(self._last, _BARS)):
+                self._close(at)
+        if tag == "br":
+            self.texts.append(" ")
+        n = len(self.texts)
+        self.elements.append([tag, dict(attrs).get("role"), self.open[-1], n, len(self.elements) + 1, n])
         if tag not in VOID:
-            self.open.append(node)
+            self.places.setdefault(tag, []).append(len(self.open))
+            self.open.append(len(self.elements) - 1)
 
     def handle_endtag(self, tag):
         if self.skip:
             self.skip -= tag in DROPPED
-            return
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
-                return
+        elif at := self._last(tag):
+            self._close(at)
 
     def handle_data(self, data):
         if not self.skip:
-            self.open[-1][2].append(data)
-
-
-def _walk(node):
-    yield node
-    for child in node[2]:
-        if not isinstance(child, str):
-            yield from _walk(child)
-
-
-def _text(node) -> str:
-    parts: list[str] = []
-
-    def add(n):
-        for c in n[2]:
-            if isinstance(c, str):
-                parts.append(c)
-            else:
-                parts.append(" " if c[0] == "br" else "")
-                add(c)
+            self.texts.append(data)
 
-    add(node)
-    return " ".join("".join(parts).split())
+    def text(self, element: int) -> str:
+        return " ".join("".join(self.texts[self.elements[element][3] : self.elements[element][5]]).split())
 
 
 def clean_html(html: str | None) -> str:
     """The page's lines: leaf blocks of the first article, main, role=main or body; without any, the root's text."""
-    tree = _Tree()
-    tree.feed(html or "")
-    tree.close()
-    nodes = list(_walk(tree.root))
-    first = lambda ok: next((n for n in nodes if ok(n)), None)
-    root = first(lambda n: n[0] == "article") or first(lambda n: n[0] == "main") or first(lambda n: n[1].get("role") == "main") or first(lambda n: n[0] == "body") or tree.root
-    lines = []
-    for n in _walk(root):
-        if n[0] in LINES and not any(m is not n and m[0] in LINES for m in _walk(n)):
-            if t := _text(n):
-                lines.append(t)
-    return "\n".join(lines) or _text(root)
+    page = _Page()
+    page.feed(html or "")
+    page.close()
+    page._close(0)
+    elements = page.elements
+    first = lambda ok: next((i for i, e in enumerate(elements) if ok(e)), 0)
+    root = first(lambda e: e[0] == "article") or first(lambda e: e[0] == "main") or first(lambda e: e[1] == "main") or first(lambda e: e[0] == "body")
+    above = [False] * len(elements)  # holds a line element
+    for i in range(len(elements) - 1, 0, -1):
+        if above[i] or elements[i][0] in LINES:
+            above[elements[i][2]] = True
+    lines = [t for i in range(root, elements[root][4]) if elements[i][0] in LINES and not above[i] and (t := page.text(i))]
+    return "\n".join(lines) or page.text(root)
 
 
 def clean_pages(df: DataFrame, html_col: str = "html") -> DataFrame:
@@ -116,7 +114,18 @@ def load_pages(df: DataFrame, url: str = "url", text: str = "text") -> tuple[Dat
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """UTF-8 files as (source_key, source_value, text); a file that can't be read is an error."""
-    return spark.read.text(path, wholetext=True).select(F.lit("file_name").alias("source_key"), T.short_name(F.col("_metadata.file_path")).alias("source_value"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.lit("file_name").alias("source_key"), F.url_decode(F.replace(T.short_name(F.col("_metadata.file_path")), F.lit("+"), F.lit("%2B"))).alias("source_value"), F.col("value").alias("text"))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One UTF-8 file, on whatever file system the path names."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
 
 
 def cached_pages(pages: DataFrame) -> DataFrame:

@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import bm25, chunk, evaluate, fusion, game, manifest, retrieve, vector
-from tessera.sources import pages
+from tessera.functions import text as text_functions
+from tessera.operators import bm25, chunk, embed, evaluate, fusion, game, manifest, retrieve, vector
+from tessera.sources import adapters, pages
 from tessera.streaming import rebuild
 
 
@@ -53,7 +54,7 @@ def test_bm25_index_round_trip(spark, tmp_path):
     assert bm25.search(index, q, 5).collect() == bm25.search(back, q, 5).collect()
 
 
-@pytest.mark.parametrize("most", [8192, 0])
+@pytest.mark.parametrize("most", [8192, 2])
 def test_vectors(spark, monkeypatch, most):
     monkeypatch.setattr(vector, "MOST_QUERIES", most)
     r = np.random.default_rng(1)
@@ -222,8 +223,136 @@ def test_scores(spark):
     m = evaluate.aggregate_metrics(evaluate.score_cases(df, index), ["variant_id"]).first()
     assert (m["total"], m["failed"], m["hit_rate"], m["recall"], m["precision"], m["empty_rate"], m["p50_ms"], m["p95_ms"]) == (5, 1, 0.4, round(3 / 9, 6), round(4 / 7, 6), 0.2, 5, 9)
     assert {r["case_id"]: r["reason"] for r in evaluate.miss_list(evaluate.score_cases(df, index)).collect()} == {"2": "not among the results", "3": "failed: timeout", "5": "nothing returned"}
-    text = evaluate.markdown_report("r", [m.asDict()], [])
-    assert "| v | 5 | 40.0% |" in text
+
+
+def test_report(spark, tmp_path):
+    one = dict(zip(evaluate.METRICS, (0.4, 0.25, 0.5, 0.1, 1.0, 2.0, 0.3, 12, 40))) | {"variant_id": "all-on", "total": 5, "failed": 1}
+    before = {f"delta_{m}": v for m, v in zip(evaluate.METRICS, (0.125, None, 0.0, -0.5, 0.0, 1.0, 0.0, 3, -4))}
+    report = evaluate.Report("20240101", "set", 5, [one | before], [{"variant_id": "all-on", "case_id": "c", "reason": "not indexed"}], {"all-on": "k=3"}, "docs", True, 1500, "20231231")
+    text = report.markdown()
+    for part in ("| all-on | 5 | 1 | 40.0% | 0.250 | 50.0% | 10.0% | 1.000 | 2.000 | 30.0% | 12 | 40 |", "| all-on | +0.125 | - | 0 | -0.500 | 0 | +1.000 | 0 | +3.000 | -4.000 |", "- all-on: k=3", "rebuilt during",
+                 "Up to 30.0%", "### all-on: 1 of 5", "| c | not indexed |", "| seconds | 1.5 |", "| compared with | 20231231 |"):
+        assert part in text
+    plain = evaluate.Report("r", "set", 5, [one | {"empty_rate": 0.1}], [], {}).markdown()
+    assert "no run to compare" in plain and "All cases hit" in plain and "Up to" not in plain and "rebuilt" not in plain
+    folder = report.write(spark, f"file://{tmp_path}/out")
+    got = evaluate.read_report(spark, folder).first()
+    assert (got["run_id"], got["variant_id"], got["failed"], got["mrr"], got["p95_ms"]) == ("20240101", "all-on", 1, 0.25, 40)
+    assert evaluate.Report("x", "s", 0, [], [], {}).write(spark, "nowhere://x/y").endswith("/x")  # logged, not raised
+
+
+def test_worst_empty_rate(spark):
+    rows = spark.createDataFrame([("a", 0.1), ("b", 0.3)], "variant_id string, empty_rate double")
+    assert [tuple(evaluate.worst_empty_rate(x).first()) for x in (rows, rows.limit(1).where("empty_rate < 0.2"), rows.limit(0))] == [(0.3, True), (0.1, False), (0.0, False)]
+
+
+def test_failing_models_and_recalls(spark):
+    def judge(query, text):
+        if query == "bad" and text == "t3":
+            raise ValueError("lost")
+        return len(text) + float(text[1:])
+
+    rows = spark.createDataFrame([(q, i, q, f"t{i}") for q in ("good", "bad") for i in range(5)], "query_id string, fused_rank int, query string, text string")
+    got = {(r["query_id"], r["fused_rank"]): (r["final_rank"], r["rerank_error"]) for r in fusion.rerank(rows, ["query_id"], F.lit(True), F.lit(3), fusion.PythonReranker(judge)).collect()}
+    assert got == {**{("good", i): (5 - i, None) for i in range(5)}, **{("bad", i): (i + 1, "lost") for i in range(5)}}
+    asked = spark.createDataFrame([(1, "a b"), (2, "fail")], "query_id long, query string")
+    rewriter = retrieve.PythonRewriter(lambda q, n: 1 / 0 if q == "fail" else [" b ", None, "", "b", "a b", "c", "d"])
+    assert sorted(map(tuple, retrieve.expand_queries(asked, count=2, rewriter=rewriter).collect())) == [(1, 0, "a b"), (1, 1, "b"), (1, 2, "c"), (2, 0, "fail")]
+    assert retrieve.expand_queries(asked, count=-1, rewriter=rewriter).count() == 2
+
+    class Lost:
+        def search(self, queries, n, id_cols=None):
+            return queries.select(*id_cols, F.raise_error(F.lit("lost")).cast("long").alias("chunk_id"), F.lit(1).alias("rank"))
+
+    chunks = spark.createDataFrame([(1, "s", "a b"), (2, "s", "c")], "chunk_id long, source string, text string")
+    model = embed.HashedTerms(64)
+    corpus = retrieve.Corpus(chunks, embed.embed_chunks(chunks, model), Lost(), model)
+    lists = retrieve.recall(retrieve.expand_queries(asked, enabled=False, rewrites="query"), corpus, retrieve.RetrieveOptions(eager=True, rewrite=False))
+    assert [(r["query_id"], r["route"], r["chunk_id"]) for r in lists.collect()] == [(1, 0, 1)]
+    with pytest.raises(Exception, match="lost"):
+        retrieve.recall(retrieve.expand_queries(asked, enabled=False, rewrites="query"), corpus, retrieve.RetrieveOptions(eager=True), strict=True)
+
+
+def test_result_cache():
+    now = [0.0]
+    cache = retrieve.ResultCache(ttl=10, max_entries=2, clock=lambda: now[0])
+    cache.put("a", "1")
+    cache.put("blank", " ")
+    cache.put("none", None)
+    cache.put("b", "2")
+    assert cache.get("a") == "1" and cache.get("blank") is None and cache.get("none") is None
+    cache.put("c", "3")  # b was used longest ago
+    assert dict(cache.items()) == {"a": "1", "c": "3"}
+    now[0] = 10.0
+    assert cache.get("a") is None and cache.items() == []
+    cache.put("d", "4")
+    cache.clear_all()
+    assert cache.get("d") is None
+
+
+def test_rebuild_clears_and_snapshot_shows(spark, tmp_path):
+    store, cleared, none = manifest.Store(spark, str(tmp_path)), [], spark.createDataFrame([], NONE)
+    go = lambda rows: manifest.rebuild(store, sources(spark, rows), none, manifest.Header("c"), after=lambda: cleared.append(store.version()))
+    go([("a", "x")])
+    began = evaluate.Snapshot.of(store)
+    go([("a", "x")])
+    assert cleared == [1] and not began.changed(store)
+    go([("a", "y" * 900)])
+    assert cleared == [1, 2] and began.changed(store) and tuple(store.meta().first()) == ("c", 2)
+
+
+def test_embedding(spark):
+    texts = ["Same words here", "here SAME words", "", None, "漢字かな x漢", "other things"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+    got = {r["chunk_id"]: np.array(r["vector"]) for r in embed.embed_chunks(rows, embed.HashedTerms(512)).collect()}
+    assert set(got) == {0, 1, 4, 5} and all(abs(v @ v - 1) < 1e-12 for v in got.values())
+    assert abs(got[0] @ got[1] - 1) < 1e-12 and got[0] @ got[5] < 0.5
+    assert [embed.tokens(t or "") for t in texts] == [list(r[0]) for r in rows.orderBy("chunk_id").select(text_functions.tokenize(F.col("text"))).collect()]
+
+
+def test_split_text():
+    r = random.Random(3)
+    for _ in range(300):
+        text = "".join(f"{k}" + r.choice(["word ", "w. ", "x\n", "\n\n", "longerword", "é! ", "y"]) for k in range(r.randint(0, 300)))
+        size = r.randint(20, 90)
+        overlap = r.randint(0, size - 1)
+        parts, at = chunk.split_text(text, size, overlap), 0
+        for k, p in enumerate(parts):
+            assert len(p) <= size
+            found = text.find(p, at if k == 0 else at + 1)  # each begins behind the one before
+            assert found >= 0 and (k == 0 or found <= end)
+            at, end = found, found + len(p)
+            if k < len(parts) - 1:
+                rest = text[at : at + size]
+                better = [e for e in ("\n\n", "\n", " ") if e in rest[overlap:] and rest.rfind(e) + len(e) > overlap]
+                assert not better or any(p.endswith(e) for e in better)
+        assert at + len(parts[-1]) == len(text)
+
+
+def test_containing(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "the quick brown fox"), (2, "aab"), (3, None), (4, "")], "doc_id long, body string")
+    items = spark.createDataFrame([(10, "ick bro"), (11, "a"), (12, "aab"), (13, ""), (14, "zzz"), (15, "a")], "item_id long, text string")
+    want = [(1, 10), (2, 11), (2, 12), (2, 15)]
+    assert sorted(map(tuple, adapters.containing(docs, items).collect())) == want
+    monkeypatch.setattr(adapters, "MOST_ITEMS", 2)
+    assert sorted(map(tuple, adapters.containing(docs, items).collect())) == want
+
+
+@pytest.mark.parametrize("width", [1, 3, 65_536])
+def test_salary_ranking(spark, monkeypatch, width):
+    monkeypatch.setattr(game, "RANK_IDS", width)
+    r = random.Random(4)
+    users = [(i, r.choice([0, 0, 0, 5, 9, None]), 0) for i in range(60)] + [(99, 7, 1)]
+    df = spark.createDataFrame(users, "id long, salary int, isDelete int").repartition(3)
+    want = {i: n for n, (_, i) in enumerate(sorted((-(s if s is not None else -1), i) for i, s, gone in users if not gone), 1)}
+    assert {x["id"]: x["position"] for x in game.salary_ranking(df).collect()} == want
+
+
+def test_append_rows(spark, tmp_path):
+    path = str(tmp_path / "t")
+    first = {r["id"] for r in adapters.append_rows(path, spark.createDataFrame([("a",), ("b",)], "n string").repartition(2), "id").collect()}
+    second = adapters.append_rows(path, spark.createDataFrame([("c",)], "n string"), "id").collect()
+    assert len(first) == 2 and min(first) >= 1 and [r["n"] for r in second] == ["c"] and second[0]["id"] > max(first)
 
 
 def test_variants_and_cases(spark):
@@ -252,6 +381,74 @@ def test_pick_with_null_user_and_fallback(spark):
     assert got == {(7, "g"): 4, (8, "x"): 2, (8, "g"): 4}
 
 
+def plain_lines(page):
+    """By a tree of lists: leaf blocks of the first root found."""
+    from html.parser import HTMLParser
+
+    bars = ("ul", "ol", "div", "article", "main", "section", "table")
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.root = ["", {}, []]
+            self.open, self.skip = [self.root], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.skip += tag in pages.DROPPED
+            if self.skip:
+                return
+            if tag in pages.LINES or tag in bars:
+                ended = {"li": ("p", "li"), "dd": ("p", "dd", "dt"), "dt": ("p", "dd", "dt"), "td": ("p", "td", "th"), "th": ("p", "td", "th")}.get(tag, ("p",))
+                k = len(self.open) - 1
+                while k > 0 and self.open[k][0] not in bars + ended:
+                    k -= 1
+                if k and self.open[k][0] in ended:
+                    del self.open[k:]
+            node = [tag, dict(attrs), []]
+            self.open[-1][2].append(node)
+            if tag not in pages.VOID:
+                self.open.append(node)
+
+        def handle_endtag(self, tag):
+            if self.skip:
+                self.skip -= tag in pages.DROPPED
+                return
+            for k in range(len(self.open) - 1, 0, -1):
+                if self.open[k][0] == tag:
+                    del self.open[k:]
+                    return
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.open[-1][2].append(data)
+
+    tree = Tree()
+    tree.feed(page)
+    tree.close()
+    inner = lambda n: [n] + [m for c in n[2] if not isinstance(c, str) for m in inner(c)]
+    said = lambda n: "".join(c if isinstance(c, str) else (" " if c[0] == "br" else "") + said(c) for c in n[2])
+    every = inner(tree.root)
+    tests = [lambda n: n[0] == "article", lambda n: n[0] == "main", lambda n: n[1].get("role") == "main", lambda n: n[0] == "body"]
+    root = next((n for ok in tests for n in every if ok(n)), tree.root)
+    lines = [" ".join(said(n).split()) for n in inner(root) if n[0] in pages.LINES and not any(m is not n and m[0] in pages.LINES for m in inner(n))]
+    return "\n".join(filter(None, lines)) or " ".join(said(root).split())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_clean_html_is_that_of_a_plain_tree(seed):
+    r = random.Random(seed)
+    names = "div p li ul td tr table a b br section dd dl script main article body th h1 pre nav form span".split()
+    for _ in range(800):
+        page = "".join(r.choice([f"<{r.choice(names)}>", f"<{r.choice(names)} role=main>", f"<{r.choice(names)}>", f"</{r.choice(names)}>", "word ", "a &amp; b"]) for _ in range(r.randint(1, 40)))
+        assert pages.clean_html(page) == plain_lines(page)
+
+
+def test_clean_html_of_deep_pages():
+    assert pages.clean_html("<div>" * 20_000 + "<p>x" + "</div>" * 20_000) == "x"
+    assert pages.clean_html("<b><p>y" * 20_000).count("y") == 20_000
+    assert pages.clean_html("<span>" * 30_000 + "z") == "z"
+
+
 def test_clean_html():
     page = '<body><nav><p>menu</p></nav><div role="main"><h1>T &amp; u</h1><p>a<b>b</b><br>c<p>d<ul><li>x<li>y<p>z</p></ul><blockquote><p>q</p></blockquote><table><tr><td>1<td>2</table></div><p>out</p></body>'
     assert pages.clean_html(page) == "T & u\nab c\nd\nx\nz\nq\n1\n2"

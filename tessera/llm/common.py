@@ -13,6 +13,8 @@ of all rows is sent once per pack, so no bucket grows with the popularity of a k
 from __future__ import annotations
 
 import atexit
+import functools
+import inspect
 import math
 import os
 import tempfile
@@ -121,6 +123,18 @@ def release() -> None:
         pass
 
 
+def lean(stage):
+    """A function of Arrow tables that leaves no freed memory with its worker."""
+    @functools.wraps(stage)
+    def run(*tables: pa.Table) -> pa.Table:
+        out = stage(*tables)
+        release()
+        return out
+
+    run.__signature__ = inspect.signature(stage)  # Spark goes by the number of parameters
+    return run
+
+
 # ---------------------------------------------------------------- packs
 
 def pack_count(df: DataFrame, text: str, pack_bytes: int = PACK_BYTES) -> int:
@@ -236,6 +250,8 @@ class Rolling:
         return (self.sums[width:] - self.sums[:n]) * self.down[:n]
 
 
+#: Bytes of a word up to which its hash is a polynomial; below 1024 no two words agree under all of these.
+LONG_WORD = 255
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -243,22 +259,17 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 def word_hashes(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every ASCII-white-space-delimited word, and how many words each text has.
 
-    A word's hash sums a scrambled value for each byte and its place in the word (no polynomial, under which certain long
-    words always agree), so different words agree by chance only.  Hash 0 is never a word's; it is free for the end token.
+    Words of over LONG_WORD bytes are hashed by a scrambled sum, as polynomials always give some pairs of very long words one
+    hash; so different words agree by chance only.  Hash 0 is never a word's; it is free for the end token.
     """
     buf = np.frombuffer(b"\n".join(items) + b"\n", np.uint8)
     space = _SPACE[buf]
     edge = np.flatnonzero(np.diff(space, prepend=True))
     start, end = edge[0::2], edge[1::2]
-    inside = np.flatnonzero(~space)
-    size = end - start
-    offset = np.cumsum(size) - size
-    place = np.arange(len(inside)) - np.repeat(offset, size)
-    x = _BYTE[buf[inside]] + place.astype(np.uint64) * np.uint64(_P)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(32)
-    h = mix((np.add.reduceat(x, offset) if len(x) else x) + size.astype(np.uint64))
+    size = (end - start).astype(np.uint64)
+    h = mix(Rolling(buf).of(start, end) + size)
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i : i + 1] = mix(mix(_BYTE[buf[start[i] : end[i]]] + np.arange(size[i], dtype=np.uint64) * np.uint64(_P)).sum(keepdims=True, dtype=np.uint64) + size[i])
     h[h == 0] = 1
     ends = np.cumsum([len(x) + 1 for x in items]) if items else np.zeros(0, np.int64)
     return h, np.diff(np.searchsorted(start, ends), prepend=0)

@@ -147,7 +147,6 @@ def _stages(longs: int, segment_bits: int, weak: int, buckets: int):
         keys, count = np.unique(keys_of(table), return_counts=True)
         number, again = table["_pack"][0].as_py(), count > 1
         rows = [(b, number, keys[i:j].tobytes(), np.packbits(again[i:j]).tobytes()) for b, i, j in C.cuts(C.bucket_of(keys, buckets))]
-        C.release()
         return C.arrow_table(rows, ("int32", "int32", "binary", "binary"), ("bucket", "pack", "keys", "again"))
 
     def judge(table: pa.Table) -> pa.Table:
@@ -164,7 +163,6 @@ def _stages(longs: int, segment_bits: int, weak: int, buckets: int):
         for b, p, n in zip(table["bucket"].to_pylist(), table["pack"].to_pylist(), size):
             rows.append((p, b, np.packbits(shared[at : at + n]).tobytes()))
             at += n
-        C.release()
         return C.arrow_table(rows, ("int32", "int32", "binary"), ("pack", "bucket", "shared"))
 
     def owners(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -176,10 +174,9 @@ def _stages(longs: int, segment_bits: int, weak: int, buckets: int):
         shared = np.concatenate([np.unpackbits(np.frombuffer(told[b], np.uint8), count=j - i) for b, i, j in C.cuts(C.bucket_of(distinct, buckets))])
         row, col = np.nonzero(shared[back].reshape(keys.shape))
         out = pa.table({"key": pa.array(keys[row, col].view(np.int64)), **{c: C.flat(table[c]).take(pa.array(row)) for c in ("node", *bits)}})
-        C.release()
         return out
 
-    return report, judge, owners
+    return C.lean(report), C.lean(judge), C.lean(owners)
 
 
 def shared_keys(nodes: DataFrame, longs: int, segment_bits: int, weak: int, pack_prints: int) -> DataFrame:

@@ -38,7 +38,7 @@ K = 256.0
 LEVELS = np.array([1, 2, 3, *[x << i for i in range(1, 45) for x in (2, 3)]], np.int64)
 #: What a level stands for, level 0 being none.
 VALUES = np.concatenate([[0.0], np.sqrt(LEVELS[:-1] * (LEVELS[1:] - 1.0)), [float(LEVELS[-1])]])
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _END = np.uint64(0)
 _ONE = np.uint64(0xA24BAED4963EE407)
 _TWO = np.uint64(0x9FB21C651E98DF25)
@@ -181,31 +181,23 @@ def _score(total: int, vocabulary: int, weight: float):
             return pa.table([pa.array([], k) for k in _KINDS], names=list(_NAMES))
         by_range = np.argsort(told["bucket"].to_numpy())
         answers = {c: b"".join([told[c][int(i)].as_py() for i in by_range]) for c in ("counts", "word_levels", "pair_levels")}
-        chunks = list(C.pieces(C.texts(table["_text"]), _CHUNK, 1 << 40))
-        spoken = [tokens_of([x for _, _, x in chunk]) for chunk in chunks]
-        words = np.unique(np.concatenate([np.unique(t) for t, _ in spoken]))
-        pairs = np.unique(np.concatenate([np.unique(pair_keys(t)) for t, _ in spoken]))
+        spoken = [tokens_of([x for _, _, x in chunk]) for chunk in C.pieces(C.texts(table["_text"]), _CHUNK, 1 << 40)]
+        tokens, count = (np.concatenate(x) for x in zip(*spoken))
+        words, at = np.unique(tokens, return_inverse=True)
         order = np.argsort(word_keys(words))
         exact, about = np.empty(len(words), np.int64), np.empty(len(words))
         exact[order] = np.frombuffer(answers["counts"], "<i8")
         about[order] = VALUES[np.frombuffer(answers["word_levels"], np.uint8)]
-        pair_about = VALUES[np.frombuffer(answers["pair_levels"], np.uint8)]
-        low = np.log10(total + vocabulary + 1.0)
-        cols: list[list] = [[] for _ in range(5)]
-        for chunk, (tokens, count) in zip(chunks, spoken):
-            at = np.searchsorted(words, tokens)
-            before = np.concatenate([[np.searchsorted(words, _END)], at[:-1]])
-            single = (about[at] + 1) / (total + vocabulary + 1.0)
-            first = about[before]
-            pair = np.minimum(pair_about[np.searchsorted(pairs, pair_keys(tokens))], np.minimum(first, about[at]))
-            start = np.cumsum(count) - count
-            cols[0] += [i for i, _, _ in chunk]
-            for c, x in zip(cols[1:], (np.ones(len(tokens), np.int64), (exact[at] > 0).astype(np.int64), np.log10(exact[at] + 1.0) - low,
-                                       np.log10((pair + weight * single) / (first + weight)))):
-                c += np.add.reduceat(x, start).tolist()
-        back = np.argsort(np.array(cols[0], np.int64))
+        single = (about + 1) / (total + vocabulary + 1.0)
+        first = about[np.concatenate([[np.searchsorted(words, _END)], at[:-1]])]
+        pair_at = np.unique(pair_keys(tokens), return_inverse=True)[1]
+        pair = np.minimum(VALUES[np.frombuffer(answers["pair_levels"], np.uint8)][pair_at], np.minimum(first, about[at]))
+        start = np.cumsum(count) - count
+        by_text = lambda x: np.add.reduceat(x, start)
+        cols = (count, by_text((exact > 0).astype(np.int64)[at]), by_text((np.log10(exact + 1.0) - np.log10(total + vocabulary + 1.0))[at]),
+                by_text(np.log10((pair + weight * single[at]) / (first + weight))))
         held = pa.array(~C.flat(table["_train"]).to_numpy(zero_copy_only=False).astype(bool))
-        return pa.table([table["_id"].combine_chunks(), held, *[pa.array(np.array(c)[back], k) for c, k in zip(cols[1:], _KINDS[2:])]], names=list(_NAMES))
+        return pa.table([table["_id"].combine_chunks(), held, *[pa.array(c, k) for c, k in zip(cols, _KINDS[2:])]], names=list(_NAMES))
 
     return run
 
@@ -219,8 +211,8 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     fold = F.crc32(key.cast("string").cast("binary")) % folds
     dealt = df.select(C.pack_of(F.struct(key, text), packs).alias("_pack"), key.cast("long").alias("_id"), text.cast("binary").alias("_text"),
                       F.coalesce(fold != held_fold, F.lit(True)).alias("_train"))
-    told = C.materialise(dealt.groupBy("_pack").applyInArrow(_send(packs), _SENT).groupBy("bucket").applyInArrow(_sum(bits_per_event), _TOLD))
+    told = C.materialise(dealt.groupBy("_pack").applyInArrow(C.lean(_send(packs)), _SENT).groupBy("bucket").applyInArrow(C.lean(_sum(bits_per_event)), _TOLD))
     vocabulary, total = told.agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     answers = told.where("pack >= 0").select("pack", "bucket", "counts", "word_levels", "pair_levels")
-    scored = dealt.groupBy("_pack").cogroup(answers.groupBy("pack")).applyInArrow(_score(total, vocabulary, weight), _SCORES)
+    scored = dealt.groupBy("_pack").cogroup(answers.groupBy("pack")).applyInArrow(C.lean(_score(total, vocabulary, weight)), _SCORES)
     return scored.select("id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base_sum").alias("base_score"), "score")

@@ -22,9 +22,6 @@ rows decides.  Texts shorter than `length` stay whole.  Empty tables give no row
 
 from __future__ import annotations
 
-import functools
-import inspect
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -240,18 +237,6 @@ _REPLY = "pack int, kind int, bucket int, data binary"
 _ENTRIES = "bucket int, pack int, ids binary, starts binary, windows binary, keys binary, hashes binary, data binary"
 
 
-def _lean(stage):
-    """A stage that leaves no freed memory with its worker."""
-    @functools.wraps(stage)
-    def run(*tables: pa.Table) -> pa.Table:
-        out = stage(*tables)
-        C.release()
-        return out
-
-    run.__signature__ = inspect.signature(stage)  # Spark goes by the number of parameters
-    return run
-
-
 def _stages(length: int, mer: int, hot: int, buckets: int, schema: pa.Schema):
     """The functions of the plan: of a pack, a range, a pack, a range and a pack."""
     as_text = pa.types.is_string(schema.field("kept").type)
@@ -379,7 +364,7 @@ def _stages(length: int, mer: int, hot: int, buckets: int, schema: pa.Schema):
                          pa.array(cut, schema.field("spans").type), pa.array(kept, schema.field("kept").type)],
                         schema=pa.schema([table.schema.field("_row"), table.schema.field("_id"), *[schema.field(i) for i in (2, 3, 4)]]))
 
-    return tuple(map(_lean, (report, judge, submit, settle, remove)))
+    return tuple(map(C.lean, (report, judge, submit, settle, remove)))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100,

@@ -13,6 +13,7 @@ of all rows is sent once per pack, so no bucket grows with the popularity of a k
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import inspect
 import math
@@ -26,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: Text bytes in a pack; a group of this size is all that a worker holds at once.
 PACK_BYTES = 8 << 20
 #: Rows in a pack at most, on average.
@@ -39,22 +42,6 @@ _written: list[tuple[SparkSession, str]] = []
 
 # ---------------------------------------------------------------- shared folder
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Where it is unset, a local session gets a temporary folder; on a cluster that would lose data, so it
-    is an error there.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -64,10 +51,25 @@ def _delete(spark: SparkSession, path: str) -> None:
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
-        try:
+        with contextlib.suppress(Exception):  # the session may be gone by now, or the table
+            _delete(spark, path)
+
+
+@contextlib.contextmanager
+def scratch():
+    """Yields a function that writes a table (as materialise); the other tables written meanwhile go at the end."""
+    before, kept = len(_written), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        out, path = spill(df)
+        kept.append(path)
+        return out
+
+    yield keep
+    for spark, path in _written[before:]:
+        if path not in kept:
             _delete(spark, path)
-        except Exception:  # the session may be gone by now
-            return
+    _written[before:] = [x for x in _written[before:] if x[1] in kept]
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ its counts allow.
 A sequence is padded to the window unless its length is a power of two.
 
 Nulls: a null text is empty and gives the end token alone; a null id hashes like any value and stays null.
-Repeated rows are packed as rows of their own.  Empty tables give no rows.
+Repeated rows are packed as rows of their own, and spread over the shards.  Texts of any length are read whole; other columns aren't
+read.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import math
 import string
 import unicodedata
 import zlib
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,9 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SHARD_ROWS = 20_000
-#: Distinct words whose ids a worker remembers; it forgets all beyond.
-CACHE_WORDS = 1_000_000
+#: Bytes that a worker spends on remembering the ids of words, and what an entry costs besides its word and ids; beyond, it keeps
+#: what was in use last.  Words of over LONG_WORD bytes are encoded each time.
+CACHE_BYTES, ENTRY_BYTES, LONG_WORD = 240 << 20, 180, 128
 _known: dict = {}
 #: What may stand behind a word as one token of its own: ASCII punctuation but the apostrophe, which also begins contractions.
 _MARKS = string.punctuation.replace("'", "")
@@ -51,7 +53,7 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.cache: dict[bytes, bytes] = {}
-        self.limit = CACHE_WORDS
+        self.limit, self.held = CACHE_BYTES, 0
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -116,11 +118,17 @@ class Ids:
         words = [x.lower().split() for x in items]
         get = self.cache.get
         found = [list(map(get, w)) for w in words]
-        self.learn(list({k for w, f in zip(words, found) if None in f for k, x in zip(w, f) if x is None}))
+        new = {k for w, f in zip(words, found) if None in f for k, x in zip(w, f) if x is None}
+        long = [k for k in new if len(k) > LONG_WORD]
+        once = dict(zip(long, self.encode([k.decode("utf-8", "replace") for k in long])))
+        before = len(self.cache)
+        self.learn(list(new.difference(once)))
         known = self.cache
-        out = [b"".join(f) if None not in f else b"".join([known[k] if x is None else x for k, x in zip(w, f)]) for w, f in zip(words, found)]
-        if len(known) > self.limit:  # keep what was in use last
-            self.cache = {k: known[k] for k in set(chain.from_iterable(words))}
+        self.held += sum(len(k) + len(v) + ENTRY_BYTES for k, v in islice(known.items(), before, None))
+        out = [b"".join(f) if None not in f else b"".join([(known[k] if k in known else once[k]) if x is None else x for k, x in zip(w, f)]) for w, f in zip(words, found)]
+        if self.held > self.limit:
+            self.cache = {k: known[k] for k in set(chain.from_iterable(words)) if k in known}
+            self.held = sum(len(k) + len(v) + ENTRY_BYTES for k, v in self.cache.items())
         return out
 
 
@@ -172,10 +180,10 @@ def slack_patterns(lengths: np.ndarray, window: int):
             yield pattern, times
 
 
-def _tokenise(definition, window: int, end_id: int, cache_words: int):
+def _tokenise(definition, window: int, end_id: int, cache_bytes: int):
     def run(batches):
         ids = ids_by(definition.value)
-        ids.limit = cache_words
+        ids.limit = cache_bytes
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             own, all_texts = batch.column("_id"), C.texts(batch.column("_text"))
@@ -253,7 +261,7 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 
 def pack_sequences(df: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", window: int = 2048,
-                   end_id: int = 1, shard_rows: int = SHARD_ROWS, cache_words: int = CACHE_WORDS) -> DataFrame:
+                   end_id: int = 1, shard_rows: int = SHARD_ROWS, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """One row per piece: where its ids start in the document and where they lie in which sequence.
 
     The tokenizer must not join characters across ASCII white space and must drop it (a word tokenizer).
@@ -262,9 +270,13 @@ def pack_sequences(df: DataFrame, tokenizer_file: str, id_col: str = "doc_id", t
     C.ship(spark)
     with open(tokenizer_file, encoding="utf-8") as f:
         definition = spark.sparkContext.broadcast(f.read())  # of the vocabulary's size
-    shards = max(1, math.ceil(df.count() / shard_rows))
     source = df.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("binary").alias("_text"))
-    tokens = source.mapInArrow(_tokenise(definition, window, end_id, cache_words), "_id long, tokens long, crcs array<long>")
-    first = F.element_at("crcs", 1)
-    dealt = tokens.withColumns({"first_crc": first, "_shard": C.pack_of(F.struct("_id", first), shards)})
+    tokens = source.mapInArrow(_tokenise(definition, window, end_id, cache_bytes), "_id long, tokens long, crcs array<long>")
+    tokens = C.materialise(tokens.withColumn("first_crc", F.element_at("crcs", 1)))  # a few numbers a row
+    shards = max(1, math.ceil(tokens.count() / shard_rows))
+    # rows that repeat one another are spread, others' shards don't depend on how the table is laid out
+    again = tokens.groupBy("_id", "first_crc").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("_id").alias("_i"), F.col("first_crc").alias("_c"), F.lit(True).alias("_again"))
+    dealt = tokens.join(again, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("first_crc") == F.col("_c")), "left")
+    salt = F.when(F.col("_again"), F.monotonically_increasing_id()).otherwise(0)
+    dealt = dealt.select("_id", "tokens", "crcs", "first_crc", C.pack_of(F.struct("_id", "first_crc", salt), shards).alias("_shard"))
     return dealt.groupBy("_shard").applyInArrow(_arrange(window), _PIECES)

@@ -16,8 +16,9 @@ earlier start) goes.  The suffix sort is distributed by content:
     recursion ends once names span `length` bytes, as longer prefixes don't matter.
 4.  Each class of equal windows keeps its first occurrence; the others are reported to their packs as bits.
 
-Nulls: a null text is empty; a null id sorts after all ids.  Of rows with one id, the order of packs and
-rows decides.  Texts shorter than `length` stay whole.  Empty tables give no rows.
+Nulls: a null text is empty; a null id sorts after all ids.  Packs take rows by id and text, so rows that share an id are spread;
+of rows with one id, the order of packs and rows decides.  Texts shorter than `length` stay whole, long ones are read whole in
+slices that overlap.  Other columns are handed through as a struct, whatever their names.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -378,7 +379,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     C.ship(df.sparkSession)
     packs = C.pack_count(df, text_col, pack_bytes)
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text_col])
-    dealt = df.select(C.pack_of(F.col(f"`{id_col}`"), packs).alias("_pack"), F.col(f"`{id_col}`").cast("long").alias("_id"),
+    dealt = df.select(C.pack_of(F.struct(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), packs).alias("_pack"), F.col(f"`{id_col}`").cast("long").alias("_id"),
                       F.col(f"`{text_col}`").cast("binary").alias("_text"), row.alias("_row")).repartition("_pack")
     added = T.StructType.fromDDL("n_bytes long, spans array<struct<start: long, end: long>>, kept " + ("string" if as_text else "binary"))
     out = T.StructType([*dealt.select("_row", "_id").schema.fields, *added.fields])

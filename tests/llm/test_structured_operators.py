@@ -148,6 +148,34 @@ def test_no_messages(spark):
     assert chat.link_calls(*chat.dialogue(none)[:2], SCHEMAS, chat.dialogue(none)[2]).count() == 0
 
 
+# ------------------------------------------------------------------ packing
+
+def test_words_beyond_the_cache():
+    """Ids don't depend on what is remembered: long words, many words, and a limit that is always passed."""
+    with open(word_tokenizer(), encoding="utf-8") as f:
+        definition = f.read()
+    import random
+
+    r = random.Random(1)
+    texts = [" ".join("".join(r.choice("abcdefghijäß0123456789+/=") for _ in range(r.choice([3, 8, 150, 900]))) for _ in range(12)).encode() for _ in range(30)]
+    small, large = packing.Ids(definition), packing.Ids(definition)
+    small.limit = 2000
+    got = [x for t in texts for x in small.of([t])]
+    assert got == large.of(texts) == [np.array(large.tokenizer.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert len(small.cache) < 30 < len(large.cache) and max(map(len, large.cache)) <= packing.LONG_WORD
+
+
+def test_a_row_repeated_many_times_is_packed_in_several_shards(spark):
+    df = spark.createDataFrame([(7, "the same few words")] * 500 + [(k, f"other {k}") for k in range(100, 120)], "doc_id long, text string").repartition(4)
+    got = packing.pack_sequences(df, word_tokenizer(), shard_rows=50).collect()
+    mine = [r for r in got if r["doc_id"] == 7]
+    assert len(mine) == 500 and len({r["sequence_id"] >> 32 for r in mine}) > 3
+    fill = Counter()
+    for r in got:
+        fill[r["sequence_id"]] += r["length"]
+    assert max(fill.values()) <= 2048
+
+
 # ------------------------------------------------------------------ vectors
 
 def exact(rows, k):

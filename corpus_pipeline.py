@@ -41,7 +41,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
-    return packing.pack_sequences(docs, word_tokenizer(), cache_words=500_000)  # workers hold it beside what other stages left
+    return packing.pack_sequences(docs, word_tokenizer(), cache_bytes=120 << 20)  # workers hold it beside what other stages left
 
 
 STAGES = [
@@ -59,5 +59,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = common.materialise(stage(spark, docs, sf_dir))
+        with common.scratch() as keep:
+            docs = keep(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

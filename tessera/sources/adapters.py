@@ -121,10 +121,11 @@ def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(case_id, query, expected): the documents that contain the item's text, else one that isn't indexed."""
+    """(case_id, query, expected): the documents that contain the item's text, those of odd ids by a longer address, else one that isn't indexed."""
     b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
     found = containing(d, b).groupBy("item_id").agg(F.sort_array(F.collect_list("doc_id")).alias("docs"))
-    named = F.transform("docs", lambda x: F.concat(F.lit("doc/"), x.cast("string")))
+    name = lambda x: F.concat(F.lit("doc/"), x.cast("string"))
+    named = F.transform("docs", lambda x: F.when(x % 2 == 1, F.concat(F.lit("https://www.kb.example/"), name(x), F.lit("/"))).otherwise(name(x)))
     absent = F.array(F.concat(F.lit("doc/absent-"), F.col("item_id").cast("string")))
     return b.join(found, "item_id", "left").select(F.col("item_id").alias("case_id"), F.col("text").alias("query"), F.coalesce(named, absent).alias("expected"))
 

@@ -5,25 +5,32 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import checkpoints
+from .embed import tokens
 from .vector import in_blocks
 
 K1, B = 1.2, 0.75
 
 
-def first_of_equal_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows whose trimmed text no row with a smaller id has.
+def first_of_equals(rows: DataFrame, id_col: str, key: Column) -> DataFrame:
+    """Rows whose key no row with a smaller id has.
 
-    What is shuffled are ids and digests; the rows themselves only meet the ids of later copies, which Spark sends to them if
+    What is shuffled are ids and keys; the rows themselves only meet the ids of later copies, which Spark sends to them if
     they turn out few.
     """
-    keys = docs.select(F.col(id_col), F.md5(T.java_trim(F.col(text_col))).alias("_digest"))
-    again = keys.groupBy("_digest").agg(F.min(id_col).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    later = keys.join(again, "_digest").where(F.col(id_col) != F.col("_first")).select(id_col)
-    return docs.join(later, id_col, "left_anti")
+    keys = rows.select(F.col(id_col), key.alias("_key"))
+    again = keys.groupBy("_key").agg(F.min(id_col).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    later = keys.join(again, keys["_key"].eqNullSafe(again["_key"])).where(F.col(id_col) != F.col("_first")).select(id_col)
+    return rows.join(later, id_col, "left_anti")
+
+
+def first_of_equal_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows whose trimmed text no row with a smaller id has."""
+    return first_of_equals(docs, id_col, F.md5(T.java_trim(F.col(text_col))))
 
 
 @dataclass
@@ -53,11 +60,8 @@ class Bm25Index:
 
 def build_index(docs: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> Bm25Index:
     """Equal texts count once; texts without tokens count in n and the mean length."""
-    return _index_of(scan(docs, id_col, text_col).docs)
-
-
-def _index_of(docs: DataFrame) -> Bm25Index:
-    tokens = docs.withColumn("dl", F.size("tokens"))
+    kept = first_of_equal_texts(docs, id_col, text_col).select(F.col(id_col).alias("chunk_id"), T.tokenize(F.col(text_col)).alias("tokens"))
+    tokens = kept.withColumn("dl", F.size("tokens"))
     postings = tokens.select("chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     corpus = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean_dl"))
     return Bm25Index(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), corpus)
@@ -89,27 +93,40 @@ def search(index: Bm25Index, queries: DataFrame, n: int, id_cols: list[str] | No
 MOST_QUERIES, BLOCK = 2048, 128
 
 
-def _hits(batch, vocabulary):
-    """(document, term, tf) of a batch's tokens that are in the vocabulary, by row and place."""
+def _tokens(text):
+    """Flat tokens of an Arrow column of strings, and how many each has; as functions.text.tokenize, but for empty ones, which aren't counted."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    tokens = batch.column("tokens")
-    lengths = np.diff(tokens.offsets.to_numpy())
-    place = pc.index_in(tokens.flatten(), value_set=pa.array(vocabulary, pa.string())).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-    owner = np.repeat(np.arange(batch.num_rows), lengths)
-    key, tf = np.unique((owner * len(vocabulary) + place)[place >= 0], return_counts=True)
-    return key // max(1, len(vocabulary)), key % max(1, len(vocabulary)), tf, lengths
+    text = text.fill_null("")
+    found = pc.split_pattern_regex(pc.ascii_lower(text), "[^a-z0-9]+")
+    han = pc.match_substring_regex(text, r"\p{Han}").to_numpy(zero_copy_only=False).astype(bool)
+    if han.any():
+        lists = found.to_pylist()
+        for i in np.flatnonzero(han).tolist():
+            lists[i] = tokens(text[i].as_py())
+        found = pa.array(lists, pa.list_(pa.string()))
+    flat, offsets = found.flatten(), found.offsets.to_numpy()
+    size = pc.binary_length(flat).to_numpy(zero_copy_only=False)
+    return flat, np.diff(np.concatenate([[0], np.cumsum(size > 0)])[offsets - offsets[0]]), np.diff(offsets)
+
+
+def _as_rows(batch, *names):
+    """Owner of each entry of a batch's list columns, and their values."""
+    import numpy as np
+
+    lists = [batch.column(c) for c in names]
+    return np.repeat(np.arange(batch.num_rows), np.diff(lists[0].offsets.to_numpy())), *(x.flatten().to_numpy() for x in lists)
 
 
 @dataclass
 class TextScan:
-    """Keyword search without postings: documents (chunk_id, tokens) are scored where they are read.
+    """Keyword search without postings, for a corpus that is searched once; one that is searched often has a Bm25Index.
 
-    One pass counts the documents of the queries' terms, another multiplies each Arrow batch's term weights with the
-    queries and gives each query's best only.  For a corpus that is searched once this spares the shuffle of all
-    its postings; one that is searched often has a Bm25Index.
+    One pass reads each text and keeps its digest, its length and how often it has each of the queries' terms, which is
+    checkpointed.  Of equal texts the first counts.  Then the terms' documents are counted, and each Arrow batch of what was kept is
+    multiplied with the queries' weights and gives each query's best only, so what is shuffled doesn't grow with the texts.
     """
 
     docs: DataFrame
@@ -122,6 +139,28 @@ class TextScan:
         best = Window.partitionBy(*ids).orderBy(F.desc("score"), "chunk_id")
         return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max(n, 0)).select(*ids, "chunk_id", "score", "rank")
 
+    def _kept(self, shared) -> DataFrame:
+        """(chunk_id, dl, terms, tf) of the first of equal texts; terms are places in the vocabulary."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def hits(batches):
+            words = pa.array(shared.value[0], pa.string())
+            for batch in batches:
+                flat, dl, sizes = _tokens(batch.column("text"))
+                place = pc.index_in(flat, value_set=words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+                owner = np.repeat(np.arange(batch.num_rows), sizes)[place >= 0]
+                key, tf = np.unique(owner * max(1, len(words)) + place[place >= 0], return_counts=True)
+                upto = np.concatenate([[0], np.cumsum(np.bincount(key // max(1, len(words)), minlength=batch.num_rows))]).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(upto), pa.array(x.astype(np.int32))) for x in (key % max(1, len(words)), tf)]
+                yield pa.record_batch([batch.column("chunk_id"), batch.column("digest"), pa.array(dl.astype(np.int32)), *lists], names=["chunk_id", "digest", "dl", "terms", "tf"])
+
+        source = self.docs.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.md5(T.java_trim(F.col("text"))).alias("digest"), "text")
+        checkpoints(self.docs.sparkSession)
+        found = source.mapInArrow(hits, "chunk_id long, digest string, dl int, terms array<int>, tf array<int>").checkpoint()
+        return first_of_equals(found, "chunk_id", F.col("digest")).select("chunk_id", "dl", "terms", "tf")
+
     def _found(self, held: list, ids: list[str], kinds: str, n: int) -> DataFrame:
         """(ids, chunk_id, score) of each Arrow batch's n best for the queries held."""
         import numpy as np
@@ -130,18 +169,18 @@ class TextScan:
         spark = self.docs.sparkSession
         vocabulary = sorted({t for r in held for t in r["terms"]})
         shared = spark.sparkContext.broadcast((vocabulary, [r["terms"] for r in held]))  # of about MOST_QUERIES queries
+        kept = self._kept(shared)
 
         def count(batches):
-            words = shared.value[0]
-            df, rows, total = np.zeros(len(words), np.int64), 0, 0
+            df, rows, total = np.zeros(len(shared.value[0]), np.int64), 0, 0
             for batch in batches:
-                _, term, _, lengths = _hits(batch, words)
-                df += np.bincount(term, minlength=len(words))
-                rows, total = rows + batch.num_rows, total + int(lengths.sum())
+                _, term = _as_rows(batch, "terms")
+                df += np.bincount(term, minlength=len(df))
+                rows, total = rows + batch.num_rows, total + int(batch.column("dl").to_numpy().sum())
             seen = np.flatnonzero(df)
             yield pa.record_batch([pa.array([-2, -1, *seen], pa.int64()), pa.array([rows, total, *df[seen]], pa.int64())], names=["term", "n"])
 
-        counts = {r["term"]: r["n"] for r in self.docs.select("tokens").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+        counts = {r["term"]: r["n"] for r in kept.select("dl", "terms").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
         rows, mean = counts.get(-2, 0), counts.get(-1, 0) / max(1, counts.get(-2, 0)) or 1.0
         df = np.array([counts.get(i, 0) for i in range(len(vocabulary))], np.float64)
         idf = np.log(1 + (rows - df + 0.5) / (df + 0.5))
@@ -161,8 +200,8 @@ class TextScan:
                     weights[column[at_terms], j] = idf[at_terms]
                 blocks.append((at, column, weights))
             for batch in batches:
-                doc, term, tf, lengths = _hits(batch, words)
-                value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean))
+                doc, term, tf = _as_rows(batch, "terms", "tf")
+                value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * batch.column("dl").to_numpy()[doc] / mean))
                 chunk = batch.column("chunk_id").to_numpy(zero_copy_only=False)
                 for at, column, weights in blocks:
                     inside = column[term] >= 0
@@ -176,11 +215,10 @@ class TextScan:
                     i, j = np.nonzero(s > -np.inf)
                     yield pa.record_batch([pa.array(i + at, pa.int32()), pa.array(chunk[j], pa.int64()), pa.array(s[i, j], pa.float64())], names=["_n", "chunk_id", "score"])
 
-        found = self.docs.select(F.col("chunk_id").cast("long").alias("chunk_id"), "tokens").mapInArrow(score, "_n int, chunk_id long, score double")
+        found = kept.mapInArrow(score, "_n int, chunk_id long, score double")
         names = spark.createDataFrame([(k, *(r[c] for c in ids)) for k, r in enumerate(held)], "_n int, " + kinds)
         return found.join(F.broadcast(names), "_n").drop("_n")  # names: about MOST_QUERIES
 
 
 def scan(docs: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> TextScan:
-    kept = first_of_equal_texts(docs, id_col, text_col)
-    return TextScan(kept.select(F.col(id_col).alias("chunk_id"), T.tokenize(F.col(text_col)).alias("tokens")))
+    return TextScan(docs.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text")))

@@ -36,3 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
     made = "file://" + tempfile.mkdtemp(prefix="tessera-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
+
+
+def checkpoints(spark: SparkSession) -> None:
+    """Lets DataFrames be checkpointed: in the shared folder, unless another was set."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))

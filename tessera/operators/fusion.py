@@ -72,14 +72,17 @@ class PythonReranker:
         return scores(query, text)
 
 
-def rerank(rows: DataFrame, by: list[str], enabled: Column, top_k: Column, reranker: Reranker | None = None, rank: str = "fused_rank") -> DataFrame:
+def rerank(rows: DataFrame, by: list[str], enabled: Column, top_k: Column, reranker: Reranker | None = None, rank: str = "fused_rank", said: Column | None = None) -> DataFrame:
     """Adds final_rank: by model score where enabled and there are more candidates than top_k, else as fused.
 
-    If the model fails for a candidate of a query, that query's rows stay as fused and carry the error (rerank_error).
+    The model's word on a row is `said` if given, else the reranker is asked about its query and text.  If the model fails for a
+    candidate of a query, that query's rows stay as fused and carry the error (rerank_error).
     """
-    model, group = reranker or TokenCoverage(), Window.partitionBy(*by)
+    group = Window.partitionBy(*by)
+    if said is None:
+        said = (reranker or TokenCoverage()).score(F.col("query"), F.col("text"))
     rows = rows.withColumn("candidates", F.count(F.lit(1)).over(group))
-    rows = rows.withColumn("_said", F.when(enabled & (F.col("candidates") > top_k), model.score(F.col("query"), F.col("text"))))
+    rows = rows.withColumn("_said", F.when(enabled & (F.col("candidates") > top_k), said))
     rows = rows.withColumn("rerank_error", F.max("_said.error").over(group))
     score = F.when(F.col("rerank_error").isNull(), F.coalesce("_said.score", F.lit(0.0))).otherwise(0.0)
     return number(rows.withColumn("rerank_score", score).drop("_said"), by, [F.desc("rerank_score"), F.col(rank)], "final_rank")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import checkpoints
 from . import bm25, embed, fusion, vector
 
 log = logging.getLogger(__name__)
@@ -113,6 +114,7 @@ def _tolerant(what: str, strict: bool, run: Callable[[], DataFrame], eager: bool
 
 def recall(asked: DataFrame, corpus: Corpus, options: RetrieveOptions, strict: bool = False) -> DataFrame:
     """Ranked lists (query_id, q_idx, route, rank, chunk_id): route 0 by vector, 1 by keyword."""
+    checkpoints(asked.sparkSession)
     ids = ["query_id", "q_idx"]
     parts = []
     if corpus.embedder:
@@ -133,13 +135,17 @@ def recall(asked: DataFrame, corpus: Corpus, options: RetrieveOptions, strict: b
 
 
 def finish(lists: DataFrame, queries: DataFrame, corpus: Corpus, by: list[str], options: dict[str, Column], candidates: int, rrf_k: int, reranker: fusion.Reranker | None = None) -> DataFrame:
-    """Fusion, cap, rerank and diversity; options: columns rerank, top_k and max_per_source."""
-    chunks = corpus.chunks.select("chunk_id", "source", "text")
-    named = lists.join(chunks, "chunk_id").withColumn("key", F.md5(T.java_trim(F.col("text"))))
-    fused = fusion.rrf(named, by, k=rrf_k)
-    capped = fusion.number(fused, by, [F.desc("rrf"), F.col("seen")], "fused_rank", candidates)
-    capped = capped.join(queries.select("query_id", "query"), "query_id")
-    ranked = fusion.rerank(capped, by, options["rerank"], options["top_k"], reranker)
+    """Fusion, cap, rerank and diversity; options: columns rerank, top_k and max_per_source.  Rows carry chunk_id and source, no text.
+
+    Texts are read for what the lists hold, once, and only meet the queries for the candidates left after the cap, each pair once.
+    """
+    checkpoints(lists.sparkSession)
+    hit = corpus.chunks.select("chunk_id", "source", "text").join(lists.select("chunk_id").distinct(), "chunk_id", "left_semi").withColumn("key", F.md5(T.java_trim(F.col("text")))).checkpoint()
+    fused = fusion.rrf(lists.join(hit.drop("text"), "chunk_id"), by, k=rrf_k, carry=("chunk_id", "source"))
+    capped = fusion.number(fused, by, [F.desc("rrf"), F.col("seen")], "fused_rank", candidates).checkpoint()
+    pairs = capped.where(options["rerank"]).select("query_id", "chunk_id").distinct().join(hit.select("chunk_id", "text"), "chunk_id").join(queries.select("query_id", "query"), "query_id")
+    said = pairs.select("query_id", "chunk_id", (reranker or fusion.TokenCoverage()).score(F.col("query"), F.col("text")).alias("said"))
+    ranked = fusion.rerank(capped.join(said, ["query_id", "chunk_id"], "left"), by, options["rerank"], options["top_k"], said=F.col("said"))
     return fusion.select_diverse(ranked, options["top_k"], options["max_per_source"], by)
 
 
@@ -148,10 +154,10 @@ def retrieve(queries: DataFrame, corpus: Corpus, options: RetrieveOptions | None
     """(query_id, pos, chunk_id, source, text, rrf, rerank_score) for queries (query_id, query, rewrites, vector)."""
     o = options or RetrieveOptions()
     asked = expand_queries(queries, enabled=o.rewrite, count=o.rewrite_count, rewriter=rewriter)
-    lists = recall(asked, corpus, o, strict)
+    lists = recall(asked, corpus, o, strict).checkpoint()
     columns = {"rerank": F.lit(o.rerank), "top_k": F.lit(o.top_k), "max_per_source": F.lit(o.max_per_source)}
     out = finish(lists, queries, corpus, ["query_id"], columns, o.candidates, o.rrf_k, reranker)
-    return out.select("query_id", "pos", "chunk_id", "source", "text", "rrf", "rerank_score")
+    return out.join(corpus.chunks.select("chunk_id", "text"), "chunk_id").select("query_id", "pos", "chunk_id", "source", "text", "rrf", "rerank_score")
 
 
 class ResultCache:

@@ -6,22 +6,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIZE, OVERLAP = 500, 100
+#: Ways to cut: windows of `size` characters that start every size - overlap, or by split_text.
+SPLITTERS = ("windows", "recursive")
 
 
-def chunk_count(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
+def _check(size: int, overlap: int, splitter: str) -> None:
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be at least 0 and less than size")
+    if splitter not in SPLITTERS:
+        raise ValueError(f"unknown splitter {splitter}; there are {', '.join(SPLITTERS)}")
+
+
+def _windows(text: Column, size: int, overlap: int) -> Column:
     return F.greatest(F.lit(1), F.ceil((F.length(text) - overlap) / (size - overlap))).cast("int")
 
 
-def chunk_texts(df: DataFrame, text: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """A row per chunk: chunk_idx from 0 and chunk_text, windows of `size` characters that start every size - overlap.
+def chunks(text: Column, size: int = SIZE, overlap: int = OVERLAP, splitter: str = "windows") -> Column:
+    """Array of a text's chunks; an empty text has one empty chunk."""
+    _check(size, overlap, splitter)
+    if splitter == "windows":
+        return F.transform(F.sequence(F.lit(0), _windows(text, size, overlap) - 1), lambda k: F.substring(text, k * (size - overlap) + 1, F.lit(size)))
 
-    An empty text gives one empty chunk, a null text none; other columns are repeated.
-    """
-    if not 0 <= overlap < size:
-        raise ValueError("overlap must be at least 0 and less than size")
-    t, step = F.col(text), size - overlap
-    windows = F.transform(F.sequence(F.lit(0), chunk_count(t, size, overlap) - 1), lambda k: F.substring(t, k * step + 1, F.lit(size)))
-    return df.where(t.isNotNull()).select(*[c for c in df.columns if c != text], F.posexplode(windows).alias("chunk_idx", "chunk_text"))
+    @F.arrow_udf("array<string>")
+    def split(col):
+        import pyarrow as pa
+
+        return pa.array([None if x is None else split_text(x, size, overlap) for x in col.to_pylist()], pa.list_(pa.string()))
+
+    return split(text)
+
+
+def chunk_count(text: Column, size: int = SIZE, overlap: int = OVERLAP, splitter: str = "windows") -> Column:
+    return _windows(text, size, overlap) if splitter == "windows" else F.size(chunks(text, size, overlap, splitter))
+
+
+def chunk_texts(df: DataFrame, text: str = "text", size: int = SIZE, overlap: int = OVERLAP, splitter: str = "windows") -> DataFrame:
+    """A row per chunk: chunk_idx from 0 and chunk_text; a null text gives none, other columns are repeated."""
+    t = F.col(f"`{text}`")
+    return df.where(t.isNotNull()).select(*[F.col(f"`{c}`") for c in df.columns if c != text], F.posexplode(chunks(t, size, overlap, splitter)).alias("chunk_idx", "chunk_text"))
 
 
 #: What ends paragraphs, lines, sentences and words, coarsest first.
@@ -44,18 +66,3 @@ def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]
         word = min((i + 1 for c in " \n" if (i := back.find(c)) >= 0), default=0)
         at += cut - overlap + word
     return [*out, text[at:]]
-
-
-def split_texts(df: DataFrame, text: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """As chunk_texts, by split_text: a row per chunk, chunk_idx from 0 and chunk_text."""
-    if not 0 <= overlap < size:
-        raise ValueError("overlap must be at least 0 and less than size")
-
-    @F.arrow_udf("array<string>")
-    def split(col):
-        import pyarrow as pa
-
-        return pa.array([split_text(x, size, overlap) for x in col.to_pylist()], pa.list_(pa.string()))
-
-    t = F.col(f"`{text}`")
-    return df.where(t.isNotNull()).select(*[F.col(f"`{c}`") for c in df.columns if c != text], F.posexplode(split(t)).alias("chunk_idx", "chunk_text"))

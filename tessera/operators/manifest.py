@@ -19,9 +19,14 @@ class Header:
     collection: str | None
     size: int = chunk.SIZE
     overlap: int = chunk.OVERLAP
+    splitter: str = "windows"
 
+    @property
+    def cut(self) -> tuple[int, int, str]:
+        return self.size, self.overlap, self.splitter
 
-def full_rebuild_reason(previous: Header | None, collection: str, size: int, overlap: int) -> str | None:
+
+def full_rebuild_reason(previous: Header | None, collection: str, size: int, overlap: int, splitter: str = "windows") -> str | None:
     """Why everything must be rebuilt, checked in this order; None if a comparison is enough."""
     if previous is None or not (previous.collection or "").strip():
         return "the manifest names no collection"
@@ -29,6 +34,8 @@ def full_rebuild_reason(previous: Header | None, collection: str, size: int, ove
         return f"the manifest belongs to collection {previous.collection}"
     if (previous.size, previous.overlap) != (size, overlap):
         return f"chunks were {previous.size} with overlap {previous.overlap}"
+    if previous.splitter != splitter:
+        return f"chunks were cut by {previous.splitter}"
     return None
 
 
@@ -54,17 +61,17 @@ def summary(compared: DataFrame) -> DataFrame:
     return compared.agg(*n.values()).withColumn("nothing_to_do", (F.col("added") == 0) & (F.col("changed") == 0) & (F.col("removed") == 0))
 
 
-def chunks_of(sources: DataFrame, size: int = chunk.SIZE, overlap: int = chunk.OVERLAP) -> DataFrame:
+def chunks_of(sources: DataFrame, size: int = chunk.SIZE, overlap: int = chunk.OVERLAP, splitter: str = "windows") -> DataFrame:
     """(chunk_id, key, chunk_idx, chunk_text) of sources (key, text)."""
-    cut = chunk.chunk_texts(sources.select(*KEY, "text"), "text", size, overlap)
+    cut = chunk.chunk_texts(sources.select(*KEY, "text"), "text", size, overlap, splitter)
     return cut.select(T.chunk_id(F.col("source_key"), F.col("source_value"), F.col("chunk_idx")).alias("chunk_id"), *KEY, "chunk_idx", "chunk_text")
 
 
-def apply_to_chunks(old_chunks: DataFrame, compared: DataFrame, current: DataFrame, size: int = chunk.SIZE, overlap: int = chunk.OVERLAP) -> DataFrame:
+def apply_to_chunks(old_chunks: DataFrame, compared: DataFrame, current: DataFrame, size: int = chunk.SIZE, overlap: int = chunk.OVERLAP, splitter: str = "windows") -> DataFrame:
     """The chunk table after the comparison: rows of removed and changed keys go, those of added and changed come."""
     gone = compared.where("status IN ('removed', 'changed')").select(*KEY)
     fresh = current.join(compared.where("status IN ('added', 'changed')").select(*KEY), KEY, "left_semi")
-    return old_chunks.join(gone, KEY, "left_anti").unionByName(chunks_of(fresh, size, overlap)).select(old_chunks.columns)
+    return old_chunks.join(gone, KEY, "left_anti").unionByName(chunks_of(fresh, size, overlap, splitter)).select(old_chunks.columns)
 
 
 def apply_to_manifest(previous: DataFrame, compared: DataFrame, current: DataFrame) -> DataFrame:
@@ -150,7 +157,7 @@ class Store:
         new = self.version() + 1
         chunks.write.mode("overwrite").parquet(f"{self.path}/v{new}/chunks")
         manifest.write.mode("overwrite").parquet(f"{self.path}/v{new}/manifest")
-        self.spark.createDataFrame([(header.collection, header.size, header.overlap)], "collection string, chunk int, overlap int").write.mode("overwrite").parquet(f"{self.path}/v{new}/header")
+        self.spark.createDataFrame([(header.collection, *header.cut)], "collection string, chunk int, overlap int, splitter string").write.mode("overwrite").parquet(f"{self.path}/v{new}/header")
         meta = manifest.agg(F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("segments"))
         meta.select(format_collection_meta(F.lit(header.collection or ""), F.col("segments")).alias("text")).coalesce(1).write.mode("overwrite").text(f"{self.path}/v{new}/meta")
         self.spark.createDataFrame([(new,)], "version int").write.mode("append").parquet(f"{self.path}/pointer")
@@ -188,12 +195,12 @@ def rebuild(store: Store, sources: DataFrame, failed: DataFrame, header: Header,
     A full rebuild keeps what failed to load now, as an incremental one does, if the old version fits; nothing is
     written if nothing changed.
     """
-    now = first_of_key(sources).withColumns({"fingerprint": T.fingerprint(F.col("text")), "chunk_count": chunk.chunk_count(F.col("text"), header.size, header.overlap)})
+    now = first_of_key(sources).withColumns({"fingerprint": T.fingerprint(F.col("text")), "chunk_count": chunk.chunk_count(F.col("text"), *header.cut)})
     old = store.header()
-    reason = "asked for" if full else full_rebuild_reason(old, header.collection or "", header.size, header.overlap)
+    reason = "asked for" if full else full_rebuild_reason(old, header.collection or "", *header.cut)
     if reason:
         manifest = now.select(*KEY, "fingerprint", "chunk_count", F.lit(1).alias("late"), "ord")
-        version = store.publish(chunks_of(now, header.size, header.overlap), manifest, header)
+        version = store.publish(chunks_of(now, *header.cut), manifest, header)
         if after:
             after()
         return RebuildStatus("full", reason, version, {"added": manifest.count()})
@@ -203,7 +210,7 @@ def rebuild(store: Store, sources: DataFrame, failed: DataFrame, header: Header,
         counts = summary(compared).first().asDict()
         if counts.pop("nothing_to_do"):
             return RebuildStatus("none", None, store.version(), counts)
-        version = store.publish(apply_to_chunks(store.read("chunks"), compared, now, header.size, header.overlap), apply_to_manifest(before, compared, now), header)
+        version = store.publish(apply_to_chunks(store.read("chunks"), compared, now, *header.cut), apply_to_manifest(before, compared, now), header)
         if after:
             after()
         return RebuildStatus("incremental", None, version, counts)

@@ -336,7 +336,7 @@ n AS (SELECT c.*, substr(text, pos + 1, 500) AS w FROM c JOIN documents USING (d
 e AS (SELECT *, length(regexp_extract(w, '(?s)^.*\n\n')) AS p, length(regexp_extract(w, '(?s)^.*\n')) AS l, length(regexp_extract(w, '(?s)^.*[.!?] ')) AS s, length(regexp_extract(w, '(?s)^.* ')) AS x FROM n)
 SELECT doc_id, chunk_idx, CASE WHEN size - pos <= 500 THEN w WHEN p > 100 THEN left(w, p) WHEN l > 100 THEN left(w, l) WHEN s > 100 THEN left(w, s) WHEN x > 100 THEN left(w, x) ELSE w END AS chunk_text FROM e""")
 def split_documents(spark, d):
-    return chunk.split_texts(adapters.table(spark, d, "documents").select("doc_id", "text"))
+    return chunk.chunk_texts(adapters.table(spark, d, "documents").select("doc_id", "text"), splitter="recursive")
 
 
 @query(f"""WITH {_MANIFEST} SELECT {', '.join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in ('added', 'changed', 'removed', 'unchanged', 'failed'))},

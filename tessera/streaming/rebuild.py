@@ -21,16 +21,16 @@ def follow(changes: DataFrame, store: M.Store, header: M.Header, checkpoint: str
     def step(batch: DataFrame, _: int) -> None:
         last = batch.groupBy(*M.KEY).agg(F.max_by(F.struct("text", "ord"), "ord").alias("x")).select(*M.KEY, "x.text", "x.ord").persist()
         try:
-            now = last.where("text IS NOT NULL").withColumns({"fingerprint": T.fingerprint(F.col("text")), "chunk_count": chunk.chunk_count(F.col("text"), header.size, header.overlap)})
+            now = last.where("text IS NOT NULL").withColumns({"fingerprint": T.fingerprint(F.col("text")), "chunk_count": chunk.chunk_count(F.col("text"), *header.cut)})
             if store.header() is None:
-                store.publish(M.chunks_of(now, header.size, header.overlap), now.select(*M.KEY, "fingerprint", "chunk_count", F.lit(1).alias("late"), "ord"), header)
+                store.publish(M.chunks_of(now, *header.cut), now.select(*M.KEY, "fingerprint", "chunk_count", F.lit(1).alias("late"), "ord"), header)
                 return
             before = store.read("manifest")
             named = before.join(last.select(*M.KEY), M.KEY, "left_semi")
             compared = M.diff(named, now, last.limit(0).select(*M.KEY)).persist()
             if not M.summary(compared).first()["nothing_to_do"]:
                 others = before.join(last.select(*M.KEY), M.KEY, "left_anti").select(*M.KEY, "fingerprint", "chunk_count", "late", "ord")
-                store.publish(M.apply_to_chunks(store.read("chunks"), compared, now, header.size, header.overlap), others.unionByName(M.apply_to_manifest(named, compared, now)), header)
+                store.publish(M.apply_to_chunks(store.read("chunks"), compared, now, *header.cut), others.unionByName(M.apply_to_manifest(named, compared, now)), header)
             compared.unpersist()
         finally:
             last.unpersist()

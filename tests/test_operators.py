@@ -151,8 +151,9 @@ def test_chunks(spark):
         chunk.chunk_texts(df, overlap=500)
 
 
-def test_incremental_equals_full(spark, tmp_path):
-    header = manifest.Header("c1")
+@pytest.mark.parametrize("splitter", chunk.SPLITTERS)
+def test_incremental_equals_full(spark, tmp_path, splitter):
+    header = manifest.Header("c1", splitter=splitter)
     store = manifest.Store(spark, str(tmp_path / "a"))
     first = [("a", "text a " * 200), ("b", "b"), ("c", "c"), ("a", "twice")]
     assert manifest.rebuild(store, sources(spark, first), spark.createDataFrame([], NONE), header).mode == "full"
@@ -169,7 +170,10 @@ def test_incremental_equals_full(spark, tmp_path):
     third = manifest.rebuild(store, sources(spark, second[1:]), spark.createDataFrame([("file_name", "a")], NONE), header)
     assert third.mode == "none" and third.counts["failed"] == 1
     assert manifest.rebuild(store, sources(spark, second), spark.createDataFrame([], NONE), manifest.Header("c2")).reason.startswith("the manifest belongs")
-    assert "chunks were" in manifest.full_rebuild_reason(header, "c1", 400, 100)
+    assert "chunks were" in manifest.full_rebuild_reason(header, "c1", 400, 100) and manifest.full_rebuild_reason(header, "c1", *header.cut) is None
+    assert manifest.full_rebuild_reason(header, "c1", 500, 100, "recursive" if splitter == "windows" else "windows") == f"chunks were cut by {splitter}"
+    with pytest.raises(ValueError, match="splitter"):
+        chunk.chunk_texts(sources(spark, second), splitter="other")
 
 
 def test_diff_model(spark):

@@ -171,6 +171,16 @@ class Store:
         return Header(*self.read("header").first()) if self.version() else None
 
 
+def status(store: Store) -> DataFrame:
+    """What the index holds, one row: collection, version, how it is cut, chunks (by its manifest), sources and written_chunks; none if there is no version."""
+    header, version = store.header(), store.version()
+    if header is None:
+        return store.spark.createDataFrame([], "collection string, version int, size int, overlap int, splitter string, chunks long, sources long, written_chunks long")
+    held = store.read("manifest").agg(F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("chunks"), F.count(F.lit(1)).alias("sources"))
+    known = [F.lit(x).alias(n) for n, x in zip(("collection", "version", "size", "overlap", "splitter"), (header.collection, version, *header.cut))]
+    return held.join(store.read("chunks").agg(F.count(F.lit(1)).alias("written_chunks"))).select(*known, "chunks", "sources", "written_chunks")  # a row each
+
+
 def reconcile(previous: DataFrame, current: DataFrame, failed: DataFrame, same_collection: bool = True) -> DataFrame:
     """What a start finds, one row: the counts of the comparison, whether index and sources agree (in_sync), and the index's
     size in chunks: the manifest's if it is of the collection in use, else that of the sources as they are now."""

@@ -369,6 +369,14 @@ def rebuild_cycle(spark, d):
     return spark.createDataFrame(rows, "step int, mode string, version int, added long, changed int, removed int, chunks long, segments long")
 
 
+@query("""WITH k AS (SELECT greatest(1, ceil((length(text) - 50) / 250.0))::BIGINT AS n FROM documents WHERE doc_id % 2 = 0)
+SELECT 'docs' AS collection, 1 AS version, 300 AS size, 50 AS overlap, 'windows' AS splitter, sum(n)::BIGINT AS chunks, count(*) AS sources, sum(n)::BIGINT AS written_chunks FROM k""")
+def index_status(spark, d):
+    docs, store = _sources(spark, d).where("ord % 2 = 0"), manifest.Store(spark, _folder(spark))
+    manifest.rebuild(store, docs, docs.limit(0), manifest.Header("docs", 300, 50))
+    return manifest.status(store)
+
+
 @query("""SELECT n_nationkey AS k, CASE WHEN n_nationkey % 5 < 2 THEN 'the manifest names no collection' WHEN n_nationkey % 5 = 2 THEN 'the manifest belongs to collection other'
 WHEN n_nationkey % 2 = 1 OR n_nationkey % 3 = 0 THEN 'chunks were ' || CASE WHEN n_nationkey % 2 = 1 THEN 400 ELSE 500 END || ' with overlap ' || CASE WHEN n_nationkey % 3 = 0 THEN 50 ELSE 100 END END AS reason FROM nation""")
 def rebuild_reasons(spark, d):

@@ -294,6 +294,10 @@ def test_result_cache():
     assert cache.get("d") is None
 
 
+def test_status_without_an_index(spark, tmp_path):
+    assert manifest.status(manifest.Store(spark, str(tmp_path / "none"))).count() == 0
+
+
 def test_rebuild_clears_and_snapshot_shows(spark, tmp_path):
     store, cleared, none = manifest.Store(spark, str(tmp_path)), [], spark.createDataFrame([], NONE)
     go = lambda rows: manifest.rebuild(store, sources(spark, rows), none, manifest.Header("c"), after=lambda: cleared.append(store.version()))

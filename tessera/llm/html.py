@@ -180,15 +180,20 @@ def blocks(page: str) -> list[Block]:
 
 def vectors(page: list[Block]) -> np.ndarray:
     """A row per block."""
-    out = np.zeros((len(page), PATH + WORDS + MEASURES), np.float32)
-    for i, b in enumerate(page):
-        out[i, : PATH - 1] = np.unpackbits(np.frombuffer(b.tokens.to_bytes(PATH // 8, "little"), np.uint8), count=PATH - 1, bitorder="little")
-        out[i, PATH - 1] = min(b.depth, 20) / 20
-        words = b.text.split()
-        out[i, PATH : PATH + WORDS] = np.bincount([_hash(w, WORDS) for w in b.text.lower().split()], minlength=WORDS) / max(1, len(words))
-        n = len(b.text)
-        out[i, PATH + WORDS :] = (min(np.log1p(n) / 8, 1.5), min(np.log1p(len(words)) / 6, 1.5), b.linked, b.text[-1] in ".!?…»”\"", i / len(page), "©" in b.text,
-                                  b.text.count(".") / max(1, len(words)), b.last == "p")
+    n = len(page)
+    out = np.zeros((n, PATH + WORDS + MEASURES), np.float32)
+    if not n:
+        return out
+    tokens = np.frombuffer(b"".join(b.tokens.to_bytes(PATH // 8, "little") for b in page), np.uint8).reshape(n, -1)
+    out[:, : PATH - 1] = np.unpackbits(tokens, axis=1, count=PATH - 1, bitorder="little")
+    out[:, PATH - 1] = np.minimum([b.depth for b in page], 20) / 20
+    hashes, words = C.word_hashes([b.text.lower().encode("utf-8", "replace") for b in page])
+    seen = np.bincount(np.repeat(np.arange(n), words) * WORDS + (hashes % np.uint64(WORDS)).astype(np.int64), minlength=n * WORDS).reshape(n, WORDS)
+    each = np.maximum(words, 1)
+    out[:, PATH : PATH + WORDS] = seen / each[:, None]
+    measures = np.array([(len(b.text), b.linked, b.text[-1] in ".!?…»”\"", "©" in b.text, b.text.count("."), b.last == "p") for b in page], np.float64)
+    long, linked, ended, right, stops, plain = measures.T
+    out[:, PATH + WORDS :] = np.stack([np.minimum(np.log1p(long) / 8, 1.5), np.minimum(np.log1p(words) / 6, 1.5), linked, ended, np.arange(n) / n, right, stops / each, plain], axis=1)
     return out
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import checkpoints
+from ..session import checkpoints, ship
 from .embed import tokens
 from .vector import in_blocks
 
@@ -167,6 +167,7 @@ class TextScan:
         import pyarrow as pa
 
         spark = self.docs.sparkSession
+        ship(spark)
         vocabulary = sorted({t for r in held for t in r["terms"]})
         shared = spark.sparkContext.broadcast((vocabulary, [r["terms"] for r in held]))  # of about MOST_QUERIES queries
         kept = self._kept(shared)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 SIZE, OVERLAP = 500, 100
 #: Ways to cut: windows of `size` characters that start every size - overlap, or by split_text.
 SPLITTERS = ("windows", "recursive")
@@ -27,6 +29,8 @@ def chunks(text: Column, size: int = SIZE, overlap: int = OVERLAP, splitter: str
     if splitter == "windows":
         return F.transform(F.sequence(F.lit(0), _windows(text, size, overlap) - 1), lambda k: F.substring(text, k * (size - overlap) + 1, F.lit(size)))
 
+    ship()
+
     @F.arrow_udf("array<string>")
     def split(col):
         import pyarrow as pa

@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 DIMENSIONS = 256
 # The characters of the Han script in the basic plane.
 _HAN = "\u2e80-\u2e99\u2e9b-\u2ef3\u2f00-\u2fd5\u3005\u3007\u3021-\u3029\u3038-\u303b\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufa6d\ufa70-\ufad9"
@@ -47,6 +49,7 @@ class HashedTerms:
 
     def embed(self, text: Column) -> Column:
         size = self.dimensions
+        ship()
 
         def vector(x: str | None) -> np.ndarray | None:
             found = [_place(t, size) for t in tokens(x or "")]

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import ship
 
 RRF_K = 60
 
@@ -54,6 +55,7 @@ class PythonReranker:
 
     def score(self, query: Column, text: Column) -> Column:
         function = self.function
+        ship()
 
         @F.arrow_udf("score double, error string")
         def scores(queries, texts):

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import checkpoints
+from ..session import checkpoints, ship
 from . import bm25, embed, fusion, vector
 
 log = logging.getLogger(__name__)
@@ -72,6 +72,7 @@ class PythonRewriter:
 
     def rewrite(self, query: Column, count: int) -> Column:
         function = self.function
+        ship()
 
         @F.arrow_udf("array<string>")
         def rewrites(col):

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Query rows that are sent to all tasks at once; more are searched block by block, a pass over the corpus each.
 MOST_QUERIES = 8192
 
@@ -33,6 +35,7 @@ def _score_scale(score, scale: str):
 def _found(held: list, ids: list[str], kinds: str, corpus: DataFrame, n: int, min_score: float, score_scale: str) -> DataFrame:
     """(ids, chunk_id, score) of each Arrow batch's n best for the queries held."""
     spark = corpus.sparkSession
+    ship(spark)
     matrix = spark.sparkContext.broadcast(np.array([r["vector"] for r in held], np.float64))  # about MOST_QUERIES rows
 
     def products(batches):

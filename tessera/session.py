@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -42,3 +44,23 @@ def checkpoints(spark: SparkSession) -> None:
     """Lets DataFrames be checkpointed: in the shared folder, unless another was set."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+def ship(spark: SparkSession | None = None) -> None:
+    """Makes this package importable on the workers, unless PYTHONPATH already does that."""
+    import tessera
+
+    context = (spark or SparkSession.active()).sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(tessera.__file__)))
+    paths = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root in paths or root.endswith(".zip") or getattr(context, "_tessera_shipped", False):
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="tessera-zip-"), "tessera_pkg.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(os.path.join(root, "tessera")):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, root))
+    context.addPyFile(target)
+    context._tessera_shipped = True

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.vector import in_blocks
+from ..session import ship
 
 #: Items that one automaton looks for.
 MOST_ITEMS = 100_000
@@ -95,6 +96,8 @@ def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
     One automaton of all items reads each document once; very many items take several, a pass over the documents each.
     An empty item is contained in none.
     """
+    ship(docs.sparkSession)
+
     def of(held: list) -> DataFrame:
         texts: dict[str, list[int]] = {}
         for r in held:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import ship
 
 # Elements that are dropped, preferred roots, and elements whose leaves are lines.
 DROPPED = frozenset("script style noscript nav header footer aside iframe form svg".split())
@@ -102,6 +103,7 @@ def clean_pages(df: DataFrame, html_col: str = "html") -> DataFrame:
             text = pa.array([clean_html(x) for x in batch.column(html_col).to_pylist()], pa.string())
             yield pa.record_batch([*[batch.column(c) for c in rest], text], names=[*rest, "text"])
 
+    ship(df.sparkSession)
     source = df.select(*rest, html_col)
     return source.mapInArrow(run, df.select(*rest).schema.add("text", "string"))
 

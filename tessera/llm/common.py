@@ -17,16 +17,14 @@ import contextlib
 import functools
 import inspect
 import math
-import os
-import tempfile
 import uuid
-import zipfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
 from ..session import shared_dir
 
 #: Text bytes in a pack; a group of this size is all that a worker holds at once.
@@ -92,27 +90,11 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Ready a session: small Arrow batches, and this package importable on the workers unless PYTHONPATH already does that."""
-    import tessera
-
+    """Ready a session: this package importable on the workers, and small Arrow batches."""
+    session.ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
-    root = os.path.dirname(os.path.dirname(os.path.abspath(tessera.__file__)))
-    paths = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    context = spark.sparkContext
-    if root in paths or root.endswith(".zip") or getattr(context, "_tessera_shipped", False):
-        return
-    target = os.path.join(tempfile.mkdtemp(prefix="tessera-zip-"), "tessera_pkg.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(os.path.join(root, "tessera")):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, root))
-    context.addPyFile(target)
-    context._tessera_shipped = True
-
 
 def release() -> None:
     """Give a worker's freed memory back, as workers outlive their tasks and share a machine."""

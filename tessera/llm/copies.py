@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Fingerprints in a pack.
-PACK_PRINTS = 8192
+PACK_PRINTS = 4096
 #: Rows of a side that a task compares at once.
 BLOCK = 1024
 _LANES = np.uint64(0x0101010101010101)
@@ -111,6 +111,7 @@ def _make_prints(width: int, longs: int, segment_bits: int, weak: int):
             f = np.concatenate(found).view(np.int64)
             yield pa.record_batch([batch.column(0), batch.column(1), *[pa.array(f[:, i]) for i in range(longs)], pa.array(least, pa.binary())],
                                   names=["id", "digest", *[f"f{i}" for i in range(longs)], "weak"])
+        C.release()
 
     return run
 

@@ -59,6 +59,7 @@ def counts_of(text):
     @F.arrow_udf(", ".join(f"{c} long" for c in COUNTS))
     def count(col: pa.Array) -> pa.Array:
         cols = list(zip(*map(signals, C.texts(col)))) or [()] * len(COUNTS)
+        C.release()
         return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], names=list(COUNTS))
 
     return count(text.cast("binary"))

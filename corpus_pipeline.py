@@ -28,7 +28,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated passages; documents of which no word is left go."""
-    done = suffix.remove_repeats(docs, as_text=True).withColumnRenamed("kept", "text")
+    done = suffix.remove_repeats(docs, as_text=True, pack_bytes=4 << 20).withColumnRenamed("kept", "text")
     done = done.where((F.size("spans") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     text = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
     return done.select(*[text.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
@@ -41,7 +41,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
-    return packing.pack_sequences(docs, word_tokenizer(), cache_bytes=120 << 20)  # workers hold it beside what other stages left
+    return packing.pack_sequences(docs, word_tokenizer(), cache_bytes=32 << 20)  # workers hold it beside what other stages left
 
 
 STAGES = [

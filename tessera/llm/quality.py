@@ -9,7 +9,7 @@ documents.  A few failing pages therefore don't condemn a small host, and clean
 fails no more than others are kept.
 
 Nulls: a null text has no words and fails; a null host is a host of its own.  Repeated rows count as
-often as they occur.  Empty tables give no rows.
+often as they occur.  Long texts are counted whole; carried columns travel in a struct, whatever their names.  Empty tables give no rows.
 """
 
 from __future__ import annotations

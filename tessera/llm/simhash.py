@@ -14,7 +14,8 @@ filed together are linked to the least of them.  This is linear in the fingerpri
 
 Copies share a fingerprint and are never paired: classes are found over distinct fingerprints and joined
 back.  Nulls: a null text has no words and fingerprint 0; a null id takes part in no component number
-unless all ids of its fingerprint are null.  Empty tables give no rows.
+unless all ids of its fingerprint are null.  Repeated rows share a class.  Texts of any length are hashed whole, other
+columns aren't read.  Empty tables give no rows.
 """
 
 from __future__ import annotations

@@ -80,20 +80,20 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     filed = prints.withColumn("x", F.explode(segments)).select("x.s", "x.key", "fp", "node")
     owners = filed.groupBy("s", "key").agg(F.count(F.lit(1)).alias("owners"))
     crowded = owners.where(F.col("owners") > crowd).select("s", "key")
-    table = filed.join(crowded, ["s", "key"], "left_anti").unionByName(
+    table = C.merged(filed, crowded, ["s", "key"], "left_anti").unionByName(
         crowded.select("s", "key", F.lit(None).cast("long").alias("fp"), F.lit(None).cast("long").alias("node")))
     bits = F.array(*[F.lit(1 << i) for i in range(32)])
     ball = F.concat(F.array("key"), F.transform(F.filter(bits, lambda b: F.col("key").bitwiseAND(b) != 0), lambda b: F.col("key").bitwiseXOR(b)))
     looks = filed.select("s", F.explode(ball).alias("key"), F.col("fp").alias("fp_a"), F.col("node").alias("a"))
     near = F.col("fp").isNull() | ((F.col("fp") != F.col("fp_a")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_a"))) <= 2))
-    met = C.materialise(looks.join(table.withColumnRenamed("node", "b"), ["s", "key"]).where(near).select("a", "b", F.when(F.col("b").isNull(), F.col("fp_a")).alias("fp")).distinct())
+    met = C.materialise(C.merged(looks, table.withColumnRenamed("node", "b"), ["s", "key"]).where(near).select("a", "b", F.when(F.col("b").isNull(), F.col("fp_a")).alias("fp")).distinct())
     pairs = met.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v"))
     # the crowded: the owners themselves look their own segment up, so they are among those who met a marker
     some = met.where("b is null").select("fp", F.col("a").alias("node")).distinct()
     one_off = F.array(F.lit(0), *[F.lit(1 << i if i < 63 else -(1 << 63)) for i in range(64)])
     around = some.select("node", F.explode(F.transform(one_off, lambda b: F.col("fp").bitwiseXOR(b))).alias("mid"))
     least = around.groupBy("mid").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return pairs.unionByName(around.join(least, "mid").where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct())
+    return pairs.unionByName(C.merged(around, least, "mid").where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct())
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, crowd: int = CROWD) -> DataFrame:
@@ -101,5 +101,5 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = C.materialise(fingerprints(df, id_col, text_col, width, seed))
     prints = C.materialise(rows.groupBy("fp").agg(F.min("id").alias("node")))
     found = C.components(links(prints.where("node is not null"), crowd))
-    named = prints.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return rows.join(named, "fp").select("id", "fp", "component_id")
+    named = C.merged(prints, found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    return C.merged(rows, named, "fp").select("id", "fp", "component_id")

@@ -150,6 +150,19 @@ def test_simhash_odd(odd, empty):
     assert simhash.near_duplicates(odd).count() == odd.count()
 
 
+def test_simhash_broadcasts_no_table(docs, monkeypatch):
+    plans, write = [], common.spill
+
+    def spill(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(common, "spill", spill)
+    spill(simhash.near_duplicates(docs, crowd=1))
+    assert sum("SortMergeJoin" in p for p in plans) >= 4
+    assert not any("Broadcast" in p for p in plans)
+
+
 # ------------------------------------------------------------------ quality
 
 def test_quality_counts(docs):

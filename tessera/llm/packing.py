@@ -23,7 +23,8 @@ import math
 import string
 import unicodedata
 import zlib
-from itertools import chain, islice
+from itertools import chain, compress, islice, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,7 @@ CACHE_BYTES, ENTRY_BYTES, LONG_WORD = 240 << 20, 180, 128
 _known: dict = {}
 #: What may stand behind a word as one token of its own: ASCII punctuation but the apostrophe, which also begins contractions.
 _MARKS = string.punctuation.replace("'", "")
+_MARK_BYTES = _MARKS.encode()
 
 
 class Ids:
@@ -74,25 +76,31 @@ class Ids:
         """Each word by itself."""
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def encode_letters(self, words: list[str]) -> list[bytes]:
+    def encode_letters(self, words: list[bytes]) -> list[bytes]:
         """Normalised words of letters only, by the thousand."""
         groups = [words[at : at + 1024] for at in range(0, len(words), 1024)]
         out: list[bytes] = []
-        for group, e in zip(groups, self.plain.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+        for group, e in zip(groups, self.plain.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
-            upto = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            upto = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             if len(upto) != len(group):
-                out += self.encode(group)
+                out += self.encode([w.decode() for w in group])
                 continue
-            raw, at = ids.tobytes(), 0
-            for end in upto.tolist():
-                out.append(raw[at:end])
-                at = end
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *upto], upto)]
         return out
 
-    def learn(self, new: list[bytes]) -> None:
-        cache, letters, later, odd = self.cache, {}, [], []
+    def learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that the cache lacks, and of their letters."""
+        letters, later, odd = {w: w for w in new if w.isalpha()}, [], []  # of bytes, that is ASCII letters
         for w in new:
+            if w in letters:
+                continue
+            core = w.rstrip(_MARK_BYTES)
+            if core.isalpha():
+                later.append((w, core, w[len(core):]))
+                letters[core] = core
+                continue
             s = w.decode("utf-8", "replace")
             core = s.rstrip(_MARKS)
             if core.isascii():
@@ -100,36 +108,46 @@ class Ids:
             else:  # composed and lower-cased letter by letter, which only differs for a capital sigma
                 norm = unicodedata.normalize("NFC", core).lower() if "\u03a3" not in core else ""
             if norm.isalpha():
+                b = core.encode()
                 if len(core) < len(s):
-                    later.append((w, core, s[len(core):]))
-                if (b := core.encode()) not in cache:
-                    letters[b] = norm
+                    later.append((w, b, s[len(core):].encode()))
+                letters[b] = norm.encode()
             else:
                 odd.append(w)
-        cache.update(zip(letters, self.encode_letters(list(letters.values()))))
+        cache = self.cache
+        letters = {b: norm for b, norm in letters.items() if b not in cache}
+        out = dict(zip(letters, self.encode_letters(list(letters.values()))))
         tails = list({t for _, _, t in later})
-        behind = dict(zip(tails, self.encode(tails)))
+        behind = dict(zip(tails, self.encode([t.decode() for t in tails])))
         for w, core, t in later:
-            cache[w] = cache[core.encode()] + behind[t]
-        cache.update(zip(odd, self.encode([w.decode("utf-8", "replace") for w in odd])))
+            out[w] = (out[core] if core in out else cache[core]) + behind[t]
+        out.update(zip(odd, self.encode([w.decode("utf-8", "replace") for w in odd])))
+        return out
 
     def of(self, items: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         words = [x.lower().split() for x in items]
-        get = self.cache.get
-        found = [list(map(get, w)) for w in words]
-        new = {k for w, f in zip(words, found) if None in f for k, x in zip(w, f) if x is None}
+        count, words = list(map(len, words)), list(chain.from_iterable(words))
+        found = list(map(self.cache.get, words))
+        unknown = list(compress(range(len(words)), map(is_, found, repeat(None))))
+        new = {words[i] for i in unknown}
         long = [k for k in new if len(k) > LONG_WORD]
         once = dict(zip(long, self.encode([k.decode("utf-8", "replace") for k in long])))
-        before = len(self.cache)
-        self.learn(list(new.difference(once)))
-        known = self.cache
-        self.held += sum(len(k) + len(v) + ENTRY_BYTES for k, v in islice(known.items(), before, None))
-        out = [b"".join(f) if None not in f else b"".join([(known[k] if k in known else once[k]) if x is None else x for k, x in zip(w, f)]) for w, f in zip(words, found)]
+        learnt = self.learn(list(new.difference(once)))
+        self.cache.update(learnt)
+        self.held += _size(learnt)
+        learnt.update(once)
+        for i in unknown:
+            found[i] = learnt[words[i]]
         if self.held > self.limit:
-            self.cache = {k: known[k] for k in set(chain.from_iterable(words)) if k in known}
-            self.held = sum(len(k) + len(v) + ENTRY_BYTES for k, v in self.cache.items())
-        return out
+            self.cache = {k: v for k, v in zip(words, found) if len(k) <= LONG_WORD}
+            self.held = _size(self.cache)
+        rest = iter(found)
+        return [b"".join(islice(rest, n)) for n in count]
+
+
+def _size(cache: dict[bytes, bytes]) -> int:
+    return sum(map(len, cache)) + sum(map(len, cache.values())) + ENTRY_BYTES * len(cache)
 
 
 def ids_by(definition: str) -> Ids:

@@ -288,6 +288,23 @@ def test_tokens_by_words_are_those_of_whole_texts():
         assert np.frombuffer(b, "<u4").tolist() == tok.encode(x, add_special_tokens=False).ids, x
 
 
+def test_new_words_of_letters_cost_few_calls():
+    import itertools
+    import sys
+
+    with open(word_tokenizer(), encoding="utf-8") as f:
+        ids = packing.Ids(f.read())
+    words = ["".join(x) for x in itertools.product("abcdefgh", repeat=4)]
+    calls = []
+    sys.setprofile(lambda frame, event, what: calls.append(event) if event == "c_call" else None)
+    try:
+        got = ids.of([" ".join(words).encode()])
+    finally:
+        sys.setprofile(None)
+    assert got == [b"".join(ids.encode(words))] and len(ids.cache) == len(words)
+    assert len(calls) < 3 * len(words)
+
+
 # ------------------------------------------------------------------ language model
 
 def lm_plain(rows):

@@ -246,13 +246,14 @@ def _meet(longs: int, radius: int):
 
 def classes(nodes: DataFrame, longs: int, segment_bits: int, weak: int, radius: int, block: int, pack_prints: int) -> DataFrame:
     """(node, component) of the nodes that have a near one; nodes: (node, f0, f1, ..., weak), written."""
+    count = nodes.count()
     owners = C.materialise(shared_keys(nodes, longs, segment_bits, weak, pack_prints))
     bits = [f"f{i}" for i in range(longs)]
     # every owner against its key's leader
     leads = owners.groupBy("key").agg(F.min(F.struct("node", *bits)).alias("lead"))
     apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"lead.{b}"))) for b in bits), F.lit(0))
     near = owners.join(leads, "key").where((F.col("node") != F.col("lead.node")) & (apart <= radius))
-    named = C.materialise(C.components(near.select(F.col("node").alias("u"), F.col("lead.node").alias("v"))))
+    named = C.materialise(C.components(near.select(F.col("node").alias("u"), F.col("lead.node").alias("v"))), count)
     # what is left to compare: keys whose owners are in several components
     owned = owners.join(named, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     members = owned.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
@@ -265,7 +266,7 @@ def classes(nodes: DataFrame, longs: int, segment_bits: int, weak: int, radius:
     asked = owned.select("key", place("parts").alias("part"), every("asks").alias("ask"), "c", *bits, F.lit(False).alias("asking"))
     asking = owned.where("c <> host").select("key", every("parts").alias("part"), place("asks").alias("ask"), "c", *bits, F.lit(True).alias("asking"))
     both = asked.unionByName(asking).repartition("key", "part", "ask").sortWithinPartitions("key", "part", "ask")
-    more = C.materialise(C.components(both.mapInArrow(_meet(longs, radius), "u long, v long")))
+    more = C.materialise(C.components(both.mapInArrow(_meet(longs, radius), "u long, v long")), count)
     joined = named.withColumnRenamed("component", "c").join(more.select(F.col("node").alias("c"), F.col("component").alias("d")), "c", "left")
     joined = joined.select("node", F.coalesce("d", "c").alias("component"))
     return joined.unionByName(more.join(named, "node", "left_anti"))  # components of one node, joined in the second round
@@ -285,7 +286,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     rows = C.materialise(source.mapInArrow(_make_prints(width, longs, segment_bits, weak), "id long, digest long, " + ", ".join(f"{b} long" for b in bits) + ", weak binary"))
     own = F.struct(F.col("id").isNull().alias("unnamed"), "id", "digest")
     nodes = rows.groupBy(*bits).agg(F.min(own).alias("own"), F.min("weak").alias("weak")).withColumn("node", F.monotonically_increasing_id())
-    nodes = C.materialise(nodes)  # from here on the numbers stay
+    nodes = C.materialise(nodes, rows.count())  # from here on the numbers stay
     found = classes(nodes.select("node", *bits, "weak"), longs, segment_bits, weak, reach(similarity, 64 * longs, slack), block, pack_prints)
     named = nodes.select("node", "own", *bits).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("own").alias("least"))

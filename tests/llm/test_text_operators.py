@@ -145,6 +145,28 @@ def test_components_of_a_path(spark):
     assert common.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_write_few_files(spark, monkeypatch):
+    files, write = [], common.spill
+
+    def spill(df, *rows):
+        out = write(df, *rows)
+        files.append(len(out[0].inputFiles()))
+        return out
+
+    monkeypatch.setattr(common, "spill", spill)
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {r["node"]: r["component"] for r in common.components(spark.range(60).selectExpr("id u", "id + 1 v")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == dict.fromkeys(range(61), 0)
+    assert len(files) > 2 and max(files[1:]) <= common.FEW_FILES
+
+
 def test_simhash_odd(odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.near_duplicates(odd).count() == odd.count()
@@ -153,9 +175,9 @@ def test_simhash_odd(odd, empty):
 def test_simhash_broadcasts_no_table(docs, monkeypatch):
     plans, write = [], common.spill
 
-    def spill(df):
+    def spill(df, *rows):
         plans.append(df._jdf.queryExecution().executedPlan().toString())
-        return write(df)
+        return write(df, *rows)
 
     monkeypatch.setattr(common, "spill", spill)
     spill(simhash.near_duplicates(docs, crowd=1))

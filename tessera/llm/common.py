@@ -275,6 +275,27 @@ def merged(a: DataFrame, b: DataFrame, on: str | list[str], how: str = "inner")
     return a.join(b.hint("merge"), on, how)
 
 
+# ---------------------------------------------------------------- vectors
+
+#: Components of this size or more have no integer of 64 bits once scaled; they count as not finite.
+HUGE = float(1 << 52)
+
+
+def whole_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int = 1024, offset: int = 0) -> DataFrame:
+    """(id, x): floor(scale * c) + offset, as longs, of each component c (as double) of the vectors that are neither null
+    nor hold a component that is null, not finite or HUGE."""
+    v = F.col(f"`{vec_col}`")
+    sound = F.forall(v, lambda c: c.isNotNull() & (F.abs(c.cast("double")) < HUGE))  # NaN is greater than any number
+    x = F.transform(v, lambda c: F.floor(c.cast("double") * float(scale)).cast("long") + F.lit(offset).cast("long"))
+    return df.where(v.isNotNull() & sound).select(F.col(f"`{id_col}`").alias("id"), x.alias("x"))
+
+
+def exact_sum(x: np.ndarray) -> np.ndarray:
+    """Sums of the columns of a matrix of longs, as Python integers."""
+    safe = not len(x) or max(-int(x.min(initial=0)), int(x.max(initial=0))) < (1 << 62) // len(x)
+    return (x if safe else x.astype(object)).sum(axis=0).astype(object)
+
+
 # ---------------------------------------------------------------- connected components
 
 def components(edges: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, common, html, licenses, lm, mixing, packing, quality, simhash, suffix
+from . import ann, chat, clusters, common, html, licenses, lines, lm, mixing, packing, quality, simhash, suffix, whiten
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,9 +71,25 @@ def op10_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(rows, rows.where(F.col("vec_id") % 20 == 0)).withColumnRenamed("id", "vec_id")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnRenamed("id", "vec_id")
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"))
+    kept = F.when(F.col("n_dropped") == 0, F.coalesce("row.text", F.lit(""))).otherwise(lines.kept_text(F.col("row.text"), F.col("keep")))
+    return done.select("row.doc_id", "n_lines", "n_dropped", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clusters.lloyd(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license_scan, op2_source_mix, op3_sequence_packing, op4_quality_rules, op5_lm_scoring, op6_html_extraction,
-                            op7_suffix_dedup, op8_simhash, op9_tool_linking, op10_ann_search)
+                            op7_suffix_dedup, op8_simhash, op9_tool_linking, op10_ann_search, op11_whitening, op12_line_dedup, op13_lloyd)
 }
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -157,4 +173,32 @@ SELECT s.conv_id, call_id, s.turn, status, depth, CASE WHEN c_turn IS NOT NULL T
   ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || ',"status":"' || status || '"}' AS json
 FROM s LEFT JOIN deep ON c_turn IS NOT NULL AND deep.conv_id = s.conv_id AND deep.turn = s.c_turn"""
 
-ORACLES: dict[str, str] = {"op1_license_scan": _license_sql(), "op2_source_mix": _MIX_SQL, "op4_quality_rules": _QUALITY_SQL, "op9_tool_linking": _CHAT_SQL}
+_LINES_SQL = r"""
+WITH lines AS (SELECT doc_id, i, l[i] AS line, lower_ascii AS key FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS r(i),
+  LATERAL (SELECT translate(regexp_replace(regexp_replace(l[i], '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii)),
+often AS (SELECT key, max(doc_id) AS kept FROM lines WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+marked AS (SELECT l.*, o.kept IS NOT NULL AND o.kept <> l.doc_id AS gone FROM lines l LEFT JOIN often o USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM marked GROUP BY doc_id"""
+
+
+def _lloyd_sql(clusters: int = 8, rounds: int = 10) -> str:
+    """Round by round: a(r) assigns the vectors to the centroids c(r), which give c(r + 1)."""
+    floor = "CASE WHEN s % n < 0 THEN s // n - 1 ELSE s // n END"  # integer division rounds towards zero
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, k, d FROM (SELECT vec_id, k, d, row_number() OVER (PARTITION BY vec_id ORDER BY d, k) AS nth
+  FROM (SELECT vec_id, k, list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{r} c)) WHERE nth = 1)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (SELECT k, list(({floor})::BIGINT ORDER BY j) AS x FROM (SELECT k, j, sum(x[j]) AS s, count(*) AS n FROM a{r} JOIN v USING (vec_id), unnest(range(1, 65)) AS g(j) GROUP BY k, j) GROUP BY k),
+c{r + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m USING (k))""")
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: floor(e::DOUBLE * 1024)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1)::INT AS k, x FROM v QUALIFY k < {clusters}),
+{', '.join(steps)}
+SELECT vec_id, k AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c USING (k)"""
+
+
+ORACLES: dict[str, str] = {"op1_license_scan": _license_sql(), "op2_source_mix": _MIX_SQL, "op4_quality_rules": _QUALITY_SQL, "op9_tool_linking": _CHAT_SQL,
+                           "op12_line_dedup": _LINES_SQL, "op13_lloyd": _lloyd_sql()}

@@ -21,6 +21,9 @@ COLUMNS = {
     "op8_simhash": ("doc_id", "fingerprint", "component_id"),
     "op9_tool_linking": ("conv_id", "call_id", "turn", "status", "depth", "valid", "problems", "json"),
     "op10_ann_search": ("query_id", "rank", "vec_id", "score"),
+    "op11_whitening": ("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"),
+    "op12_line_dedup": ("doc_id", "n_lines", "n_dropped", "kept_sha256"),
+    "op13_lloyd": ("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"),
 }
 
 
@@ -55,6 +58,9 @@ def test_query(spark, duck, name):
         assert got.groupby("sequence_id")["length"].sum().max() <= 2048
         assert (got.groupby("doc_id")["length"].sum() == got.groupby("doc_id")["doc_tokens"].first()).all()
         assert got["padding"].groupby(got["sequence_id"]).first().sum() < 0.02 * got["length"].sum()
+    elif name == "op11_whitening":
+        assert got.groupby("vec_id")["component"].agg(list).map(sorted).map(lambda c: c == list(range(1, 9))).all()
+        assert set(got["vec_id"]) == set(duck.execute("SELECT vec_id FROM embeddings").df()["vec_id"]) and got["identity_error"].max() < 1e-4
     else:
         assert set(got["query_id"]) == set(duck.execute("SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0").df()["vec_id"])
         want = duck.execute("""SELECT q.vec_id AS q, c.vec_id AS c FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id

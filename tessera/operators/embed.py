@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 from typing import Protocol
 
@@ -65,6 +66,45 @@ class HashedTerms:
         return vectors.asNondeterministic()(text)  # once a row, whatever filters it
 
 
+class PythonEmbedder:
+    """A function of a text; what it raises becomes that text's error, and its vector is null."""
+
+    def __init__(self, function: Callable[[str], Sequence[float] | None]):
+        self.function = function
+
+    def said(self, text: Column) -> Column:
+        """struct(vector, error)"""
+        function = self.function
+        ship()
+
+        @F.arrow_udf("vector array<double>, error string")
+        def vectors(col):
+            import pyarrow as pa
+
+            found, errors = [], []
+            for x in col.to_pylist():
+                try:
+                    v = None if x is None else function(x)
+                    found.append(None if v is None else [float(c) for c in v])
+                    errors.append(None)
+                except Exception as e:  # one text's failure is no other's
+                    found.append(None)
+                    errors.append(str(e) or type(e).__name__)
+            return pa.StructArray.from_arrays([pa.array(found, pa.list_(pa.float64())), pa.array(errors, pa.string())], names=["vector", "error"])
+
+        return vectors.asNondeterministic()(text)  # once a row, whatever filters it
+
+    def embed(self, text: Column) -> Column:
+        return self.said(text)["vector"]
+
+
+def said(embedder: Embedder, text: Column) -> Column:
+    """struct(vector, error) of a text: a model that tells its errors does, one that doesn't has none."""
+    if hasattr(embedder, "said"):
+        return embedder.said(text)
+    return F.struct(embedder.embed(text).alias("vector"), F.lit(None).cast("string").alias("error"))
+
+
 def embed_chunks(chunks: DataFrame, embedder: Embedder | None = None, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
     """(chunk_id, vector) of the chunks that have a vector."""
     made = (embedder or HashedTerms()).embed(F.col(f"`{text_col}`"))

@@ -36,6 +36,7 @@ def _found(held: list, ids: list[str], kinds: str, corpus: DataFrame, n: int, mi
     """(ids, chunk_id, score) of each Arrow batch's n best for the queries held."""
     spark = corpus.sparkSession
     ship(spark)
+    width = len(held[0]["vector"]) if held else 0
     matrix = spark.sparkContext.broadcast(np.array([r["vector"] for r in held], np.float64))  # about MOST_QUERIES rows
 
     def products(batches):
@@ -45,7 +46,7 @@ def _found(held: list, ids: list[str], kinds: str, corpus: DataFrame, n: int, mi
             if not batch.num_rows or not len(q):
                 continue
             x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            chunk = batch.column("chunk_id").to_numpy(zero_copy_only=False)
+            chunk = batch.column("chunk_id")
             for at in range(0, len(q), 512):
                 s = np.round(q[at : at + 512] @ x.T, 6)
                 s = np.where(_score_scale(s, score_scale) >= min_score, s, -np.inf)
@@ -53,9 +54,10 @@ def _found(held: list, ids: list[str], kinds: str, corpus: DataFrame, n: int, mi
                     cut = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]  # ties at the cut all stay
                     s = np.where(s >= cut, s, -np.inf)
                 i, j = np.nonzero(s > -np.inf)
-                yield pa.record_batch([pa.array(i + at, pa.int32()), pa.array(chunk[j], pa.int64()), pa.array(s[i, j], pa.float64())], names=["_n", "chunk_id", "score"])
+                yield pa.record_batch([pa.array(i + at, pa.int32()), chunk.take(pa.array(j)), pa.array(s[i, j], pa.float64())], names=["_n", "chunk_id", "score"])
 
-    found = corpus.where("vector is not null").select(F.col("chunk_id").cast("long").alias("chunk_id"), "vector").mapInArrow(products, "_n int, chunk_id long, score double")
+    kind = corpus.schema["chunk_id"].dataType.simpleString()
+    found = corpus.where(F.size("vector") == width).select("chunk_id", "vector").mapInArrow(products, f"_n int, chunk_id {kind}, score double")
     names = spark.createDataFrame([(k, *(r[c] for c in ids)) for k, r in enumerate(held)], "_n int, " + kinds)
     return found.join(names, "_n").drop("_n")
 
@@ -65,11 +67,13 @@ def search(queries: DataFrame, corpus: DataFrame, n: int, min_score: float = 0.2
 
     score_scale tells what min_score is compared with: the inner product s ("raw") or (s+1)/2 ("unit").  Ties go
     to the smaller chunk.  Every Arrow batch of the corpus is multiplied with the broadcast queries, MOST_QUERIES at once, and
-    gives each query's n best only, so what is shuffled doesn't grow with the corpus' rows times queries.
+    gives each query's n best only, so what is shuffled doesn't grow with the corpus' rows times queries.  A query only meets vectors
+    of its own length.
     """
     ids = id_cols or ["query_id"]
     asked = queries.where("vector is not null").select(*ids, "vector")
     kinds = ", ".join(f"`{c}` {asked.schema[c].dataType.simpleString()}" for c in ids)
-    pairs = reduce(DataFrame.unionByName, [_found(held, ids, kinds, corpus, n, min_score, score_scale) for held in in_blocks(asked, ids, MOST_QUERIES)])
+    alike = lambda held: [[r for r in held if len(r["vector"]) == w] for w in sorted({len(r["vector"]) for r in held})] or [held]
+    pairs = reduce(DataFrame.unionByName, [_found(part, ids, kinds, corpus, n, min_score, score_scale) for held in in_blocks(asked, ids, MOST_QUERIES) for part in alike(held)])
     best = Window.partitionBy(*ids).orderBy(F.desc("score"), "chunk_id")
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max(n, 0)).select(*ids, "chunk_id", "score", "rank")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import bm25, chunk, embed, evaluate, fusion, game, manifest, retrieve, vector
+from ..operators import bm25, chunk, embed, evaluate, fusion, game, manifest, retrieve, segments, vector
 from ..session import shared_dir
 from ..sources import adapters, pages
 
@@ -635,6 +635,92 @@ def diverse_topk(spark, d):
     return fusion.select_diverse(docs, 50, 2, ["lang"]).select("lang", "doc_id", "source", F.col("pos").cast("long").alias("pos"))
 
 
+# ---------------------------------------------------------------- the index of segments
+
+# What the index holds after the updates of _segmented: sources that failed to load keep what they had, others are as they are now.
+_SEGMENTED = f"""raw AS (SELECT 'doc/' || doc_id AS source, CASE WHEN doc_id % 23 = 0 AND doc_id % 13 = 0 THEN text || 'x' ELSE text END AS text FROM documents
+  WHERE CASE WHEN doc_id % 23 = 0 THEN doc_id % 5 <> 0 ELSE doc_id % 19 <> 0 END),
+pieces AS (SELECT source, i::INT AS chunk_idx, substr(text, i * 400 + 1, 500) AS text, md5('file_name|' || source || '#' || i) AS h FROM raw, unnest(range(0, greatest(1, ceil((length(text) - 100) / 400.0))::BIGINT)) AS r(i)),
+held AS (SELECT source, chunk_idx, text, h[1:8] || '-' || h[9:12] || '-3' || h[14:16] || '-' || substr('89ab', ((('0x' || h[17])::INT) & 3) + 1, 1) || h[18:20] || '-' || h[21:32] AS doc_id FROM pieces)"""
+
+
+def _segmented(spark, d, embedder=None) -> segments.SegmentStore:
+    """An index after three updates: most sources, some with another text; all but those removed or not loaded; one more time, with nothing to do."""
+    docs, store, header = _sources(spark, d), segments.SegmentStore(spark, _folder(spark)), manifest.Header("docs")
+    first = docs.where("ord % 5 <> 0").withColumn("text", F.when(F.col("ord") % 13 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")))
+    now, lost = docs.where("ord % 19 <> 0 AND ord % 23 <> 0"), docs.where("ord % 23 = 0")
+    segments.update(store, first, docs.limit(0), header, embedder)
+    segments.update(store, now, lost, header, embedder)
+    segments.update(store, now, lost, header, embedder)
+    return store
+
+
+@query(f"WITH {_SEGMENTED} SELECT source, chunk_idx, doc_id AS chunk_id, md5(text) AS digest FROM held")
+def segment_chunks(spark, d):
+    """The chunks of an updated index once all its segments are merged."""
+    store = _segmented(spark, d)
+    segments.merge(store, list(store.current().segments))
+    return store.live(store.current(), "chunks").select(F.col("source_value").alias("source"), "chunk_idx", "chunk_id", F.md5("chunk_text").alias("digest"))
+
+
+_CHUNK_INDEX = _INDEX.replace("FROM documents", "FROM held")
+
+
+@query(f"WITH {_SEGMENTED}, {_CHUNK_INDEX} SELECT term, df, n AS texts, sum(tf)::BIGINT AS occurrences, round(mean_dl, 6) AS mean_dl FROM postings JOIN terms USING (term), corpus GROUP BY ALL")
+def segment_terms(spark, d):
+    """Terms of an updated index by its postings, equal texts once, beside the counts that its versions carry along."""
+    store = _segmented(spark, d)
+    v = store.current()
+    first = store.live(v, "postings").groupBy("term", "digest").agg(F.min("tf").alias("tf"))
+    found = first.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences"))
+    return found.select("term", "df", F.lit(v.texts).cast("long").alias("texts"), "occurrences", F.round(F.lit(v.tokens / v.texts), 6).alias("mean_dl"))
+
+
+_SEGMENT_RUN = f"""WITH {_SEGMENTED}, {_CHUNK_INDEX.replace("FROM documents d", "FROM held d")}, {_ASKED},
+tf AS (SELECT id, b, count(*)::DOUBLE AS tf FROM (SELECT id, ('0x' || substr(md5(unnest({_TOKENS.format('text')})), 1, 8))::BIGINT % 256 AS b
+  FROM (SELECT doc_id AS id, text FROM held UNION ALL SELECT 'q' || query_id || '.' || q_idx, query FROM asked)) GROUP BY ALL),
+unit AS (SELECT *, tf / sqrt(sum(tf * tf) OVER (PARTITION BY id)) AS x FROM tf),
+near AS (SELECT q.id AS q, c.id AS chunk_id, round(sum(q.x * c.x), 6) AS score FROM unit q JOIN unit c ON q.b = c.b WHERE q.id[1] = 'q' AND c.id[1] <> 'q' GROUP BY ALL),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, chunk_id) AS rank FROM near WHERE score >= 0.2) WHERE rank <= 20),
+{_bm25_sql('asked', 'query_id, q_idx', 20)},
+lists AS (SELECT a.query_id, a.q_idx, 0 AS route, v.rank, v.chunk_id FROM asked a JOIN best v ON v.q = 'q' || a.query_id || '.' || a.q_idx UNION ALL SELECT query_id, q_idx, 1, rank, chunk_id FROM kw),
+{_finish_sql('query_id', 'lists', 'true', '3', '2').replace('JOIN documents d', 'JOIN held d')}"""
+
+
+@query(f"{_SEGMENT_RUN} SELECT query_id, pos, f.chunk_id AS chunk_id, f.source AS source, rrf, rerank_score FROM final")
+def segment_retrieve(spark, d):
+    """Hybrid retrieval from an index as its updates left it, vectors by its model."""
+    model = embed.HashedTerms()
+    found = retrieve.retrieve(adapters.benchmark_queries(spark, d), _segmented(spark, d, model).corpus(embedder=model))
+    return found.select("query_id", F.col("pos").cast("long").alias("pos"), "chunk_id", "source", "rrf", "rerank_score")
+
+
+def _sometimes(text: str) -> list[float]:
+    """A model that fails for some texts."""
+    if len(text) % 17 == 3:
+        raise RuntimeError("no vector")
+    return [float(len(text)), 1.0]
+
+
+@query("""WITH k AS (SELECT doc_id, doc_id % 5 <> 0 AS known, doc_id % 13 = 0 AS edited, length(text) AS a, length(text) + (doc_id % 13 = 0)::INT AS b FROM documents),
+n AS (SELECT *, greatest(1, ceil((a - 100) / 400.0))::BIGINT AS na, greatest(1, ceil((b - 100) / 400.0))::BIGINT AS nb FROM k),
+s AS (SELECT *, (NOT known OR edited) AND (b - 400 * (nb - 1)) % 17 = 3 AS fails FROM n)
+SELECT 1 AS step, 'full' AS mode, count(*) FILTER (WHERE known) AS added, 0::BIGINT AS changed, 0::BIGINT AS unchanged, 0 AS failures, sum(na) FILTER (WHERE known)::BIGINT AS chunks, count(*) FILTER (WHERE known) AS sources FROM s
+UNION ALL SELECT 2, 'incremental', count(*) FILTER (WHERE NOT known), count(*) FILTER (WHERE known AND edited), count(*) FILTER (WHERE known AND NOT edited), (count(*) FILTER (WHERE fails))::INT,
+  sum(CASE WHEN fails THEN CASE WHEN known THEN na ELSE 0 END ELSE nb END)::BIGINT, count(*) FILTER (WHERE known OR NOT fails) FROM s
+UNION ALL SELECT 3, 'incremental', count(*) FILTER (WHERE fails AND NOT known), count(*) FILTER (WHERE fails AND known), count(*) FILTER (WHERE NOT fails), 0, sum(nb)::BIGINT, count(*) FROM s""")
+def segment_failures(spark, d):
+    """Updates whose model fails for some sources: they keep what they had, and the next update does just those."""
+    docs, store, header, rows = _sources(spark, d), segments.SegmentStore(spark, _folder(spark)), manifest.Header("docs"), []
+    now = docs.withColumn("text", F.when(F.col("ord") % 13 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")))
+    works, fails = embed.PythonEmbedder(lambda text: [1.0, 0.0]), embed.PythonEmbedder(_sometimes)
+    for step, (sources, model) in enumerate(((docs.where("ord % 5 <> 0"), works), (now, fails), (now, works)), 1):
+        done = segments.update(store, sources, docs.limit(0), header, model)
+        v = store.current()
+        rows.append((step, done.mode, *(done.counts[k] for k in ("added", "changed", "unchanged")), done.failures, store.live(v, "chunks").count(), store.manifest(v).count()))
+    return spark.createDataFrame(rows, "step int, mode string, added long, changed long, unchanged long, failures int, chunks long, sources long")
+
+
 # ---------------------------------------------------------------- evaluation
 
 class _Flaky(fusion.TokenCoverage):

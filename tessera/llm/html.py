@@ -34,7 +34,10 @@ from . import common as C
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                   "header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript iframe template svg math object canvas head noframes".split())
+RAW = frozenset("script style title textarea noscript iframe template svg math object canvas noframes".split())
+#: Of these, what no end tag ends runs on; without an end tag of their own others don't hide what follows.  Those of the second kind don't nest.
+ENDLESS = frozenset("script style textarea".split())
+SINGLE = frozenset("title noscript iframe canvas noframes".split())
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)),
           "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 
@@ -44,7 +47,9 @@ WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "html_weights
 
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _MARK = re.compile(r"[>\"']")
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-label)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_TELLS = frozenset("class id role hidden aria-label".split())
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_ENDS = {n: re.compile(rf"</{n}\b[^>]*(?:>|\Z)" + (rf"|<{n}\b" if n in SINGLE else ""), re.I) for n in RAW}
 _PART = re.compile(r"[a-z]+")
 _P_ENDS = BLOCK - {"body", "html", "tbody", "thead", "tfoot", "tr", "td", "th", "caption", "option", "optgroup", "legend", "li", "dd", "dt"} | {"li", "dd", "dt"}
 
@@ -69,6 +74,7 @@ class _Tags:
     def __init__(self, page: str):
         self.page = page
         self.broken = 0  # before this place a quote doesn't close, so tags end at their first ">"
+        self.unended: dict[str, int] = {}  # by name, where no end tag is left from
 
     def end(self, at: int) -> int:
         """Where the tag that starts here ends: a ">" outside quotes; -1 if it never does."""
@@ -83,6 +89,17 @@ class _Tags:
                     break
         return self.page.find(">", at)
 
+    def hidden(self, name: str, at: int) -> int:
+        """Where the content ends that an element of RAW hides from here."""
+        if at < self.unended.get(name, len(self.page) + 1):
+            for m in _ENDS[name].finditer(self.page, at):
+                if m[0][1] == "/":
+                    return m.end()
+                if name in SINGLE:  # another one begins, so this one has no end
+                    return at
+            self.unended[name] = at
+        return len(self.page) if name in ENDLESS else at
+
     def __iter__(self):
         page, at, text = self.page, 0, 0
         while (at := page.find("<", at)) >= 0:
@@ -106,8 +123,7 @@ class _Tags:
                     own = page[m.end() : upto - 1]
                     yield name, own
                     if name in RAW and not own.endswith("/"):
-                        close = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, upto)
-                        upto = close.end() if close else len(page)
+                        upto = self.hidden(name, upto)
             at = text = upto
         if text < len(page):
             yield page[text:], None
@@ -156,7 +172,7 @@ def blocks(page: str) -> list[Block]:
             flush()
         if name == "br":
             held.append(" ")
-        if name in RAW or name in VOID:
+        if name in RAW or name in VOID or name == "head":  # a head may end without a tag, and holds no text of its own
             continue
         if name in _P_ENDS and (at := last("p")) >= 0:
             close(at)
@@ -167,6 +183,8 @@ def blocks(page: str) -> list[Block]:
         tokens, depth, end = above[-1]
         found = [name]
         for a in _ATTR.finditer(own):
+            if a[1].lower() not in _TELLS:
+                continue
             value = (a[2] or a[3] or a[4] or "").lower()
             found += [f"{a[1].lower()}:{v}" for v in _PART.findall(value)] or [a[1].lower()]
         for end in found:

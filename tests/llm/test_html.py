@@ -72,6 +72,32 @@ def soup(r):
     return "".join(parts)
 
 
+ARTICLE = "<article><h1>Head line</h1><p>First words.</p><p>Last words.</p></article>"
+
+
+@pytest.mark.parametrize("before", ["<html><head><title>x</title>", "<head><meta charset=utf-8><title>x</title><style>p {}</style>", "<html><head><title>x</title></head><noscript>", "<svg>", "<svg><path d='x'>",
+                                    "<template>", "<iframe src=x>", "<object>", "<title>", "<head><noscript><img src=x>", "<noscript><p>", "<HEAD>", "<canvas>", "<math>", "<script>a</script><noscript>"])
+@pytest.mark.parametrize("after", ["", "<noscript>off</noscript>"])
+def test_an_element_without_its_end_hides_nothing(before, after):
+    for body in ("<body>", ""):
+        got = [b.text for b in html.blocks(before + body + ARTICLE + after)]
+        assert [t for t in got if t != "off"][-3:] == ["Head line", "First words.", "Last words."]
+
+
+@pytest.mark.parametrize("name", ["script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "object", "canvas", "noframes"])
+def test_an_element_with_its_end_hides_its_content(name):
+    page = f"<html><head><title>t</title></head><body><p>a</p><{name} class='x'>hidden &lt;p&gt; <i>words</i></{name.upper()} ><p>b</p><{name}/><p>c</p></body>"
+    assert [b.text for b in html.blocks(page)] == ["a", "b", "c"]
+    if name in ("script", "style", "textarea"):  # these run on
+        assert [b.text for b in html.blocks(f"<p>a</p><{name}><p>b</p>")] == ["a"]
+
+
+def test_only_attributes_of_these_names_count():
+    (b,) = html.blocks("<div data-id=menu data-role='nav' title=\"class='ad' hidden\" xclass=y ID=main><p>x")
+    want = ["div", "id:main", "p"]
+    assert b.depth == len(want) and b.tokens == sum(1 << k for k in {html._hash(t, html.PATH - 1) for t in want})
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_blocks_are_those_of_a_plain_parser(seed):
     r, g = random.Random(seed), np.random.default_rng(seed)

@@ -61,6 +61,9 @@ def test_updates_equal_a_fresh_index(spark, tmp_path, monkeypatch):
         del texts[r.choice(sorted(texts))]
         texts[f"n{step}"] = texts[r.choice(sorted(texts))]  # a copy of another
     segments.update(store, frame(spark, texts), keys(spark), HEADER)
+    monkeypatch.setattr(segments, "FAN", 99)
+    del texts[min(texts)]
+    segments.update(store, frame(spark, texts), keys(spark), HEADER)
     assert segments.update(store, frame(spark, texts), keys(spark), HEADER).mode == "none"
     assert merged
     fresh = segments.SegmentStore(spark, f"file://{tmp_path}/b")

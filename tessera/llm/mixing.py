@@ -2,17 +2,21 @@
 
 A source of N words with target T is taken T/N times on average: every document gets the whole part of T/N
 as certain copies, and the rest of the target is drawn as an unequal-probability sample without
-replacement.  Document i of the source has inclusion probability p_i (the fraction left over, times its
-boost, a column or a function of its size) and a uniform number u_i from a hash of its id; it is ranked by the random
-odds divided by the inclusion odds, (u/(1-u)) / (p/(1-p)), and the sample is the shortest prefix whose
-words come nearest to the words wanted (the sample's size is fixed in words, so boosts count by their ratios).
+replacement.  Document i of the source has inclusion probability p_i in proportion to its boost (a column or a function of
+its size), scaled so that the words expected are those wanted; where that would exceed 1 it is 1, and the others share
+what is left.  With a uniform number u_i from a hash of its id and text it is ranked by the random odds divided by the
+inclusion odds, (u/(1-u)) / (p/(1-p)), and the sample is the shortest prefix whose words come nearest to the words wanted.
+
+Rows of one source, id and text are numbered, and the number goes into the hash, so each is drawn by itself.  Which of
+them has which number doesn't matter, as they are equal; so they are numbered within the partitions of a written table, behind what
+the partitions before hold, and no group comes into one task.
 
 The prefix is found without sorting a source: ranks are mapped to [0, 1), words are summed by source and
 1/1024th, the one part that holds the boundary is split again, and only the rows of that part of a part
 are put in order.  No task sees more than about a millionth of a source.
 
-Nulls and ties: a null text has size 0; a null source is a source of its own, last in order.  Rows of one source with one id are
-taken together, rows without an id if they have one text.  A source of no words has target 0 and isn't taken.  Long texts are
+Nulls and ties: a null text has size 0; a null source is a source of its own, last in order; rows without an id are told apart
+by their texts, and numbered as others.  A source of no words has target 0 and isn't taken.  Long texts are
 counted whole; other columns aren't read, whatever their names.  Empty tables give no rows.
 """
 
@@ -26,6 +30,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 PARTS = 1024
+#: Keys of several rows up to which they are sent to all rows.
+FEW_TWINS = 100_000
 
 
 def words_of(text: Column) -> Column:
@@ -71,11 +77,60 @@ def targets(sized: DataFrame, weights: tuple[int, ...], max_repeats: int) -> Dat
 
 def _rank(boost: Column, key: Column, seed: str) -> Column:
     """The Pareto rank on [0, 1): r/(1+r) of r = odds(u)/odds(p)."""
-    u, p = uniform(key, seed), F.least(F.col("rest") / F.col("source_size").cast("double") * boost, F.lit(1 - 1e-9))
+    u, p = uniform(key, seed), F.least(F.col("scale") * boost, F.lit(1 - 1e-9))
     r = (u / (1 - u)) / (p / (1 - p))
     return F.when(F.col("rest") > 0, r / (1 + r))
 
 
+def scales(sized: DataFrame, goal: DataFrame) -> DataFrame:
+    """goal with scale: what a boost is multiplied by to be an inclusion probability, so that a source's expected words are its rest.
+
+    Probabilities that reach 1 stay there and the others are scaled anew, until none is new: a round per class of boosts at
+    most, each an aggregate of sized.
+    """
+    same = F.col("d.source").eqNullSafe(F.col("g.source"))
+    goal = goal.withColumn("scale", F.lit(0.0))
+    while True:
+        certain = F.col("g.scale") * F.col("d.boost") >= 1
+        sums = sized.alias("d").join(goal.alias("g"), same).groupBy("g.source").agg(
+            F.sum(F.when(certain, F.col("d.size")).otherwise(0)).alias("full"), F.sum(F.when(~certain, F.col("d.size") * F.col("d.boost")).otherwise(0.0)).alias("weight"))
+        scale = F.when(F.col("d.weight") > 0, F.greatest(F.col("g.scale"), (F.col("g.rest") - F.col("d.full")) / F.col("d.weight"))).otherwise(F.col("g.scale"))
+        new = C.materialise(goal.alias("g").join(sums.alias("d"), same, "left").select("g.source", "g.source_size", "g.target", "g.whole", "g.rest", F.coalesce(scale, F.col("g.scale")).alias("scale"),
+                                                                                       (F.coalesce(scale, F.col("g.scale")) > F.col("g.scale")).alias("more")))
+        goal = new.drop("more")
+        if new.where("more").isEmpty():
+            return goal
+
+
+def numbered(rows: DataFrame, twins: DataFrame | None = None) -> DataFrame:
+    """rows (source, key, more) with a number in the keys of those that share source and key, but for the first.
+
+    twins: the keys that several rows have, a written table of (source, key), if it is known; equal rows may change numbers
+    from run to run, the numbers of all of them don't.
+    """
+    twins = repeated(rows) if twins is None else twins
+    many = twins.count()
+    if not many:
+        return rows
+    held = F.broadcast(twins) if many <= FEW_TWINS else twins.hint("merge")
+    on = F.col("d.source").eqNullSafe(F.col("w.source")) & (F.col("d.key") == F.col("w.key"))
+    some = C.materialise(rows.alias("d").join(held.alias("w"), on, "left_semi").withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    upto = Window.partitionBy("source", "key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = some.groupBy("source", "key", "_part").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).drop("n")
+    nth = F.row_number().over(Window.partitionBy("source", "key", "_part").orderBy("_at"))
+    on = F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.key") == F.col("p.key")) & (F.col("d._part") == F.col("p._part"))
+    placed = some.withColumn("_nth", nth).alias("d").join(parts.hint("merge").alias("p"), on).select("d.*", (F.col("d._nth") - 1 + F.col("p.before")).alias("_place"))
+    key = F.when(F.col("_place") > 0, F.concat("key", F.lit("/"), F.col("_place").cast("string"))).otherwise(F.col("key"))
+    placed = placed.withColumn("key", key).select(rows.columns)
+    on = F.col("d.source").eqNullSafe(F.col("w.source")) & (F.col("d.key") == F.col("w.key"))
+    return rows.alias("d").join(held.alias("w"), on, "left_anti").unionByName(placed)
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """(source, key) of those that several rows have, written."""
+    return C.materialise(rows.groupBy("source", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("source", "key"))
+
+
 def plan(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, seed: str = "mix") -> DataFrame:
     """One row per source: source_size, target, whole (certain copies) and the last rank that is taken (t, key).
 
@@ -83,9 +138,10 @@ def plan(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: in
     """
     goal = targets(sized, weights, max_repeats).withColumn(
         "whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    goal = C.materialise(goal.withColumn("rest", F.col("target") - (F.col("whole") * F.col("source_size")).cast("double")))
+    goal = (goal.withColumn("rest", F.col("target") - (F.col("whole") * F.col("source_size")).cast("double")))
+    goal = scales(sized, C.materialise(goal))
     same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
-    ranked = sized.alias("d").join(goal.where("rest > 0").alias("g"), same("d", "g")).select("d.source", "d.key", "d.size", "d.boost", "g.rest", "g.source_size")
+    ranked = sized.alias("d").join(goal.where("rest > 0").alias("g"), same("d", "g")).select("d.source", "d.key", "d.size", "d.boost", "g.rest", "g.scale")
     ranked = ranked.withColumn("t", _rank(F.col("boost"), F.col("key"), seed)).select("source", "key", "size", "rest", "t")
 
     def boundary(rows: DataFrame, scale: int) -> DataFrame:
@@ -110,17 +166,17 @@ def plan(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: in
     ends = fine.alias("f").join(chosen.alias("c"), same("f", "c"), "left").select(
         "f.source", F.coalesce(F.col("c.last.t"), F.col("f.part") / F.lit(float(PARTS * PARTS))).alias("t_last"), F.col("c.last.key").alias("key_last"))
     return C.materialise(goal.alias("g").join(ends.alias("e"), same("g", "e"), "left").select(
-        "g.source", "g.source_size", "g.target", "g.whole", "g.rest", F.coalesce("e.t_last", F.lit(-1.0)).alias("t_last"), "e.key_last"))
+        "g.source", "g.source_size", "g.target", "g.whole", "g.rest", "g.scale", F.coalesce("e.t_last", F.lit(-1.0)).alias("t_last"), "e.key_last"))
 
 
 def copies(sized: DataFrame, planned: DataFrame, seed: str = "mix") -> DataFrame:
     """sized with source_size, target and copies (how often each document is taken)."""
     joined = sized.alias("d").join(planned.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-    joined = joined.select("d.*", "p.source_size", "p.target", "p.whole", "p.rest", "p.t_last", "p.key_last")
+    joined = joined.select("d.*", "p.source_size", "p.target", "p.whole", "p.rest", "p.scale", "p.t_last", "p.key_last")
     t = _rank(F.col("boost"), F.col("key"), seed)
     more = (t < F.col("t_last")) | ((t == F.col("t_last")) & (F.col("key") <= F.col("key_last")))
     n = F.col("whole") + F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0)
-    return joined.withColumn("copies", n.cast("long")).drop("whole", "rest", "t_last", "key_last")
+    return joined.withColumn("copies", n.cast("long")).drop("whole", "rest", "scale", "t_last", "key_last")
 
 
 def prefer_ordinary(size: Column) -> Column:
@@ -136,16 +192,18 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """
     C.ship(df.sparkSession)
     named, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    key = F.coalesce(named.cast("string"), F.concat(F.lit("#"), F.md5(F.coalesce(text.cast("binary"), F.lit("").cast("binary")))))
+    key = F.concat(F.coalesce(named.cast("string"), F.lit("")), F.lit("#"), F.md5(F.coalesce(text.cast("binary"), F.lit("").cast("binary"))))
     cols = [named.alias("id"), F.col(f"`{source_col}`").alias("source"), key.alias("key"), words_of(text).alias("size")]
     cols += [F.col(f"`{boost}`").cast("double").alias("boost")] if isinstance(boost, str) else []
 
     def boosted(rows: DataFrame) -> DataFrame:
         return rows if isinstance(boost, str) else rows.withColumn("boost", boost(F.col("size")) if boost else F.lit(1.0))
 
-    small = boosted(C.materialise(df.select(*cols)))
+    small = C.materialise(df.select(*cols))
+    twins = repeated(small)
+    small = boosted(numbered(small, twins))
     planned = plan(small, weights, max_repeats, seed)
-    rows = boosted(df.select(*cols, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))) if keep_rows else small
+    rows = boosted(numbered(df.select(*cols, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")), twins)) if keep_rows else small
     return copies(rows, planned, seed).drop("key", "boost")
 
 

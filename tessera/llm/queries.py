@@ -123,7 +123,9 @@ FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id LEFT JOIN found f ON d.
 
 
 _MIX_SQL = rf"""
-WITH d AS (SELECT doc_id, source, coalesce(doc_id::VARCHAR, '#' || md5(coalesce(text, ''))) AS k, CASE WHEN text IS NULL THEN 0 ELSE len({_WORDS.format('text')}) END AS size FROM documents),
+WITH e AS (SELECT doc_id, source, coalesce(doc_id::VARCHAR, '') || '#' || md5(coalesce(text, '')) AS k, CASE WHEN text IS NULL THEN 0 ELSE len({_WORDS.format('text')}) END AS size FROM documents),
+g AS (SELECT *, row_number() OVER (PARTITION BY source, k) - 1 AS nth FROM e),
+d AS (SELECT doc_id, source, k || CASE WHEN nth > 0 THEN '/' || nth ELSE '' END AS k, size, CASE WHEN size < 50 OR size > 5000 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS boost FROM g),
 s AS (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source),
 w AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM s),
 o AS (SELECT *, sum(n) OVER () AS total, coalesce(sum(n) OVER (ORDER BY n / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_n,
@@ -133,8 +135,10 @@ t AS (SELECT source, n, CASE WHEN capped THEN (3 * n)::DOUBLE
   ELSE ((total - 3 * sum(CASE WHEN capped THEN n ELSE 0 END) OVER ()) * w)::DOUBLE / (sum(CASE WHEN capped THEN 0 ELSE w END) OVER ())::DOUBLE END AS target FROM f),
 p AS (SELECT *, CASE WHEN n > 0 THEN floor(target / n) ELSE 0 END AS whole FROM t),
 r AS (SELECT *, target - whole * n AS rest FROM p),
-u AS (SELECT d.*, r.n, r.target, r.whole, r.rest, ('0x' || substr(md5('mix' || k), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS u, least(r.rest / r.n * CASE WHEN d.size < 50 OR d.size > 5000 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END, 1 - 1e-9) AS q
-  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+b AS (SELECT source, sum(CASE WHEN boost = 1 THEN size ELSE 0 END) AS ordinary, sum(size * boost) AS weight FROM d GROUP BY source),
+l AS (SELECT r.*, CASE WHEN weight > 0 THEN CASE WHEN rest / weight < 1 THEN rest / weight WHEN weight > ordinary THEN (rest - ordinary) / (weight - ordinary) ELSE 1 END ELSE 0 END AS scale FROM r JOIN b ON r.source IS NOT DISTINCT FROM b.source),
+u AS (SELECT d.*, r.n, r.target, r.whole, r.rest, ('0x' || substr(md5('mix' || k), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS u, least(r.scale * d.boost, 1 - 1e-9) AS q
+  FROM d JOIN l r ON d.source IS NOT DISTINCT FROM r.source),
 v AS (SELECT *, CASE WHEN rest > 0 THEN (u / (1 - u)) / (q / (1 - q)) END AS odds FROM u),
 c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds / (1 + odds), k) AS upto FROM v)
 SELECT doc_id, size::BIGINT AS size, n::BIGINT AS source_size, target, (size * (whole + CASE WHEN rest > 0 AND upto - size / 2.0 <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM c"""

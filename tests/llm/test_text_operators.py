@@ -452,3 +452,29 @@ def test_size_bounds_lose_nothing():
         for a in range(1, 80):
             if 2 * min(a, b) / (a + b) >= t:
                 assert low <= a + 1e-9 and a <= high + 1e-9
+
+
+@pytest.mark.parametrize("same, few", [("id", 100), ("text", 100), ("all", 0)])  # the shared keys are sent to the rows, or meet them by shuffle
+def test_mix_takes_equal_rows_one_by_one(spark, monkeypatch, same, few):
+    monkeypatch.setattr(mixing, "FEW_TWINS", few)
+    text = " ".join(["w"] * 50)
+    rows = [(None if same == "text" else 7, f"{text} {n}" if same == "id" else text, "a") for n in range(200)] + [(1000 + n, text + " z", "b") for n in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    got = mixing.mix_sources(df, keep_rows=True).select("id", "source", "size", "target", "copies").collect()
+    for source in "ab":
+        own = [r for r in got if r["source"] == source]
+        assert len(own) == 200 and abs(sum(r["size"] * r["copies"] for r in own) - own[0]["target"]) <= 51
+    if same == "all":
+        again = mixing.mix_sources(df.repartition(3)).select("id", "source", "size", "target", "copies").collect()
+        assert sorted(map(str, again)) == sorted(map(str, got))
+
+
+def test_mix_draws_by_its_odds(spark):
+    """Documents with half the boost are drawn half as often; where the others are certain, they get what is left."""
+    rows = [(n, " ".join(["w"] * 10), "a", 0.5 if n % 2 else 1.0) for n in range(4000)]
+    rows += [(10_000 + n, " ".join(["w"] * 10), "b", 1.0) for n in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, boost double")
+    for weights, want in (((3, 7), (0.8, 0.4)), ((9, 11), (1.0, 0.8))):
+        got = mixing.mix_sources(df, boost="boost", weights=weights).where("source = 'a'").groupBy(F.col("id") % 2 == 0).agg(F.avg("copies")).collect()
+        share = {r[0]: r[1] for r in got}
+        assert abs(share[True] - want[0]) < 0.04 and abs(share[False] - want[1]) < 0.04

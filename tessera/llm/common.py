@@ -38,6 +38,9 @@ BATCH_ROWS = 2000
 #: Rows of a counted table in a file, and files that it may always have.
 FILE_ROWS, FEW_FILES = 50_000, 8
 
+#: A key with more than 1 / HUBS of the rows of a join, and over FEW_OF_HUB, is one of at most HUBS hubs.
+HUBS, FEW_OF_HUB = 10_000, 1000
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -275,6 +278,21 @@ def merged(a: DataFrame, b: DataFrame, on: str | list[str], how: str = "inner")
     return a.join(b.hint("merge"), on, how)
 
 
+def hub_join(big: DataFrame, small: DataFrame, on: str, total: int) -> DataFrame:
+    """big (of `total` rows) joined with small, which has one row per key and in n how many rows of big the key has.
+
+    Keys with more than 1 / HUBS of the rows are HUBS at most, so they are sent to all tasks, and big's rows of them stay where they
+    are; all others are shuffled and sorted.
+    """
+    share = max(FEW_OF_HUB, total // HUBS)
+    if small.where(F.col("n") > share).isEmpty():
+        return merged(big, small.drop("n"), on)
+    small = materialise(small)
+    hubs, rest = small.where(F.col("n") > share).drop("n"), small.where(F.col("n") <= share).drop("n")
+    others = big.join(F.broadcast(hubs.select(on)), on, "left_anti")
+    return big.join(F.broadcast(hubs), on).unionByName(merged(others, rest, on))  # HUBS rows at most
+
+
 # ---------------------------------------------------------------- vectors
 
 #: Components of this size or more have no integer of 64 bits once scaled; they count as not finite.
@@ -303,15 +321,15 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds: each is one grouped minimum and one join, edges never
     outnumber the input, and rounds grow with the logarithm of the longest path.  Each round is a written
-    table.  Nodes without an edge don't appear.  Self-loops are ignored, empty input gives no rows.
+    table.  A hub's edges don't meet in one task (hub_join).  Nodes without an edge don't appear.  Self-loops are ignored, empty input gives no rows.
     """
     spark = edges.sparkSession
     table, path = spill(_oriented(edges.select("u", "v")))
     before = _signature(table)
     while before[0]:
         both = table.unionByName(table.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = merged(both, low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = hub_join(both, low, "u", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = _oriented(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = merged(large, least, "u").select(F.explode(F.array(

@@ -7,7 +7,8 @@ flipped (those whose votes were closest).  Texts meet where their balls meet, wh
 other bits of the segment than the weak ones of either.  Those who meet are verified over all bits.  `reach` bits may
 differ: what texts of the similarity are expected to, and `slack` standard deviations more.
 
-Nothing here grows with the square of a group's size, and no link is left out:
+No link is left out, and what grows with the square of a group's size is only the last comparison of step 3, of texts that meet and still are in
+different classes:
 
 1.  Packs report the distinct keys they hold, and hash ranges answer which of them have a second owner (see
     common); only rows (key, node, fingerprint) of shared keys are made.
@@ -250,26 +251,26 @@ def classes(nodes: DataFrame, longs: int, segment_bits: int, weak: int, radius:
     owners = C.materialise(shared_keys(nodes, longs, segment_bits, weak, pack_prints))
     bits = [f"f{i}" for i in range(longs)]
     # every owner against its key's leader
-    leads = owners.groupBy("key").agg(F.min(F.struct("node", *bits)).alias("lead"))
+    leads = owners.groupBy("key").agg(F.min(F.struct("node", *bits)).alias("lead"), F.count(F.lit(1)).alias("n"))
     apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"lead.{b}"))) for b in bits), F.lit(0))
-    near = owners.join(leads, "key").where((F.col("node") != F.col("lead.node")) & (apart <= radius))
+    near = C.hub_join(owners, leads, "key", owners.count()).where((F.col("node") != F.col("lead.node")) & (apart <= radius))
     named = C.materialise(C.components(near.select(F.col("node").alias("u"), F.col("lead.node").alias("v"))), count)
     # what is left to compare: keys whose owners are in several components
-    owned = owners.join(named, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    owned = C.merged(owners, named, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     members = owned.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
     cells = members.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("host")).where("n > host.n")
     parts = lambda n: F.ceil(n / block).cast("int")
     cells = cells.select("key", F.col("host.c").alias("host"), parts(F.col("n")).alias("parts"), parts(F.col("n") - F.col("host.n")).alias("asks"))
-    owned = owned.join(cells, "key")
+    owned = C.merged(owned, cells, "key")
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asked = owned.select("key", place("parts").alias("part"), every("asks").alias("ask"), "c", *bits, F.lit(False).alias("asking"))
     asking = owned.where("c <> host").select("key", every("parts").alias("part"), place("asks").alias("ask"), "c", *bits, F.lit(True).alias("asking"))
     both = asked.unionByName(asking).repartition("key", "part", "ask").sortWithinPartitions("key", "part", "ask")
     more = C.materialise(C.components(both.mapInArrow(_meet(longs, radius), "u long, v long")), count)
-    joined = named.withColumnRenamed("component", "c").join(more.select(F.col("node").alias("c"), F.col("component").alias("d")), "c", "left")
+    joined = C.merged(named.withColumnRenamed("component", "c"), more.select(F.col("node").alias("c"), F.col("component").alias("d")), "c", "left")
     joined = joined.select("node", F.coalesce("d", "c").alias("component"))
-    return joined.unionByName(more.join(named, "node", "left_anti"))  # components of one node, joined in the second round
+    return joined.unionByName(C.merged(more, named, "node", "left_anti"))  # components of one node, joined in the second round
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, slack: float = 1.0, longs: int = 16,
@@ -288,10 +289,10 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     nodes = rows.groupBy(*bits).agg(F.min(own).alias("own"), F.min("weak").alias("weak")).withColumn("node", F.monotonically_increasing_id())
     nodes = C.materialise(nodes, rows.count())  # from here on the numbers stay
     found = classes(nodes.select("node", *bits, "weak"), longs, segment_bits, weak, reach(similarity, 64 * longs, slack), block, pack_prints)
-    named = nodes.select("node", "own", *bits).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("own").alias("least"))
-    named = named.join(least, "component").select(*bits, "least")
-    return rows.drop("weak").join(named, bits).select("id", "digest", F.col("least.id").alias("component_id"), (own == F.col("least")).alias("first"))
+    named = C.merged(nodes.select("node", "own", *bits), found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("own").alias("least"), F.count(F.lit(1)).alias("n"))
+    named = C.hub_join(named, least, "component", nodes.count()).select(*bits, "least")
+    return C.merged(rows.drop("weak"), named, bits).select("id", "digest", F.col("least.id").alias("component_id"), (own == F.col("least")).alias("first"))
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
@@ -301,10 +302,11 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     keyed = df.select(F.struct(*names).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("digest"))
     same = lambda other: keyed["id"].eqNullSafe(other["id"]) & (keyed["digest"] == other["digest"])
     others = found.where("NOT first").select("id", "digest").distinct()
-    kept = keyed.join(others, same(others), "left_anti")
+    kept = keyed.join(others.hint("merge"), same(others), "left_anti")
     again = found.where("first").groupBy("id", "digest").count().where("count > 1").select("id", "digest")
     if not again.isEmpty():
-        repeated = kept.join(again, kept["id"].eqNullSafe(again["id"]) & (kept["digest"] == again["digest"]), "left_semi")
-        once = repeated.groupBy("id", "digest").agg(F.min("_row").alias("_row")).select("_row", "id", "digest")
-        kept = kept.join(again, kept["id"].eqNullSafe(again["id"]) & (kept["digest"] == again["digest"]), "left_anti").unionByName(once)
+        repeated = kept.join(again.hint("merge"), kept["id"].eqNullSafe(again["id"]) & (kept["digest"] == again["digest"]), "left_semi")
+        ordered = not any(k in df.select(F.struct(*names)).schema.simpleString() for k in ("map<", "variant"))  # these have no order; their text has
+        once = repeated.groupBy("id", "digest").agg((F.min("_row") if ordered else F.min_by("_row", F.to_json("_row"))).alias("_row")).select("_row", "id", "digest")
+        kept = kept.join(again.hint("merge"), kept["id"].eqNullSafe(again["id"]) & (kept["digest"] == again["digest"]), "left_anti").unionByName(once)
     return kept.select(*[F.col(f"_row.{n}") for n in names])

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import copies
+from tessera.llm import common, copies
 
 from .conftest import SCHEMA
 
@@ -156,3 +156,31 @@ def test_odd_and_empty(docs, odd, empty):
 
 def test_reach():
     assert copies.reach(1, 512) == 0 and 70 < copies.reach(0.8, 512) < 80 < copies.reach(0.8, 512, 1)
+
+
+def test_hubs_are_spread(spark, monkeypatch):
+    """Components of a star, a chain and pairs, with hubs sent to the edges; and the plan keeps all else from being sent."""
+    edges = [(1000, n) for n in range(1, 400)] + [(2000 + n, 2001 + n) for n in range(40)] + [(3000 + 2 * n, 3001 + 2 * n) for n in range(30)] + [(5, 5), (1000, 7)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    want = sorted(map(tuple, common.components(df).collect()))
+    assert dict(want)[1000] == 1 and dict(want)[2040] == 2000
+    monkeypatch.setattr(common, "FEW_OF_HUB", 20)
+    monkeypatch.setattr(common, "HUBS", 10)
+    assert sorted(map(tuple, common.components(df).collect())) == want
+    big, small = df.select("u", "v"), df.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    plain = sorted(map(tuple, big.join(small.drop("n"), "u").collect()))
+    assert sorted(map(tuple, common.hub_join(big, small, "u", len(edges)).collect())) == plain
+
+
+def test_growing_tables_are_not_sent(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "docs"))
+    found = copies.near_copies(spark.read.parquet(str(tmp_path / "docs")))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    kept = copies.one_of_each(spark.read.parquet(str(tmp_path / "docs")))
+    assert "Broadcast" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_with_maps(spark):
+    rows = [(1, "some words of a text that repeats", {"a": 1}), (1, "some words of a text that repeats", {"a": 1}), (2, "another text of other words", None)]
+    got = copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, facts map<string, int>")).collect()
+    assert sorted((r["doc_id"], str(r["facts"])) for r in got) == [(1, "{'a': 1}"), (2, "None")]

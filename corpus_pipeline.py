@@ -14,9 +14,10 @@ from tessera.llm.queries import word_tokenizer
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither their own counts nor their host's verdict reject."""
-    failed = quality.measure(docs, carry=["source"]).select(F.col("row.source").alias("host"), quality.base_rules().alias("failed"))
+    measured = common.materialise(quality.measure(docs))
+    failed = measured.select(F.col("row.source").alias("host"), quality.base_rules().alias("failed"))
     rates = common.materialise(quality.host_rates(failed))  # a row per host
-    judged = quality.measure(docs).where(~quality.base_rules()).select("row.*")
+    judged = measured.where(~quality.base_rules()).select("row.*")
     bad = rates.where(F.col("rate") > 0.5)
     return judged.join(bad, judged["source"].eqNullSafe(bad["host"]), "left_anti")
 

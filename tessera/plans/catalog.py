@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import bm25, chunk, embed, evaluate, fusion, game, manifest, retrieve, segments, vector
+from ..operators import blocks, bm25, chunk, embed, evaluate, fusion, game, manifest, retrieve, segments, vector
 from ..session import shared_dir
 from ..sources import adapters, pages
 
@@ -517,6 +517,14 @@ def bm25_index_search(spark, d):
     return found.select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"WITH {_INDEX}, q AS (SELECT item_id AS query_id, text AS query FROM benchmark), {_bm25_sql('q', 'query_id', 20)} SELECT query_id, chunk_id, score, rank FROM kw")
+def bm25_block_search(spark, d):
+    """The same by way of cells, without those that can't change the best."""
+    index = blocks.build(bm25.build_index(adapters.knowledge(spark, d)), 64).write(_folder(spark))
+    found = index.search(adapters.benchmark_queries(spark, d), 20)
+    return found.select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"WITH {_VEC} SELECT query_id, chunk_id, score, rank FROM vec")
 def vector_search(spark, d):
     found = vector.search(_queries(spark, d), _corpus(spark, d).vectors, 20)

@@ -39,8 +39,15 @@ def tokens(text: str) -> list[str]:
     return out
 
 
+def hashed_terms(text: str | None, size: int = DIMENSIONS) -> np.ndarray | None:
+    """Counts of a text's tokens, hashed into dimensions, at length 1; null without tokens."""
+    found = [_place(t, size) for t in tokens(text or "")]
+    v = np.bincount(found, minlength=size).astype(np.float64)
+    return v / np.sqrt(v @ v) if found else None
+
+
 class HashedTerms:
-    """Counts of a text's tokens, hashed into dimensions, at length 1; null without tokens.
+    """hashed_terms() of texts.
 
     Offline and the same everywhere: texts that share words have an inner product, others none but by collisions.
     """
@@ -52,16 +59,11 @@ class HashedTerms:
         size = self.dimensions
         ship()
 
-        def vector(x: str | None) -> np.ndarray | None:
-            found = [_place(t, size) for t in tokens(x or "")]
-            v = np.bincount(found, minlength=size).astype(np.float64)
-            return v / np.sqrt(v @ v) if found else None
-
         @F.arrow_udf("array<double>")
         def vectors(col):
             import pyarrow as pa
 
-            return pa.array(map(vector, col.to_pylist()), pa.list_(pa.float64()))
+            return pa.array((hashed_terms(x, size) for x in col.to_pylist()), pa.list_(pa.float64()))
 
         return vectors.asNondeterministic()(text)  # once a row, whatever filters it
 

@@ -135,6 +135,40 @@ def recall(asked: DataFrame, corpus: Corpus, options: RetrieveOptions, strict: b
     return out
 
 
+def recall_each(asked: DataFrame, corpus: Corpus, options: RetrieveOptions) -> tuple[DataFrame, DataFrame]:
+    """(lists, errors): as recall(), both routes, and (query_id, q_idx, route, error) of what failed; both are checkpointed.
+
+    A text whose vector can't be made is that text's error alone.  A recall that fails as it runs is the error of every text it
+    was asked for; the other one's lists stay.
+    """
+    checkpoints(asked.sparkSession)
+    ids = ["query_id", "q_idx"]
+    asked = asked.select(*ids, *[c for c in asked.columns if c not in ids])
+    none = asked.sparkSession.createDataFrame([], f"{', '.join(f'{c} {asked.schema[c].dataType.simpleString()}' for c in ids)}, route int, error string")
+    errors = [none]
+    if corpus.embedder:
+        asked = asked.withColumn("_said", embed.said(corpus.embedder, F.col("query"))).checkpoint()
+        errors.append(asked.where("_said.error IS NOT NULL").select(*ids, F.lit(0).alias("route"), F.col("_said.error").alias("error")))
+        asked = asked.withColumn("vector", F.col("_said.vector")).drop("_said")
+    parts = []
+    for route, run in ((0, lambda: vector.search(asked, corpus.vectors, options.vector_recall, options.min_score, options.score_scale, ids)),
+                       (1, lambda: corpus.index.search(asked, options.keyword_recall, ids))):
+        try:
+            parts.append(run().select(*ids, F.lit(route).alias("route"), "rank", "chunk_id").checkpoint())
+        except Exception as e:
+            log.warning("%s recall failed", ("vector", "keyword")[route], exc_info=True)
+            what = (str(e).strip() or type(e).__name__).splitlines()[0]
+            errors.append(asked.select(*ids, F.lit(route).alias("route"), F.lit(what).alias("error")))
+    kind = corpus.chunks.schema["chunk_id"].dataType.simpleString()
+    lists = asked.sparkSession.createDataFrame([], none.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ").replace("error string", f"rank int, chunk_id {kind}"))
+    for part in parts:
+        lists = lists.unionByName(part)
+    out = errors[0]
+    for part in errors[1:]:
+        out = out.unionByName(part)
+    return lists, out.checkpoint()
+
+
 def finish(lists: DataFrame, queries: DataFrame, corpus: Corpus, by: list[str], options: dict[str, Column], candidates: int, rrf_k: int, reranker: fusion.Reranker | None = None) -> DataFrame:
     """Fusion, cap, rerank and diversity; options: columns rerank, top_k and max_per_source.  Rows carry chunk_id and source, no text.
 

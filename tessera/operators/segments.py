@@ -117,6 +117,12 @@ class SegmentStore:
         found = self.versions()
         return self.read_version(found[-1]) if found else Version()
 
+    def version(self) -> int:
+        return self.current().number
+
+    def header(self) -> M.Header | None:
+        return self.current().header
+
     def claim(self, version: Version) -> None:
         """Publishes a version, or raises Conflict if its number is taken."""
         fs, target = self._fs(), self._p(f"versions/v{version.number:08d}.json")

@@ -74,15 +74,26 @@ _EXPECTED = """cases AS (SELECT b.item_id AS case_id, b.text AS query, coalesce(
 _MATCH = "({a} <> '' AND {b} <> '' AND ({a} = {b} OR ends_with({a}, '/' || {b}) OR ends_with({b}, '/' || {a})))"
 _VARIANTS = """variants AS (SELECT * FROM (VALUES ('all-on', true, true, true, 3, 2), ('no-rewrite', false, true, true, 3, 2), ('no-hybrid', true, false, true, 3, 2), ('no-rerank', true, true, false, 3, 2),
   ('vector-only', true, false, false, 3, 2), ('no-diversity', true, true, true, 3, 0), ('topk-5', true, true, true, 5, 2)) v(variant_id, v_rewrite, v_hybrid, v_rerank, v_top_k, v_per_source))"""
-_RUN = f"""{_RETRIEVE}, {_VARIANTS}, vlists AS (SELECT * FROM lists, variants WHERE (v_rewrite OR q_idx = 0) AND (v_hybrid OR route = 0)),
+_TAIL = f"""{_VARIANTS}, vlists AS (SELECT * FROM lists, variants WHERE (v_rewrite OR q_idx = 0) AND (v_hybrid OR route = 0)),
 {_finish_sql('variant_id, v_rerank, v_top_k, v_per_source, query_id', 'vlists', 'v_rerank', 'v_top_k', 'v_per_source', 'true')}, {_EXPECTED},
 got AS (SELECT variant_id, query_id AS case_id, list('doc/' || f.chunk_id ORDER BY pos) AS returned, max(err) AS err FROM final GROUP BY variant_id, query_id),
-results AS (SELECT v.variant_id, c.case_id, c.query, c.expected, CASE WHEN err IS NULL THEN coalesce(g.returned, []) ELSE [] END AS returned, 10 + (c.case_id * 37) % 200 AS cost_ms, err AS error
-  FROM cases c CROSS JOIN variants v LEFT JOIN got g ON g.variant_id = v.variant_id AND g.case_id = c.case_id),
+results AS (SELECT v.variant_id, c.case_id, c.query, c.expected, CASE WHEN coalesce(b.early, err) IS NULL THEN coalesce(g.returned, []) ELSE [] END AS returned, 10 + (c.case_id * 37) % 200 AS cost_ms, coalesce(b.early, err) AS error
+  FROM cases c CROSS JOIN variants v LEFT JOIN got g ON g.variant_id = v.variant_id AND g.case_id = c.case_id LEFT JOIN bad b ON b.variant_id = v.variant_id AND b.case_id = c.case_id),
 normed AS (SELECT *, list_transform(expected, lambda e: {_NORM.format('e')}) AS en, list_transform(returned, lambda r: {_NORM.format('r')}) AS rn FROM results),
 credit AS (SELECT *, list_transform(rn, lambda r: expected[list_position(list_transform(en, lambda e: {_MATCH.format(a='r', b='e')}), true)]) AS c FROM normed),
 scores AS (SELECT variant_id, case_id, expected, returned, cost_ms, error, coalesce(list_filter(list_transform(range(1, len(c) + 1), lambda i: CASE WHEN c[i] IS NOT NULL THEN i END), lambda x: x IS NOT NULL)[1], 0) AS hit_rank,
   len(list_filter(c, lambda x: x IS NOT NULL)) AS hit_count, list_distinct(list_filter(c, lambda x: x IS NOT NULL)) AS hit_expected, len(returned) AS returned_count, len(list_distinct(returned)) AS distinct_sources FROM credit)"""
+_RUN = f"{_RETRIEVE}, bad AS (SELECT '' AS variant_id, 0 AS case_id, '' AS early WHERE false), {_TAIL}"
+# The same with vectors of texts, where the model has none for texts whose length is 3 more than a multiple of 9.
+_TEXT_NEAR = f"""tf AS (SELECT id, b, count(*)::DOUBLE AS tf FROM (SELECT id, ('0x' || substr(md5(unnest({_TOKENS.format('text')})), 1, 8))::BIGINT % 256 AS b
+  FROM (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'q' || query_id || '.' || q_idx, query FROM asked WHERE length(query) % 9 <> 3)) GROUP BY ALL),
+unit AS (SELECT *, tf / sqrt(sum(tf * tf) OVER (PARTITION BY id)) AS x FROM tf),
+near AS (SELECT q.id AS q, c.id[2:]::BIGINT AS chunk_id, round(sum(q.x * c.x), 6) AS score FROM unit q JOIN unit c ON q.b = c.b WHERE q.id[1] = 'q' AND c.id[1] = 'd' GROUP BY ALL),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, chunk_id) AS rank FROM near WHERE score >= 0.2) WHERE rank <= 20)"""
+_FAILING_RUN = f"""WITH {_INDEX}, {_ASKED}, {_TEXT_NEAR}, {_bm25_sql('asked', 'query_id, q_idx', 20)},
+lists AS (SELECT a.query_id, a.q_idx, 0 AS route, v.rank, v.chunk_id FROM asked a JOIN best v ON v.q = 'q' || a.query_id || '.' || a.q_idx UNION ALL SELECT query_id, q_idx, 1, rank, chunk_id FROM kw),
+bad AS (SELECT variant_id, query_id AS case_id, 'no vector' AS early FROM asked, variants WHERE length(query) % 9 = 3 AND (v_rewrite OR q_idx = 0) GROUP BY ALL), """
+_FAILING_RUN = _FAILING_RUN.replace("bad AS", f"{_VARIANTS}, bad AS") + _TAIL.replace(f"{_VARIANTS}, ", "", 1)
 _KNOWN = f"""idx AS (SELECT {_NORM.format("'doc/' || doc_id")} AS x FROM documents), wanted AS (SELECT DISTINCT unnest(expected) AS raw FROM cases),
 known AS (SELECT coalesce(list(DISTINCT raw), []) AS k FROM (SELECT raw, {_NORM.format('raw')} AS w FROM wanted), idx WHERE {_MATCH.format(a='w', b='x')})"""
 _METRICS = """metrics AS (SELECT variant_id, count(*) AS total, count(error) AS failed, round(sum((hit_rank > 0)::INT)::DOUBLE / count(*), 6) AS hit_rate,
@@ -771,6 +782,48 @@ def eval_metrics(spark, d):
     return evaluate.aggregate_metrics(_scored(spark, d), ["variant_id"])
 
 
+def _rarely(text: str):
+    """A model that has no vector for some texts."""
+    if len(text) % 9 == 3:
+        raise RuntimeError("no vector")
+    return embed.hashed_terms(text)
+
+
+@query(f"{_FAILING_RUN}, {_METRICS} SELECT * FROM metrics")
+def eval_isolation(spark, d):
+    """Metrics of a run in which some vectors can't be made and some cases can't be reranked: those fail, others don't."""
+    chunks, model = adapters.knowledge(spark, d), embed.PythonEmbedder(_rarely)
+    corpus = retrieve.Corpus(chunks, embed.embed_chunks(chunks), bm25.scan(chunks), model)
+    found = evaluate.run_variants(adapters.eval_cases(spark, d), adapters.benchmark_queries(spark, d), corpus, list(evaluate.VARIANTS.values()), reranker=_Flaky())
+    scored = evaluate.score_cases(found.withColumn("cost_ms", 10 + (F.col("case_id") * 37) % 200), chunks.select("source_value"))
+    return evaluate.aggregate_metrics(scored, ["variant_id"])
+
+
+_TIMELESS = tuple(m for m in evaluate.METRICS if not m.endswith("_ms"))
+
+
+@query(f"""WITH r1 AS ({_RUN.replace("3, 2)", "1, 2)").replace("3, 0)", "1, 0)").replace("5, 2)", "5, 2)")}, {_METRICS} SELECT * FROM metrics), r2 AS ({_RUN}, {_METRICS} SELECT * FROM metrics)
+SELECT '20240101-000000-000' AS run_id, variant_id, NULL AS previous_run_id, false AS changed, failed, hit_rate, mrr, {', '.join(f'NULL::DOUBLE AS delta_{m}' for m in _TIMELESS)} FROM r1 WHERE variant_id IN ('all-on', 'no-rerank')
+UNION ALL SELECT '20240103-000000-000', r2.variant_id, '20240101-000000-000', true, r2.failed, r2.hit_rate, r2.mrr, {', '.join(f'round(r2.{m} - r1.{m}, 6)' for m in _TIMELESS)} FROM r2 JOIN r1 USING (variant_id) WHERE variant_id IN ('all-on', 'no-rerank')""")
+def eval_runs(spark, d):
+    """Two evaluations and a broken report between them in one folder; the index is rebuilt during the second."""
+    folder, docs, store, none = _folder(spark), _sources(spark, d), manifest.Store(spark, _folder(spark)), manifest.Header("docs")
+    cases, queries, corpus = adapters.eval_cases(spark, d), _queries(spark, d), _corpus(spark, d)
+    manifest.rebuild(store, docs, docs.limit(0), none)
+    rows = []
+
+    class Rebuilding(_Flaky):
+        def score(self, query, text):
+            manifest.rebuild(store, docs.where("ord % 19 <> 0"), docs.limit(0), none)
+            return super().score(query, text)
+
+    for run_id, k, judge in (("20240101-000000-000", 1, _Flaky()), ("20240103-000000-000", 3, Rebuilding())):
+        report = evaluate.evaluate(cases, queries, corpus, folder, run_id, "benchmark", store, ["all-on", "no-rerank"], retrieve.RetrieveOptions(top_k=k), reranker=judge)
+        rows += [(run_id, m["variant_id"], report.previous_run_id, report.collection_changed, m["failed"], m["hit_rate"], m["mrr"], *(m[f"delta_{x}"] for x in _TIMELESS)) for m in report.metrics]
+        pages.write_text(spark, f"{folder}/20240102-000000-000/report.json", '{"metrics": [{"variant_id": "all-on", "mrr":')
+    return spark.createDataFrame(rows, "run_id string, variant_id string, previous_run_id string, changed boolean, failed long, hit_rate double, mrr double, " + ", ".join(f"delta_{m} double" for m in _TIMELESS))
+
+
 @query(f"""{_RUN}, {_METRICS}, before AS (SELECT * FROM metrics WHERE variant_id = 'vector-only') SELECT m.variant_id, m.mrr, {', '.join(f'round(m.{x} - b.{x}, 6) AS delta_{x}' for x in evaluate.METRICS)}
 FROM metrics m CROSS JOIN before b""")
 def eval_delta(spark, d):

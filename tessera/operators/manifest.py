@@ -39,6 +39,14 @@ def full_rebuild_reason(previous: Header | None, collection: str, size: int, ove
     return None
 
 
+def rebuild_reason(previous: dict[str, Column], collection: Column, size: Column, overlap: Column, splitter: Column) -> Column:
+    """full_rebuild_reason() of a row: previous has the columns collection, size, overlap and splitter of a header (a null collection: there is none)."""
+    return (F.when(T.blank(previous["collection"]), "the manifest names no collection")
+            .when(previous["collection"] != collection, F.concat(F.lit("the manifest belongs to collection "), previous["collection"]))
+            .when((previous["size"] != size) | (previous["overlap"] != overlap), F.concat(F.lit("chunks were "), previous["size"].cast("string"), F.lit(" with overlap "), previous["overlap"].cast("string")))
+            .when(previous["splitter"] != splitter, F.concat(F.lit("chunks were cut by "), previous["splitter"])))
+
+
 def first_of_key(sources: DataFrame) -> DataFrame:
     """Sources configured twice: the first by ord counts."""
     first = sources.groupBy(*KEY).agg(F.min("ord").alias("ord"))

@@ -45,6 +45,15 @@ class RetrieveOptions:
                 f"recall {self.vector_recall}+{self.keyword_recall}, {self.candidates} candidates, {self.max_per_source} of a source")
 
 
+def options_text(**of: Column) -> Column:
+    """RetrieveOptions.describe() of a row: options by name as columns, defaults for the rest."""
+    value = lambda name: of.get(name, F.lit(getattr(RetrieveOptions(), name)))
+    on = lambda name, flag: F.concat(F.lit(f"{name}="), F.when(value(flag), "on").otherwise("off"))
+    number = lambda name: value(name).cast("string")
+    return F.concat(F.lit("k="), number("top_k"), F.lit(", "), on("rewrite", "rewrite"), F.lit(" (at most "), number("rewrite_count"), F.lit("), "), on("hybrid", "hybrid"), F.lit(", "), on("rerank", "rerank"),
+                    F.lit(", recall "), number("vector_recall"), F.lit("+"), number("keyword_recall"), F.lit(", "), number("candidates"), F.lit(" candidates, "), number("max_per_source"), F.lit(" of a source"))
+
+
 @dataclass
 class Corpus:
     """What is searched: chunks (chunk_id, source, text), their vectors (chunk_id, vector) and the keyword index.

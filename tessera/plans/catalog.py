@@ -380,22 +380,24 @@ def rebuild_cycle(spark, d):
     return spark.createDataFrame(rows, "step int, mode string, version int, added long, changed int, removed int, chunks long, segments long")
 
 
-@query("""WITH k AS (SELECT greatest(1, ceil((length(text) - 50) / 250.0))::BIGINT AS n FROM documents WHERE doc_id % 2 = 0)
+@query("""WITH k AS (SELECT greatest(1, ceil((length(text) - 50) / 250.0))::BIGINT AS n FROM documents)
 SELECT 'docs' AS collection, 1 AS version, 300 AS size, 50 AS overlap, 'windows' AS splitter, sum(n)::BIGINT AS chunks, count(*) AS sources, sum(n)::BIGINT AS written_chunks FROM k""")
 def index_status(spark, d):
-    docs, store = _sources(spark, d).where("ord % 2 = 0"), manifest.Store(spark, _folder(spark))
+    docs, store = _sources(spark, d), manifest.Store(spark, _folder(spark))
     manifest.rebuild(store, docs, docs.limit(0), manifest.Header("docs", 300, 50))
     return manifest.status(store)
 
 
-@query("""SELECT n_nationkey AS k, CASE WHEN n_nationkey % 5 < 2 THEN 'the manifest names no collection' WHEN n_nationkey % 5 = 2 THEN 'the manifest belongs to collection other'
-WHEN n_nationkey % 2 = 1 OR n_nationkey % 3 = 0 THEN 'chunks were ' || CASE WHEN n_nationkey % 2 = 1 THEN 400 ELSE 500 END || ' with overlap ' || CASE WHEN n_nationkey % 3 = 0 THEN 50 ELSE 100 END END AS reason FROM nation""")
+@query("""WITH h AS (SELECT c_custkey AS k, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN ' ' WHEN 2 THEN c_mktsegment ELSE 'docs' END AS collection, CASE WHEN c_custkey % 2 = 0 THEN 500 ELSE c_nationkey END AS size,
+  CASE WHEN c_custkey % 3 = 0 THEN 50 ELSE 100 END AS overlap, CASE WHEN c_custkey % 7 = 0 THEN 'recursive' ELSE 'windows' END AS splitter FROM customer)
+SELECT k, CASE WHEN collection IS NULL OR trim(collection) = '' THEN 'the manifest names no collection' WHEN collection <> 'docs' THEN 'the manifest belongs to collection ' || collection
+WHEN size <> 500 OR overlap <> 100 THEN 'chunks were ' || size || ' with overlap ' || overlap WHEN splitter <> 'windows' THEN 'chunks were cut by ' || splitter END AS reason FROM h""")
 def rebuild_reasons(spark, d):
-    def header(k: int) -> manifest.Header | None:
-        return manifest.Header({1: " ", 2: "other"}.get(k % 5, "docs"), 400 if k % 2 else 500, 100 if k % 3 else 50) if k % 5 else None
-
-    keys = [r["n_nationkey"] for r in adapters.table(spark, d, "nation").select("n_nationkey").collect()]  # 25 rows at any size
-    return spark.createDataFrame([(k, manifest.full_rebuild_reason(header(k), "docs", 500, 100)) for k in keys], "k long, reason string")
+    """Whether the index of each customer, with a header of its own, must be rebuilt."""
+    k = F.col("c_custkey")
+    header = {"collection": F.when(k % 5 == 0, None).when(k % 5 == 1, " ").when(k % 5 == 2, F.col("c_mktsegment")).otherwise("docs"), "size": F.when(k % 2 == 0, 500).otherwise(F.col("c_nationkey")),
+              "overlap": F.when(k % 3 == 0, 50).otherwise(100), "splitter": F.when(k % 7 == 0, "recursive").otherwise("windows")}
+    return adapters.table(spark, d, "customer").select(k.alias("k"), manifest.rebuild_reason(header, *map(F.lit, ("docs", 500, 100, "windows"))).alias("reason"))
 
 
 @query("SELECT 'file_name' AS source_key, r_name || '.txt' AS source_value, 'The region ' || r_name || chr(10) || 'has the key ' || r_regionkey || '.' || chr(10) AS text FROM region")
@@ -867,16 +869,18 @@ def eval_report(spark, d):
     return found.select("run_id", "variant_id", "total", "failed", "hit_rate", "mrr", "recall", "p95_ms")
 
 
-@query("SELECT 'docs' AS collection, 1 AS version, false AS changed_at_once, true AS changed_later")
+@query("""WITH k AS (SELECT doc_id, greatest(1, ceil((length(text) - 100) / 400.0))::BIGINT AS n FROM documents)
+SELECT 'docs' AS collection, 1 AS version, false AS changed_at_once, true AS changed_later, sum(n)::BIGINT AS chunks, sum(n) FILTER (WHERE doc_id % 19 <> 0)::BIGINT AS chunks_later FROM k""")
 def eval_snapshot(spark, d):
     """A rebuild between an evaluation's start and end shows."""
     docs = _sources(spark, d)
     store, header = manifest.Store(spark, _folder(spark)), manifest.Header("docs")
     manifest.rebuild(store, docs, docs.limit(0), header)
-    began = evaluate.Snapshot.of(store)
+    began, chunks = evaluate.Snapshot.of(store), store.read("chunks")
     at_once = began.changed(store)
     manifest.rebuild(store, docs.where("ord % 19 <> 0"), docs.limit(0), header)
-    return spark.createDataFrame([(began.collection, began.version, at_once, began.changed(store))], "collection string, version int, changed_at_once boolean, changed_later boolean")
+    known = (F.lit(began.collection).alias("collection"), F.lit(began.version).alias("version"), F.lit(at_once).alias("changed_at_once"), F.lit(began.changed(store)).alias("changed_later"))
+    return chunks.agg(F.count(F.lit(1)).alias("chunks")).join(store.read("chunks").agg(F.count(F.lit(1)).alias("chunks_later"))).select(*known, "chunks", "chunks_later")  # a row each
 
 
 @query("""SELECT item_id AS case_id, length(text)::INT AS n, 'tag-' || item_id % 2 AS tag FROM benchmark WHERE item_id % 3 <> 2 AND item_id % 4 <> 1""")
@@ -891,22 +895,29 @@ def eval_set_read(spark, d):
     return asked.select(F.col("case_id").cast("long").alias("case_id"), F.length("query").alias("n"), F.col("tags")[0].alias("tag"))
 
 
-@query(f"""WITH {_VARIANTS}
-SELECT variant_id, 'k=' || v_top_k || ', rewrite=' || CASE WHEN v_rewrite THEN 'on' ELSE 'off' END || ' (at most 4), hybrid=' || CASE WHEN v_hybrid THEN 'on' ELSE 'off' END || ', rerank=' || CASE WHEN v_rerank THEN 'on' ELSE 'off' END ||
-  ', recall 20+20, 30 candidates, ' || v_per_source || ' of a source' AS options FROM variants""")
+@query("""SELECT o_orderkey AS id, 'k=' || o_orderkey % 9 || ', rewrite=' || CASE WHEN o_orderstatus = 'O' THEN 'on' ELSE 'off' END || ' (at most 4), hybrid=' || CASE WHEN o_orderkey % 2 = 0 THEN 'on' ELSE 'off' END ||
+  ', rerank=' || CASE WHEN o_orderkey % 3 = 0 THEN 'on' ELSE 'off' END || ', recall 20+20, 30 candidates, ' || o_custkey || ' of a source' AS options FROM orders""")
 def options_text(spark, d):
-    return spark.createDataFrame([(v.id, v.apply(retrieve.RetrieveOptions()).describe()) for v in evaluate.VARIANTS.values()], "variant_id string, options string")
+    """The options of each order's retrieval, as a report words them."""
+    k = F.col("o_orderkey")
+    said = retrieve.options_text(top_k=k % 9, rewrite=F.col("o_orderstatus") == "O", hybrid=k % 2 == 0, rerank=k % 3 == 0, max_per_source=F.col("o_custkey"))
+    return adapters.table(spark, d, "orders").select(k.alias("id"), said.alias("options"))
 
 
-@query("""SELECT * FROM (VALUES ('', 'all-on', NULL), ('topk-5,no-hybrid,topk-5', 'topk-5,no-hybrid', NULL), ('all-on,bogus,other', NULL, 'unknown variants bogus, other; there are all-on, no-rewrite, no-hybrid, no-rerank, vector-only, no-diversity, topk-5')) v(asked, variants, problem)""")
+@query("""WITH n AS (SELECT l_orderkey AS id, l_linenumber AS i, CASE WHEN l_orderkey % 5 = 0 THEN NULL WHEN l_suppkey % 11 = 0 THEN l_linestatus ELSE ['all-on', 'no-rewrite', 'no-hybrid', 'no-rerank', 'vector-only', 'no-diversity', 'topk-5'][l_partkey % 7 + 1] END AS v FROM lineitem),
+a AS (SELECT o_orderkey AS id, coalesce(list(v ORDER BY i, v) FILTER (WHERE v IS NOT NULL), []) AS asked FROM orders LEFT JOIN n ON o_orderkey = id GROUP BY o_orderkey),
+k AS (SELECT *, list_filter(asked, lambda x: NOT list_contains(['all-on', 'no-rewrite', 'no-hybrid', 'no-rerank', 'vector-only', 'no-diversity', 'topk-5'], x)) AS unknown FROM a)
+SELECT id, array_to_string(asked, ',') AS asked, CASE WHEN len(unknown) > 0 THEN NULL WHEN len(asked) = 0 THEN 'all-on' ELSE array_to_string(list_filter(asked, lambda x, i: list_position(asked, x) = i), ',') END AS variants,
+  CASE WHEN len(unknown) > 0 THEN 'unknown variants ' || array_to_string(unknown, ', ') || '; there are all-on, no-rewrite, no-hybrid, no-rerank, vector-only, no-diversity, topk-5' END AS problem FROM k""")
 def variant_parse(spark, d):
-    def parsed(asked: str):
-        try:
-            return asked, ",".join(v.id for v in evaluate.parse_variants([x for x in asked.split(",") if x])), None
-        except ValueError as e:
-            return asked, None, str(e)
-
-    return spark.createDataFrame(list(map(parsed, ("", "topk-5,no-hybrid,topk-5", "all-on,bogus,other"))), "asked string, variants string, problem string")
+    """What each order's lines ask to be evaluated."""
+    names = F.array(*map(F.lit, evaluate.VARIANTS))
+    lines = adapters.table(spark, d, "lineitem")
+    one = F.when(F.col("l_orderkey") % 5 == 0, None).when(F.col("l_suppkey") % 11 == 0, F.col("l_linestatus")).otherwise(F.element_at(names, (F.col("l_partkey") % 7 + 1).cast("int")))
+    asked = lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", one.alias("v")))), lambda x: x.v).alias("asked")).withColumn("asked", F.filter("asked", lambda v: v.isNotNull()))
+    every = adapters.table(spark, d, "orders").select(F.col("o_orderkey").alias("id")).join(asked, "id", "left").withColumn("asked", F.coalesce("asked", F.array().cast("array<string>")))
+    variants, problem = evaluate.variants_asked(F.col("asked"))
+    return every.select("id", F.array_join("asked", ",").alias("asked"), F.array_join(variants, ",").alias("variants"), problem.alias("problem"))
 
 
 @query("""SELECT event_type, count(*) AS n, quantile_disc(value, 0.5)::BIGINT AS p50, quantile_disc(value, 0.95)::BIGINT AS p95, quantile_disc(value, 1.0)::BIGINT AS worst

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import checkpoints, ship
 
 #: Query rows that are sent to all tasks at once; more are searched block by block, a pass over the corpus each.
 MOST_QUERIES = 8192
@@ -74,6 +74,13 @@ def search(queries: DataFrame, corpus: DataFrame, n: int, min_score: float = 0.2
     asked = queries.where("vector is not null").select(*ids, "vector")
     kinds = ", ".join(f"`{c}` {asked.schema[c].dataType.simpleString()}" for c in ids)
     alike = lambda held: [[r for r in held if len(r["vector"]) == w] for w in sorted({len(r["vector"]) for r in held})] or [held]
-    pairs = reduce(DataFrame.unionByName, [_found(part, ids, kinds, corpus, n, min_score, score_scale) for held in in_blocks(asked, ids, MOST_QUERIES) for part in alike(held)])
+    parts, blocks = [], 0
+    checkpoints(queries.sparkSession)
+    for held in in_blocks(asked, ids, MOST_QUERIES):
+        if (blocks := blocks + 1) == 2:  # from here on the driver holds one block
+            parts = [p.checkpoint() for p in parts]
+        found = [_found(part, ids, kinds, corpus, n, min_score, score_scale) for part in alike(held)]
+        parts += found if blocks == 1 else [p.checkpoint() for p in found]
+    pairs = reduce(DataFrame.unionByName, parts)
     best = Window.partitionBy(*ids).orderBy(F.desc("score"), "chunk_id")
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max(n, 0)).select(*ids, "chunk_id", "score", "rank")

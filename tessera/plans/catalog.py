@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import blocks, bm25, chunk, embed, evaluate, fusion, game, manifest, retrieve, segments, vector
+from ..operators import balls, blocks, bm25, chunk, embed, evaluate, fusion, game, manifest, retrieve, segments, vector
 from ..session import shared_dir
 from ..sources import adapters, pages
 
@@ -544,6 +544,14 @@ def vector_search(spark, d):
     return found.select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"WITH {_VEC} SELECT query_id, chunk_id, score, rank FROM vec")
+def vector_ball_search(spark, d):
+    """The same by way of balls, without those whose bounds can't reach the best."""
+    index = balls.build(_corpus(spark, d).vectors).write(_folder(spark))
+    found = index.search(_queries(spark, d), 20)
+    return found.select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"WITH {_ASKED} SELECT query_id, q_idx, query FROM asked")
 def multi_query_expand(spark, d):
     return retrieve.expand_queries(adapters.benchmark_queries(spark, d)).select("query_id", "q_idx", "query")

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import blocks, bm25
+from tessera.operators import balls, blocks, bm25, vector
 
 
 def corpus(spark, n, seed):
@@ -43,3 +44,28 @@ def test_block_search_skips(spark, tmp_path):
     strings = corpus(spark, 50, 1).withColumn("chunk_id", F.concat(F.lit("c"), F.col("chunk_id").cast("string")))
     plain = bm25.build_index(strings)
     assert sorted(map(tuple, blocks.build(plain, 4).search(queries, 5).select("query_id", "chunk_id", "rank").collect())) == sorted(map(tuple, plain.search(queries, 5).select("query_id", "chunk_id", "rank").collect()))
+
+
+@pytest.mark.parametrize("kind, n, most", [("groups", 5, 8192), ("flat", 7, 8192), ("groups", 3, 10), ("groups", 5000, 8192)])
+def test_ball_search_is_exact(spark, tmp_path, monkeypatch, kind, n, most):
+    monkeypatch.setattr(vector, "MOST_QUERIES", most)
+    g = np.random.default_rng(5)
+    middle = g.normal(size=(12, 6)) * (8 if kind == "groups" else 0)
+    rows = [(f"c{i}", [float(x) for x in middle[i % 12] + g.normal(size=6)]) for i in range(700)]
+    rows += [(f"e{i}", rows[i][1]) for i in range(20)] + [("none", None), ("short", [1.0]), ("zero", [0.0] * 6)]
+    corpus = spark.createDataFrame(rows, "chunk_id string, vector array<double>").repartition(3)
+    queries = spark.createDataFrame([(i, rows[i * 9][1]) for i in range(25)] + [(90, None), (91, [1.0]), (92, [0.0] * 6)], "query_id int, vector array<double>")
+    index = balls.build(corpus).write(f"file://{tmp_path}/balls")
+    want = [r for r in vector.search(queries, corpus, n, -1e9).collect() if r["query_id"] != 91]  # no ball has its length
+    got = index.search(queries, n, -1e9).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    read, every = balls.pairs_read(index, queries, n)
+    assert read < 0.4 * every if (kind, n) == ("groups", 5) else read <= every
+    assert sorted(map(tuple, index.search(queries, n, 0.6, "unit").collect())) == sorted(tuple(r) for r in vector.search(queries, corpus, n, 0.6, "unit").collect() if r["query_id"] != 91)
+
+
+def test_ball_search_of_nothing(spark):
+    none = spark.createDataFrame([], "chunk_id long, vector array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 2.0])], "query_id int, vector array<double>")
+    assert balls.build(none).search(queries, 3).count() == 0
+    assert balls.build(queries.withColumnRenamed("query_id", "chunk_id")).search(queries.limit(0), 3).count() == 0

@@ -13,6 +13,7 @@ from ..functions import rules, text
 from ..operators import balls, blocks, bm25, chunk, embed, evaluate, fusion, game, manifest, retrieve, segments, vector
 from ..session import shared_dir
 from ..sources import adapters, pages
+from ..streaming import ledger
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -216,6 +217,24 @@ def salary_ledger(spark, d):
     return game.salary_ledger(user, played)
 
 
+@query(f"""WITH {_USER}, {_PLAYED}, s AS (SELECT userId, list(score ORDER BY createTime, l_orderkey, l_linenumber) AS log FROM a GROUP BY userId)
+SELECT id AS userId, CASE WHEN log IS NULL THEN salary ELSE list_reduce(list_prepend(salary, log), lambda p, s: greatest(0, p + {_CHANGE.format(s='s', p='p')})) END::INT AS salary, coalesce(len(log), 0)::BIGINT AS answers FROM u LEFT JOIN s ON id = userId""")
+def ledger_stream(spark, d):
+    """The salaries that a stream of all answers leaves, in batches that aren't in the order of time."""
+    user, _, played = _game(spark, d)
+    folder = _folder(spark)
+    answers = adapters.active(played).select("userId", F.col("createTime").cast("timestamp").alias("at"), (F.col("ord.l_orderkey") * 8 + F.col("ord.l_linenumber")).alias("ord"), "score")
+    answers.repartition(3, "ord").write.parquet(f"{folder}/in")
+    last = answers.agg(F.lit(-1).cast("long").alias("userId"), (F.max("at") + F.expr("INTERVAL 36501 DAYS")).alias("at"), F.lit(0).cast("long").alias("ord"), F.lit(0).alias("score"))
+    people = user.select(F.col("id").alias("userId"), "salary")
+    for turn in range(2):
+        if turn:
+            last.coalesce(1).write.mode("append").parquet(f"{folder}/in")  # time goes on, so that no answer waits any more
+        stream = spark.readStream.schema(answers.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        ledger.follow(stream, people, f"{folder}/table", f"{folder}/checkpoint", "36500 days").awaitTermination()
+    return ledger.salaries(spark, f"{folder}/table").where("userId >= 0")
+
+
 @query(f"""WITH {_LEVEL}, {_PLAYED} SELECT levelId, arg_min(levelName, l.id) AS levelName, count(*) AS answers FROM a LEFT JOIN l ON levelId = l.id GROUP BY levelId""")
 def batch_lookup(spark, d):
     _, level, played = _game(spark, d)

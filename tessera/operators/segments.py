@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import json
 import time
-import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 
@@ -29,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import checkpoints
+from ..sources.versions import Conflict, Versions
 from . import bm25, chunk, embed
 from . import manifest as M
 from . import retrieve as R
@@ -47,10 +47,6 @@ _TABLES = {
 }
 
 
-class Conflict(RuntimeError):
-    """Another writer has published the version that this one was about to."""
-
-
 @dataclass(frozen=True)
 class Segment:
     number: int
@@ -70,8 +66,7 @@ class Version:
         return json.dumps(asdict(self))
 
     @staticmethod
-    def of(text: str) -> Version:
-        d = json.loads(text)
+    def of(d: dict) -> Version:
         return Version(d["number"], M.Header(**d["header"]), tuple(Segment(**s) for s in d["segments"]), d["texts"], d["tokens"])
 
 
@@ -93,6 +88,7 @@ class SegmentStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self._versions = Versions(spark, f"{self.path}/versions")
 
     # ------------------------------------------------------------ files
 
@@ -107,15 +103,14 @@ class SegmentStore:
         return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
 
     def versions(self) -> list[int]:
-        return [int(n[1:-5]) for n in self._names("versions") if n.startswith("v") and n.endswith(".json")]
+        return self._versions.numbers()
 
     def read_version(self, number: int) -> Version:
-        lines = self.spark.read.text(f"{self.path}/versions/v{number:08d}.json", wholetext=True).first()
-        return Version.of(lines[0])
+        return Version.of(self._versions.read(number))
 
     def current(self) -> Version:
-        found = self.versions()
-        return self.read_version(found[-1]) if found else Version()
+        found = self._versions.last()
+        return Version.of(found) if found else Version()
 
     def version(self) -> int:
         return self.current().number
@@ -125,21 +120,7 @@ class SegmentStore:
 
     def claim(self, version: Version) -> None:
         """Publishes a version, or raises Conflict if its number is taken."""
-        fs, target = self._fs(), self._p(f"versions/v{version.number:08d}.json")
-        fs.mkdirs(self._p("versions"))
-        draft = self._p(f"versions/draft-{uuid.uuid4().hex}")
-        out = fs.create(draft, True)
-        out.write(bytearray(version.json().encode()))
-        out.close()
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self._conf)
-        never = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        try:
-            context.rename(draft, target, never)
-        except Exception as e:
-            fs.delete(draft, False)
-            if "exist" in str(e).lower():
-                raise Conflict(f"version {version.number} is taken") from e
-            raise
+        self._versions.claim(version.number, version.json())
 
     def new_segment(self) -> int:
         """A number that no segment has or had; its folder is made by the call, which one writer wins."""
@@ -168,7 +149,7 @@ class SegmentStore:
         if not known:
             return []
         for n in known[:-keep]:
-            self._fs().delete(self._p(f"versions/v{n:08d}.json"), False)
+            self._versions.drop(n)
         used = {s.number for n in known[-keep:] for s in self.read_version(n).segments}
         fs, limit, gone = self._fs(), (time.time() - after) * 1000, []
         for s in fs.listStatus(self._p("segments")):

@@ -6,13 +6,13 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..operators import balls, blocks, bm25, chunk, embed, evaluate, fusion, game, manifest, retrieve, segments, vector
 from ..session import shared_dir
-from ..sources import adapters, pages
+from ..sources import adapters, keyed, pages
 from ..streaming import ledger
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -438,6 +438,31 @@ def insert_rows(spark, d):
     return then.agg(F.lit(n).alias("first_added"), F.count(F.lit(1)).alias("then_added"), (F.min("id") > last).alias("keys_follow")).join(every).select("first_added", "then_added", "distinct_keys", "keys_follow")
 
 
+@query("""WITH r AS (SELECT c_name AS username, greatest(0, floor(c_acctbal)::INT) AS salary, 'customer' AS writer FROM customer UNION ALL SELECT s_name, greatest(0, floor(s_acctbal)::INT), 'supplier' FROM supplier)
+SELECT username, CASE WHEN salary % 3 = 0 THEN salary + 7 WHEN salary % 3 = 1 THEN -9 ELSE salary END AS salary, writer, CASE WHEN writer = 'customer' THEN 1 ELSE 1 + (SELECT count(*) FROM customer) END AS first_key,
+  CASE WHEN writer = 'customer' THEN 0 ELSE (SELECT count(*) FROM supplier) END + (SELECT count(*) FROM customer) AS last_key, count(*) OVER (PARTITION BY writer) AS keys FROM r""")
+def keyed_writers(spark, d):
+    """Two writers that insert at once, of which one loses its version and takes the next, and two updates of what they wrote."""
+    path, schema = _folder(spark), "username string, salary int, writer string"
+    first, second = keyed.KeyedTable(spark, path, schema), keyed.KeyedTable(spark, path, schema)
+    rows = lambda t, p: adapters.table(spark, d, t).select(F.col(f"{p}_name").alias("username"), F.greatest(F.lit(0), F.floor(f"{p}_acctbal").cast("int")).alias("salary"), F.lit(t).alias("writer"))
+    claim = second.versions.claim
+
+    def late(number, content):
+        second.versions.claim = claim
+        first.insert(rows("customer", "c"))  # while the other is about to publish
+        claim(number, content)
+
+    second.versions.claim = late
+    second.insert(rows("supplier", "s"))
+    held = first.read()
+    first.update(held.where("salary % 3 < 2").select("id", F.lit(-1).alias("salary")))
+    second.update(held.where("salary % 3 = 0").select("id", (F.col("salary") + 7).alias("salary")))
+    first.update(held.where("salary % 3 = 1").select("id", F.lit(None).cast("int").alias("salary")))
+    own = Window.partitionBy("writer")
+    return first.read().dropDuplicates(["id"]).select("username", F.coalesce("salary", F.lit(-9)).alias("salary"), "writer", F.min("id").over(own).alias("first_key"), F.max("id").over(own).alias("last_key"), F.count("id").over(own).alias("keys"))
+
+
 @query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 1 THEN 'http://x/' || c_custkey WHEN c_custkey % 4 <> 1 THEN c_name END AS source FROM customer""")
 def segment_source(spark, d):
     k = F.col("c_custkey")

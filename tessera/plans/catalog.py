@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import balls, blocks, bm25, chunk, embed, evaluate, fusion, game, manifest, retrieve, segments, vector
+from ..operators import balls, blocks, bm25, chunk, embed, evaluate, fusion, game, manifest, ranks, retrieve, segments, vector
 from ..session import shared_dir
 from ..sources import adapters, keyed, pages
 from ..streaming import ledger
@@ -979,6 +979,15 @@ def latency_percentiles(spark, d):
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), *[rules.nearest_rank(F.col("value"), p).alias(n) for p, n in ((0.5, "p50"), (0.95, "p95"), (1.0, "worst"))])
 
 
+@query("""SELECT event_type, count(*) AS n, quantile_disc(value, 0.5)::BIGINT AS p50, quantile_disc(value, 0.95)::BIGINT AS p95, quantile_disc(value, 1.0)::BIGINT AS worst
+FROM (SELECT event_type, floor(value * 1000)::BIGINT AS value FROM events) GROUP BY event_type
+UNION ALL SELECT 'all', count(*), quantile_disc(value, 0.5), quantile_disc(value, 0.95), quantile_disc(value, 1.0) FROM (SELECT floor(value * 1000)::BIGINT AS value FROM events)""")
+def latency_ranks(spark, d):
+    """Percentiles without a task that holds a group, of each type and of all events as one group."""
+    e = adapters.table(spark, d, "events").select("event_type", F.floor(F.col("value") * 1000).alias("value"))
+    return ranks.nearest_ranks(e.unionByName(e.withColumn("event_type", F.lit("all"))), "event_type", "value", {"p50": 0.5, "p95": 0.95, "worst": 1.0})
+
+
 @query("""WITH r AS (SELECT strftime(ts, '%Y%m%d-%H') AS run_id, user_id, value FROM events) SELECT run_id, count(*) AS n, round(sum(value), 4) AS total FROM r WHERE run_id = (SELECT max(run_id) FROM r WHERE run_id < '20240115-00') GROUP BY run_id""")
 def previous_run(spark, d):
     e = adapters.table(spark, d, "events").select(F.date_format("ts", "yyyyMMdd-HH").alias("run_id"), "user_id", "value")

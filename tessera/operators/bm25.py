@@ -48,8 +48,8 @@ class Bm25Index:
         return search(self, queries, n, id_cols)
 
     def write(self, path: str) -> None:
-        """Postings sorted by term, so a search reads only row groups of its terms."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        """Postings sorted by term, so a search reads only row groups of its terms; a frequent term's are spread over files."""
+        self.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         self.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
 

@@ -118,7 +118,7 @@ def parse_manifest(lines: DataFrame, line: str = "value") -> DataFrame:
 def parse_header(lines: DataFrame, line: str = "value") -> DataFrame:
     """One row (collection, chunk, overlap) of the 'name=value' lines; numbers that aren't are 0."""
     def named(name: str):
-        return F.max(F.when(F.startswith(F.col(line), F.lit(f"{name}=")), F.substring(F.col(line), len(name) + 2, 1 << 20)))
+        return F.max(F.when(F.startswith(F.col(line), F.lit(f"{name}=")), F.substring(F.col(line), len(name) + 2, (1 << 31) - 1)))
 
     raw = lines.agg(named("collection").alias("collection"), named("chunk").alias("c"), named("overlap").alias("o"))
     return raw.select("collection", F.coalesce(F.expr("try_cast(c AS INT)"), F.lit(0)).alias("chunk"), F.coalesce(F.expr("try_cast(o AS INT)"), F.lit(0)).alias("overlap"))

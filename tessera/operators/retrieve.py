@@ -111,10 +111,7 @@ def _tolerant(what: str, strict: bool, run: Callable[[], DataFrame], eager: bool
     """A recall that fails is an error if strict, else it is left out: as its plan is made, or (eager) as it runs."""
     try:
         out = run()
-        if eager:
-            out = out.persist()
-            out.count()
-        return out
+        return out.checkpoint() if eager else out
     except Exception:
         if strict:
             raise
@@ -241,7 +238,8 @@ def retrieve_context(queries: DataFrame, corpus: Corpus, options: RetrieveOption
     known = queries.sparkSession.createDataFrame(cache.items(), "query string, context string")
     hits = queries.join(F.broadcast(known), "query").select("query_id", "context", F.lit(True).alias("cached"))  # max_entries at most
     missed = queries.join(F.broadcast(known), "query", "left_anti")
-    fresh = answer(missed).persist()
+    checkpoints(queries.sparkSession)
+    fresh = answer(missed).checkpoint()
     for row in fresh.join(missed.select("query_id", "query"), "query_id").select("query", "context").limit(cache.max_entries).toLocalIterator():
         cache.put(row["query"], row["context"])
     return hits.unionByName(fresh)

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SHARD_ROWS = 65_536
+#: Bytes of a shard's vectors, on average: they are one cell.
+SHARD_BYTES = 64 << 20
 #: Shards at least, so that small tables use several workers.
 SHARDS = 8
 LINKS = 16
@@ -115,7 +117,8 @@ def _choose(order: np.ndarray, sims: np.ndarray, unit: np.ndarray, limit: int) -
         if not taken or among[i, taken].max() < sims[i]:
             taken.append(i)
     if len(taken) < limit:
-        rest = [i for i in range(len(order)) if i not in set(taken)]
+        chosen = set(taken)
+        rest = [i for i in range(len(order)) if i not in chosen]
         taken += rest[: limit - len(taken)]
     return order[taken].tolist()
 
@@ -214,7 +217,7 @@ def _search(k: int, links: int, reach: int):
 
 
 def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, links: int = LINKS,
-            reach: int = REACH, shard_rows: int = SHARD_ROWS, least_shards: int = SHARDS, block: int = BLOCK) -> DataFrame:
+            reach: int = REACH, shard_rows: int = SHARD_ROWS, shard_bytes: int = SHARD_BYTES, least_shards: int = SHARDS, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, id, score): for each query row its k nearest rows of df other than itself."""
     spark = df.sparkSession
     C.ship(spark)
@@ -228,7 +231,8 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_co
     place = Window.partitionBy("v").orderBy("id")
     smallest = clean(df).withColumn("n", F.dense_rank().over(place)).where(F.col("n") <= k + 1)  # places of ids, not of rows
     distinct = C.materialise(smallest.groupBy("v", "dim").agg(F.sort_array(F.collect_set("id")).alias("ids")))
-    shards = max(least_shards, math.ceil(distinct.count() / shard_rows))
+    count, components = distinct.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("dim").cast("long")), F.lit(0))).first()
+    shards = max(least_shards, math.ceil(count / shard_rows), math.ceil(8 * components / shard_bytes))
     dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
     graphs = C.materialise(dealt.groupBy("dim", "shard").applyInArrow(_graph(links), _GRAPH))
     asked = clean(queries).distinct()

@@ -276,3 +276,16 @@ def test_readme_names_no_stage_twice():
 @pytest.mark.parametrize("html_text", ["<p>a", "<div><p>x</div>y", "<table><tr><td>1<td>2</table>", "<a href='x>y'>z</a>"])
 def test_broken_markup_has_blocks(html_text):
     assert html.blocks(html_text)
+
+
+def test_wide_vectors_make_more_shards(spark):
+    """Shards are bounded by bytes, and what is found doesn't suffer."""
+    from tessera.llm import ann
+
+    g = np.random.default_rng(8)
+    x = g.normal(size=(40, 4096))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.where("vec_id % 20 = 0"), k=5, shard_bytes=100_000, least_shards=1)
+    sims = x @ x.T
+    want = {(q, int(i)) for q in (0, 20) for i in [j for j in np.argsort(-sims[q]) if j != q][:5]}
+    assert {(r["query_id"], r["id"]) for r in got.collect()} == want

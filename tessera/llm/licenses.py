@@ -1,7 +1,13 @@
 """Licence scans: Dice coefficient over word bigrams against templates.
 
 Templates are short notices, short licences, and the full texts in `licence_texts` (public licences as published).
-Units of a text are the whole text, each line, and each block of lines between blank ones.  A unit is
+Units of a text are the whole text, each line, each block of lines between blank ones, and stretches: a line
+is a template's if half of its bigrams at least (with that of the last word before it) are among the template's,
+and a stretch is a longest run of such lines, once without and once with up to FOREIGN_LINES other lines in a
+row between them (lines without words don't count).  So a licence of several paragraphs, before, behind or amid other
+text, is a unit of its own, while there are no more stretches than lines and templates.  A stretch whose bigrams
+of its template are fewer than the coefficient needs is left out, and a stretch gives way to a longer match of
+another template around it (a full licence that ends in its own notice is the licence).  A unit is
 normalised to its lower-case ASCII letter-and-digit words.  With a and b distinct bigrams of unit and template
 and i in common, the coefficient is 2i/(a+b); for it to reach t, a must lie within [b t/(2-t), b (2-t)/t],
 which prunes templates by size before any set is built.  Bigrams are also hashed over a whole batch at
@@ -26,6 +32,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 THRESHOLD = 0.8
+#: Lines in a row within a stretch that aren't its template's.
+FOREIGN_LINES = 2
 
 _FOLDER = os.path.join(os.path.dirname(os.path.abspath(__file__)), "licence_texts")
 _BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
@@ -120,8 +128,9 @@ class Templates:
         self.threshold = threshold
         self.all = sorted(((k, bigrams(v.encode())) for k, v in notices.items()), key=lambda x: (len(x[1]), x[0]))
         self.all = [(k, b, *size_bounds(len(b), threshold)) for k, b in self.all if b]
-        self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_hashes(v.lower().encode())[0] for v in notices.values())]))
-        self.most = max((hi for *_, hi in self.all), default=0)
+        own = [np.unique(_hashes(notices[k].encode().translate(_OUT))[0]) for k, *_ in self.all]
+        self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *own]))
+        self.holds = [np.isin(self.known, x) for x in own]  # of each template
 
     def best(self, unit: bytes) -> tuple[str, float] | None:
         """The template with the largest coefficient of the threshold at least; ties to the first name."""
@@ -133,6 +142,26 @@ class Templates:
                     found = (name, dice)
         return found
 
+    def stretches(self, line: np.ndarray, place: np.ndarray, hit: np.ndarray) -> set[tuple[int, int]]:
+        """(first line, lines) of the runs of a template's lines; of each bigram its line, its place in `known`, whether it is that one."""
+        out = set()
+        lines, index, size = np.unique(line, return_inverse=True, return_counts=True)
+        index, place = index[hit], place[hit]
+        for (_, _, low, _), holds in zip(self.all, self.holds):
+            shared = holds[place]
+            if np.count_nonzero(shared) < low:
+                continue
+            shared = np.bincount(index[shared], minlength=len(lines))
+            mine = np.flatnonzero(2 * shared >= size)
+            if not len(mine):
+                continue
+            for foreign in (0, FOREIGN_LINES):
+                at = np.flatnonzero(np.r_[True, np.diff(mine) > foreign + 1])
+                enough = np.add.reduceat(shared[mine], at) >= low
+                first, last = lines[mine[at]], lines[mine[np.append(at[1:], len(mine)) - 1]]
+                out |= set(zip(first[enough].tolist(), (last - first + 1)[enough].tolist()))
+        return out
+
     def scan(self, text: bytes) -> dict[tuple[int, int], tuple[str, float]]:
         """Matches by (first line, lines), lines from 0."""
         out: dict[tuple[int, int], tuple[str, float]] = {}
@@ -140,20 +169,31 @@ class Templates:
         if not len(hashes) or not len(self.known):
             return out
         place = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        hit = at[self.known[place] == hashes]
-        if not len(hit):
+        hit = self.known[place] == hashes
+        if not hit.any():
             return out
         lines = text.split(b"\n")
         starts = np.cumsum([0, *(len(x) + 1 for x in lines[:-1])])
-        touched = np.unique(np.searchsorted(starts, hit, "right") - 1).tolist()
+        line = np.searchsorted(starts, at, "right") - 1
+        touched = np.unique(line[hit]).tolist()
         blank = np.array([not x.strip() for x in lines])
         first = np.maximum.accumulate(np.where(blank, np.arange(len(lines)) + 1, 0))  # of a line's block
         last = np.minimum.accumulate(np.where(blank, np.arange(len(lines)), len(lines))[::-1])[::-1]
         units = {(i, 1) for i in touched} | {(0, len(lines))} | {(a, b - a) for a, b in zip(first[touched].tolist(), last[touched].tolist())}
-        for a, n in units:
+        stretches = self.stretches(line, place, hit) - units
+        for a, n in units | stretches:
             unit = b"\n".join(lines[a : a + n])
             if len(_WORD.findall(unit.translate(_OUT))) > 1 and (found := self.best(unit)):
                 out[a, n] = found
+        if stretches:
+            inner, ends = [], {}  # how far the matches seen so far reach, by template
+            for a, n in sorted(out, key=lambda x: (x[0], -x[1])):
+                name = out[a, n][0]
+                if (a, n) in stretches and any(end >= a + n for k, end in ends.items() if k != name):
+                    inner.append((a, n))
+                ends[name] = max(ends.get(name, 0), a + n)
+            for x in inner:
+                del out[x]
         return out
 
 

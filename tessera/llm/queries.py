@@ -105,17 +105,32 @@ templates AS (SELECT DISTINCT name, w[j] || ' ' || w[j + 1] AS gram FROM said, u
 sizes AS (SELECT name, count(*) AS b FROM templates GROUP BY name),
 lines AS (SELECT doc_id, i - 1 AS i, l[i] AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS r(i)),
 marked AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS full_line, sum(CASE WHEN regexp_matches(line, '[^\x20\x09-\x0D]') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS blanks FROM lines),
-units AS (
+said_words AS (SELECT doc_id, i, regexp_extract_all(line, '[A-Za-z0-9]+') AS w FROM lines),
+spoken AS (SELECT doc_id, i, lag(lower(w[j])) OVER (PARTITION BY doc_id ORDER BY i, j) || ' ' || lower(w[j]) AS gram FROM said_words, unnest(range(1, len(w) + 1)) AS r(j)),
+line_sizes AS (SELECT doc_id, i, count(*) AS grams, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM spoken WHERE gram IS NOT NULL GROUP BY doc_id, i),
+owned AS (SELECT s.doc_id, s.i, t.name, count(*) AS shared FROM spoken s JOIN templates t ON s.gram = t.gram GROUP BY ALL),
+mine AS (SELECT o.*, l.pos FROM owned o JOIN line_sizes l ON o.doc_id = l.doc_id AND o.i = l.i WHERE 2 * o.shared >= l.grams),
+steps AS (SELECT m.*, f, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id, name, f ORDER BY pos) <= f + 1 THEN 0 ELSE 1 END AS step FROM mine m, (VALUES (0), ({licenses.FOREIGN_LINES})) x(f)),
+runs AS (SELECT *, sum(step) OVER (PARTITION BY doc_id, name, f ORDER BY pos) AS run FROM steps),
+stretches AS (
+  SELECT DISTINCT doc_id, a, n FROM (SELECT doc_id, name, min(i) AS a, max(i) - min(i) + 1 AS n, sum(shared) AS shared FROM runs GROUP BY doc_id, name, f, run) r
+  JOIN sizes s ON r.name = s.name WHERE r.shared >= s.b::DOUBLE * {t}::DOUBLE / {2 - t}::DOUBLE),
+plain AS (
   SELECT doc_id, i AS a, 1 AS n, line AS unit FROM lines
   UNION SELECT doc_id, min(i), count(*), string_agg(line, chr(10) ORDER BY i) FROM marked WHERE full_line GROUP BY doc_id, blanks
   UNION SELECT doc_id, 0, count(*), string_agg(line, chr(10) ORDER BY i) FROM lines GROUP BY doc_id),
+units AS (
+  SELECT doc_id, a, n, unit FROM plain
+  UNION SELECT s.doc_id, s.a, s.n, string_agg(l.line, chr(10) ORDER BY l.i) FROM stretches s JOIN lines l ON s.doc_id = l.doc_id AND l.i BETWEEN s.a AND s.a + s.n - 1 GROUP BY s.doc_id, s.a, s.n),
 words AS (SELECT doc_id, a, n, list_transform(regexp_extract_all(unit, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM units),
 grams AS (SELECT DISTINCT doc_id, a, n, w[j] || ' ' || w[j + 1] AS gram FROM words, unnest(range(1, len(w))) AS r(j)),
 counted AS (SELECT doc_id, a, n, count(*) AS own FROM grams GROUP BY ALL),
 common AS (SELECT g.doc_id, g.a, g.n, t.name, count(*) AS shared FROM grams g JOIN templates t ON g.gram = t.gram GROUP BY ALL),
 scored AS (SELECT c.doc_id, c.a, c.n, c.name, (2 * c.shared)::DOUBLE / (k.own + s.b) AS dice FROM common c JOIN counted k ON c.doc_id = k.doc_id AND c.a = k.a AND c.n = k.n JOIN sizes s ON c.name = s.name),
 kept AS (SELECT * FROM scored WHERE dice >= {t}),
-unit_best AS (SELECT DISTINCT ON (doc_id, a, n) * FROM kept ORDER BY doc_id, a, n, dice DESC, name),
+matches AS (SELECT DISTINCT ON (doc_id, a, n) * FROM kept ORDER BY doc_id, a, n, dice DESC, name),
+inner_matches AS (SELECT DISTINCT u.doc_id, u.a, u.n FROM matches u JOIN matches v ON u.doc_id = v.doc_id AND v.a <= u.a AND v.a + v.n >= u.a + u.n AND u.name <> v.name ANTI JOIN plain p ON u.doc_id = p.doc_id AND u.a = p.a AND u.n = p.n),
+unit_best AS (SELECT m.* FROM matches m ANTI JOIN inner_matches x ON m.doc_id = x.doc_id AND m.a = x.a AND m.n = x.n),
 best AS (SELECT DISTINCT ON (doc_id) doc_id, name, dice FROM unit_best ORDER BY doc_id, dice DESC, name),
 found AS (SELECT doc_id, count(*) FILTER (WHERE n = 1) AS matched_lines FROM unit_best GROUP BY doc_id)
 SELECT d.doc_id, b.name AS license, b.dice, coalesce(f.matched_lines, 0)::BIGINT AS matched_lines

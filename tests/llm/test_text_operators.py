@@ -445,6 +445,64 @@ def test_licences(spark, empty, odd):
     assert licenses.scan_licenses(empty).count() == 0 and licenses.scan_licenses(odd).count() == odd.count()
 
 
+CODE = [f"def function_{i}(a, b):  # of the software" if i % 5 == 0 else f"    x{i} = a[{i}] + b[{i % 7}] if ready({i}) else None" if i % 5 < 4 else "" for i in range(200)]
+
+
+@pytest.mark.parametrize("name", ["bsd-3-clause-text", "mit-full", "apache-2.0-text", "gpl-3.0-header", "lgpl-3.0-text"])
+@pytest.mark.parametrize("width", [40, 100])
+def test_licences_of_several_paragraphs_amid_code(name, width):
+    """Before, behind and amid other lines, in paragraphs and with a line changed."""
+    import textwrap
+
+    full = licenses.templates()[name]
+    lines = []
+    for paragraph in full.split("\n\n") if "\n\n" in full else full.replace(": ", ":\n\n").replace(". ", ".\n\n").split("\n\n"):
+        lines += [*textwrap.wrap(paragraph, width), ""]
+    lines = lines[:-1]
+    t = licenses.Templates(licenses.templates(), licenses.THRESHOLD)
+    changed = [*lines[: len(lines) // 2], "an entirely different sentence stands here", *lines[len(lines) // 2 :]]
+    for before, licence, after in ([], lines, CODE), (CODE, lines, []), (CODE, lines, CODE), (CODE, changed, CODE):
+        found = t.scan("\n".join([*before, *licence, *after]).encode())
+        (at, n), (said, dice) = min(found.items(), key=lambda x: (-x[1][1], x[1][0]))
+        assert said == name and dice > 0.9
+        assert abs(at - len(before)) <= 3 and abs(at + n - len(before) - len(licence)) <= 3  # a line beside it may share a bigram
+    assert not t.scan("\n".join(CODE * 20).encode())
+
+
+def test_stretches_are_runs_of_a_templates_lines():
+    t = licenses.Templates({"n": "one two three four five six seven eight nine ten", "m": "red green blue"}, 0.8)
+    text = [b"word", b"one two three", b"", b"four five", b"-", b"other words here", b"six seven", b"eight nine ten", b"and so on", b"to the", b"very end", b"red green", b"blue"]
+    assert t.scan(b"\n".join(text)) == {(11, 2): ("m", 1.0)}  # too many other bigrams for n
+    text[5] = b"other"
+    assert t.scan(b"\n".join(text)) == {(1, 7): ("n", 2 * 8 / (10 + 9)), (11, 2): ("m", 1.0)}
+    assert t.scan(b"\n".join(text[1:4] + text[6:8])) == {(0, 5): ("n", 1.0), (2, 3): ("n", 0.8)}
+    assert licenses.Templates({}, 0.8).scan(b"one two") == {} and t.scan(b"") == {}
+    # a stretch within a longer match of another template gives way to it, a line doesn't
+    t = licenses.Templates({"all": "a b c d e f g h i j k l", "part": "d e f g h"}, 0.8)
+    assert t.scan(b"x\na b c\n\nd e f\n\ng h\n\ni j k l\ny") == {(1, 7): ("all", 1.0)}
+    assert t.scan(b"x\na b c\n\nd e f g h\n\ni j k l\ny") == {(1, 5): ("all", 1.0), (3, 1): ("part", 1.0)}
+
+
+def test_licence_twin_on_paragraphs(spark, tmp_path):
+    """The registered query against its SQL where licences stand amid other lines."""
+    import duckdb
+
+    from tessera.llm import queries
+
+    full = licenses.templates()
+    rows = []
+    for i, k in enumerate(["bsd-3-clause-text", "bsd-2-clause-text", "mit-full", "apache-2.0-text", "cc0-1.0-text", "mit-text", "isc"]):
+        parts = full[k].replace(". ", ".\n\n").replace(", ", ",\n")
+        rows += [(3 * i, f"{parts}\n" + "\n".join(CODE)), (3 * i + 1, "\n".join(CODE) + f"\n{parts}"), (3 * i + 2, "\n".join([*CODE, parts, "other things", *CODE, full["mit"]]))]
+    rows += [(100, None), (101, ""), (102, "\n\n \n"), (103, "of the\nsoftware"), (104, "Ä\nB")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, queries.op1_license_scan(spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == sorted(con.execute(queries.ORACLES["op1_license_scan"]).fetchall())
+    assert sum(r[1] is not None for r in got) == 21
+
+
 def test_size_bounds_lose_nothing():
     t = 0.8
     for b in range(1, 40):

@@ -32,6 +32,9 @@ PACK_BYTES = 8 << 20
 #: Rows in a pack at most, on average.
 PACK_ROWS = 20_000
 
+#: Tasks over packs or hash ranges at most; beyond, a task works on several, one after the other.
+MOST_TASKS = 20_000
+
 #: Rows that pass between Spark and a worker at once; whole texts make the default's batches too large.
 BATCH_ROWS = 2000
 
@@ -139,6 +142,11 @@ def pack_count(df: DataFrame, text: str, pack_bytes: int = PACK_BYTES) -> int:
     return max(1, math.ceil((size or 0) / pack_bytes), math.ceil(rows / PACK_ROWS))
 
 
+def task_count(packs: int) -> int:
+    """Partitions for a shuffle by pack or hash range: a task's share doesn't grow with the input up to MOST_TASKS."""
+    return min(packs, MOST_TASKS)
+
+
 def pack_of(key: Column, packs: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(packs)).cast("int")
 

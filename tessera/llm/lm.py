@@ -16,7 +16,8 @@ before the first), p(w|h) = (c(h,w) + K p(w)) / (c(h) + K), p(w) = (c(w) + 1)/(N
 Words are told apart by 64-bit hashes (common.word_hashes): of V distinct words V**2 / 2**65 pairs share one.
 
 Nulls: a null text is empty (its only token is the end); a null id trains.  Packs take rows by id and text, so rows that share an id are
-spread; repeated rows all count.  Long texts are read whole, in a pack of their own size.  Other columns aren't read.  Empty tables
+spread.  Rows equal in both would all lie in one pack, so where they are large together they travel as rows with a count
+(weighed), which are scored once and given back as often as they came; repeated rows all count.  Long texts are read whole, in a pack of their own size.  Other columns aren't read.  Empty tables
 give no rows.
 """
 
@@ -39,6 +40,10 @@ LEVELS = np.array([1, 2, 3, *[x << i for i in range(1, 45) for x in (2, 3)]], np
 #: What a level stands for, level 0 being none.
 VALUES = np.concatenate([[0.0], np.sqrt(LEVELS[:-1] * (LEVELS[1:] - 1.0)), [float(LEVELS[-1])]])
 _CHUNK = 1 << 18
+#: Groups of equal rows that travel as counts, at most; their hashes are broadcast, 8 bytes each.
+HOT_ROWS = 1_000_000
+#: Equal rows that one row stands for, at most.
+COPIES_AT_ONCE = 10_000
 _END = np.uint64(0)
 _ONE = np.uint64(0xA24BAED4963EE407)
 _TWO = np.uint64(0x9FB21C651E98DF25)
@@ -119,19 +124,19 @@ def _large(blob: bytes, size: int) -> np.ndarray:
 
 _SENT = "bucket int, pack int, words binary, word_counts binary, pairs binary, pair_counts binary"
 _TOLD = "pack int, bucket int, counts binary, word_levels binary, pair_levels binary, distinct long, total long"
-_SCORES = "id long, held_out boolean, n_tokens long, n_known long, base_sum double, score double"
+_SCORES = "id long, held_out boolean, n_tokens long, n_known long, base_sum double, score double, copies long"
 
 
 def _send(ranges: int):
     def run(table: pa.Table) -> pa.Table:
         number = table["_pack"][0].as_py()
-        items, train = C.texts(table["_text"]), C.flat(table["_train"]).to_numpy(zero_copy_only=False).astype(bool)
+        items, train = C.texts(table["_text"]), C.flat(table["_train"]).to_numpy(zero_copy_only=False) * C.longs(table["_n"], 1)
         words, pairs = [], []
         for chunk in C.pieces(items, _CHUNK, 1 << 40):
             tokens, count = tokens_of([x for _, _, x in chunk])
             used = np.repeat(train[[i for i, _, _ in chunk]], count)
-            words.append(_count(tokens, used.astype(np.int64)))
-            pairs.append(_count(pair_keys(tokens), used.astype(np.int64)))
+            words.append(_count(tokens, used))
+            pairs.append(_count(pair_keys(tokens), used))
         words, pairs = (_count(*(np.concatenate(x) for x in zip(*part))) for part in (words, pairs))
         # the end token's hash is 0, so ranges are taken of the words' keys, which are spread
         by = word_keys(words[0])
@@ -171,8 +176,8 @@ def _sum(bits_per_event: int):
     return run
 
 
-_NAMES = ("id", "held_out", "n_tokens", "n_known", "base_sum", "score")
-_KINDS = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+_NAMES = ("id", "held_out", "n_tokens", "n_known", "base_sum", "score", "copies")
+_KINDS = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
 
 
 def _score(total: int, vocabulary: int, weight: float):
@@ -197,22 +202,48 @@ def _score(total: int, vocabulary: int, weight: float):
         cols = (count, by_text((exact > 0).astype(np.int64)[at]), by_text((np.log10(exact + 1.0) - np.log10(total + vocabulary + 1.0))[at]),
                 by_text(np.log10((pair + weight * single[at]) / (first + weight))))
         held = pa.array(~C.flat(table["_train"]).to_numpy(zero_copy_only=False).astype(bool))
-        return pa.table([table["_id"].combine_chunks(), held, *[pa.array(c, k) for c, k in zip(cols, _KINDS[2:])]], names=list(_NAMES))
+        return pa.table([table["_id"].combine_chunks(), held, *[pa.array(c, k) for c, k in zip(cols, _KINDS[2:])], table["_n"].combine_chunks()], names=list(_NAMES))
 
     return run
 
 
+def weighed(rows: DataFrame, pack_bytes: int, total_bytes: int, copies_at_once: int = COPIES_AT_ONCE) -> DataFrame:
+    """rows (_id, _text, _train) with _n, how many equal rows one stands for, and _part, which tells such rows apart.
+
+    Groups of equal rows that fill an eighth of a pack and a HOT_ROWS-th of all bytes become rows with counts, summed before the
+    shuffle; the others have _n 1.
+    """
+    key = F.xxhash64("_id", "_text")
+    size = F.coalesce(F.octet_length("_text"), F.lit(0)) + 8
+    groups = rows.groupBy(key.alias("_h")).agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("n"))
+    hot = C.materialise(groups.where((F.col("n") > 1) & (F.col("bytes") > max(pack_bytes // 8, total_bytes // HOT_ROWS))).select("_h"), HOT_ROWS)
+    plain = [F.lit(1).cast("long").alias("_n"), F.lit(0).cast("long").alias("_part")]
+    if hot.isEmpty():
+        return rows.select("*", *plain)
+    keyed = rows.withColumn("_h", key)
+    once = keyed.join(F.broadcast(hot), "_h", "left_anti").select(*rows.columns, *plain)
+    counted = keyed.join(F.broadcast(hot), "_h").groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_all"))
+    parts = counted.withColumn("_part", F.explode(F.expr(f"sequence(0L, (_all - 1) div {copies_at_once})")))
+    n = F.least(F.lit(copies_at_once).cast("long"), F.col("_all") - F.col("_part") * copies_at_once)
+    return once.unionByName(parts.select(*rows.columns, n.alias("_n"), "_part"))
+
+
 def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, weight: float = K,
-                pack_bytes: int = C.PACK_BYTES, bits_per_event: int = BITS_PER_EVENT) -> DataFrame:
+                pack_bytes: int = C.PACK_BYTES, bits_per_event: int = BITS_PER_EVENT,
+                copies_at_once: int = COPIES_AT_ONCE) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     C.ship(df.sparkSession)
     packs = C.pack_count(df, text_col, pack_bytes)
     key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     fold = F.crc32(key.cast("string").cast("binary")) % folds
-    dealt = df.select(C.pack_of(F.struct(key, text), packs).alias("_pack"), key.cast("long").alias("_id"), text.cast("binary").alias("_text"),
-                      F.coalesce(fold != held_fold, F.lit(True)).alias("_train"))
-    told = C.materialise(dealt.groupBy("_pack").applyInArrow(C.lean(_send(packs)), _SENT).groupBy("bucket").applyInArrow(C.lean(_sum(bits_per_event)), _TOLD))
+    rows = df.select(key.cast("long").alias("_id"), text.cast("binary").alias("_text"), F.coalesce(fold != held_fold, F.lit(True)).alias("_train"))
+    rows = weighed(rows, pack_bytes, packs * pack_bytes, copies_at_once)
+    tasks = C.task_count(packs)
+    dealt = rows.withColumn("_pack", C.pack_of(F.struct("_id", "_text", "_part"), packs)).drop("_part").repartition(tasks, "_pack")
+    sent = dealt.groupBy("_pack").applyInArrow(C.lean(_send(packs)), _SENT).repartition(tasks, "bucket")
+    told = C.materialise(sent.groupBy("bucket").applyInArrow(C.lean(_sum(bits_per_event)), _TOLD))
     vocabulary, total = told.agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    answers = told.where("pack >= 0").select("pack", "bucket", "counts", "word_levels", "pair_levels")
+    answers = told.where("pack >= 0").select("pack", "bucket", "counts", "word_levels", "pair_levels").repartition(tasks, "pack")
     scored = dealt.groupBy("_pack").cogroup(answers.groupBy("pack")).applyInArrow(C.lean(_score(total, vocabulary, weight)), _SCORES)
+    scored = scored.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return scored.select("id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base_sum").alias("base_score"), "score")

@@ -378,15 +378,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         mer = max(1, length // 2)
     C.ship(df.sparkSession)
     packs = C.pack_count(df, text_col, pack_bytes)
+    tasks = C.task_count(packs)
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text_col])
     dealt = df.select(C.pack_of(F.struct(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), packs).alias("_pack"), F.col(f"`{id_col}`").cast("long").alias("_id"),
-                      F.col(f"`{text_col}`").cast("binary").alias("_text"), row.alias("_row")).repartition("_pack")
+                      F.col(f"`{text_col}`").cast("binary").alias("_text"), row.alias("_row")).repartition(tasks, "_pack")
     added = T.StructType.fromDDL("n_bytes long, spans array<struct<start: long, end: long>>, kept " + ("string" if as_text else "binary"))
     out = T.StructType([*dealt.select("_row", "_id").schema.fields, *added.fields])
     report, judge, submit, settle, remove = _stages(length, mer, hot, RANGES * packs, to_arrow_schema(out))
-    answers = dealt.groupBy("_pack").applyInArrow(report, _KEYS).groupBy("bucket").applyInArrow(judge, _REPLY).repartition("pack")
-    entries = dealt.groupBy("_pack").cogroup(answers.groupBy("pack")).applyInArrow(submit, _ENTRIES)
-    settled = entries.groupBy("bucket").applyInArrow(settle, _REPLY)
-    both = answers.unionByName(settled)
+    keys = dealt.groupBy("_pack").applyInArrow(report, _KEYS).repartition(tasks, "bucket")
+    answers = keys.groupBy("bucket").applyInArrow(judge, _REPLY).repartition(tasks, "pack")
+    entries = dealt.groupBy("_pack").cogroup(answers.groupBy("pack")).applyInArrow(submit, _ENTRIES).repartition(tasks, "bucket")
+    settled = entries.groupBy("bucket").applyInArrow(settle, _REPLY).repartition(tasks, "pack")
+    both = answers.unionByName(settled)  # both dealt by pack already
     done = dealt.groupBy("_pack").cogroup(both.groupBy("pack")).applyInArrow(remove, out)
     return done.withColumnsRenamed({"_row": "row", "_id": "id"})

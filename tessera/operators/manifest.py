@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import chunk
+from .bm25 import left_in, left_out
 
 KEY = ["source_key", "source_value"]
 
@@ -49,8 +50,10 @@ def rebuild_reason(previous: dict[str, Column], collection: Column, size: Column
 
 def first_of_key(sources: DataFrame) -> DataFrame:
     """Sources configured twice: the first by ord counts."""
-    first = sources.groupBy(*KEY).agg(F.min("ord").alias("ord"))
-    return sources.join(first, [*KEY, "ord"], "left_semi")
+    named = sources.where(" AND ".join(f"{c} IS NOT NULL" for c in (*KEY, "ord")))
+    again = named.groupBy(*KEY).agg(F.min("ord").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    later = named.select(*KEY, "ord").join(again, KEY).where("ord <> _first").select(*KEY, "ord")
+    return left_out(named, later, [*KEY, "ord"])  # texts aren't shuffled
 
 
 def diff(previous: DataFrame, current: DataFrame, failed: DataFrame) -> DataFrame:
@@ -78,8 +81,9 @@ def chunks_of(sources: DataFrame, size: int = chunk.SIZE, overlap: int = chunk.O
 def apply_to_chunks(old_chunks: DataFrame, compared: DataFrame, current: DataFrame, size: int = chunk.SIZE, overlap: int = chunk.OVERLAP, splitter: str = "windows") -> DataFrame:
     """The chunk table after the comparison: rows of removed and changed keys go, those of added and changed come."""
     gone = compared.where("status IN ('removed', 'changed')").select(*KEY)
-    fresh = current.join(compared.where("status IN ('added', 'changed')").select(*KEY), KEY, "left_semi")
-    return old_chunks.join(gone, KEY, "left_anti").unionByName(chunks_of(fresh, size, overlap, splitter)).select(old_chunks.columns)
+    wanted = compared.where("status IN ('added', 'changed')").select(*KEY)
+    fresh = left_in(current, wanted, KEY, wanted.count())
+    return left_out(old_chunks, gone, KEY).unionByName(chunks_of(fresh, size, overlap, splitter)).select(old_chunks.columns)
 
 
 def apply_to_manifest(previous: DataFrame, compared: DataFrame, current: DataFrame) -> DataFrame:

@@ -469,3 +469,21 @@ def test_eval_set(spark, tmp_path):
     assert [(r["case_id"], r["enabled"], r["expected"]) for r in got] == [("a", True, ["s"]), ("b", False, None)]
     with pytest.raises(FileNotFoundError):
         pages.eval_set(spark, str(tmp_path / "none.json"))
+
+
+def test_a_task_keeps_the_best_alone(spark):
+    """Whatever a task reads, it gives each query's n best; ties go to the smaller chunk."""
+    corpus = spark.range(5000).select(F.col("id").alias("chunk_id"), F.array(F.lit(1.0), F.when(F.col("id") % 2 == 0, 1.0).otherwise(0.0)).alias("vector")).coalesce(1)
+    held = [{"query_id": 4, "vector": [1.0, 1.0]}, {"query_id": 5, "vector": [1.0, 0.0]}]
+    found = vector._found(held, ["query_id"], "query_id int", corpus, 3, 0.2, "raw").collect()
+    assert sorted((r["query_id"], -r["score"], r["chunk_id"]) for r in found) == [(4, -2.0, 0), (4, -2.0, 2), (4, -2.0, 4), (5, -1.0, 0), (5, -1.0, 1), (5, -1.0, 2)]
+
+
+def test_texts_are_not_shuffled(spark):
+    """Neither to count a text's tokens nor to find the first of equal keys or texts, if few are left out."""
+    docs = spark.createDataFrame([(1, "k", "a", "b b a", 1), (2, "k", "a", "c", 2), (3, "k", "b", "b b a", 3)], "chunk_id long, source_key string, source_value string, text string, ord long")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    postings, first = bm25.build_index(docs).postings, manifest.first_of_key(docs)
+    assert sorted(map(tuple, postings.select("chunk_id", "dl", "term", "tf").collect())) == [(1, 3, "a", 1), (1, 3, "b", 2), (2, 1, "c", 1)]
+    assert sorted(r["chunk_id"] for r in first.collect()) == [1, 3]
+    assert "hashpartitioning" not in plan(postings) and "hashpartitioning" not in plan(first)

@@ -11,8 +11,11 @@ place is taken: of two writers one loses and begins again from the other's versi
 Segments of about one size are merged once there are `FAN` of them, or when half of one is dead, so a row is rewritten about
 log(rows) times.  vacuum() deletes segments that no kept version names.
 
-Keyword search counts equal texts once, wherever they are: postings carry the digest of their text, whose copies have the
-same terms, so the least live chunk of a digest stands for it in each term's postings alike.  How many distinct texts there are, and
+A segment's chunks lie in blocks; a posting list is a term's places in one block and how often it is there, and the segment's docs tell
+which chunk a place is.  So a posting takes a few bytes, and what ends a chunk is looked up by its place.  Vectors lie beside their chunks' texts.
+
+Keyword search counts equal texts once, wherever they are: docs carry the digest of their text, whose copies have the
+same terms, so the least live chunk of a digest stands for it.  How many distinct texts there are, and
 how long they are, is carried from version to version by the digests that an update touches.
 """
 
@@ -20,38 +23,42 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import checkpoints
+from ..session import checkpoints, ship
 from ..sources.versions import Conflict, Versions
 from . import bm25, chunk, embed
 from . import manifest as M
 from . import retrieve as R
 
-#: Segments of about one size that are merged, and rows of a list of ended chunks up to which it is broadcast.
-FAN, FEW_GONE = 8, 200_000
+#: Segments of about one size that are merged, entries of the lists of ended sources up to which they are broadcast, and bytes of text of a block.
+FAN, FEW_GONE, BLOCK = 8, 500_000, 1 << 23
 _KEY = "source_key string, source_value string"
 _TABLES = {
-    "chunks": f"seg int, {_KEY}, chunk_id string, chunk_idx int, chunk_text string",
-    "vectors": "seg int, chunk_id string, vector array<double>",
-    "docs": "seg int, chunk_id string, digest binary, dl int",
-    "postings": "seg int, term string, chunk_id string, digest binary, tf long, dl int",
+    "texts": f"seg int, {_KEY}, chunk_id string, chunk_idx int, chunk_text string, vector array<double>",
+    "docs": f"seg int, {_KEY}, block long, place int, chunk_id string, digest binary, dl int",
+    "lists": "seg int, term string, block long, places array<int>, tfs array<int>",
     "sources": f"seg int, {_KEY}, fingerprint string, chunk_count int, born int, ord long",
-    "gone": "chunk_id string, before int",
-    "gone_sources": f"{_KEY}, before int",
+    "gone": f"{_KEY}, before int, chunks int",
 }
+_BLOCKS = "block long, term string, places array<int>, tfs array<int>, docs array<struct<source_key: string, source_value: string, chunk_id: string, digest: binary, dl: int>>"
+_AT = ["seg", "block"]
 
 
 @dataclass(frozen=True)
 class Segment:
     number: int
     chunks: int
-    gone: int  # entries of its list of ended chunks
+    gone: int  # chunks that it ends
+    ended: int = 0  # entries of its list of ended sources
 
 
 @dataclass(frozen=True)
@@ -142,6 +149,10 @@ class SegmentStore:
     def delete(self, path: str) -> None:
         self._fs().delete(self._jvm.org.apache.hadoop.fs.Path(path), True)
 
+    def rename(self, path: str, to: str) -> None:
+        if not self._fs().rename(self._jvm.org.apache.hadoop.fs.Path(path), self._jvm.org.apache.hadoop.fs.Path(to)):
+            raise OSError(f"{path} can't be renamed to {to}")
+
     def vacuum(self, keep: int = 2, after: float = 3600) -> list[int]:
         """Deletes versions but the last `keep`, and the segments that these don't name and that were begun `after` seconds ago or earlier, so that no
         writer is at them any more; returns their numbers."""
@@ -167,9 +178,21 @@ class SegmentStore:
         return self.spark.read.schema(_TABLES[name]).parquet(*paths) if paths else self.spark.createDataFrame([], _TABLES[name])
 
     def live(self, version: Version, name: str) -> DataFrame:
-        """The rows of a table that no later segment ended."""
-        on = M.KEY if name == "sources" else ["chunk_id"]
-        return without(self.table(version, name), self.table(version, "gone_sources" if name == "sources" else "gone"), on, sum(s.gone for s in version.segments))
+        """The rows of a table that no later segment ended.  chunks and vectors are those of texts, postings (term, chunk_id, digest, tf, dl) those of lists."""
+        if name == "chunks":
+            return self.live(version, "texts").drop("vector")
+        if name == "vectors":
+            return self.live(version, "texts").where("vector IS NOT NULL").select("seg", "chunk_id", "vector")
+        if name == "postings":
+            lists = self.table(version, "lists").select(*_AT, "term", F.explode(F.arrays_zip("places", "tfs")).alias("p"))
+            placed = lists.select(*_AT, "term", F.col("p.places").alias("place"), F.col("p.tfs").cast("long").alias("tf"))
+            return placed.join(self.live(version, "docs"), [*_AT, "place"]).select("seg", "term", "chunk_id", "digest", "tf", "dl")
+        return without(self.table(version, name), self.table(version, "gone"), M.KEY, sum(s.ended for s in version.segments))
+
+    def firsts(self, version: Version) -> DataFrame:
+        """(seg, block, place, chunk_id, dl) of the least live chunk of each text."""
+        first = F.min(F.struct("chunk_id", *_AT, "place", "dl")).alias("d")
+        return self.live(version, "docs").groupBy("digest").agg(first).select(*[f"d.{c}" for c in (*_AT, "place", "chunk_id", "dl")])
 
     def manifest(self, version: Version) -> DataFrame:
         return self.live(version, "sources").drop("seg")
@@ -191,22 +214,63 @@ def without(rows: DataFrame, gone: DataFrame, on: list[str], entries: int) -> Da
     return rows.alias("r").join(last.alias("g"), [*same, F.col("r.seg") < F.col("g.before")], "left_anti")
 
 
+def _placed(docs: pa.Table, lists: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, list, tf) of a block's postings of these docs, as places in both tables."""
+    place, where, sizes = docs.column("place").to_numpy(), lists.column("places").combine_chunks(), lists.column("places").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+    at = where.flatten().to_numpy(zero_copy_only=False)
+    of = np.full(1 + max(int(place.max(initial=-1)), int(at.max(initial=-1))), -1, np.int64)
+    of[place] = np.arange(len(place))
+    doc = of[at]
+    held = doc >= 0
+    return doc[held], np.repeat(np.arange(lists.num_rows), sizes)[held], lists.column("tfs").combine_chunks().flatten().to_numpy(zero_copy_only=False)[held]
+
+
+def _rows_of(docs: pa.Table, lists: pa.Table) -> pa.Table:
+    """(chunk_id, dl, terms, tf) of a block's docs that have any of the lists' terms (word)."""
+    doc, at, tf = _placed(docs, lists)
+    order = np.argsort(doc, kind="stable")
+    word, sizes = lists.column("word").to_numpy()[at[order]], np.bincount(doc, minlength=docs.num_rows)
+    own = np.flatnonzero(sizes)
+    upto = pa.array(np.concatenate([[0], np.cumsum(sizes[own])]).astype(np.int32))
+    terms, tfs = (pa.ListArray.from_arrays(upto, pa.array(x.astype(np.int32))) for x in (word, tf[order]))
+    few = docs.take(pa.array(own))
+    return pa.table([few.column("chunk_id"), few.column("dl"), terms, tfs], names=["chunk_id", "dl", "terms", "tf"])
+
+
+def _counts_of(docs: pa.Table, lists: pa.Table) -> pa.Table:
+    """(term, df, occurrences) of a block's lists among these docs."""
+    _, at, tf = _placed(docs, lists)
+    df, n = np.bincount(at, minlength=lists.num_rows), np.bincount(at, weights=tf, minlength=lists.num_rows)
+    some = df > 0
+    return pa.table([lists.column("term").filter(pa.array(some)), pa.array(df[some], pa.int64()), pa.array(n[some].astype(np.int64))], names=["term", "df", "occurrences"])
+
+
+def term_counts(store: SegmentStore, version: Version) -> DataFrame:
+    """(term, df, occurrences) of a version's terms, equal texts once; what is shuffled are docs, lists and a count per term and block."""
+    ship(store.spark)
+    found = store.firsts(version).groupBy(*_AT).cogroup(store.table(version, "lists").groupBy(*_AT)).applyInArrow(_counts_of, "term string, df long, occurrences long")
+    return found.groupBy("term").agg(F.sum("df").alias("df"), F.sum("occurrences").alias("occurrences"))
+
+
 @dataclass(frozen=True)
 class SegmentBm25:
-    """BM25 over the postings of a version; as bm25.Bm25Index over its live chunks."""
+    """BM25 over the postings of a version; as bm25.Bm25Index over its live chunks.  Lists of the terms asked for meet their block's docs; a query never meets postings by a join."""
 
     store: SegmentStore
     version: Version
 
     def search(self, queries: DataFrame, n: int, id_cols: list[str] | None = None) -> DataFrame:
-        ids = id_cols or ["query_id"]
-        checkpoints(self.store.spark)
-        asked = bm25.query_terms(queries, ids)
-        terms = asked.select("term").distinct()
-        found = self.store.live(self.version, "postings").join(terms, "term", "left_semi")
-        first = found.groupBy("term", "digest").agg(F.min("chunk_id").alias("chunk_id"), F.min("tf").alias("tf"), F.min("dl").alias("dl")).drop("digest").checkpoint()
-        sizes = self.store.spark.createDataFrame([(self.version.texts, self.version.tokens / max(1, self.version.texts))], "n long, mean_dl double")
-        return bm25.search(bm25.Bm25Index(first, first.groupBy("term").agg(F.count(F.lit(1)).alias("df")), sizes), queries, n, ids)
+        store, v = self.store, self.version
+        checkpoints(store.spark)
+        ship(store.spark)
+
+        def found(held: bm25.Held) -> DataFrame:
+            lists = store.table(v, "lists").join(F.broadcast(held.places().withColumnRenamed("place", "word")), "term").select(*_AT, "word", "places", "tfs")  # words: of about MOST_QUERIES queries
+            rows = store.firsts(v).groupBy(*_AT).cogroup(lists.groupBy(*_AT)).applyInArrow(_rows_of, "chunk_id string, dl int, terms array<int>, tf array<int>").checkpoint()
+            df = {r["word"]: r["count"] for r in rows.select(F.explode("terms").alias("word")).groupBy("word").count().collect()}  # a row per word
+            return held.best(rows, df, v.texts, v.tokens / max(1, v.texts) or 1.0, n)
+
+        return bm25.ranked(queries, id_cols or ["query_id"], n, found)
 
 
 # ---------------------------------------------------------------- updates
@@ -215,20 +279,47 @@ def _sorted(df: DataFrame, *by: str) -> DataFrame:
     return df.repartitionByRange(*by).sortWithinPartitions(*by)
 
 
-def _write(store: SegmentStore, seg: int, name: str, df: DataFrame) -> None:
+def _write(store: SegmentStore, seg: int, name: str, df: DataFrame, folder: str | None = None) -> None:
     kinds = [c.strip().split(" ") for c in _TABLES[name].split(", ")]
     full = df if "seg" in df.columns or not _TABLES[name].startswith("seg") else df.withColumn("seg", F.lit(seg))
-    full.select(*[F.col(c).cast(k).alias(c) for c, k in kinds]).write.parquet(store.at(seg, name))
-
-
-def _write_texts(store: SegmentStore, seg: int, staged: DataFrame) -> None:
-    """Chunks, vectors, docs and postings of staged chunks (with vector), as segment `seg`."""
-    _write(store, seg, "chunks", staged)
-    _write(store, seg, "vectors", staged.where("vector IS NOT NULL"))
-    said = staged.select("chunk_id", F.unhex(F.md5(T.java_trim(F.col("chunk_text")))).alias("digest"), T.tokenize(F.col("chunk_text")).alias("tokens")).withColumn("dl", F.size("tokens"))
-    _write(store, seg, "docs", said)
-    counted = said.select("chunk_id", "digest", "dl", F.explode("tokens").alias("term")).groupBy("chunk_id", "digest", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    _write(store, seg, "postings", _sorted(counted, "term", "chunk_id"))
+    full.select(*[F.col(c).cast(k).alias(c) for c, k in kinds]).write.parquet(store.at(seg, folder or name))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of chunks: a row of its docs, and one for each of its terms."""
+    task, n = TaskContext.get().partitionId(), 0
+    for whole in batches:
+        for batch in bm25.pieces(whole, most=BLOCK):
+            block, n = (task << 32) + n, n + 1
+            owner, code, tf, words, dl = bm25.counts_of(batch.column("text"))
+            order = np.argsort(code, kind="stable")
+            sizes = np.bincount(code, minlength=len(words))
+            own = np.flatnonzero(sizes)
+            upto = pa.array(np.concatenate([[0], np.cumsum(sizes[own])]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(upto, pa.array(x[order].astype(np.int32))) for x in (owner, tf)]
+            names = ["source_key", "source_value", "chunk_id", "digest"]
+            docs = pa.StructArray.from_arrays([*(batch.column(c) for c in names), pa.array(dl, pa.int32())], names=[*names, "dl"])
+            held = pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs)
+            kinds = ["block", "term", "places", "tfs", "docs"]
+            yield pa.record_batch([pa.array([block], pa.int64()), pa.nulls(1, pa.string()), *[pa.nulls(1, pa.list_(pa.int32()))] * 2, held], names=kinds)
+            yield pa.record_batch([pa.array(np.full(len(own), block)), words.take(pa.array(own)), *lists, pa.nulls(len(own), held.type)], names=kinds)
+
+
+def _write_texts(store: SegmentStore, seg: int) -> None:
+    """Docs and lists of the texts that segment `seg` holds."""
+    texts = store.spark.read.schema(_TABLES["texts"]).parquet(store.at(seg, "texts"))
+    ship(store.spark)
+    said = texts.select(*M.KEY, "chunk_id", F.unhex(F.md5(T.java_trim(F.col("chunk_text")))).alias("digest"), F.col("chunk_text").alias("text"))
+    said.mapInArrow(_blocks, _BLOCKS).write.parquet(store.at(seg, "cut"))
+    cut = store.spark.read.schema(_BLOCKS).parquet(store.at(seg, "cut"))
+    _write(store, seg, "docs", cut.where("docs IS NOT NULL").select("block", F.posexplode("docs").alias("place", "d")).select("block", "place", "d.*"))
+    _write(store, seg, "lists", _sorted(cut.where("term IS NOT NULL").select("term", "block", "places", "tfs"), "term", "block"))
+    store.delete(store.at(seg, "cut"))
+
+
+def _sizes(gone: DataFrame) -> tuple[int, int]:
+    """(chunks that a list ends, its entries)"""
+    return gone.agg(F.coalesce(F.sum(F.greatest(F.lit(1), "chunks")), F.lit(0)), F.count(F.lit(1))).first()
 
 
 def _text_counts(docs: DataFrame) -> tuple[int, int]:
@@ -238,11 +329,11 @@ def _text_counts(docs: DataFrame) -> tuple[int, int]:
 
 
 def _stage(store: SegmentStore, seg: int, fresh: DataFrame, header: M.Header, embedder: embed.Embedder | None) -> DataFrame:
-    """The chunks of sources with vector and error, written before anything is ended."""
+    """The chunks of sources with vector and error, written before anything is ended; they are the segment's texts unless some fail."""
     cut = M.chunks_of(fresh, *header.cut)
     said = embed.said(embedder or embed.HashedTerms(), F.col("chunk_text"))
-    cut.withColumn("said", said).select(*cut.columns, "said.vector", "said.error").write.parquet(store.at(seg, "staged"))
-    return store.spark.read.parquet(store.at(seg, "staged"))
+    cut.withColumn("said", said).select(F.lit(seg).alias("seg"), *cut.columns, "said.vector", "said.error").write.parquet(store.at(seg, "texts"))
+    return store.spark.read.schema(f"{_TABLES['texts']}, error string").parquet(store.at(seg, "texts"))
 
 
 def update(store: SegmentStore, sources: DataFrame, failed: DataFrame, header: M.Header, embedder: embed.Embedder | None = None, full: bool = False,
@@ -282,29 +373,32 @@ def _update(store: SegmentStore, sources: DataFrame, failed: DataFrame, header:
             store.delete(f"{store.path}/segments/s{seg:08d}")
             return UpdateStatus("none", None, base.number, counts)
         wanted = compared.where("status IN ('added', 'changed')").select(*M.KEY, "status")
-        staged = _stage(store, seg, now.join(wanted, M.KEY, "left_semi"), header, embedder)
-        broken = staged.where("error IS NOT NULL").select(*M.KEY).distinct()
+        same, n = compared.where("status = 'unchanged'").select(*M.KEY), counts["added"] + counts["changed"]
+        fresh = bm25.left_out(now, same, M.KEY) if counts["unchanged"] <= n else bm25.left_in(now, wanted, M.KEY, n)
+        staged = _stage(store, seg, fresh, header, embedder)
+        checkpoints(store.spark)
+        broken = staged.where("error IS NOT NULL").select(*M.KEY).distinct().checkpoint()
         failures = broken.count()
         if failures and reason:
             error = staged.where("error IS NOT NULL").select("source_value", "error").first()
             raise RuntimeError(f"vectors of {failures} sources can't be made, such as {error['source_value']}: {error['error']}")
-        good = staged.join(broken, M.KEY, "left_anti") if failures else staged
+        if failures:
+            _write(store, seg, "texts", bm25.left_out(staged, broken, M.KEY), "good")
+            store.delete(store.at(seg, "texts"))
+            store.rename(store.at(seg, "good"), store.at(seg, "texts"))
         done = wanted.join(broken, M.KEY, "left_anti") if failures else wanted
         ended = done.where("status = 'changed'").select(*M.KEY).unionByName(compared.where("status = 'removed'").select(*M.KEY)).join(before, M.KEY).select(*M.KEY, "chunk_count")
-        _write(store, seg, "gone_sources", ended.withColumn("before", F.lit(seg)))
-        ids = ended.where("chunk_count > 0").select(*M.KEY, F.explode(F.sequence(F.lit(0), F.col("chunk_count") - 1)).alias("i"))
-        _write(store, seg, "gone", ids.select(T.chunk_id(F.col("source_key"), F.col("source_value"), F.col("i")).alias("chunk_id"), F.lit(seg).alias("before")))
-        _write_texts(store, seg, good)
+        _write(store, seg, "gone", ended.select(*M.KEY, F.lit(seg).alias("before"), F.col("chunk_count").alias("chunks")))
+        _write_texts(store, seg)
         places = before.select(*M.KEY, F.col("born").alias("_born"), F.col("ord").alias("_ord"))
         entries = now.join(done, M.KEY).join(places, M.KEY, "left")
         _write(store, seg, "sources", entries.select(*M.KEY, "fingerprint", "chunk_count", F.coalesce("_born", F.lit(seg)).alias("born"), F.coalesce("_ord", F.col("ord").cast("long")).alias("ord")))
-        store.delete(store.at(seg, "staged"))
         read = lambda name: store.spark.read.schema(_TABLES[name]).parquet(store.at(seg, name))
-        added, entries_gone = read("chunks").count(), max(read("gone").count(), read("gone_sources").count())
-        if not (added or entries_gone or reason or read("sources").count()):  # all that came failed
+        added, (ended_chunks, entries) = read("docs").count(), _sizes(read("gone"))
+        if not (added or entries or reason or read("sources").count()):  # all that came failed
             store.delete(f"{store.path}/segments/s{seg:08d}")
             return UpdateStatus("none", None, base.number, counts, failures)
-        new = Version(base.number + 1, header, (*base.segments, Segment(seg, added, entries_gone)))
+        new = Version(base.number + 1, header, (*base.segments, Segment(seg, added, ended_chunks, entries)))
         texts, tokens = _counts_after(store, base, new, read("docs"), read("gone"))
         store.claim(replace(new, texts=texts, tokens=tokens))
         return UpdateStatus("full" if reason else "incremental", reason, new.number, counts, failures)
@@ -318,7 +412,7 @@ def _update(store: SegmentStore, sources: DataFrame, failed: DataFrame, header:
 def _counts_after(store: SegmentStore, base: Version, new: Version, fresh: DataFrame, gone: DataFrame) -> tuple[int, int]:
     """Distinct texts and their tokens in the new version: the base's, less and plus those among the digests that the update touches."""
     old = store.live(base, "docs")
-    ended = old.join(gone.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    ended = old.join(gone.select(*M.KEY), M.KEY, "left_semi")
     touched = fresh.select("digest").unionByName(ended.select("digest")).distinct()
     was, now = (_text_counts(docs.join(touched, "digest", "left_semi")) for docs in (old, store.live(new, "docs")))
     return base.texts - was[0] + now[0], base.tokens - was[1] + now[1]
@@ -352,7 +446,7 @@ def merge(store: SegmentStore, segments: list[Segment] | None = None) -> int:
     if segments is None:
         segments = due(version)
         if not segments and (old := _maybe_dead(version)):
-            held = without(store.table(replace(version, segments=tuple(old)), "docs"), store.table(version, "gone"), ["chunk_id"], sum(s.gone for s in version.segments))
+            held = without(store.table(replace(version, segments=tuple(old)), "docs"), store.table(version, "gone"), M.KEY, sum(s.ended for s in version.segments))
             living = {r["seg"]: r["count"] for r in held.groupBy("seg").count().collect()}  # a row per segment
             segments = due(version, {s.number: s.chunks - living.get(s.number, 0) for s in old})
     if not segments:
@@ -362,13 +456,13 @@ def merge(store: SegmentStore, segments: list[Segment] | None = None) -> int:
     seg = store.new_segment()
     try:
         numbers = [s.number for s in segments]
-        for name in ("chunks", "vectors", "docs", "postings", "sources"):
-            rows = store.live(version, name).where(F.col("seg").isin(numbers)).drop("seg")
-            _write(store, seg, name, _sorted(rows, "term", "chunk_id") if name == "postings" else rows)
-        for name in ("gone", "gone_sources"):  # what ends rows of segments that aren't merged stays
-            _write(store, seg, name, store.table(part, name).where(F.lit(False) if oldest is None else F.col("before") > oldest))
-        read = lambda name: store.spark.read.schema(_TABLES[name]).parquet(store.at(seg, name)).count()
-        store.claim(replace(version, number=version.number + 1, segments=(*rest, Segment(seg, read("chunks"), max(read("gone"), read("gone_sources"))))))
+        for name in ("texts", "sources"):
+            _write(store, seg, name, store.live(version, name).where(F.col("seg").isin(numbers)).drop("seg"))
+        _write_texts(store, seg)
+        # what ends rows of segments that aren't merged stays
+        _write(store, seg, "gone", store.table(part, "gone").where(F.lit(False) if oldest is None else F.col("before") > oldest))
+        read = lambda name: store.spark.read.schema(_TABLES[name]).parquet(store.at(seg, name))
+        store.claim(replace(version, number=version.number + 1, segments=(*rest, Segment(seg, read("docs").count(), *_sizes(read("gone"))))))
         return len(segments)
     except Conflict:
         store.delete(f"{store.path}/segments/s{seg:08d}")

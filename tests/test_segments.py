@@ -179,3 +179,16 @@ def test_lengths_of_vectors(spark):
     queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [1.0])], "query_id int, vector array<double>")
     got = sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in vector.search(queries, corpus, 5).collect())
     assert got == [(1, 1, "a"), (1, 2, "c"), (2, 1, "b")]
+
+
+def test_postings_take_few_bytes(spark, tmp_path):
+    """A posting is a place and a count in its term's list, not a row with names of its own."""
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(500)]
+    texts = {f"s{i}": " ".join(r.choice(words) for _ in range(100)) for i in range(600)}
+    store = segments.SegmentStore(spark, f"file://{tmp_path}/a")
+    segments.update(store, frame(spark, texts), keys(spark), M.Header("docs"))
+    v = store.current()
+    postings = store.live(v, "postings").count()
+    held = sum(size for f, (size, _) in files(f"{tmp_path}/a").items() if f.endswith(".parquet") and "/texts/" not in f and "/chunks/" not in f and "/vectors/" not in f)
+    assert postings > 50_000 and held < 6 * postings

@@ -471,6 +471,17 @@ def test_eval_set(spark, tmp_path):
         pages.eval_set(spark, str(tmp_path / "none.json"))
 
 
+def test_many_expected_sources(spark):
+    """A case's expected sources are normalised once a row, not for each other one."""
+    import time
+
+    many = [f"https://www.kb.example/doc/{i}/" for i in range(1500)]
+    results = spark.createDataFrame([("v", 1, many, ["doc/7", "doc/x", "doc/8", "doc/9", "doc/1499"], 5, None)], "variant_id string, case_id int, expected array<string>, returned array<string>, cost_ms int, error string")
+    began = time.monotonic()
+    row = evaluate.score_cases(results, spark.createDataFrame([("doc/3",), ("doc/7",)], "source_value string")).select("hit_count", "missed", F.size("not_in_index").alias("n")).first()
+    assert tuple(row) == (4, ["https://www.kb.example/doc/3/"], 1495) and time.monotonic() - began < 20
+
+
 def test_a_task_keeps_the_best_alone(spark):
     """Whatever a task reads, it gives each query's n best; ties go to the smaller chunk."""
     corpus = spark.range(5000).select(F.col("id").alias("chunk_id"), F.array(F.lit(1.0), F.when(F.col("id") % 2 == 0, 1.0).otherwise(0.0)).alias("vector")).coalesce(1)

@@ -41,6 +41,8 @@ from . import retrieve as R
 
 #: Segments of about one size that are merged, entries of the lists of ended sources up to which they are broadcast, and bytes of text of a block.
 FAN, FEW_GONE, BLOCK = 8, 500_000, 1 << 23
+#: How a segment's tables are compressed: chunks overlap and vectors are mostly zeros.
+CODEC = "zstd"
 _KEY = "source_key string, source_value string"
 _TABLES = {
     "texts": f"seg int, {_KEY}, chunk_id string, chunk_idx int, chunk_text string, vector array<double>",
@@ -49,7 +51,7 @@ _TABLES = {
     "sources": f"seg int, {_KEY}, fingerprint string, chunk_count int, born int, ord long",
     "gone": f"{_KEY}, before int, chunks int",
 }
-_BLOCKS = "block long, term string, places array<int>, tfs array<int>, docs array<struct<source_key: string, source_value: string, chunk_id: string, digest: binary, dl: int>>"
+_BLOCKS = f"kind string, block long, place int, {_KEY}, chunk_id string, digest binary, dl int, term string, places array<int>, tfs array<int>"
 _AT = ["seg", "block"]
 
 
@@ -153,6 +155,14 @@ class SegmentStore:
         if not self._fs().rename(self._jvm.org.apache.hadoop.fs.Path(path), self._jvm.org.apache.hadoop.fs.Path(to)):
             raise OSError(f"{path} can't be renamed to {to}")
 
+    def move(self, path: str, to: str) -> None:
+        """Renames a table's folder; a table without rows, whose folder isn't there, becomes an empty one."""
+        fs, of = self._fs(), self._jvm.org.apache.hadoop.fs.Path
+        if fs.exists(of(path)):
+            self.rename(path, to)
+        else:
+            fs.mkdirs(of(to))
+
     def vacuum(self, keep: int = 2, after: float = 3600) -> list[int]:
         """Deletes versions but the last `keep`, and the segments that these don't name and that were begun `after` seconds ago or earlier, so that no
         writer is at them any more; returns their numbers."""
@@ -275,19 +285,21 @@ class SegmentBm25:
 
 # ---------------------------------------------------------------- updates
 
-def _sorted(df: DataFrame, *by: str) -> DataFrame:
-    return df.repartitionByRange(*by).sortWithinPartitions(*by)
-
-
 def _write(store: SegmentStore, seg: int, name: str, df: DataFrame, folder: str | None = None) -> None:
     kinds = [c.strip().split(" ") for c in _TABLES[name].split(", ")]
     full = df if "seg" in df.columns or not _TABLES[name].startswith("seg") else df.withColumn("seg", F.lit(seg))
-    full.select(*[F.col(c).cast(k).alias(c) for c, k in kinds]).write.parquet(store.at(seg, folder or name))
+    full.select(*[F.col(c).cast(k).alias(c) for c, k in kinds]).write.parquet(store.at(seg, folder or name), compression=CODEC)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of chunks: a row of its docs, and one for each of its terms."""
+    """Blocks of chunks: a row for each of a block's docs, and one for each of its terms."""
     task, n = TaskContext.get().partitionId(), 0
+    kinds = {"kind": pa.string(), "block": pa.int64(), "place": pa.int32(), "source_key": pa.string(), "source_value": pa.string(), "chunk_id": pa.string(), "digest": pa.binary(),
+             "dl": pa.int32(), "term": pa.string(), "places": pa.list_(pa.int32()), "tfs": pa.list_(pa.int32())}
+
+    def rows(size: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.record_batch([columns[c].cast(k) if c in columns else pa.nulls(size, k) for c, k in kinds.items()], names=list(kinds))
+
     for whole in batches:
         for batch in bm25.pieces(whole, most=BLOCK):
             block, n = (task << 32) + n, n + 1
@@ -296,24 +308,21 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = np.bincount(code, minlength=len(words))
             own = np.flatnonzero(sizes)
             upto = pa.array(np.concatenate([[0], np.cumsum(sizes[own])]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(upto, pa.array(x[order].astype(np.int32))) for x in (owner, tf)]
-            names = ["source_key", "source_value", "chunk_id", "digest"]
-            docs = pa.StructArray.from_arrays([*(batch.column(c) for c in names), pa.array(dl, pa.int32())], names=[*names, "dl"])
-            held = pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs)
-            kinds = ["block", "term", "places", "tfs", "docs"]
-            yield pa.record_batch([pa.array([block], pa.int64()), pa.nulls(1, pa.string()), *[pa.nulls(1, pa.list_(pa.int32()))] * 2, held], names=kinds)
-            yield pa.record_batch([pa.array(np.full(len(own), block)), words.take(pa.array(own)), *lists, pa.nulls(len(own), held.type)], names=kinds)
+            places, tfs = (pa.ListArray.from_arrays(upto, pa.array(x[order].astype(np.int32))) for x in (owner, tf))
+            same = lambda kind, size: {"kind": pa.array([kind] * size, pa.string()), "block": pa.array(np.full(size, block))}
+            yield rows(len(dl), **same("docs", len(dl)), place=pa.array(np.arange(len(dl))), dl=pa.array(dl), **{c: batch.column(c) for c in ("source_key", "source_value", "chunk_id", "digest")})
+            yield rows(len(own), **same("lists", len(own)), term=words.take(pa.array(own)), places=places, tfs=tfs)
 
 
 def _write_texts(store: SegmentStore, seg: int) -> None:
-    """Docs and lists of the texts that segment `seg` holds."""
+    """Docs and lists of the texts that segment `seg` holds: each task writes its blocks' once, sorted by term, so nothing is shuffled and nothing is written twice."""
     texts = store.spark.read.schema(_TABLES["texts"]).parquet(store.at(seg, "texts"))
     ship(store.spark)
     said = texts.select(*M.KEY, "chunk_id", F.unhex(F.md5(T.java_trim(F.col("chunk_text")))).alias("digest"), F.col("chunk_text").alias("text"))
-    said.mapInArrow(_blocks, _BLOCKS).write.parquet(store.at(seg, "cut"))
-    cut = store.spark.read.schema(_BLOCKS).parquet(store.at(seg, "cut"))
-    _write(store, seg, "docs", cut.where("docs IS NOT NULL").select("block", F.posexplode("docs").alias("place", "d")).select("block", "place", "d.*"))
-    _write(store, seg, "lists", _sorted(cut.where("term IS NOT NULL").select("term", "block", "places", "tfs"), "term", "block"))
+    cut = said.mapInArrow(_blocks, _BLOCKS).withColumn("seg", F.lit(seg)).sortWithinPartitions("kind", "term", "block", "place")
+    cut.write.partitionBy("kind").parquet(store.at(seg, "cut"), compression=CODEC)
+    for name in ("docs", "lists"):
+        store.move(store.at(seg, f"cut/kind={name}"), store.at(seg, name))
     store.delete(store.at(seg, "cut"))
 
 
@@ -332,7 +341,7 @@ def _stage(store: SegmentStore, seg: int, fresh: DataFrame, header: M.Header, em
     """The chunks of sources with vector and error, written before anything is ended; they are the segment's texts unless some fail."""
     cut = M.chunks_of(fresh, *header.cut)
     said = embed.said(embedder or embed.HashedTerms(), F.col("chunk_text"))
-    cut.withColumn("said", said).select(F.lit(seg).alias("seg"), *cut.columns, "said.vector", "said.error").write.parquet(store.at(seg, "texts"))
+    cut.withColumn("said", said).select(F.lit(seg).alias("seg"), *cut.columns, "said.vector", "said.error").write.parquet(store.at(seg, "texts"), compression=CODEC)
     return store.spark.read.schema(f"{_TABLES['texts']}, error string").parquet(store.at(seg, "texts"))
 
 

@@ -192,3 +192,28 @@ def test_postings_take_few_bytes(spark, tmp_path):
     postings = store.live(v, "postings").count()
     held = sum(size for f, (size, _) in files(f"{tmp_path}/a").items() if f.endswith(".parquet") and "/texts/" not in f and "/chunks/" not in f and "/vectors/" not in f)
     assert postings > 50_000 and held < 6 * postings
+
+
+def test_postings_are_not_shuffled_to_be_written(spark, tmp_path):
+    """A task writes its blocks' lists itself, once."""
+    r, context = random.Random(5), spark.sparkContext._jsc.sc()
+    words = [f"w{i}" for i in range(500)]
+    texts = {f"s{i}": " ".join(r.choice(words) for _ in range(100)) for i in range(600)}
+    store = segments.SegmentStore(spark, f"file://{tmp_path}/a")
+    segments.update(store, frame(spark, texts), keys(spark), M.Header("docs"))
+    v = store.current()
+
+    def shuffled(run):
+        context.listenerBus().waitUntilEmpty()
+        before = context.statusStore().executorList(True).apply(0).totalShuffleWrite()
+        out = run()
+        context.listenerBus().waitUntilEmpty()
+        return out, context.statusStore().executorList(True).apply(0).totalShuffleWrite() - before
+
+    store.rename(store.at(v.segments[0].number, "texts"), store.at(99, "texts"))
+    _, written = shuffled(lambda: segments._write_texts(store, 99))
+    held = store.table(segments.Version(segments=(segments.Segment(99, 1, 0),)), "lists").count()
+    assert held and not written
+    spark.createDataFrame([], segments._TABLES["texts"]).write.parquet(store.at(98, "texts"))
+    segments._write_texts(store, 98)  # no texts: empty tables
+    assert store.table(segments.Version(segments=(segments.Segment(98, 0, 0),)), "docs").count() == 0

@@ -28,6 +28,7 @@ from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +40,8 @@ from . import bm25, chunk, embed
 from . import manifest as M
 from . import retrieve as R
 
-#: Segments of about one size that are merged, entries of the lists of ended sources up to which they are broadcast, and bytes of text of a block.
-FAN, FEW_GONE, BLOCK = 8, 500_000, 1 << 23
+#: Segments of about one size that are merged, entries of the lists of ended sources up to which they are broadcast, bytes of text of a block, and lists that are packed at once.
+FAN, FEW_GONE, BLOCK, PIECE = 8, 500_000, 1 << 23, 1 << 17
 #: How a segment's tables are compressed: chunks overlap and vectors are mostly zeros.
 CODEC = "zstd"
 _KEY = "source_key string, source_value string"
@@ -247,8 +248,47 @@ def _rows_of(docs: pa.Table, lists: pa.Table) -> pa.Table:
     return pa.table([few.column("chunk_id"), few.column("dl"), terms, tfs], names=["chunk_id", "dl", "terms", "tf"])
 
 
-def _counts_of(docs: pa.Table, lists: pa.Table) -> pa.Table:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(seg, block, piece): lists in compressed pieces of one block each, places as differences; shuffled as rows they take several times as much as in files."""
+    held, rows = [], 0
+    for batch in batches:
+        held, rows = [*held, batch], rows + batch.num_rows
+        if rows >= PIECE:
+            yield _pieces(held)
+            held, rows = [], 0
+    if rows:
+        yield _pieces(held)
+
+
+def _pieces(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    table = pa.Table.from_batches(batches)
+    seg, block = (table.column(c).to_numpy().astype(np.int64) for c in _AT)
+    order = np.lexsort((block, seg))
+    new = np.flatnonzero((np.diff(seg[order]) != 0) | (np.diff(block[order]) != 0)) + 1
+    out = []
+    for own in np.split(order, new):
+        lists = table.select(["term", "places", "tfs"]).take(pa.array(own)).combine_chunks()
+        places = lists.column("places").combine_chunks()
+        apart = pa.ListArray.from_arrays(places.offsets, pa.array(np.diff(places.flatten().to_numpy(), prepend=0).astype(np.int32)))
+        sink, how = pa.BufferOutputStream(), {"term": "DELTA_BYTE_ARRAY", "places.list.element": "BYTE_STREAM_SPLIT", "tfs.list.element": "BYTE_STREAM_SPLIT"}
+        pq.write_table(lists.set_column(1, "places", apart), sink, compression=CODEC, use_dictionary=False, column_encoding=how)
+        out.append((int(seg[own[0]]), int(block[own[0]]), sink.getvalue().to_pybytes()))
+    return pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary()))], names=[*_AT, "piece"])
+
+
+def _unpacked(piece: bytes) -> pa.Table:
+    lists = pq.read_table(pa.BufferReader(piece)).combine_chunks()
+    apart = lists.column("places").combine_chunks()
+    places = pa.array(np.cumsum(apart.flatten().to_numpy(), dtype=np.int64).astype(np.int32))
+    return lists.set_column(1, "places", pa.ListArray.from_arrays(apart.offsets, places))
+
+
+def _counts_of(docs: pa.Table, pieces: pa.Table) -> pa.Table:
     """(term, df, occurrences) of a block's lists among these docs."""
+    found = [_unpacked(x.as_py()) for x in pieces.column("piece")]
+    if not found:
+        return pa.table({"term": pa.array([], pa.string()), "df": pa.array([], pa.int64()), "occurrences": pa.array([], pa.int64())})
+    lists = pa.concat_tables(found)
     _, at, tf = _placed(docs, lists)
     df, n = np.bincount(at, minlength=lists.num_rows), np.bincount(at, weights=tf, minlength=lists.num_rows)
     some = df > 0
@@ -256,9 +296,11 @@ def _counts_of(docs: pa.Table, lists: pa.Table) -> pa.Table:
 
 
 def term_counts(store: SegmentStore, version: Version) -> DataFrame:
-    """(term, df, occurrences) of a version's terms, equal texts once; what is shuffled are docs, lists and a count per term and block."""
+    """(term, df, occurrences) of a version's terms, equal texts once; what is shuffled are docs, packed lists and a count per term and block."""
     ship(store.spark)
-    found = store.firsts(version).groupBy(*_AT).cogroup(store.table(version, "lists").groupBy(*_AT)).applyInArrow(_counts_of, "term string, df long, occurrences long")
+    packed = store.table(version, "lists").mapInArrow(_packed, "seg int, block long, piece binary")
+    one = store.live(version, "docs").groupBy("digest").agg(F.min(F.struct(*_AT, "place")).alias("d")).select("d.*")  # any one of equal texts
+    found = one.groupBy(*_AT).cogroup(packed.groupBy(*_AT)).applyInArrow(_counts_of, "term string, df long, occurrences long")
     return found.groupBy("term").agg(F.sum("df").alias("df"), F.sum("occurrences").alias("occurrences"))
 
 

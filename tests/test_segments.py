@@ -195,7 +195,7 @@ def test_postings_take_few_bytes(spark, tmp_path):
 
 
 def test_postings_are_not_shuffled_to_be_written(spark, tmp_path):
-    """A task writes its blocks' lists itself, once."""
+    """A task writes its blocks' lists itself, once; lists that meet their docs to be counted travel packed."""
     r, context = random.Random(5), spark.sparkContext._jsc.sc()
     words = [f"w{i}" for i in range(500)]
     texts = {f"s{i}": " ".join(r.choice(words) for _ in range(100)) for i in range(600)}
@@ -217,3 +217,8 @@ def test_postings_are_not_shuffled_to_be_written(spark, tmp_path):
     spark.createDataFrame([], segments._TABLES["texts"]).write.parquet(store.at(98, "texts"))
     segments._write_texts(store, 98)  # no texts: empty tables
     assert store.table(segments.Version(segments=(segments.Segment(98, 0, 0),)), "docs").count() == 0
+    counts, sent = shuffled(lambda: segments.term_counts(store, v).collect())
+    postings = store.live(v, "postings")
+    plain = {x["term"]: (x["df"], x["n"]) for x in postings.groupBy("term").agg(F.countDistinct("digest").alias("df"), F.sum("tf").alias("n")).collect()}
+    assert {x["term"]: (x["df"], x["occurrences"]) for x in counts} == plain
+    assert sent < 4 * postings.count()

@@ -38,3 +38,15 @@ def test_any_split_into_batches(spark, tmp_path, seed):
         ledger.follow(stream, people, f"file://{tmp_path}/table", f"file://{tmp_path}/checkpoint", "30 days").awaitTermination()
     got = {x["userId"]: (x["salary"], x["answers"]) for x in ledger.salaries(spark, f"file://{tmp_path}/table").collect() if x["userId"] != -1}
     assert got == want
+
+
+def test_answers_of_one_time_and_number_are_told_apart(spark, tmp_path):
+    """The tie decides, not the score."""
+    day, schema = dt.datetime(2024, 1, 1), SCHEMA + ", tie string"
+    rows = [(1, day, 7, 95, "a"), (1, day, 7, 10, "b"), (2, day, 7, 95, "b"), (2, day, 7, 10, "a"), (-1, day + dt.timedelta(days=90), 0, 0, "")]
+    for part in (rows[:2], rows[2:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        ledger.follow(stream, spark.createDataFrame([(1, 105), (2, 105)], "userId long, salary int"), f"file://{tmp_path}/table", f"file://{tmp_path}/checkpoint", "30 days").awaitTermination()
+    got = {x["userId"]: x["salary"] for x in ledger.salaries(spark, f"file://{tmp_path}/table").collect()}
+    assert (got[1], got[2]) == (ledger.after(ledger.after(105, 95), 10), ledger.after(ledger.after(105, 10), 95)) and got[1] != got[2]

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import rules
+from tessera.plans import catalog
 from tessera.streaming import ledger
 
 SCHEMA = "userId long, at timestamp, ord long, score int"
@@ -50,3 +51,23 @@ def test_answers_of_one_time_and_number_are_told_apart(spark, tmp_path):
         ledger.follow(stream, spark.createDataFrame([(1, 105), (2, 105)], "userId long, salary int"), f"file://{tmp_path}/table", f"file://{tmp_path}/checkpoint", "30 days").awaitTermination()
     got = {x["userId"]: x["salary"] for x in ledger.salaries(spark, f"file://{tmp_path}/table").collect()}
     assert (got[1], got[2]) == (ledger.after(ledger.after(105, 95), 10), ledger.after(ledger.after(105, 10), 95)) and got[1] != got[2]
+
+
+def test_answers_that_the_sql_leaves_open_go_as_they_lie_in_the_table(spark, tmp_path):
+    """Lines of one order and number whose part keys would have it the other way round, in one file and in two."""
+    day = dt.date(2024, 1, 1)
+    lines = [(1, 1, 9, 9, 48, day, 9.0), (1, 1, 2, 2, 5, day, 2.0), (2, 1, 3, 3, 5, day, 3.0), (2, 1, 8, 8, 48, day, 8.0), (3, 1, 9, 9, 48, day, 9.0), (3, 1, 2, 2, 5, day, 2.0)]
+    schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_shipdate date, l_extendedprice double, l_returnflag string"
+    rows = [(k, n, p, s, float(q), t, x, "N") for k, n, p, s, q, t, x in lines]
+    for name, part in (("a", rows[:5]), ("b", rows[5:])):  # order 3 lies in both files
+        spark.createDataFrame(part, schema).toPandas().to_parquet(_made(tmp_path / "lineitem.parquet") / f"{name}.parquet")
+    spark.createDataFrame([(k, k) for k in (1, 2, 3)], "o_orderkey long, o_custkey long").toPandas().to_parquet(tmp_path / "orders.parquet")
+    spark.createDataFrame([(k, f"c{k}", 105.0, "x") for k in (1, 2, 3, 4)], "c_custkey long, c_name string, c_acctbal double, c_mktsegment string").toPandas().to_parquet(tmp_path / "customer.parquet")
+    got = sorted(map(tuple, catalog.ledger_stream(spark, str(tmp_path)).select("userId", "salary", "answers").collect()))
+    up, down = ledger.after(ledger.after(105, 96), 10), ledger.after(ledger.after(105, 10), 96)
+    assert [r[1] for r in got] == [up, down, up, 105] and up != down
+
+
+def _made(folder):
+    folder.mkdir(exist_ok=True)
+    return folder

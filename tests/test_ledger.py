@@ -68,6 +68,23 @@ def test_answers_that_the_sql_leaves_open_go_as_they_lie_in_the_table(spark, tmp
     assert [r[1] for r in got] == [up, down, up, 105] and up != down
 
 
+def test_state_is_held_by_groups_of_users(spark, tmp_path):
+    """Entries of state, each of which costs its own calls, don't grow with the users; one user has far more answers than others."""
+    r, day, many = random.Random(3), dt.datetime(2024, 1, 1), 3000
+    answers = [(r.randint(1, many + 50), day + dt.timedelta(days=r.randint(0, 9)), n, r.randint(0, 100)) for n in range(6000)] + [(5, day, 10000 + n, 100 if n % 2 else 0) for n in range(500)]
+    want = {u: (7 * u, 0) for u in range(1, many + 1)}
+    for u, _, _, score in sorted(answers, key=lambda x: x[1:3]):
+        salary, n = want.get(u, (0, 0))
+        want[u] = (int(ledger.after(salary, score)), n + 1)
+    people = spark.createDataFrame([(u, 7 * u) for u in range(1, many + 1)], "userId long, salary int")
+    for rows in (answers, [(-1, day + dt.timedelta(days=90), 0, 0)]):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = ledger.follow(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), people, f"file://{tmp_path}/table", f"file://{tmp_path}/checkpoint", "30 days")
+        stream.awaitTermination()
+        assert max(s["numRowsTotal"] for p in stream.recentProgress for s in p["stateOperators"]) < 200
+    assert {x["userId"]: (x["salary"], x["answers"]) for x in ledger.salaries(spark, f"file://{tmp_path}/table").collect() if x["userId"] != -1} == want
+
+
 def _made(folder):
     folder.mkdir(exist_ok=True)
     return folder

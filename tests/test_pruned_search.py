@@ -1,5 +1,6 @@
 """Searches that skip what can't be among the best, against those that read everything."""
 
+import pathlib
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import balls, blocks, bm25, vector
+from tessera.session import checkpoints
 
 
 def corpus(spark, n, seed):
@@ -46,6 +48,23 @@ def test_block_search_skips(spark, tmp_path):
     assert sorted(map(tuple, blocks.build(plain, 4).search(queries, 5).select("query_id", "chunk_id", "rank").collect())) == sorted(map(tuple, plain.search(queries, 5).select("query_id", "chunk_id", "rank").collect()))
 
 
+def test_block_search_writes_no_pairs(spark, tmp_path, monkeypatch):
+    """Nothing of a search is written, however many queries; postings in any order and small matrices give the same rows."""
+    bm25.build_index(corpus(spark, 400, 6)).write(f"file://{tmp_path}/plain")  # sorted by term
+    plain = bm25.Bm25Index.read(spark, f"file://{tmp_path}/plain")
+    index = blocks.build(plain, 16).write(f"file://{tmp_path}/index")
+    asked = [(k, f"the of and to word{k % 50}") for k in range(60)]
+    queries = spark.createDataFrame(asked, "query_id int, query string")
+    want = sorted(map(tuple, plain.search(queries, 4).collect()))
+    checkpoints(spark)
+    folder = pathlib.Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before = size()
+    monkeypatch.setattr(blocks, "NUMBERS", 100)
+    assert sorted(map(tuple, index.search(queries, 4).select("query_id", "chunk_id", "score", "rank").collect())) == want
+    assert size() == before
+
+
 @pytest.mark.parametrize("kind, n, most", [("groups", 5, 8192), ("flat", 7, 8192), ("groups", 3, 10), ("groups", 5000, 8192)])
 def test_ball_search_is_exact(spark, tmp_path, monkeypatch, kind, n, most):
     monkeypatch.setattr(vector, "MOST_QUERIES", most)

@@ -11,7 +11,7 @@ DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 
 
-@pytest.mark.parametrize("name", ["cached_context", "context_assembly", "eval_scores", "eval_metrics", "hybrid_retrieve", "rrf_fusion"])
+@pytest.mark.parametrize("name", ["cached_context", "context_assembly", "eval_scores", "eval_metrics", "hybrid_retrieve", "rrf_fusion", "segment_retrieve"])
 def test_lost_recall_is_an_error(spark, monkeypatch, name):
     def lost(*_):
         raise RuntimeError("vectors lost")
